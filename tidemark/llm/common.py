@@ -15,7 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Rows that go to Python at once. Texts may be long: Spark's usual 10,000 rows of a megabyte wouldn't fit a worker.
+ROWS_AT_ONCE = 256
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_AT_ONCE:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

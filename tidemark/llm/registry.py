@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_text, mixing, quality, secret_scan, warc
+from . import byte_bpe, html_text, mixing, near_dedup, quality, secret_scan, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": byte_bpe.query,
         "op2_quality": quality.query,
+        "op3_near_dedup": near_dedup.query,
         "op4_secret_scan": secret_scan.query,
         "op6_mixing": mixing.query,
         "op7_html_text": html_text.query,
