@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_text, mixing, near_dedup, quality, secret_scan, warc
+from . import byte_bpe, html_text, language_id, mixing, near_dedup, quality, secret_scan, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": quality.query,
         "op3_near_dedup": near_dedup.query,
         "op4_secret_scan": secret_scan.query,
+        "op5_language_id": language_id.query,
         "op6_mixing": mixing.query,
         "op7_html_text": html_text.query,
         "op8_warc": warc.query,
