@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, html_text, language_id, mixing, near_dedup, quality, secret_scan, warc
+from . import byte_bpe, fingerprints, html_text, language_id, maxent_lm, mixing, near_dedup, quality, secret_scan, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": mixing.query,
         "op7_html_text": html_text.query,
         "op8_warc": warc.query,
+        "op9_maxent_lm": maxent_lm.query,
         "op10_fingerprints": fingerprints.query,
     }
 
