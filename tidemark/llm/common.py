@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: A word: a run of anything but the space and the five control characters that count as white space.
@@ -71,7 +72,7 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., tuple
     those of the new row. Only the columns of df reach Python, so select before.
     """
     out = StructType.fromDDL(schema)
-    kinds = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in out.fields])
+    kinds = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = start()
@@ -88,10 +89,3 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., tuple
 
     return df.mapInArrow(run, out)
 
-
-def _arrow(kind: str) -> pa.DataType:
-    if kind.startswith("array<"):
-        return pa.list_(_arrow(kind[6:-1]))
-    if kind.startswith("struct<"):
-        return pa.struct([(n, _arrow(t)) for n, t in (x.split(":") for x in kind[7:-1].split(","))])
-    return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}[kind]

@@ -101,7 +101,7 @@ def dealt(keys: Column, power: Column) -> Column:
         last = F.pow(F.lit(2.0), n).cast("long") - 1
         return F.transform(F.sequence(F.lit(0).cast("long"), last), lambda g: F.filter(xs, lambda k: F.shiftrightunsigned(k, at).bitwiseAND(last) == g))
 
-    return F.flatten(F.transform(deal(keys, GROUP_AT, wide), lambda xs: deal(xs, INNER_AT, power - wide)))
+    return F.flatten(F.transform(let(keys, lambda xs: deal(xs, GROUP_AT, wide)), lambda xs: deal(xs, INNER_AT, power - wide)))
 
 
 def different(a: Column, b: Column) -> Column:
@@ -114,10 +114,7 @@ def different(a: Column, b: Column) -> Column:
 
 
 def recovered(a: Column, b: Column, a_sketch: Column, b_sketch: Column) -> Column:
-    """How many digests only one of two sets has, by the fingerprints and, where they don't peel, by groups.
-
-    All four must be columns of the row, not expressions, as lambdas would compute these again.
-    """
+    """How many digests only one of two sets has, by the fingerprints and, where they don't peel, by groups."""
     most = 3 * (1 << SLOT_BITS)
     unlike = F.abs(F.size(a) - F.size(b)) > most
     first = F.when(~unlike, F.array_size(peel(subtract(a_sketch, b_sketch), F.least(F.size(a) + F.size(b), F.lit(most)))))

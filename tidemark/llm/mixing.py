@@ -124,6 +124,20 @@ def sized(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("row_key"), word_count(F.col("text")).alias("size"), *more)
 
 
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, source and any others), each as often as the mix takes its text, rounded.
+
+    Only ids, digests and sizes go through the apportionment; texts meet their numbers of copies in one join.
+    """
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("row_key")).cast("binary"))
+    taken = mix(checkpointed(sized(docs)))
+    copies = taken.groupBy(key.alias("_key")).agg(F.sum(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)).cast("int").alias("_copies")).filter("_copies > 0")
+    row_key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", row_key.alias("row_key")).select(key.alias("_key"), "_row")
+    met = rows.join(copies, "_key").dropDuplicates(["_key"])  # repeated rows were summed
+    return met.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select("_row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     # sizes are used for totals, shards and rows: without the checkpoint every text would be read and counted three times
     docs = checkpointed(sized(table(spark, sf_dir, "documents")))

@@ -62,9 +62,11 @@ def repeated_words(words: Column) -> Column:
         pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(pairs, runs))
 
-    n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))))
-    return F.when(n < WINDOW, 0).otherwise(let(hashes, some)).cast("long")
+    def of(words: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))))
+        return F.when(F.size(words) < WINDOW, 0).otherwise(let(hashes, some))
+
+    return let(words, of).cast("long")  # else the optimizer may put what makes the words inside the lambda
 
 
 def dup_lines(text: Column) -> Column:
@@ -104,12 +106,14 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
 
 def references(figures: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """Shares of the classes and of the common words by language: at most LANGUAGES, each of a fixed number of cells."""
-    cells = [F.col("classes")[i] for i in range(len(CLASSES))] + [F.col("common")[i] for i in range(len(COMMON) + 1)]
     plain = (100 * F.col("n_symbols") <= PLAIN_SYMBOLS * F.col("word_chars")) & (100 * F.col("classes")[CLASSES.index("upper")] <= PLAIN_CAPITALS * F.col("word_chars"))
-    pooled = figures.filter(F.col("lang").isNotNull() & ~F.col("base_failed") & (F.col("n_words") >= GUARD_WORDS) & plain).groupBy("lang").agg(F.sum("n_words").alias("n"), *(F.sum(c).alias(f"c{i}") for i, c in enumerate(cells)))
-    rows = pooled.filter(F.col("n") >= REFERENCE_WORDS).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
+    fit = F.col("lang").isNotNull() & ~F.col("base_failed") & (F.col("n_words") >= GUARD_WORDS) & plain
+    # explode, not filter: a filter is pushed below the figures, which are then computed for it and once more for the sums
+    cells = figures.select("lang", F.posexplode(F.when(fit, F.concat("classes", "common"))).alias("cell", "k")).groupBy("lang", "cell").agg(F.sum("k").alias("k"))
+    by_lang = cells.groupBy("lang").agg(F.sum(F.when(F.col("cell") >= len(CLASSES), F.col("k"))).alias("n"), F.sort_array(F.collect_list(F.struct("cell", "k")))["k"].alias("counts"))
+    rows = by_lang.filter(F.col("n") >= REFERENCE_WORDS).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
     share = lambda x: [v / sum(x) for v in x]
-    return {r["lang"]: (share(r[2 : 2 + len(CLASSES)]), share(r[2 + len(CLASSES) :])) for r in rows}
+    return {r["lang"]: (share(r["counts"][: len(CLASSES)]), share(r["counts"][len(CLASSES) :])) for r in rows}
 
 
 def distance(counts: Column, reference: list[float]) -> Column:
@@ -125,10 +129,8 @@ def distance(counts: Column, reference: list[float]) -> Column:
     return let(total, lambda n: F.when(n > 0, F.sqrt(F.greatest(F.lit(0.0), of(n)))).otherwise(0.0))
 
 
-def judge(docs: DataFrame, *keep: str) -> DataFrame:
-    """Columns ``keep`` of docs with the base figures, the least distances and ``kept``. docs needs text and lang."""
-    figures = checkpointed(measured(docs, *dict.fromkeys([*keep, "lang"])))  # for the references and the verdicts
-    known = references(figures)
+def verdicts(figures: DataFrame, known: dict[str, tuple[list[float], list[float]]], *keep: str) -> DataFrame:
+    """Columns ``keep`` of what ``measured`` gives with the base figures, the least distances and ``kept``."""
     short = (F.col("word_chars") < GUARD_CHARS) | (F.col("n_words") < GUARD_WORDS)
     if known:
         pairs = F.array(*(F.struct(distance(F.col("classes"), a).alias("chars"), distance(F.col("common"), b).alias("words")) for a, b in known.values()))
@@ -141,5 +143,23 @@ def judge(docs: DataFrame, *keep: str) -> DataFrame:
     return figures.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("_near")).alias("kept"), least("chars"), least("words"))
 
 
+def judge(docs: DataFrame, *keep: str) -> DataFrame:
+    """Verdicts on docs (text, lang and the columns ``keep``, which should be short: they are checkpointed)."""
+    figures = checkpointed(measured(docs, *dict.fromkeys([*keep, "lang"])))  # for the references and the verdicts
+    return verdicts(figures, references(figures), *keep)
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs (text, lang and any others) that the rules keep, unchanged.
+
+    The texts are measured twice, for the references and for the verdicts: that costs no disk and no shuffle of texts.
+    """
+    known = references(measured(docs.select("text", "lang"), "lang"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text", "lang")
+    judged = verdicts(measured(rows, "_row"), known, "_row")
+    # explode, not filter, for the same reason as above
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")).select("_row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")

@@ -153,5 +153,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return spans.select("doc_id", *(count(k) for k in KINDS[:3]), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
-
-#: The base columns in DuckDB SQL; spans that the method adds are tested in tests/llm.
