@@ -162,4 +162,5 @@ def kept_rows(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+    return judged.withColumns({c: F.round(c, 4) for c in ("far_chars", "far_words")})

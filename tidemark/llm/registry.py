@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, html_text, language_id, maxent_lm, mixing, near_dedup, quality, secret_scan, warc
+from . import byte_bpe, fingerprints, html_text, language_id, maxent_lm, mixing, near_dedup, oracle, quality, secret_scan, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.all_sql()
