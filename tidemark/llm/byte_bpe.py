@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from itertools import islice
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,10 +159,10 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, keep: list[str], text:
                 raw_sha.update(back := b"".join([x[1] for x in block]))
                 n += decimals.count(" ") + 1
                 if "ids" in outputs:
-                    all_ids += map(int, decimals.split())
+                    all_ids.append(np.fromstring(decimals, np.int32, sep=" "))
                 if "decoded" in outputs:
                     raw.append(back)
-            got = {"n_tokens": n, "ids": all_ids, "ids_sha256": ids_sha.hexdigest(), "decoded": b"".join(raw), "decoded_sha256": raw_sha.hexdigest()}
+            got = {"n_tokens": n, "ids": np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32), "ids_sha256": ids_sha.hexdigest(), "decoded": b"".join(raw), "decoded_sha256": raw_sha.hexdigest()}
             return (*kept, *(got[k] for k in outputs))
 
         return row

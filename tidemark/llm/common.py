@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,8 +81,8 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., tuple
             rows, held = [], 0
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows.append(got := f(*row))
-                held += sum(len(x) for x in got if isinstance(x, str | bytes | list))
-                if held > 8_000_000:
+                held += sum(x.nbytes if isinstance(x, np.ndarray) else len(x) for x in got if isinstance(x, str | bytes | list | np.ndarray))
+                if held > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
                     rows, held = [], 0
             if rows:

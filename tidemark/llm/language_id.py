@@ -36,28 +36,27 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
+def _feature(h: np.ndarray, n: int) -> np.ndarray:
+    return (mix(h + np.uint64(n)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+
+
 def counts_of(text: str | None) -> np.ndarray | None:
     """How often each hashed n-gram occurs; None without a letter. Runs of other characters count as one space."""
-    total, any_letter, tail = None, False, np.zeros(0, np.uint32)
+    total, any_letter, after_letter, tail = np.zeros(1 << FEATURE_BITS, np.int64), False, False, np.array([32], np.uint64)
+    total[_feature(tail + np.uint64(1), 1)] += 1
     text = (text or "").lower()
     for i in range(0, len(text), BLOCK):
         a = np.frombuffer(text[i : i + BLOCK].encode("utf-32-le", "replace"), np.uint32)
         letter = _letters()[np.minimum(a, 0x10FFFF)]
-        if letter.any():
-            any_letter = True
-        a = np.where(letter, a, np.uint32(32))
-        a = a[letter | np.concatenate(([True], letter[:-1]))]
-        a = np.concatenate((tail if i else np.array([32], np.uint32), a)).astype(np.uint64)
+        any_letter = any_letter or bool(letter.any())
+        kept = letter | np.concatenate(([after_letter], letter[:-1]))
+        after_letter = bool(letter[-1])
+        a = np.concatenate((tail, np.where(letter, a, np.uint32(32))[kept].astype(np.uint64)))
         h = np.zeros(len(a), np.uint64)
-        for n in range(1, GRAM + 1):
-            m = len(a) - n + 1
-            if m <= 0:
-                break
-            h = h[:m] * np.uint64(0x100000001B3) + a[n - 1 :] + np.uint64(1)
-            fresh = h if not i or n == 1 and not len(tail) else h[max(0, len(tail) - n + 1) :]
-            got = np.bincount((mix(fresh + np.uint64(n)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64), minlength=1 << FEATURE_BITS)
-            total = got if total is None else total + got
-        tail = a[-(GRAM - 1) :].astype(np.uint32)
+        for n in range(1, min(GRAM, len(a)) + 1):
+            h = h[: len(a) - n + 1] * np.uint64(0x100000001B3) + a[n - 1 :] + np.uint64(1)
+            total += np.bincount(_feature(h[max(0, len(tail) - n + 1) :], n), minlength=1 << FEATURE_BITS)  # those that end in this block
+        tail = a[-(GRAM - 1) :]
     return total if any_letter else None
 
 
