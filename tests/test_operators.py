@@ -117,6 +117,28 @@ def test_em_recovers_two_regimes():
     assert abs(p00 - 0.98) < 0.02 and abs(p11 - 0.95) < 0.05 and abs(v0 - 0.49) < 0.1 and abs(v1 - 4) < 0.8
 
 
+def test_regime_refits_learn_both_observations_of_all_years(spark):
+    rng, state, rows = np.random.default_rng(0), 0, []
+    for i in range(2400):
+        state = int(rng.random() < (0.02 if state == 0 else 0.95))
+        v = rng.normal(-2.2 if state == 0 else -1.2, 0.2)
+        rows.append(("A", dt.date(2010, 1, 1) + dt.timedelta(i), i + 1, float(rng.normal(0.05, 0.7 if state == 0 else 2.0)), float(v)))
+    got = fit.regimes(spark.createDataFrame(rows, "series_id string, date date, pos int, r100 double, ln_rv10 double")).orderBy("year").collect()
+    assert [r["year"] for r in got] == list(range(2011, 2017)) and [r["n"] for r in got] == [(dt.date(y, 1, 1) - dt.date(2010, 1, 1)).days - 20 for y in range(2011, 2017)]
+    last = got[-1]
+    assert abs(last["mean_v0"] + 2.2) < 0.05 and abs(last["mean_v1"] + 1.2) < 0.05 and abs(last["var_r1"] - 4) < 0.8 and abs(last["p00"] - 0.98) < 0.02 and not last["kept_prev"]
+
+
+def test_regime_refits_is_registered_on_whole_series(spark):
+    from tests.conftest import SF
+    from tidemark.plans import catalog
+    from tidemark.sources import market
+
+    bars = vol.regime_observations(market.index_bars(spark, SF))
+    wanted = {(r["series_id"], r["year"]): r["n"] for r in fit.training(bars).dropna(subset=["r100", "ln_rv10"]).groupBy("series_id", "year").agg(F.count("*").alias("n")).filter("n >= 50").collect()}
+    assert {(r["series_id"], r["year"]): r["n"] for r in catalog.queries()["regime_refits"](spark, SF).collect()} == wanted
+
+
 def test_walk_forward_uses_no_late_labels(spark):
     df = closes(spark, walk(800)).withColumn("y", (F.col("pos") % 3 == 0).cast("int"))
     got = fit.training(df).groupBy("year").agg(F.max("pos").alias("last")).join(fit.refits(df), "year").collect()

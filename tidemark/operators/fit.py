@@ -1,6 +1,7 @@
 """Walk-forward fits: logistic regressions, least squares, bootstraps, two-state EM; one task for each series and refit.
 
 A group is one series' rows up to a refit: daily rows, so a few thousand. Series and refits spread over the cluster.
+Two-state fits begin where the refit before ended, so there one task takes a series.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.expr import SERIES, sigmoid
 
 PURGE, C, LEAST_ROWS, LEAST_POSITIVE = 20, 1.0, 100, 20
+#: Two-state fits: rows at least, rounds of the first and of later refits, what is added to variances, transitions at first.
+REGIME_ROWS, FIRST_ROUNDS, NEXT_ROUNDS, JITTER = 50, 300, 100, 1e-6
+STAY = ((0.98, 0.02), (0.05, 0.95))
 
 
 def refits(df: DataFrame) -> DataFrame:
@@ -107,48 +111,117 @@ def block_bootstrap(df: DataFrame, value: str, by: list[str], block: int = 40, d
     return df.dropna(subset=names).select(*by, "pos", *names).groupBy(*by).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in by) + ", n long, estimate double, low double, high double")
 
 
-def em_two_states(x: np.ndarray, rounds: int = 200, tolerance: float = 1e-6) -> tuple[float, float, float, float, float, float]:
-    """p00, p11, means and variances of a two-state Gaussian chain by Baum-Welch from a median split; state 1 is the wider."""
-    far = np.abs(x - np.median(x)) > np.median(np.abs(x - np.median(x)))
-    mean = np.array([x[~far].mean(), x[far].mean()])
-    var = np.array([x[~far].var(), x[far].var()]) + 1e-6
-    a, last = np.array([[0.98, 0.02], [0.05, 0.95]]), -np.inf
-    n = len(x)
+def _stationary(a: np.ndarray) -> np.ndarray:
+    return np.array([a[1, 0], a[0, 1]]) / (a[0, 1] + a[1, 0])
+
+
+def _posteriors(x: np.ndarray, a: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """State probabilities of each row, expected transitions, and the log-likelihood: scaled forward and backward passes."""
+    logs = np.empty((len(x), 2))
+    for k in range(2):
+        d = x - mean[k]
+        logs[:, k] = -0.5 * (np.einsum("ti,ij,tj->t", d, np.linalg.inv(cov[k]), d) + np.linalg.slogdet(cov[k])[1] + x.shape[1] * np.log(2 * np.pi))
+    most = logs.max(1)
+    b = np.exp(logs - most[:, None])
+    (a00, a01), (a10, a11) = a.tolist()
+    (p0, p1), alpha, scale = _stationary(a).tolist(), [], []
+    for b0, b1 in b.tolist():  # plain numbers: a step on arrays of two takes ten times as long
+        f0, f1 = p0 * b0, p1 * b1
+        s = f0 + f1
+        f0, f1 = f0 / s, f1 / s
+        alpha.append((f0, f1))
+        scale.append(s)
+        p0, p1 = f0 * a00 + f1 * a10, f0 * a01 + f1 * a11
+    g0 = g1 = 1.0
+    beta = [(g0, g1)]
+    for (b0, b1), s in zip(b[:0:-1].tolist(), scale[:0:-1], strict=True):
+        g0, g1 = b0 * g0 / s, b1 * g1 / s
+        g0, g1 = a00 * g0 + a01 * g1, a10 * g0 + a11 * g1
+        beta.append((g0, g1))
+    alpha, beta, scale = np.array(alpha), np.array(beta[::-1]), np.array(scale)
+    moves = a * (alpha[:-1].T @ (b[1:] * beta[1:] / scale[1:, None]))
+    return alpha * beta, moves, float((np.log(scale) + most).sum())
+
+
+def em_chain(x: np.ndarray, a: np.ndarray, mean: np.ndarray, cov: np.ndarray, rounds: int, tolerance: float = 1e-6) -> tuple:
+    """Baum-Welch of a two-state Gaussian chain: a, mean, cov, shares of the states, rounds taken, whether it converged.
+
+    The first state is drawn from the stationary distribution. State 1 is the one whose first observation is wider.
+    """
+    last, converged, taken = -np.inf, False, 0
     for _ in range(rounds):
-        b = np.exp(-((x[:, None] - mean) ** 2) / (2 * var)) / np.sqrt(2 * np.pi * var) + 1e-300
-        pi = np.array([1 - a[1, 1], 1 - a[0, 0]]) / (2 - a[0, 0] - a[1, 1])
-        alpha, scale = np.empty((n, 2)), np.empty(n)
-        for t in range(n):
-            row = (pi if t == 0 else alpha[t - 1] @ a) * b[t]
-            scale[t] = row.sum()
-            alpha[t] = row / scale[t]
-        beta = np.ones((n, 2))
-        for t in range(n - 2, -1, -1):
-            beta[t] = a @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
-        gamma = alpha * beta
-        gamma /= gamma.sum(1, keepdims=True)
-        xi = np.einsum("ti,ij,tj->ij", alpha[:-1] / scale[1:, None], a, b[1:] * beta[1:])
-        a = xi / xi.sum(1, keepdims=True)
-        weight = gamma.sum(0)
-        mean = (gamma * x[:, None]).sum(0) / weight
-        var = (gamma * (x[:, None] - mean) ** 2).sum(0) / weight + 1e-6
-        ll = float(np.log(scale).sum())
-        if abs(ll - last) < tolerance * max(1.0, abs(ll)):
+        gamma, moves, ll = _posteriors(x, a, mean, cov)
+        if ll - last < tolerance:
+            converged = True
             break
-        last = ll
-    order = np.argsort(var)
-    return tuple(float(v) for v in (a[order[0], order[0]], a[order[1], order[1]], *mean[order], *var[order]))
+        last, taken = ll, taken + 1
+        a = moves / moves.sum(1, keepdims=True)
+        weight = gamma.sum(0)
+        mean = (gamma.T @ x) / weight[:, None]
+        far = [x - mean[k] for k in range(2)]
+        cov = np.stack([(d * gamma[:, k, None]).T @ d / weight[k] + JITTER * np.eye(x.shape[1]) for k, d in enumerate(far)])
+    if not all(np.isfinite(v).all() for v in (a, mean, cov)):
+        raise ArithmeticError("a state lost all its rows")
+    if cov[0, 0, 0] > cov[1, 0, 0]:
+        a, mean, cov = a[::-1, ::-1], mean[::-1], cov[::-1]
+    return a, mean, cov, _posteriors(x, a, mean, cov)[0].mean(0), taken, converged
 
 
-def regimes(df: DataFrame) -> DataFrame:
-    """Parameters of the two-state model of observations x by series and refit."""
-    rows = training(df, 0).dropna(subset=["x"]).select(SERIES, "year", "pos", "x")
+def split(x: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the fit begins: both halves' means and covariances."""
+    halves = [x[~wide], x[wide]]
+    return np.array(STAY), np.stack([h.mean(0) for h in halves]), np.stack([np.atleast_2d(np.cov(h.T, bias=True)) + JITTER * np.eye(x.shape[1]) for h in halves])
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values("pos")["x"].to_numpy(float)
-        names = ["p00", "p11", "mean0", "mean1", "var0", "var1"]
-        if len(x) < LEAST_ROWS:
-            return pd.DataFrame(columns=[SERIES, "year", *names])
-        return pd.DataFrame([{SERIES: group[SERIES].iloc[0], "year": group["year"].iloc[0], **dict(zip(names, em_two_states(x), strict=True))}])
 
-    return rows.groupBy(SERIES, "year").applyInPandas(one, f"{SERIES} string, year int, p00 double, p11 double, mean0 double, mean1 double, var0 double, var1 double")
+def em_two_states(x: np.ndarray, rounds: int = 200, tolerance: float = 1e-6) -> tuple[float, float, float, float, float, float]:
+    """p00, p11, means and variances of a two-state chain of one observation, from a median split of its distances."""
+    far = np.abs(x - np.median(x))
+    a, mean, cov, *_ = em_chain(x[:, None], *split(x[:, None], far > np.median(far)), rounds, tolerance)
+    return tuple(float(v) for v in (a[0, 0], a[1, 1], *mean[:, 0], *cov[:, 0, 0]))
+
+
+def guarded(a: np.ndarray, mean: np.ndarray, cov: np.ndarray, shares: np.ndarray) -> bool:
+    """Whether both states last, are apart in log volatility, and hold rows."""
+    stays = all(0.90 <= a[k, k] <= 0.999 for k in range(2))
+    return bool(stays and mean[1, 1] - mean[0, 1] >= 0.3 and shares.min() >= 0.05 and all(np.linalg.det(c) > 0 for c in cov))
+
+
+REGIME = ["p00", "p11", "mean_r0", "mean_v0", "mean_r1", "mean_v1", "var_r0", "cov_rv0", "var_v0", "var_r1", "cov_rv1", "var_v1"]
+
+
+def regimes(df: DataFrame, purge: int = PURGE) -> DataFrame:
+    """Parameters of the two-state model of the observations r100 and ln_rv10 by series and refit.
+
+    A refit learns from all rows up to refit_pos - purge - 1 and begins at the parameters before it (the first one at a
+    median split of ln_rv10), so one task takes the refits of a series in order. Parameters that fail the guard are
+    replaced by those before (kept_prev); a first fit has none before it and stays. Refits of fewer than REGIME_ROWS
+    rows, or whose rows can't be split, have no row.
+    """
+    names = [SERIES, "year", "n", *REGIME, "rounds", "converged", "kept_prev"]
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos")
+        pos, x = group["pos"].to_numpy(), group[["r100", "ln_rv10"]].to_numpy(float)
+        whole = np.isfinite(x).all(1)
+        out, theta = [], None
+        for year, first in group.groupby("year")["pos"].min().items():
+            rows = x[whole & (pos <= first - purge - 1)]
+            wide = rows[:, 1] > np.median(rows[:, 1]) if len(rows) else np.zeros(0, bool)
+            if len(rows) < REGIME_ROWS or theta is None and min(wide.sum(), (~wide).sum()) < 2:
+                continue
+            try:
+                a, mean, cov, shares, taken, converged = em_chain(rows, *(theta or split(rows, wide)), FIRST_ROUNDS if theta is None else NEXT_ROUNDS)
+                kept = theta is not None and not guarded(a, mean, cov, shares)
+            except (ArithmeticError, np.linalg.LinAlgError):
+                if theta is None:
+                    continue
+                kept, taken, converged = True, 0, False
+            if not kept:
+                theta = a, mean, cov
+            a, mean, cov = theta
+            upper = [v for c in cov for v in (c[0, 0], c[0, 1], c[1, 1])]
+            out.append([group[SERIES].iloc[0], year, len(rows), a[0, 0], a[1, 1], *mean.ravel(), *upper, taken, converged, kept])
+        return pd.DataFrame(out, columns=names)
+
+    rows = df.select(SERIES, F.year("date").alias("year"), "pos", "r100", "ln_rv10")
+    return rows.groupBy(SERIES).applyInPandas(one, f"{SERIES} string, year int, n long, {', '.join(f'{c} double' for c in REGIME)}, rounds long, converged boolean, kept_prev boolean")

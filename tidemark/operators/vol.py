@@ -87,6 +87,13 @@ def features(bars: DataFrame, vix: DataFrame) -> DataFrame:
     return f.withColumns({"x_vix": F.ln(p / (1 - p)), "x_har": F.col("har"), "x_ma": F.col("ma")})
 
 
+def regime_observations(bars: DataFrame, k: int = 10) -> DataFrame:
+    """bars with r100, the log return in hundredths, and ln_rv10, the log of the annualised root mean square of k returns."""
+    out = bars.withColumn("_r", log_return())
+    squares = full(F.col("_r"), F.avg(F.col("_r") * F.col("_r")), trailing(k), k)
+    return out.withColumns({"r100": 100 * F.col("_r"), "ln_rv10": F.ln(F.sqrt(YEAR * floored(squares)))}).drop("_r")
+
+
 def percentile_rank(value: str, k: int = 252, least: int = 60) -> Column:
     """Share of the last k values below the current one, ties half; null below ``least`` values."""
     held = F.collect_list(value).over(trailing(k))

@@ -322,6 +322,14 @@ def percentile_rank_rolling(spark, sf):
     return h.select(SERIES, "pos", vol.percentile_rank("rv22").alias("rank"))
 
 
+@query(f"""WITH {VAR}, k AS (SELECT a.series_id, a.pos, count(b.rv22) AS n, count(*) FILTER (b.rv22 < a.rv22) AS lt, count(*) FILTER (b.rv22 = a.rv22) AS eq FROM har a JOIN har b ON a.series_id = b.series_id AND b.pos BETWEEN a.pos - 2519 AND a.pos WHERE a.rv22 IS NOT NULL GROUP BY 1, 2)
+SELECT h.series_id, h.pos, {r6('CASE WHEN n >= 252 THEN (lt + (eq + 1) / 2.0) / n END')} AS rank FROM har h LEFT JOIN k USING (series_id, pos)""")
+def percentile_rank_ten_years(spark, sf):
+    """The reference's window; the one above has the window of its SQL."""
+    h = vol.har_components(market.index_bars(spark, sf), vol.garman_klass())
+    return h.select(SERIES, "pos", vol.percentile_rank("rv22", 2520, 252).alias("rank"))
+
+
 # ---- scoring ----------------------------------------------------------------------------------------------------
 
 
@@ -655,12 +663,12 @@ def har_walk_forward(spark, sf):
 @query()
 def bootstrap_skill(spark, sf):
     d = _oos(spark, sf).withColumns({"lp": scoring.loss("p"), "lc": scoring.loss("clim")})
-    return fit.block_bootstrap(d, "lp", [SERIES], draws=500, ratio_to="lc")
+    return fit.block_bootstrap(d, "lp", [SERIES], draws=4000, ratio_to="lc")
 
 
 @query()
 def regime_refits(spark, sf):
-    return fit.regimes(market.index_bars(spark, sf).filter("pos <= 800").withColumn("x", 100 * vol.log_return()))
+    return fit.regimes(vol.regime_observations(market.index_bars(spark, sf)))
 
 
 # ---- ledger and control -----------------------------------------------------------------------------------------
