@@ -53,6 +53,26 @@ def test_a_hot_group_of_near_copies_is_one_class(spark):
     assert {got[k] for k in range(300)} == {0} and len({got[1000 + k] for k in range(50)}) == 50
 
 
+def test_pairs_within_a_hot_bucket_are_found(spark):
+    """Texts that share a long passage and lie just below the limit; eight planted pairs share half of the rest too."""
+    passage = [f"p{i}" for i in range(180)]
+    rows = [(k, " ".join([*passage, *(f"{k // 2 if k < 16 else k}own{i}" for i in range(14)), *(f"{k}rest{i}" for i in range(10))])) for k in range(600)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {k: k - k % 2 if k < 16 else k for k in range(600)}
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(1)
+    idf = near_dedup.inverse_frequencies(rng.integers(0, 1000, 1 << near_dedup.FEATURE_BITS), 1000)
+    for n in (1, 4, 5, 40, 300):
+        for _ in range(40):
+            common = rng.integers(0, 2**64, n, dtype=np.uint64)
+            sets = [np.unique(np.concatenate([common, rng.integers(0, 2**64, rng.integers(0, n // 8 + 1), dtype=np.uint64)])) for _ in "ab"]
+            a, b = ((x, rng.integers(1, 3, len(x)).astype(np.float32) * idf[(x >> np.uint64(64 - near_dedup.FEATURE_BITS)).astype(np.int64)]) for x in sets)
+            if near_dedup.similarity(a, b) >= near_dedup.SIMILARITY:
+                assert len(np.intersect1d(near_dedup.prefix(*a, idf), near_dedup.prefix(*b, idf)))
+
+
 def test_near_dedup_odd_rows(odd, empty, clashing):
     got = near_dedup.classes(odd.select("doc_id", "text")).collect()
     by = {r["doc_id"]: r["class_id"] for r in got}

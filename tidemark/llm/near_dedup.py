@@ -11,8 +11,11 @@ as pairs: each member is held against the bucket's leaders, which are minima in
 plain aggregate, however large the bucket. A pair is a link if its weighted Jaccard similarity, from the whole texts, is
 at least SIMILARITY, or that of its plain shingle sets is: weights may put a pair on the edge just below. Classes are
 the components of the links. In further rounds, the members of buckets that still hold several classes are held against
-new leaders of other classes, until a round links nothing new; each is linear in the rows, and each but the last joins
-classes, so they end. Links that no leader made are lost only if no chain of other links joins the two classes.
+other leaders, until a round links nothing new; each is linear in the rows, and each but the last joins classes, so they
+end. The rounds only join most classes cheaply. Then every pair of a bucket whose classes still differ is tried: buckets
+of at most WHOLE members as they are, and in larger ones the pairs that share one of their rarest shingles. At SIMILARITY
+a pair shares one of the first fifth or so of its shingles in any fixed order (prefix filter), so that loses no pair, and
+in the order of document frequencies what a large bucket has in common comes last.
 
 Defined cases: a null text counts as empty; documents without words are equal texts, one class; fewer than five words
 make one shingle; a null id belongs to a class, but names it only if all ids of the class are null, then by a negative
@@ -22,6 +25,7 @@ number from the text; rows that share an id are one document; an empty table giv
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import count
@@ -40,6 +44,8 @@ SMOOTH = 20.0
 #: Counters of document frequencies: 2 ** 20 of 4 bytes.
 FEATURE_BITS = 20
 LEVELS = 1 << 16
+#: A bucket of so many members is compared whole.
+WHOLE = 16
 
 
 def _features(text: str | None) -> np.ndarray:
@@ -189,6 +195,58 @@ def pairs_with_leaders(members: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
+def prefix(found: np.ndarray, weights: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a text, one of which it shares with any text that is similar enough by weights or plainly."""
+    order = np.lexsort((found, -idf[(found >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)]))
+    n = len(found)
+    plain = n - math.ceil(SIMILARITY * n - 1e-6) + 1
+    left = np.cumsum(weights[order][::-1].astype(np.float64))[::-1]  # weight from a place on
+    heavy = int((left >= SIMILARITY * left[0] * (1 - 1e-5)).sum())
+    return found[order[: max(plain, heavy)]]
+
+
+def prefixes(nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """node, label, n (shingles), weight and each shingle of the prefix, for nodes (node, label)."""
+    held = nodes.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = held.value
+        for batch in batches:
+            for lot in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                sizes, sums, kept = [], [], []
+                for text in lot.column(2).to_pylist():
+                    found, weights = weighted(normal(text), idf)
+                    sizes.append(len(found))
+                    sums.append(float(weights.sum(dtype=np.float64)))
+                    kept.append(prefix(found, weights, idf).view(np.int64))
+                columns = [lot.column(0), lot.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(kept, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "label", "n", "weight", "shingles"])
+
+    got = nodes.join(texts, "node").select("node", "label", "text").mapInArrow(run, "node long, label long, n long, weight double, shingles array<long>")
+    return got.select("node", "label", "n", "weight", F.explode("shingles").alias("shingle"))
+
+
+def pairs_left(members: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(a, b), a < b: every pair of a bucket that has two labels and may be similar enough."""
+
+    def several(rows: DataFrame, key: str) -> DataFrame:
+        cells = rows.groupBy(key).agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+        return rows.join(cells.filter("low <> high").select(key, "members"), key)
+
+    def met(rows: DataFrame, key: str, *also: str) -> DataFrame:
+        a, b = (rows.select(key, *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", *also))) for x in "ab")
+        return a.join(b, key).filter("node_a < node_b and label_a <> label_b")
+
+    mixed = checkpointed(several(members, "key"))
+    whole = met(mixed.filter(F.col("members") <= WHOLE), "key")
+    large = mixed.filter(F.col("members") > WHOLE).select("node", "label").distinct()
+    rare = checkpointed(several(prefixes(large, texts, idf), "shingle").drop("members"))
+    near = lambda c: F.least(f"{c}_a", f"{c}_b") >= (SIMILARITY - 1e-5) * F.greatest(f"{c}_a", f"{c}_b")
+    split = met(rare, "shingle", "n", "weight").filter(near("n") | near("weight"))
+    named = [F.col("node_a").alias("a"), F.col("node_b").alias("b")]
+    return whole.select(*named).unionByName(split.select(*named)).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node of its component, for the nodes of the links (a, b)."""
     both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -228,6 +286,10 @@ def classes(docs: DataFrame) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         label = components(links)
         members = checkpointed(members.drop("label").join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    found = checkpointed(verified(pairs_left(members, texts, idf), texts, idf))
+    if not found.isEmpty():
+        links = found if links is None else links.unionByName(found)
+        label = components(links)
     named = nodes.select("copy", "node")
     if label is not None:
         named = named.join(label, "node", "left").select("copy", "node", F.coalesce("label", "node").alias("label"))
