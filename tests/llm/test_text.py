@@ -124,3 +124,10 @@ def test_mixing_limits_and_odd_rows(spark, odd, empty, clashing):
     assert all(abs(t - n) <= 100 for t, n in by.values())
     assert sorted(map(str, mixing.mix(mixing.sized(odd.repartition(3)), blocks=500, shard_rows=2).collect())) == sorted(map(str, r))
     assert mixing.mix(mixing.sized(empty)).count() == 0 and mixing.mixed_rows(clashing).columns == clashing.columns and mixing.mixed_rows(empty).count() == 0
+
+
+def test_small_sources_beside_a_large_one_reach_their_targets(spark):
+    """Blocks of total / 500 would be 2,000 words: more than any target of the small sources."""
+    rows = [(k, "x", 1000, "big") for k in range(1000)] + [(2000 + k, "x", 5 + k, f"s{k % 3}") for k in range(30)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, row_key string, size long, source string"), blocks=500).groupBy("source").agg(mixing.F.first("target").alias("t"), mixing.F.sum("taken").alias("n")).collect()
+    assert len(got) == 4 and all(r["n"] > 0 and abs(r["n"] - r["t"]) <= 0.04 * r["t"] for r in got)

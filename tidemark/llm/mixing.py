@@ -1,6 +1,8 @@
 """Operator 6: mixing sources to target weights by Sainte-Laguë apportionment.
 
-All sizes together are cut into BLOCKS blocks of equal tokens. Targets are divided by water filling: a source gets
+All sizes together are cut into BLOCKS blocks of equal tokens, or more of them where a block would be over
+1 / LEAST_BLOCKS of the share that some shard has of its source's target: rounding to whole blocks moves no source and
+no shard by more than a small part of its target, whatever the size of the others. Targets are divided by water filling: a source gets
 its weight's share, at most MOST times its own size, and the excess is shared again by weight. Sainte-Laguë (quotients
 target / (2 s + 1)) turns targets into whole blocks per source, and again a source's blocks into whole blocks per shard
 by the shards' sizes. A shard holds a bounded number of documents in a seeded order, laid end to end as a ring of
@@ -25,6 +27,8 @@ from .common import checkpointed, table, word_count
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCKS = 1 << 16
+#: Blocks that the least shard's share of its source's target has at least, if it has so many words.
+LEAST_BLOCKS = 16
 SHARD_ROWS = 2_000
 SEED = "mix-1"
 
@@ -93,20 +97,26 @@ def mix(docs: DataFrame, blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS) ->
     """
     by_source = docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
     aims = targets(by_source)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    aims = aims.withColumn("block", F.greatest(F.lit(1), F.ceil(F.sum("source_size").over(everything) / blocks)).cast("long"))
     aims = aims.withColumn("shards", F.ceil(F.col("n_docs") / shard_rows).cast("long")).withColumn("everyone", F.lit(1))
-    whole = F.round(F.sum("target").over(everything) / F.col("block")).cast("long")
-    aims = apportion(aims, ["everyone"], ["source"], "target", whole, "quota")
 
     # every source of the table is in aims, and sources are few: their number is that of the groups above
     a, d = aims.drop("n_docs").alias("a"), docs.withColumn("draw", _draw(F.col("doc_id").cast("string"), F.col("row_key"))).alias("d")
-    placed = d.join(a, F.col("a.source").eqNullSafe(F.col("d.source")), "left").select("d.*", "source_size", "target", "block", "quota", (F.col("draw") % F.col("shards")).alias("shard"))
-    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("source_quota"))
-    shards = apportion(shards, ["source"], ["shard"], "shard_size", F.col("source_quota"), "shard_quota").drop("source_quota")
+    placed = d.join(a, F.col("a.source").eqNullSafe(F.col("d.source")), "left").select("d.*", "source_size", "target", (F.col("draw") % F.col("shards")).alias("shard"))
+    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("_size"), F.first("target").alias("_target"))
+    least = shards.filter("shard_size > 0").agg(F.min(F.col("_target") * F.col("shard_size") / F.col("_size")).alias("_least"))
+
+    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    wide = F.ceil(F.sum("source_size").over(everything) / blocks)
+    aims = aims.crossJoin(F.broadcast(least)).withColumn("block", F.greatest(F.lit(1), F.least(wide, F.floor(F.col("_least") / LEAST_BLOCKS))).cast("long")).drop("_least")
+    whole = F.round(F.sum("target").over(everything) / F.col("block")).cast("long")
+    aims = apportion(aims, ["everyone"], ["source"], "target", whole, "quota")
+
+    a, s = aims.select("source", "block", "quota").alias("a"), shards.alias("s")
+    shards = s.join(a, F.col("a.source").eqNullSafe(F.col("s.source")), "left").select("s.source", "shard", "shard_size", "block", "quota")
+    shards = apportion(shards, ["source"], ["shard"], "shard_size", F.col("quota"), "shard_quota").drop("quota")
 
     p, s = placed.alias("p"), shards.alias("s")
-    rows = p.join(s, F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.shard") == F.col("s.shard")), "left").select("p.*", "shard_size", "shard_quota")
+    rows = p.join(s, F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.shard") == F.col("s.shard")), "left").select("p.*", "shard_size", "block", "shard_quota")
     line = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "row_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum("size").over(line)).withColumn("begin", F.col("end") - F.col("size"))
     ring = F.col("shard_size")
