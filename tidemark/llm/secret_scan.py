@@ -38,10 +38,10 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 
 #: Candidates of the method.
 SCOPE = 240
-USER = re.compile(r"""\b(?:user(?:_?name)?|login|account|client_?id|(?:access_?)?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,128})""", re.I | re.A)
+USER = re.compile(r"""\b(?:user(?:_?name)?|login|account|client_?id|(?:access_?)?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
 USER_WORDS = ("user", "login", "account", "clientid", "client_id", "keyid", "key_id")
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,256}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,256}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._-]{3,128}(?::\d{2,5})?)""", re.I | re.A)
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
+ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._-]{3,}(?::\d{2,5})?)""", re.I | re.A)
 ENDPOINT_WORDS = ("://", "host", "endpoint", "server")
 LEAST_BITS = 3.5
 
