@@ -131,3 +131,22 @@ def test_small_sources_beside_a_large_one_reach_their_targets(spark):
     rows = [(k, "x", 1000, "big") for k in range(1000)] + [(2000 + k, "x", 5 + k, f"s{k % 3}") for k in range(30)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, row_key string, size long, source string"), blocks=500).groupBy("source").agg(mixing.F.first("target").alias("t"), mixing.F.sum("taken").alias("n")).collect()
     assert len(got) == 4 and all(r["n"] > 0 and abs(r["n"] - r["t"]) <= 0.04 * r["t"] for r in got)
+
+
+def test_clean_text_without_a_reference_is_kept(spark):
+    import random
+
+    r = random.Random(0)
+    of = lambda letters, n: " ".join("".join(r.choices(letters, k=r.randint(3, 8))) for _ in range(n))
+    latin, other = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцч"
+    docs = [(k, of(latin, 100), "en") for k in range(30)] + [(100, of(other, 80), "ru"), (101, of(other, 80), None), (102, of("QX#7%&4Z", 80), "en"), (103, of("QX#7%&4Z", 80), None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    kept = {x["doc_id"] for x in quality.judge(df, "doc_id").collect() if x["kept"]}
+    assert kept == {*range(30), 100, 101} and {x["doc_id"] for x in quality.kept_rows(df).collect()} == kept
+
+
+def test_html_keeps_short_sections_and_references():
+    long = "".join(f"<p>A long paragraph of text, number {i}. {'More of it. ' * 20}</p>" for i in range(8))
+    page = f"<body><ul><li><a>Home</a><li><a>News</a></ul><div>{long}<ol><li><a>Reference one</a><li><a>Reference two</a><li>Last words.</ol></div><div class=advert>x</div><div class=share>y</div><form>z</form><p>A short last section.</p><ul><li><a>Terms</a></ul></body>"
+    got = html_text.main_text(page).split("\n\n")
+    assert len(got) == 12 and got[8:] == ["Reference one", "Reference two", "Last words.", "A short last section."]

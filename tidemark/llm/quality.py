@@ -5,7 +5,8 @@ Jensen-Shannon distance (root of the divergence in bits, 0 to 1). References are
 of the documents of a language that pass the base rules, have GUARD_WORDS words and are plain prose (few symbols, few
 capitals). A document is kept if the
 two distances to some language sum to little enough; the comparison counts only from a length on (GUARD_CHARS,
-GUARD_WORDS), and if no language has a reference of REFERENCE_WORDS words, it doesn't count.
+GUARD_WORDS), and only for documents that a reference speaks for: their language has one of REFERENCE_WORDS words, or,
+where the language is null, some reference is in the same script (mostly a to z, or mostly other letters).
 
 Repeated words are found within the row: each 8-word window gets a 64-bit hash; if all differ the document has none,
 else hashes are sorted with their places, and runs mark the windows. Two windows of one text that share a hash by
@@ -129,13 +130,25 @@ def distance(counts: Column, reference: list[float]) -> Column:
     return let(total, lambda n: F.when(n > 0, F.sqrt(F.greatest(F.lit(0.0), of(n)))).otherwise(0.0))
 
 
+def _other_script(shares: list[float]) -> bool:
+    cells = dict(zip(CLASSES, shares, strict=True))
+    return cells["letter"] > cells["lower"] + cells["upper"]
+
+
+def other_script(classes: Column) -> Column:
+    """Whether most letters of a histogram are neither a to z nor capitals."""
+    cell = lambda k: classes[CLASSES.index(k)]
+    return cell("letter") > cell("lower") + cell("upper")
+
+
 def verdicts(figures: DataFrame, known: dict[str, tuple[list[float], list[float]]], *keep: str) -> DataFrame:
-    """Columns ``keep`` of what ``measured`` gives with the base figures, the least distances and ``kept``."""
+    """Columns ``keep`` of what ``measured`` gives (lang among its own) with the base figures, the least distances and ``kept``."""
     short = (F.col("word_chars") < GUARD_CHARS) | (F.col("n_words") < GUARD_WORDS)
     if known:
         pairs = F.array(*(F.struct(distance(F.col("classes"), a).alias("chars"), distance(F.col("common"), b).alias("words")) for a, b in known.values()))
         limit = FAR + FAR_BY_LENGTH / F.greatest(F.col("n_words"), F.lit(1))
-        near = short | F.exists("_far", lambda d: d["chars"] + d["words"] <= limit)
+        alien = F.coalesce(~F.col("lang").isin(*known), ~other_script(F.col("classes")).isin(*{_other_script(a) for a, _ in known.values()}))
+        near = short | alien | F.exists("_far", lambda d: d["chars"] + d["words"] <= limit)
         figures = figures.withColumn("_far", pairs).withColumn("_near", near)
     else:
         figures = figures.withColumn("_far", F.array(F.struct(F.lit(0.0).alias("chars"), F.lit(0.0).alias("words")))).withColumn("_near", F.lit(True))
@@ -156,7 +169,7 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     """
     known = references(measured(docs.select("text", "lang"), "lang"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text", "lang")
-    judged = verdicts(measured(rows, "_row"), known, "_row")
+    judged = verdicts(measured(rows, "_row", "lang"), known, "_row")
     # explode, not filter, for the same reason as above
     return judged.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")).select("_row.*")
 
