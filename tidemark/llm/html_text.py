@@ -5,8 +5,8 @@ styles, menus, forms and the like, by tag, role, class or id) is stripped; such
 Then the text lengths are summed over sliding windows of lines. The main text begins where the sums surge from nothing
 and ends at the dive after which nothing comes; all text between them is kept. Where a page marks its article, lines
 outside it have no text either, so surge and dive fall on the article's ends. On unmarked pages, lines that are mostly
-link text count as places without text, and regions between surges and dives compete by their length: those that hold
-at least a share of the longest region's text are kept.
+link text count as places without text where surges and dives are sought. Regions that stand amid links are menus; the
+main text goes from the first surge to the last dive of the others, with every line of text between.
 
 Defined cases: a null page counts as empty; a page without text gives the empty string; markup that isn't closed ends
 with its parent or the page; repeated rows give equal results; other columns don't matter.
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, table
 
-#: Lines that a window spans, and the share of the longest region's text that a region needs on unmarked pages.
-WINDOW, SHARE = 3, 0.25
-#: Share of a line's characters in links from which it is a menu, on unmarked pages.
+#: Lines that a window spans.
+WINDOW = 3
+#: Share of a line's characters in links from which it counts as a place without text, on unmarked pages.
 LINKED = 0.6
 
 #: Fixed values of HTML.
@@ -184,6 +184,12 @@ def regions(lengths: list[int]) -> list[tuple[int, int]]:
     return found
 
 
+def amid_links(lines: list[tuple[str, int, bool]], a: int, b: int) -> bool:
+    """Whether most of the text of a region and of the lines next to it, which have no text of their own, is in links."""
+    around = lines[max(0, a - WINDOW) : b + WINDOW]
+    return 2 * sum(linked for _, linked, _ in around) > sum(len(text) for text, _, _ in around)
+
+
 def main_text(page: str) -> str:
     lines = lines_of(page)
     if any(main and text for text, _, main in lines):
@@ -191,9 +197,11 @@ def main_text(page: str) -> str:
         kept = regions(lengths)
     else:
         lengths = [0 if linked > LINKED * len(text) else len(text) for text, linked, _ in lines]
-        kept = regions(lengths)
-        most = max((sum(lengths[a:b]) for a, b in kept), default=0)
-        kept = [(a, b) for a, b in kept if sum(lengths[a:b]) >= SHARE * most]
+        found = regions(lengths)
+        like = [x for x in found if not amid_links(lines, *x)] or found
+        if not like:
+            return ""
+        return "\n\n".join(text for text, _, _ in lines[like[0][0] : like[-1][1]] if text)
     return "\n\n".join(lines[i][0] for a, b in kept for i in range(a, b) if lengths[i])
 
 
