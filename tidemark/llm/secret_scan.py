@@ -22,6 +22,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,15 +86,19 @@ def linked_spans(text: str, lower: str, base: list[tuple[int, int, int]]) -> lis
     ends.sort()
     paragraphs = [0, *(m.end() for m in re.finditer(r"\n[ \t\r]*\n", text)), len(text) + 1]
 
+    ends_before = {id(role): list(accumulate((b for _, b in role), max)) for role in (names, secrets, ends)}
+
     def scope(a: int, b: int) -> tuple[int, int]:
         i = bisect_left(paragraphs, a + 1) - 1
         j = bisect_left(paragraphs, b)
         return max(a - SCOPE, paragraphs[i]), min(b + SCOPE, paragraphs[j] if j < len(paragraphs) else b + SCOPE)
 
     def joined(role: list[tuple[int, int]], a: int, b: int) -> bool:
-        """Whether a part of the role, other than (a, b), begins in the scope of (a, b)."""
+        """Whether a part of the role, other than (a, b), lies in the scope of (a, b) or reaches into it."""
         low, high = scope(a, b)
         i, j = bisect_left(role, (low,)), bisect_left(role, (high,))
+        if i and ends_before[id(role)][i - 1] > low:
+            return True
         return j - i > ((a, b) in role[i : i + 1] or (j - i <= 2 and (a, b) in role[i:j]))
 
     found = [(a, 3, b) for a, b in users if joined(secrets, a, b)]
