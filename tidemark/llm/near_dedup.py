@@ -1,37 +1,49 @@
 """Operator 3: near-duplicate classes by improved consistent weighted sampling.
 
-A document's shingles of five words weigh tf * (SMOOTH + idf). The document frequencies are counts of hashed shingles
-over all documents in a table of fixed size: a collision adds to all frequencies in the same proportion at any corpus
-size, so frequent passages stand out alike. Each of BANDS * ROWS samplers draws the shingle and level that improved
-consistent weighted sampling (Ioffe 2010) prescribes; two documents draw alike with the probability of their weighted
-Jaccard similarity. ROWS samples make a band; at similarity 0.8 a pair misses all bands with probability 0.0008.
-
-Exact copies (equal words in order) are one node. Nodes that share a band are candidates. A band's bucket isn't listed
-as pairs: each member is held against the bucket's leaders, which are minima in several orders and so come from a
-plain aggregate, however large the bucket. A pair is a link if its weighted Jaccard similarity, from the whole texts, is
-at least SIMILARITY, or that of its plain shingle sets is: weights may put a pair on the edge just below. Classes are
-the components of the links. In further rounds, the members of buckets that still hold several classes are held against
-other leaders, until a round links nothing new; each is linear in the rows, and each but the last joins classes, so they
-end. The rounds only join most classes cheaply. Then every pair of a bucket whose classes still differ is tried: buckets
-of at most WHOLE members as they are, and in larger ones the pairs that share one of their rarest shingles. At SIMILARITY
-a pair shares one of the first fifth or so of its shingles in any fixed order (prefix filter), so that loses no pair, and
-in the order of document frequencies what a large bucket has in common comes last.
+A document's shingles of five words weigh tf * (1 + WEIGHT * idf / log(n + 1)): TF-IDF with the idf scaled to the range
+0 to 1 at any corpus size n. The document frequencies are counts of hashed shingles over all documents in a table of
+fixed size: a collision adds to all frequencies in the same proportion, so frequent passages stand out alike. Each of
+BANDS * ROWS samplers draws the shingle and level that improved consistent weighted sampling (Ioffe 2010) prescribes;
+two documents draw alike with the probability of their weighted Jaccard similarity. ROWS samples make a band; at
+similarity 0.8 a pair misses all bands with probability 0.0008. A pair is a link if its weighted Jaccard similarity,
+from the whole texts, is at least SIMILARITY; classes are the components of the links.
+
+WEIGHT is small on purpose: the shingles that thousands of copies share are frequent, those of their edits are rare, so
+with a full idf (1 + idf) a large group of near copies falls apart (README has figures).
+
+Exact copies (equal words in order) are one node, named by the digest of its words. Nodes that share a band are
+candidates. Links are sought in three steps, each followed by joining what it linked:
+
+1. Every node meets one leader: of the leaders of its buckets, the one that it shares most bands with. A bucket's leader
+   is the node whose own buckets are largest, so in a group of copies one near its middle.
+2. In buckets that still hold several classes, members meet DRAWS leaders drawn by a hash.
+3. Every pair of a bucket whose classes still differ is tried: in buckets of at most WHOLE members as they are, in
+   larger ones the pairs that share one of their rarest shingles. At SIMILARITY a pair shares one of the first fifth or
+   so of its shingles in any fixed order (prefix filter), so that loses no pair, and in the order of document
+   frequencies what a large bucket has in common comes last. A pair of two classes has a side outside the largest
+   class of its cell, so only these sides are held against the cell.
+
+The number of steps is fixed, so plans and the driver's memory don't grow. To compare pairs, their cells are cut into
+blocks of about BLOCK nodes; a text travels once to each pair of blocks where it is needed, not once for each pair.
 
 Defined cases: a null text counts as empty; documents without words are equal texts, one class; fewer than five words
-make one shingle; a null id belongs to a class, but names it only if all ids of the class are null, then by a negative
-number from the text; rows that share an id are one document; an empty table gives an empty table; other columns don't matter.
+make one shingle, so very short texts are alike only if equal; very long texts are used whole; ties of leaders are
+broken by digests; a null id belongs to a class, but names it only if all ids of the class are null, then by a negative
+number from the text; rows that share an id but not the words are different nodes; of a class's rows with its least id,
+the least by digest and by a hash of the row stands for it; repeated rows are copies; an empty table gives an empty
+table; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +52,14 @@ from .hashing import counted, mix, normal, shingles, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
-SMOOTH = 20.0
+WEIGHT = 0.2
 #: Counters of document frequencies: 2 ** 20 of 4 bytes.
 FEATURE_BITS = 20
 LEVELS = 1 << 16
-#: A bucket of so many members is compared whole.
-WHOLE = 16
+#: Leaders of a bucket in the second step, and members of a bucket that is compared whole in the third.
+DRAWS, WHOLE = 8, 16
+#: Nodes of a cell that are compared with as many at once.
+BLOCK = 128
 
 
 def _features(text: str | None) -> np.ndarray:
@@ -57,8 +71,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def inverse_frequencies(counts: np.ndarray, n: int) -> np.ndarray:
-    """SMOOTH + idf of each hashed shingle."""
-    return (SMOOTH + np.log((n + 1) / (counts.astype(np.float64) + 1))).astype(np.float32)
+    """1 + WEIGHT * idf of each hashed shingle, the idf scaled to at most 1."""
+    return (1 + WEIGHT * np.log((n + 1) / (np.minimum(counts, n).astype(np.float64) + 1)) / math.log(n + 2)).astype(np.float32)
 
 
 def weighted(solid: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,9 +125,8 @@ def bands(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketched(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def sketched(docs: DataFrame, held: Broadcast) -> DataFrame:
     """doc_id, copy (digest of the words) and bands of each document."""
-    held = docs.sparkSession.sparkContext.broadcast(idf)  # FEATURE_BITS bound it: 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = held.value
@@ -134,177 +147,198 @@ def nameless(copy: Column | str) -> Column:
     return F.xxhash64(copy).bitwiseOR(F.lit(-(1 << 63)))
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and text of the wanted nodes (node, copy). Rows that share an id but not the words of its node fall out."""
-    copy = F.unhex(F.md5(F.array_join(word_list(F.col("text")), " ").cast("binary")))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), nameless(copy)).alias("node"), "text")
-    return rows.join(wanted, "node").filter(copy == F.col("copy")).select("node", "text").dropDuplicates(["node"])
+def digest() -> Column:
+    """The digest of the words of the column text, as ``sketched`` makes it."""
+    return F.unhex(F.md5(F.array_join(word_list(F.col("text")), " ").cast("binary")))
+
+
+def met_texts(docs: DataFrame, wanted: DataFrame, keep: list[str]) -> DataFrame:
+    """node, text and ``keep`` of the rows of docs that have the id and the words of a wanted node (id, node)."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), nameless(digest())).alias("id"), "text", *keep)
+    return rows.join(wanted, "id").filter(digest() == F.col("node")).select("node", "text", *keep)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard (sum of minima over sum of maxima), or that of the plain sets if it is larger."""
+    """Weighted Jaccard: sum of minima over sum of maxima; 1 for two empty texts."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     low = float(np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64))
     total = float(a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64)) - low
-    if not total:
-        return 1.0
-    return max(low / total, len(i) / (len(a[0]) + len(b[0]) - len(i)))
+    return low / total if total else 1.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar enough; texts has node and text."""
-    held = pairs.sparkSession.sparkContext.broadcast(idf)
+def verified(pairs: DataFrame, texts: DataFrame, held: Broadcast) -> DataFrame:
+    """Labels a and b of the pairs (cell, n, a, b, label_a, label_b) of nodes that are similar enough.
+
+    n is the size of the cell that the pair comes from: it is cut into blocks, and the pairs of two blocks form a lot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, known, size = held.value, {}, 0
+        idf, lot, known = held.value, None, {}
         for batch in batches:
-            a_s, b_s, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for k, (a, b) in enumerate(zip(a_s, b_s, strict=True)):
-                sets = []
-                for node, column in ((a, 2), (b, 3)):
-                    if node not in known:
-                        if size > 2_000_000:
-                            known, size = {}, 0
-                        known[node] = weighted(normal(batch.column(column)[k].as_py()), idf)
-                        size += len(known[node][0])
-                    sets.append(known[node])
-                if similarity(*sets) >= SIMILARITY:
+            lots, a_s, b_s = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = []
+            for k, own in enumerate(lots):
+                if own != lot:
+                    lot, known = own, {}
+                if b_s[k] is None:  # a text; in each lot they come first
+                    known[a_s[k]] = weighted(normal(batch.column(6)[k].as_py()), idf)
+                elif similarity(known[a_s[k]], known[b_s[k]]) >= SIMILARITY:
                     keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a_s[k] for k in keep], pa.int64()), pa.array([b_s[k] for k in keep], pa.int64())], ["a", "b"])
-
-    first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long")
-
-
-def pairs_with_leaders(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b), a < b, of members of a bucket and its leaders that have other labels. members: key, node, label."""
-    order = lambda *x: F.min_by("node", F.xxhash64("node", F.lit(turn), *x))
-    # the least node meets all members of its bucket in the first two turns; later ones draw three new leaders
-    chosen = [F.min("node")] if turn == 0 else [F.min("node") if turn == 1 else order(F.lit(1)), order(), order(F.col("key"))]
-    leaders = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.array_distinct(F.array(*chosen)).alias("leaders"))
-    leaders = leaders.filter("low <> high").select("key", F.explode("leaders").alias("leader"))
-    named = members.select(F.col("key").alias("_key"), F.col("node").alias("leader"), F.col("label").alias("leader_label"))
-    leaders = leaders.join(named, (F.col("key") == F.col("_key")) & (leaders["leader"] == named["leader"])).select("key", leaders["leader"], "leader_label")
-    met = members.join(leaders, "key").filter(F.col("label") != F.col("leader_label"))
-    if turn == 0:
-        # the leader that shares most bands with a member is most like it: one pair for each member links most of them,
-        # and the later turns, which hold the rest against all their leaders, see few rows
-        met = met.groupBy("node", "leader").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
-    return met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(4).take(at), batch.column(5).take(at)], ["a", "b"])
+
+    block = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("n") / BLOCK))
+    dealt = pairs.select(F.xxhash64("cell", block("a"), block("b")).alias("lot"), "a", "b", "label_a", "label_b")
+    needed = dealt.select("lot", F.explode(F.array("a", "b")).alias("node")).distinct()
+    none = F.lit(None).cast("binary")
+    first = needed.join(texts, "node").select("lot", F.lit(0).alias("turn"), F.col("node").alias("a"), none.alias("b"), none.alias("label_a"), none.alias("label_b"), "text")
+    both = first.unionByName(dealt.select("lot", F.lit(1).alias("turn"), "a", "b", "label_a", "label_b", F.lit(None).cast("string").alias("text")))
+    return both.repartition("lot").sortWithinPartitions("lot", "turn").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def pair(a: str, b: str) -> list[Column]:
+    """The columns of a pair in a fixed order of its sides, so that it is the same from either side."""
+    first = F.col(a) < F.col(b)
+    side = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return [side(a, b).alias("a"), side(b, a).alias("b"), side(f"{a}_label", f"{b}_label").alias("label_a"), side(f"{b}_label", f"{a}_label").alias("label_b")]
+
+
+def with_one_leader(members: DataFrame) -> DataFrame:
+    """Pairs of each node and the leader that it shares most bands with. members: key, n (its size), node, sum (of n)."""
+    leaders = members.groupBy("key").agg(F.max_by("node", F.struct("sum", "node")).alias("leader"))
+    met = members.join(leaders, "key").filter(F.col("node") != F.col("leader"))
+    shared = met.groupBy("node", "leader").agg(F.count("*").alias("bands"), F.max(F.struct("n", "key")).alias("at"))
+    best = shared.groupBy("node").agg(F.max(F.struct("bands", "at", "leader")).alias("x"))
+    return best.select(F.col("x.at.key").alias("cell"), F.col("x.at.n").alias("n"), F.col("node").alias("a"), F.col("x.leader").alias("b"), F.col("node").alias("label_a"), F.col("x.leader").alias("label_b"))
+
+
+def with_drawn_leaders(members: DataFrame) -> DataFrame:
+    """Pairs of members of a bucket with some of its nodes that have another label. members: key, n, node, label."""
+    drawn = F.array(*(F.min_by(F.struct("node", "label"), F.xxhash64("node", "key", F.lit(i))) for i in range(DRAWS)))
+    leaders = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.array_distinct(drawn).alias("drawn"))
+    leaders = leaders.filter("low <> high").select("key", F.explode("drawn").alias("x")).select("key", F.col("x.node").alias("leader"), F.col("x.label").alias("leader_label"))
+    met = members.withColumnRenamed("label", "node_label").join(leaders, "key").filter("node_label <> leader_label")
+    return met.select(F.col("key").alias("cell"), "n", *pair("node", "leader")).dropDuplicates(["a", "b"])
 
 
 def prefix(found: np.ndarray, weights: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a text, one of which it shares with any text that is similar enough by weights or plainly."""
+    """The rarest shingles of a text, one of which it shares with any text that is similar enough."""
     order = np.lexsort((found, -idf[(found >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)]))
-    n = len(found)
-    plain = n - math.ceil(SIMILARITY * n - 1e-6) + 1
     left = np.cumsum(weights[order][::-1].astype(np.float64))[::-1]  # weight from a place on
-    heavy = int((left >= SIMILARITY * left[0] * (1 - 1e-5)).sum())
-    return found[order[: max(plain, heavy)]]
+    return found[order[: int((left >= SIMILARITY * left[0] * (1 - 1e-5)).sum()) if len(found) else 0]]
 
 
-def prefixes(nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """node, label, n (shingles), weight and each shingle of the prefix, for nodes (node, label)."""
-    held = nodes.sparkSession.sparkContext.broadcast(idf)
+def prefixes(nodes: DataFrame, texts: DataFrame, held: Broadcast) -> DataFrame:
+    """node, label, weight and each shingle of the prefix, for nodes (node, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = held.value
         for batch in batches:
             for lot in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                sizes, sums, kept = [], [], []
+                sums, kept = [], []
                 for text in lot.column(2).to_pylist():
                     found, weights = weighted(normal(text), idf)
-                    sizes.append(len(found))
                     sums.append(float(weights.sum(dtype=np.float64)))
                     kept.append(prefix(found, weights, idf).view(np.int64))
-                columns = [lot.column(0), lot.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(kept, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "label", "n", "weight", "shingles"])
+                yield pa.RecordBatch.from_arrays([lot.column(0), lot.column(1), pa.array(sums, pa.float64()), pa.array(kept, pa.list_(pa.int64()))], ["node", "label", "weight", "shingles"])
+
+    got = nodes.join(texts, "node").select("node", "label", "text").mapInArrow(run, "node binary, label binary, weight double, shingles array<long>")
+    return got.select("node", "label", "weight", F.explode("shingles").alias("cell"))
 
-    got = nodes.join(texts, "node").select("node", "label", "text").mapInArrow(run, "node long, label long, n long, weight double, shingles array<long>")
-    return got.select("node", "label", "n", "weight", F.explode("shingles").alias("shingle"))
 
+def outside(rows: DataFrame, cell: str) -> DataFrame:
+    """The rows of cells with several labels, with the cell's size n and ``most``, the label that most of its rows have."""
+    sizes = rows.groupBy(cell, "label").agg(F.count("*").alias("k"))
+    cells = sizes.groupBy(cell).agg(F.sum("k").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("most"))
+    return rows.drop("n").join(cells.filter("labels > 1").drop("labels"), cell)
 
-def pairs_left(members: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(a, b), a < b: every pair of a bucket that has two labels and may be similar enough."""
 
-    def several(rows: DataFrame, key: str) -> DataFrame:
-        cells = rows.groupBy(key).agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
-        return rows.join(cells.filter("low <> high").select(key, "members"), key)
+def across(rows: DataFrame, cell: str, near: Column | None = None) -> DataFrame:
+    """The pairs of different labels in what ``outside`` gives, from the sides that don't have the label of most."""
+    own = rows.filter("label <> most").select(F.col(cell).alias("cell"), "n", F.col("node").alias("own"), F.col("label").alias("own_label"), *([F.col("weight").alias("own_weight")] if near is not None else []))
+    other = rows.select(F.col(cell).alias("cell"), F.col("node").alias("other"), F.col("label").alias("other_label"), *([F.col("weight").alias("other_weight")] if near is not None else []))
+    met = own.join(other, "cell").filter(F.col("own_label") != F.col("other_label"))
+    return (met if near is None else met.filter(near)).select("cell", "n", *pair("own", "other")).dropDuplicates(["a", "b"])
 
-    def met(rows: DataFrame, key: str, *also: str) -> DataFrame:
-        a, b = (rows.select(key, *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", *also))) for x in "ab")
-        return a.join(b, key).filter("node_a < node_b and label_a <> label_b")
 
-    mixed = checkpointed(several(members, "key"))
-    whole = met(mixed.filter(F.col("members") <= WHOLE), "key")
-    large = mixed.filter(F.col("members") > WHOLE).select("node", "label").distinct()
-    rare = checkpointed(several(prefixes(large, texts, idf), "shingle").drop("members"))
-    near = lambda c: F.least(f"{c}_a", f"{c}_b") >= (SIMILARITY - 1e-5) * F.greatest(f"{c}_a", f"{c}_b")
-    split = met(rare, "shingle", "n", "weight").filter(near("n") | near("weight"))
-    named = [F.col("node_a").alias("a"), F.col("node_b").alias("b")]
-    return whole.select(*named).unionByName(split.select(*named)).distinct()
+def pairs_left(members: DataFrame, texts: DataFrame, held: Broadcast) -> DataFrame:
+    """Every pair of a bucket that has two labels and may be similar enough."""
+    mixed = checkpointed(outside(members.select("key", "node", "label"), "key"))
+    whole = across(mixed.filter(F.col("n") <= WHOLE), "key")
+    large = mixed.filter(F.col("n") > WHOLE).select("node", "label").distinct()
+    rare = checkpointed(outside(prefixes(large, texts, held), "cell"))
+    near = F.least("own_weight", "other_weight") >= (SIMILARITY - 1e-5) * F.greatest("own_weight", "other_weight")
+    return whole.unionByName(across(rare, "cell", near))
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node of its component, for the nodes of the links (a, b)."""
     both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
-    labels, before = checkpointed(labels), None
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", F.least("label", "near").alias("label"))
+        new = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        labels = checkpointed(new.join(roots, "label").select("node", F.least("label", "root").alias("label")))
-        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if total == before:  # labels only fall, so an equal sum means that none changed
+        found = checkpointed(new.join(roots, "label").select("node", "before", F.least("label", "root").alias("label")))
+        labels = found.select("node", "label")
+        if found.filter("label <> before").isEmpty():
             return labels
-        before = total
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), copy_id (of its exact copies), for each row of docs (doc_id, text)."""
+def relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with their label replaced by that of its component among the links found between labels."""
+    renamed = components(found).select(F.col("node").alias("label"), F.col("label").alias("_label"))
+    return rows.join(renamed, "label", "left").withColumn("label", F.coalesce("_label", "label")).drop("_label")
+
+
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, copy) of docs (doc_id, text), and nodes (node, id, nameless, label) of its different texts."""
     counts, n = document_frequencies(docs)
-    idf = inverse_frequencies(counts, n)
-    rows = checkpointed(sketched(docs, idf))
-    nodes = rows.groupBy("copy").agg(F.coalesce(F.min("doc_id"), F.min(nameless("copy"))).alias("node"), F.first("bands").alias("bands"))
-    nodes = checkpointed(nodes)
+    held = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(counts, n))  # FEATURE_BITS bound it: 4 MB
+    rows = checkpointed(sketched(docs, held))
+    nodes = rows.groupBy(F.col("copy").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    nodes = checkpointed(nodes.select("node", F.coalesce("doc_id", nameless("node")).alias("id"), F.col("doc_id").isNull().alias("nameless"), "bands"))
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = checkpointed(keyed.join(shared, "key").withColumn("label", F.col("node")))
-
-    texts = checkpointed(texts_of(docs, members.select("node").distinct().join(nodes.select("node", "copy"), "node")))
-
-    links = label = None
-    for turn in count():
-        found = checkpointed(verified(pairs_with_leaders(members, turn), texts, idf))
-        if found.isEmpty():
-            if turn:
-                break
-            continue
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
-        members = checkpointed(members.drop("label").join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
-    found = checkpointed(verified(pairs_left(members, texts, idf), texts, idf))
-    if not found.isEmpty():
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
-    named = nodes.select("copy", "node")
-    if label is not None:
-        named = named.join(label, "node", "left").select("copy", "node", F.coalesce("label", "node").alias("label"))
-    else:
-        named = named.withColumn("label", F.col("node"))
-    return rows.select("doc_id", "copy").join(named, "copy").select("doc_id", F.col("label").alias("class_id"), F.col("node").alias("copy_id"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = keyed.join(shared, "key")
+    sums = members.groupBy("node").agg(F.sum("n").alias("sum"), F.collect_list(F.struct("key", "n")).alias("in"))  # at most BANDS buckets
+    grouped = checkpointed(sums)
+    alone = nodes.select("node", "id", "nameless", F.col("node").alias("label"))
+    if grouped.isEmpty():
+        return rows.select("doc_id", "copy"), alone
+    texts = met_texts(docs, nodes.select("id", "node").join(grouped.select("node"), "node", "left_semi"), [])
+    texts = checkpointed(texts.groupBy("node").agg(F.min("text").alias("text")))  # copies may differ in white space
+
+    label = grouped.select("node", F.col("node").alias("label"))
+    for step in (with_one_leader, with_drawn_leaders, lambda x: pairs_left(x, texts, held)):
+        members = grouped.select("node", "sum", F.explode("in").alias("x")).select("x.key", "x.n", "node", "sum").join(label, "node")
+        found = checkpointed(verified(step(members), texts, held))
+        if not found.isEmpty():
+            label = checkpointed(relabelled(label, found))
+    held.destroy()  # all that was made with it is in the shared folder
+    named = alone.join(label.withColumnRenamed("label", "_label"), "node", "left").select("node", "id", "nameless", F.coalesce("_label", "label").alias("label"))
+    return rows.select("doc_id", "copy"), named
+
+
+def named_classes(nodes: DataFrame) -> DataFrame:
+    """label, and the least (id, node) of each class."""
+    return nodes.groupBy("label").agg(F.min(F.struct("nameless", "id", "node")).alias("first")).select("label", "first.id", "first.node")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class), copy_id (of its exact copies), for each row of docs (doc_id, text)."""
+    rows, nodes = labelled(docs)
+    # classes and copies are equal numbers of rows or fewer: two joins of short columns
+    of = nodes.join(named_classes(nodes).select("label", F.col("id").alias("class_id")), "label").select(F.col("node").alias("copy"), F.col("id").alias("copy_id"), "class_id")
+    return rows.join(of, "copy").select("doc_id", "class_id", "copy_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text and any others) that stand for their class: one row for each class."""
-    found = classes(docs.select("doc_id", "text"))
-    first = F.coalesce(F.col("doc_id").cast("long"), nameless(F.unhex(F.md5(F.array_join(word_list(F.col("text")), " ").cast("binary")))))
-    rows = docs.select(first.alias("_class"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    chosen = found.select(F.col("class_id").alias("_class")).distinct()
-    return rows.join(chosen, "_class", "left_semi").dropDuplicates(["_class"]).select("_row.*")
+    _, nodes = labelled(docs.select("doc_id", "text"))
+    whole = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("_hash"))
+    met = met_texts(whole, named_classes(nodes).select("id", "node"), ["_row", "_hash"])
+    return met.groupBy("node").agg(F.min_by("_row", "_hash").alias("_row")).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
