@@ -188,7 +188,8 @@ def verified(pairs: DataFrame, texts: DataFrame, held: Broadcast) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(4).take(at), batch.column(5).take(at)], ["a", "b"])
 
     block = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("n") / BLOCK))
-    dealt = pairs.select(F.xxhash64("cell", block("a"), block("b")).alias("lot"), "a", "b", "label_a", "label_b")
+    # used twice, and which of equal pairs is kept may differ between two computations
+    dealt = checkpointed(pairs.select(F.xxhash64("cell", block("a"), block("b")).alias("lot"), "a", "b", "label_a", "label_b"))
     needed = dealt.select("lot", F.explode(F.array("a", "b")).alias("node")).distinct()
     none = F.lit(None).cast("binary")
     first = needed.join(texts, "node").select("lot", F.lit(0).alias("turn"), F.col("node").alias("a"), none.alias("b"), none.alias("label_a"), none.alias("label_b"), "text")
