@@ -3,17 +3,20 @@
 A document's histograms of character classes and of common words are compared with the references of the languages by
 Jensen-Shannon distance (root of the divergence in bits, 0 to 1). References are pooled counts of the corpus itself:
 of the documents of a language that pass the base rules, have GUARD_WORDS words and are plain prose (few symbols, few
-capitals). A document is kept if the
-two distances to some language sum to little enough; the comparison counts only from a length on (GUARD_CHARS,
-GUARD_WORDS), and only for documents that a reference speaks for: their language has one of REFERENCE_WORDS words, or,
-where the language is null, some reference is in the same script (mostly a to z, or mostly other letters).
+capitals). A document is kept if its two distances to its own language, or to one of the LARGEST languages with most
+words, sum to little enough. The comparison counts only from a length on (GUARD_CHARS, GUARD_WORDS), and only for
+documents that a reference speaks for: their language has one of REFERENCE_WORDS words, or, where the language is null,
+one of the LARGEST is in the same script (mostly a to z, or mostly other letters). Documents of other languages are
+judged by the base rules alone, as short ones are.
 
 Repeated words are found within the row: each 8-word window gets a 64-bit hash; if all differ the document has none,
 else hashes are sorted with their places, and runs mark the windows. Two windows of one text that share a hash by
 chance would count as equal, which 64 bits leave out of account.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null language is used in no reference;
-repeated rows give equal results; an empty table gives an empty table; other columns don't matter.
+repeated rows give equal results; very long texts are measured whole, within their row; a distance equal to the limit
+keeps; languages of equally many words are ordered by name; an empty table gives an empty table; other columns don't
+matter.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ SYMBOLS = r"[#*$%&|<>]"
 GUARD_CHARS, GUARD_WORDS, REFERENCE_WORDS = 100, 40, 2_000
 #: The two distances may sum to FAR, and as short texts scatter more, to FAR_BY_LENGTH / n_words above it.
 FAR, FAR_BY_LENGTH = 0.38, 7.0
-#: Languages with a reference: those with the most words.
-LANGUAGES = 200
+#: Languages that every document is compared with: those with the most words. Others speak for their own documents.
+LARGEST = 200
+#: References of more languages than these two arrays each are joined by a shuffle, fewer are sent to all tasks.
+SENT = 10_000
 #: Of the characters of a reference document's words, at most so many in a hundred are symbols, and capitals.
 PLAIN_SYMBOLS, PLAIN_CAPITALS = 1, 25
 
@@ -105,20 +110,28 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def references(figures: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Shares of the classes and of the common words by language: at most LANGUAGES, each of a fixed number of cells."""
+def references(figures: DataFrame) -> tuple[dict[str, tuple[list[float], list[float]]], DataFrame | None]:
+    """Shares of the classes and of the common words by language: of the LARGEST, and of the others (lang, chars, words), if any."""
     plain = (100 * F.col("n_symbols") <= PLAIN_SYMBOLS * F.col("word_chars")) & (100 * F.col("classes")[CLASSES.index("upper")] <= PLAIN_CAPITALS * F.col("word_chars"))
     fit = F.col("lang").isNotNull() & ~F.col("base_failed") & (F.col("n_words") >= GUARD_WORDS) & plain
     # explode, not filter: a filter is pushed below the figures, which are then computed for it and once more for the sums
     cells = figures.select("lang", F.posexplode(F.when(fit, F.concat("classes", "common"))).alias("cell", "k")).groupBy("lang", "cell").agg(F.sum("k").alias("k"))
     by_lang = cells.groupBy("lang").agg(F.sum(F.when(F.col("cell") >= len(CLASSES), F.col("k"))).alias("n"), F.sort_array(F.collect_list(F.struct("cell", "k")))["k"].alias("counts"))
-    rows = by_lang.filter(F.col("n") >= REFERENCE_WORDS).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
+    by_lang = checkpointed(by_lang.filter(F.col("n") >= REFERENCE_WORDS))
+    rows = by_lang.orderBy(F.col("n").desc(), "lang").limit(LARGEST).collect()
     share = lambda x: [v / sum(x) for v in x]
-    return {r["lang"]: (share(r["counts"][: len(CLASSES)]), share(r["counts"][len(CLASSES) :])) for r in rows}
+    largest = {r["lang"]: (share(r["counts"][: len(CLASSES)]), share(r["counts"][len(CLASSES) :])) for r in rows}
+    n_more = by_lang.count() - len(rows)
+    if not n_more:
+        return largest, None
+    shares = lambda x: let(x, lambda v: F.transform(v, lambda k: k / F.aggregate(v, F.lit(0).cast("long"), lambda a, y: a + y)))
+    more = by_lang.filter(~F.col("lang").isin(*largest)).select("lang", shares(F.slice("counts", 1, len(CLASSES))).alias("chars"), shares(F.slice("counts", len(CLASSES) + 1, len(COMMON) + 1)).alias("words"))
+    return largest, F.broadcast(more) if n_more <= SENT else more
 
 
-def distance(counts: Column, reference: list[float]) -> Column:
+def distance(counts: Column, reference: list[float] | Column) -> Column:
     """Jensen-Shannon distance of a histogram from a reference; 0 if the histogram is empty."""
+    shares = reference if isinstance(reference, Column) else F.array(*map(F.lit, reference))
 
     def term(p: Column, q: Column) -> Column:
         m = (p + q) / 2
@@ -126,7 +139,7 @@ def distance(counts: Column, reference: list[float]) -> Column:
         return (part(p) + part(q)) / 2
 
     total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    of = lambda n: F.aggregate(F.zip_with(counts, F.array(*map(F.lit, reference)), lambda c, q: term(c / n, q)), F.lit(0.0), lambda a, x: a + x)
+    of = lambda n: F.aggregate(F.zip_with(counts, shares, lambda c, q: term(c / n, q)), F.lit(0.0), lambda a, x: a + x)
     return let(total, lambda n: F.when(n > 0, F.sqrt(F.greatest(F.lit(0.0), of(n)))).otherwise(0.0))
 
 
@@ -141,13 +154,21 @@ def other_script(classes: Column) -> Column:
     return cell("letter") > cell("lower") + cell("upper")
 
 
-def verdicts(figures: DataFrame, known: dict[str, tuple[list[float], list[float]]], *keep: str) -> DataFrame:
+def verdicts(figures: DataFrame, known: tuple[dict[str, tuple[list[float], list[float]]], DataFrame | None], *keep: str) -> DataFrame:
     """Columns ``keep`` of what ``measured`` gives (lang among its own) with the base figures, the least distances and ``kept``."""
     short = (F.col("word_chars") < GUARD_CHARS) | (F.col("n_words") < GUARD_WORDS)
-    if known:
-        pairs = F.array(*(F.struct(distance(F.col("classes"), a).alias("chars"), distance(F.col("common"), b).alias("words")) for a, b in known.values()))
+    largest, more = known
+    far = lambda a, b: F.struct(distance(F.col("classes"), a).alias("chars"), distance(F.col("common"), b).alias("words"))
+    if largest:
+        pairs = F.array(*(far(a, b) for a, b in largest.values()))
         limit = FAR + FAR_BY_LENGTH / F.greatest(F.col("n_words"), F.lit(1))
-        alien = F.coalesce(~F.col("lang").isin(*known), ~other_script(F.col("classes")).isin(*{_other_script(a) for a, _ in known.values()}))
+        spoken_for = F.col("lang").isin(*largest)
+        if more is not None:
+            figures = figures.join(more.select(F.col("lang").alias("_lang"), F.col("chars").alias("_chars"), F.col("words").alias("_words")), F.col("lang") == F.col("_lang"), "left")
+            own = F.col("_lang").isNotNull()
+            pairs = F.when(own, F.array_append(pairs, far(F.col("_chars"), F.col("_words")))).otherwise(pairs)
+            spoken_for = spoken_for | own
+        alien = F.coalesce(~spoken_for, ~other_script(F.col("classes")).isin(*{_other_script(a) for a, _ in largest.values()}))
         near = short | alien | F.exists("_far", lambda d: d["chars"] + d["words"] <= limit)
         figures = figures.withColumn("_far", pairs).withColumn("_near", near)
     else:
