@@ -2,29 +2,38 @@
 
 Features are character n-grams of one to GRAM letters, hashed into 2 ** FEATURE_BITS numbers, as TF-IDF vectors of unit
 length. Document frequencies are counted over all documents to learn from. The weights are fitted on a bounded sample,
-at most PER_LANGUAGE documents of a language and SAMPLE in all, drawn by a hash of the id: FTRL-proximal with an
-elastic net (L1 keeps weights that matter, L2 keeps them small), then one temperature for all logits that minimises the
-loss on every fifth document of the sample, which the fit doesn't see. Every document is scored, whole.
+at most PER_LANGUAGE documents of a language, drawn by a hash of the id, of which the first by that hash are taken until
+they hold SAMPLE documents or CELLS features: FTRL-proximal with an elastic net (L1 keeps weights that matter, L2 keeps
+them small), then one temperature for all logits that minimises the loss on every fifth document of the sample, which
+the fit doesn't see. Every document is scored, whole.
+
+Every language that occurs is learnt. A model has at most WEIGHTS weights: where more than 200 languages occur, features
+are folded into fewer numbers, so that memory doesn't grow with the languages.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as are all if there is nothing to learn
-from; rows without an id or language aren't learnt from; repeated rows give equal results; other columns don't matter.
+from; rows without an id or language aren't learnt from; very long texts are counted whole, block by block; equally
+likely languages go to the first by name; repeated rows give equal results; an empty table gives an empty table; other
+columns don't matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import checkpointed, crc_mod, table
 from .hashing import counted, mix
 
 GRAM, FEATURE_BITS = 3, 15
-PER_LANGUAGE, SAMPLE, LANGUAGES = 500, 20_000, 200
+PER_LANGUAGE, SAMPLE, CELLS = 500, 20_000, 16_000_000
+#: Weights of a model: 26 MB of 4 bytes.
+WEIGHTS = 200 << FEATURE_BITS
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.002, 0.001
 CALIBRATE_EVERY = 5
 BLOCK = 1 << 17
@@ -70,6 +79,15 @@ def vector(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray] |
     return found, values / np.sqrt((values * values).sum())
 
 
+def folded(x: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A vector with its features folded into n numbers; as it is where it has no more."""
+    if n >= 1 << FEATURE_BITS:
+        return x
+    sums = np.bincount(x[0] % n, x[1], n)
+    found = np.flatnonzero(sums)
+    return found, sums[found]
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
@@ -77,7 +95,9 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], n_labels: int) -> np.ndarray:
     """Weights by follow-the-regularised-leader, a row for each feature and a last one for the bias."""
-    z = np.zeros(((1 << FEATURE_BITS) + 1, n_labels))
+    n = min(1 << FEATURE_BITS, max(1, WEIGHTS // n_labels))
+    rows = [folded(x, n) for x in rows]
+    z = np.zeros((n + 1, n_labels))
     squares = np.zeros_like(z)
     rng = np.random.default_rng(5)
 
@@ -124,7 +144,8 @@ class Model:
         self.languages, self.idf, self.weights, self.heat = languages, idf, weights.astype(np.float32), heat
 
     def logits(self, x: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        return x[1] @ self.weights[x[0]] + self.weights[-1]
+        found, values = folded(x, len(self.weights) - 1)
+        return values @ self.weights[found] + self.weights[-1]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         x = vector(text, self.idf) if self.languages else None
@@ -145,18 +166,18 @@ def train(docs: DataFrame) -> Model:
     docs = docs.filter("doc_id is not null and lang is not null")
     counts, n = counted(docs.select("text"), 1 << FEATURE_BITS, lambda: _present)
     idf = np.log((n + 1) / (counts.astype(np.float64) + 1)) + 1
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    sizes = checkpointed(docs.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())  # the model needs their names
     if not languages:
         return Model([], idf, np.zeros((1, 0)), 1.0)
     each = max(2, min(PER_LANGUAGE, SAMPLE // len(languages)))
     # the hash of an id is below its language's cut for about twice as many rows as are wanted: the window sees no more
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
-    cuts = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min((1 << 63) - 1, (2 * each + 50) * (1 << 63) // r["n"]))))
+    cut = F.least(F.lit(1.0), (2.0 * each + 50) / F.col("n")) * float(1 << 63)
     drawn = Window.partitionBy("lang").orderBy(place, "doc_id")
-    near = docs.select("doc_id", "lang").filter(place <= F.element_at(cuts, F.col("lang")))
+    near = docs.select("doc_id", "lang").join(sizes, "lang").filter(place <= cut)
     chosen = near.select("doc_id", "lang", F.row_number().over(drawn).alias("place")).filter(F.col("place") <= each)
-    # at most SAMPLE rows of three short columns: small enough for every executor
+    # at most SAMPLE rows of three short columns, or two for each language
     sampled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "place", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +190,14 @@ def train(docs: DataFrame) -> Model:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["lang", "place", "found", "value"])
 
-    got = sampled.mapInArrow(vectors, "lang string, place long, found binary, value binary").collect()
+    drawn_rows = checkpointed(sampled.mapInArrow(vectors, "lang string, place long, found binary, value binary"))
+    sums = drawn_rows.groupBy("place").agg(F.sum(F.length("found") / 2).alias("cells")).orderBy("place").collect()  # at most PER_LANGUAGE
+    last = max((r["place"] for r, total in zip(sums, accumulate(r["cells"] for r in sums), strict=True) if r["place"] <= 2 or total <= CELLS), default=0)
+    got = drawn_rows.filter(F.col("place") <= last).collect()
     got.sort(key=lambda r: (r["place"], r["lang"], r["found"]))
     rows = [(np.frombuffer(r["found"], np.uint16).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(np.float64)) for r in got]
-    labels = [languages.index(r["lang"]) for r in got]
+    number = {lang: i for i, lang in enumerate(languages)}
+    labels = [number[r["lang"]] for r in got]
     held = [r["place"] % CALIBRATE_EVERY == 0 for r in got]
     pick = lambda xs, want: [x for x, h in zip(xs, held, strict=True) if h == want]
     model = Model(languages, idf, fit(pick(rows, False), pick(labels, False), len(languages)), 1.0)
