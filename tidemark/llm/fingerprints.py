@@ -4,17 +4,21 @@ A text's paragraphs (lines; long ones are cut after the first sentence that ends
 subtables; each digest falls into one cell of each, and a cell holds the number of its digests, their XOR and the XOR
 of check values. Sketches subtract cell by cell: equal paragraphs vanish, and peeling recovers the digests that differ,
 one pure cell (count 1 or -1, fitting check) after another. The fingerprint is the sketch of 2 ** SLOT_BITS cells a subtable. If its
-difference doesn't peel, the sets are dealt into groups of about GROUP digests by other bits of the digests, and each
-group is sketched, subtracted and peeled; a group that fails is sketched anew with twice the cells, RETRIES times, and
-what still fails is compared digest by digest. The likeness is the Jaccard similarity that the recovered digests give.
+difference doesn't peel, a larger sketch of the whole set is made: its cells are dealt into blocks by other bits of the
+digests, one of 24 cells for about GROUP digests, and the blocks are subtracted and peeled one by one. A block that
+fails is sketched anew with other cells, larger each time (GROWN). What fails all sizes (chance: below 1e-12 for a
+block) counts as wholly different. No set difference is taken: the likeness is the Jaccard similarity that the number of
+recovered digests gives.
 
-All work on a row stays in the row, on arrays; groups keep it linear in the length of the text (times a square root
+All work on a row stays in the row, on arrays; blocks keep it linear in the length of the text (times a square root
 for dealing them). Finding the next document needs one shuffle: ids are cut into ranges of about RANGE_ROWS rows at
-quantiles, each range is one group of a window, and the first row of each range is also sent to the range before.
+quantiles, each range is one group of a window, and the first row of each range is also sent to the range before. There
+are at most RANGES ranges, whose first rows are known to the driver; beyond RANGES * RANGE_ROWS rows ranges grow (at 3e10
+documents to half a million rows), which windows sort and spill.
 
 Defined cases: a null text counts as empty; two texts without paragraphs have likeness 1; rows without an id come
-first; rows of equal ids follow by their text; a single document is its own next; an empty table gives an empty table;
-other columns don't matter.
+first, in one range; rows of equal ids follow by their text; a single document is its own next; very long texts are
+sketched whole; repeated paragraphs count once; an empty table gives an empty table; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,8 +31,10 @@ from .common import let, table
 PIECE = 100
 PARAGRAPH = rf"[^\n]{{{PIECE},}}?[.!?](?= )|[^\n]+"
 SLOT_BITS = 3
-GROUP, RETRIES = 6, 3
-RANGE_ROWS, RANGES = 2_000, 1_024
+GROUP = 6
+#: Bits of the cells of a subtable in the sketches that a block gets one after another.
+GROWN = (SLOT_BITS, 4, 5, 7, 10)
+RANGE_ROWS, RANGES = 2_000, 65_536
 #: Which bits of a digest deal it into groups; its lowest 3 * SLOT_BITS bits (more in larger sketches) choose cells.
 GROUP_AT, INNER_AT = 48, 36
 
@@ -105,21 +111,23 @@ def dealt(keys: Column, power: Column) -> Column:
 
 
 def different(a: Column, b: Column) -> Column:
-    """The digests that only one of two small sets has, from sketches of growing size."""
+    """How many digests only one of two small sets has, from sketches of growing size, each with cells of its own."""
 
-    def attempt(bits: int) -> Column:
-        return peel(subtract(sketch(a, bits), sketch(b, bits)), F.size(a) + F.size(b), bits)
+    def attempt(n: int, bits: int) -> Column:
+        """The first sketch has the digests' own cells; later ones those of another hash of them."""
+        other = (lambda keys: keys) if not n else (lambda keys: F.transform(keys, lambda k: F.xxhash64(k, F.lit(n + 1))))
+        return F.array_size(peel(subtract(sketch(other(a), bits), sketch(other(b), bits)), F.size(a) + F.size(b), bits))
 
-    return F.coalesce(*(attempt(SLOT_BITS + i) for i in range(RETRIES + 1)), F.concat(F.array_except(a, b), F.array_except(b, a)))
+    return F.coalesce(*(attempt(n, bits) for n, bits in enumerate(GROWN)), F.size(a) + F.size(b))
 
 
 def recovered(a: Column, b: Column, a_sketch: Column, b_sketch: Column) -> Column:
-    """How many digests only one of two sets has, by the fingerprints and, where they don't peel, by groups."""
+    """How many digests only one of two sets has, by the fingerprints and, where they don't peel, by larger sketches."""
     most = 3 * (1 << SLOT_BITS)
     unlike = F.abs(F.size(a) - F.size(b)) > most
     first = F.when(~unlike, F.array_size(peel(subtract(a_sketch, b_sketch), F.least(F.size(a) + F.size(b), F.lit(most)))))
     power = F.ceil(F.log2(F.greatest(F.lit(1.0), F.greatest(F.size(a), F.size(b)) / GROUP))).cast("int")
-    groups = F.zip_with(dealt(a, power), dealt(b, power), lambda x, y: F.size(different(x, y)))
+    groups = F.zip_with(dealt(a, power), dealt(b, power), different)
     return F.coalesce(first, F.aggregate(groups, F.lit(0), lambda n, x: n + x))
 
 
@@ -139,16 +147,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = docs.count()
     ranges = min(RANGES, -(-n // RANGE_ROWS))
     if ranges > 1:
-        cuts = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("cuts")).first()["cuts"]
+        cuts = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], min(20 * ranges, 1 << 20)).alias("cuts")).first()["cuts"]
     else:
         cuts = []
     cuts = sorted(set(cuts or []))
-    # two levels of cuts, so that a row is held against about twice the root of their number
+    # literals, folded once; two levels of cuts, so that a row is held against about twice the root of their number
     coarse = max(1, round(len(cuts) ** 0.5))
     lots = [cuts[i : i + coarse] for i in range(0, len(cuts), coarse)]
     if cuts:
-        tops = F.array(*(F.lit(lot[0]) for lot in lots))
-        lists = F.array(*(F.array(*map(F.lit, lot)) for lot in lots))
+        tops = F.from_json(F.lit(str([lot[0] for lot in lots])), "array<long>")
+        lists = F.from_json(F.lit(str(lots)), "array<array<long>>")
         lot = F.size(F.filter(tops, lambda c: c <= F.col("doc_id"))) - 1
         place = F.when(F.col("doc_id").isNull() | (F.col("doc_id") < cuts[0]), 0).otherwise(lot * coarse + F.size(F.filter(F.get(lists, lot), lambda c: c <= F.col("doc_id"))))
     else:
