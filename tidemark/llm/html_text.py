@@ -2,20 +2,25 @@
 
 A page becomes lines, one for each block element. Text inside elements that are never part of an article (scripts,
 styles, menus, forms and the like, by tag, role, class or id) is stripped; such a line stays as a place without text.
-Then the text lengths are summed over sliding windows of lines. The main text begins where the sums surge from nothing
-and ends at the dive after which nothing comes; all text between them is kept. Where a page marks its article, lines
-outside it have no text either, so surge and dive fall on the article's ends. On unmarked pages, lines that are mostly
-link text count as places without text where surges and dives are sought. Regions that stand amid links are menus; the
-main text goes from the first surge to the last dive of the others, with every line of text between.
+Lines have weights: their length, more of it (SURGE) where the page marks them as its article or, on pages that mark
+none, where they end a sentence; nothing where they are mostly links, a copyright line, or outside the article of a page
+that marks one. Weights are summed over sliding windows of WINDOW lines. A surge is a line with weight whose window
+weighs SURGE or more (or half of the heaviest window, on pages of short lines); it lasts until the dive, where a window
+weighs nothing. Surges that stand amid links are menus. On pages that mark an article, the lines with weight between
+surge and dive are the main text; on others, it goes from the first surge to the last dive with every line of text
+between. Marked lines surge however short they are, so nothing of an article is lost.
 
 Defined cases: a null page counts as empty; a page without text gives the empty string; markup that isn't closed ends
-with its parent or the page; repeated rows give equal results; other columns don't matter.
+with its parent or the page; character references are decoded within each piece of text, so none spans a tag; very long
+and very deep pages take time in proportion to their length; equal regions are all kept; repeated rows give equal
+results; an empty table gives an empty table; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, table
 
-#: Lines that a window spans.
-WINDOW = 3
-#: Share of a line's characters in links from which it counts as a place without text, on unmarked pages.
+#: Lines that a window spans, and the weight of a window from which text surges.
+WINDOW, SURGE = 3, 80
+#: Share of a line's characters in links from which it weighs nothing, on unmarked pages.
 LINKED = 0.6
+ENDS_SENTENCE = re.compile(r"[.!?\u2026:;\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)\]]*$")
+COPYRIGHT = re.compile(r"^\W*(?:\u00a9|\(c\)|copyright\b)|\ball rights reserved\b", re.I)
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,18 +52,27 @@ NEVER = frozenset("nav header footer aside form button select menu dialog object
 SAYS_NEVER = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|sign-?up|log-?in|nav\w*|menus?|"
     r"breadcrumbs?|sidebars?|side-?bar|widget\w*|footer\w*|header\w*|masthead|topbar|toolbar|comments?|commentlist|respond|replies|disqus|discussion|share|sharing|social\w*|related|"
-    r"recommend\w*|pagination|pager|copyright|skip-?link|search\w*|form|tags?|complementary|contentinfo|navigation|dialog|alertdialog)(?:$|[\s_-])",
+    r"recommend\w*|pagination|pager|copyright|skip-?link|search-?(?:box|bar|form)|tag-?(?:list|cloud)|complementary|contentinfo|navigation|dialog|alertdialog)(?:$|[\s_-])",
+    re.I,
+)
+#: The same for elements inside an article, where fewer words say so, and for articles themselves.
+SAYS_NEVER_WITHIN = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscri\w*|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side-?bar|widget\w*|"
+    r"footer|comments?|commentlist|comment-?form|respond|replies|disqus|share|sharing|social\w*|related|recommend\w*|pagination|pager|skip-?link|search-?(?:box|bar|form)|tag-?(?:list|cloud)|"
+    r"complementary|contentinfo|dialog|alertdialog)(?:$|[\s_-])|^(?:notices?|alert)$",
     re.I,
 )
 SAYS_NEVER_OF_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|related|recommend\w*|ads?|advert\w*|sponsor\w*|promo\w*|teaser|widget)(?:$|[\s_-])", re.I)
 SAYS_MAIN = re.compile(r"(?:^|[\s_-])(?:article-?body|post-?(?:body|content)|entry-?content|main-?content|article-?content|story-?body)(?:$|[\s_-])", re.I)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
+#: An attribute's value is quoted only right after its equals sign; elsewhere quotes are plain characters.
+VALUES = r"""(?:=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))|[^>])"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({VALUES}*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|aria-label|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
 
-def _role(tag: str, attributes: str) -> int:
-    """-1 for an element without main text, 1 for one that marks it, 0 for others."""
+def _role(tag: str, attributes: str, within: bool) -> int:
+    """-1 for an element without main text, 1 for one that marks it, 0 for others; within: inside one that marks it."""
     if tag in NEVER:
         return -1
     said = 1 if tag in ("article", "main") else 0
@@ -66,7 +82,7 @@ def _role(tag: str, attributes: str) -> int:
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return -1
             if name in ("class", "id", "role", "aria-label"):
-                if (SAYS_NEVER_OF_ARTICLE if said else SAYS_NEVER).search(value):
+                if (SAYS_NEVER_OF_ARTICLE if said else SAYS_NEVER_WITHIN if within else SAYS_NEVER).search(value):
                     return -1
                 if name != "aria-label" and SAYS_MAIN.search(value) or name == "role" and value.lower() in ("main", "article"):
                     said = 1
@@ -80,11 +96,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     lines: list[tuple[str, int, bool]] = []
     parts: list[tuple[str, bool]] = []
     stack: list[tuple[str, int]] = []  # open elements and their roles
+    opened: Counter[str] = Counter()
     never = main = links = 0
 
     def end_line() -> None:
         if parts:
-            text = " ".join(html.unescape("".join(x for x, _ in parts)).split())
+            text = " ".join("".join(x for x, _ in parts).split())
             if text:
                 lines.append((text, sum(len(x) for x, a in parts if a), main > 0))
             parts.clear()
@@ -93,6 +110,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         nonlocal never, main, links
         while len(stack) > upto:
             tag, role = stack.pop()
+            opened[tag] -= 1
             never -= role < 0
             links -= tag == "a"
             if tag in BLOCKS or role < 0:
@@ -107,7 +125,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not never:
             text = page[at : m.start() if m else n]
             if text:
-                parts.append((text, links > 0))
+                parts.append((html.unescape(text) if "&" in text else text, links > 0))
         if m is None:
             break
         at = m.end()
@@ -115,7 +133,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] > 0 else ():
                 if stack[i][0] == tag:
                     close(i)
                     break
@@ -135,7 +153,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         if tag in CLOSES_P:
             end_line()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened["p"] > 0 else ():
                 if stack[i][0] == "p":
                     close(i)
                     break
@@ -151,12 +169,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     break
         if tag in VOID:
             continue
-        role = _role(tag, m[3])
+        role = _role(tag, m[3], main > 0)
         if role and (role < 0 or tag in BLOCKS):
             end_line()
         if role < 0 and main and tag == "header":
-            role = 0 if not SAYS_NEVER.search(m[3].replace("header", "")) else -1
+            role = 0 if not SAYS_NEVER_WITHIN.search(m[3]) else -1
         stack.append((tag, role))
+        opened[tag] += 1
         never += role < 0
         main += role > 0
         links += tag == "a"
@@ -165,20 +184,34 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def regions(lengths: list[int]) -> list[tuple[int, int]]:
-    """[surge, dive) of each run of lines whose windows hold text: a dive needs WINDOW lines without any."""
-    found, n = [], len(lengths)
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]  # of the window that begins at a line
-    i = 0
+def weights_of(lines: list[tuple[str, int, bool]]) -> list[int]:
+    marked = any(main and text for text, _, main in lines)
+    if marked:
+        return [SURGE + len(text) if main and text else 0 for text, _, main in lines]
+
+    def weight(text: str, linked: int) -> int:
+        if linked > LINKED * len(text) or COPYRIGHT.search(text):
+            return 0
+        return len(text) + (SURGE if ENDS_SENTENCE.search(text) else 0)
+
+    return [weight(text, linked) for text, linked, _ in lines]
+
+
+def regions(weights: list[int]) -> list[tuple[int, int]]:
+    """[surge, dive) of each run of lines that begins where a window is heavy and lasts until one weighs nothing."""
+    n = len(weights)
+    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]  # of the window that begins at a line
+    least = min(SURGE, max(sums, default=0) / 2)
+    found, i = [], 0
     while i < n:
-        if not lengths[i]:
+        if not weights[i] or sums[i] < least:
             i += 1
             continue
         surge = i
         while i < n and sums[i]:
             i += 1
-        dive = min(i, n)
-        while dive > surge and not lengths[dive - 1]:
+        dive = i
+        while not weights[dive - 1]:
             dive -= 1
         found.append((surge, dive))
     return found
@@ -192,17 +225,16 @@ def amid_links(lines: list[tuple[str, int, bool]], a: int, b: int) -> bool:
 
 def main_text(page: str) -> str:
     lines = lines_of(page)
+    weights = weights_of(lines)
+    found = regions(weights)
+    if not found:
+        return ""
     if any(main and text for text, _, main in lines):
-        lengths = [len(text) if main else 0 for text, _, main in lines]
-        kept = regions(lengths)
+        kept = [i for a, b in found for i in range(a, b) if weights[i]]
     else:
-        lengths = [0 if linked > LINKED * len(text) else len(text) for text, linked, _ in lines]
-        found = regions(lengths)
         like = [x for x in found if not amid_links(lines, *x)] or found
-        if not like:
-            return ""
-        return "\n\n".join(text for text, _, _ in lines[like[0][0] : like[-1][1]] if text)
-    return "\n\n".join(lines[i][0] for a, b in kept for i in range(a, b) if lengths[i])
+        kept = [i for i in range(like[0][0], like[-1][1]) if lines[i][0]]
+    return "\n\n".join(lines[i][0] for i in kept)
 
 
 def extract(df: DataFrame, keep: list[str], page: str = "html") -> DataFrame:
