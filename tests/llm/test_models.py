@@ -117,6 +117,48 @@ def test_language_odd_rows(odd, empty, clashing):
     assert all(r["lang_pred"] == "und" for r in language_id.predict(odd, nothing, ["doc_id"]).collect()) and language_id.predict(empty, model, ["doc_id"]).count() == 0
 
 
+def test_more_than_two_hundred_languages(spark):
+    """Each language has letters of its own; all are learnt and predicted, also when features are folded."""
+    name = lambda k: f"q{k:03d}"
+    text = lambda k, j: " ".join(chr(0x4E00 + 11 * k + (i * 3 + j) % 11) * (1 + i % 3) for i in range(30))
+    rows = [(1000 * k + j, text(k, j), name(k)) for k in range(230) for j in range(5)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == [name(k) for k in range(230)] and model.weights.size <= language_id.WEIGHTS + 230
+    assert np.mean([model.predict(text(k, 7))[0] == name(k) for k in range(230)]) > 0.9
+
+
+def test_language_scores_by_a_plain_scorer(spark):
+    """The same weights through dictionaries and loops."""
+    docs = documents(spark)
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(table.select("doc_id", "text", "lang"))
+    for text in [docs[i]["text"] for i in sorted(docs)[:12]] + ["a", "", "1 2"]:
+        solid = " ".join(["", *re.findall(r"[^\W\d_]+", text.lower()), ""]) if re.search(r"[^\W\d_]", text) else None
+        want = model.predict(text)
+        if solid is None:
+            assert want == ("und", 0.0)
+            continue
+        solid = solid if not text[-1:].isalpha() else solid[:-1]
+        counts = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(solid) - n + 1):
+                h = 0
+                for c in solid[i : i + n]:
+                    h = (h * 0x100000001B3 + ord(c) + 1) % 2**64
+                counts[int(language_id._feature(np.array([h], np.uint64), n)[0])] += 1
+        x = {k: v * model.idf[k] for k, v in counts.items()}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        logits = [(sum(v / length * float(model.weights[k][j]) for k, v in x.items()) + float(model.weights[-1][j])) / model.heat for j in range(len(model.languages))]
+        e = [math.exp(v - max(logits)) for v in logits]
+        best = max(range(len(e)), key=lambda j: e[j])
+        assert want[0] == model.languages[best] and abs(want[1] - e[best] / sum(e)) < 1e-4
+
+
+def test_equally_likely_languages_go_to_the_first_by_name():
+    model = language_id.Model(["aa", "bb"], np.ones(1 << language_id.FEATURE_BITS), np.zeros(((1 << language_id.FEATURE_BITS) + 1, 2)), 1.0)
+    assert model.predict("word") == ("aa", 0.5)
+
+
 def test_grams_don_t_depend_on_blocks(monkeypatch):
     text = "Abc déf, x1 " * 300
     whole = language_id.counts_of(text)
@@ -196,5 +238,5 @@ def test_sketches_peel_what_differs(spark):
     found = df.select(fingerprints.peel(fingerprints.subtract(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))), F.lit(24)).alias("f")).first()["f"]
     assert set(found) == set(a) ^ set(b)
     many = spark.createDataFrame([(a, [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 40)])], "a array<long>, b array<long>")
-    f, d = many.select(fingerprints.peel(fingerprints.subtract(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))), F.lit(24)), F.size(fingerprints.different(F.col("a"), F.col("b")))).first()
+    f, d = many.select(fingerprints.peel(fingerprints.subtract(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))), F.lit(24)), fingerprints.different(F.col("a"), F.col("b"))).first()
     assert f is None and d == 80

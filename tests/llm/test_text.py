@@ -3,6 +3,7 @@
 import gzip
 import math
 import os
+from html.parser import HTMLParser
 
 import duckdb
 import pytest
@@ -22,13 +23,27 @@ def test_matches_sql(spark, name):
 
 def test_quality_odd_rows(odd, empty, clashing):
     got = {r["doc_id"]: r for r in quality.judge(odd.select("doc_id", "text", "lang"), "doc_id").collect()}
-    assert not got[2]["kept"] and not got[3]["kept"] and got[4]["n_words"] == 36_000 and got[8]["word_chars"] == 70_000
+    assert not got[2]["kept"] and not got[3]["kept"] and got[4]["n_words"] == 40_000 and got[8]["word_chars"] == 70_000
     assert got[1]["base_failed"] == got[5]["base_failed"]  # equal texts
     assert quality.judge(empty.select("doc_id", "text", "lang"), "doc_id").count() == 0
     assert quality.kept_rows(clashing).columns == clashing.columns
     assert quality.kept_rows(empty).count() == 0
 
 
+def test_many_languages_speak_for_their_documents(spark, monkeypatch):
+    """More languages than every document is compared with: the others still judge their own; without a reference none is judged."""
+    monkeypatch.setattr(quality, "LARGEST", 2)
+    prose = lambda k, n: " ".join(f"{'abcdefghij'[(i * 7 + k) % 10] * (2 + i % 5)}{'xyz'[i % 3]}{i}" if i % 4 else quality.COMMON[(i + k) % 20] for i in range(n))
+    rows = [(100 * k + j, prose(k + j, 300), f"l{k}") for k in range(201) for j in range(8)]
+    rows += [(100_000, " ".join("\u0431\u0435\u043b" + "\u043a\u0430\u0440\u0438"[i % 4] * (1 + i % 9) + "\u043e\u0442"[i % 2] * (i // 9) for i in range(200)), "ru"), (100_001, " ".join("#$%" * (i % 3 + 1) for i in range(200)), "l150"), (100_002, " ".join("#$%" * (i % 3 + 1) + str(i) for i in range(200)), "l150")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for sent in (quality.SENT, 3):
+        monkeypatch.setattr(quality, "SENT", sent)
+        got = {r["doc_id"]: r for r in quality.judge(docs, "doc_id").collect()}
+        assert len(got) == len(rows) and all(got[i]["kept"] for i in range(0, 20_100, 100)) and got[100_000]["kept"] == (not got[100_000]["base_failed"])
+        assert not got[100_002]["base_failed"] and not got[100_002]["kept"]
+
+
 def test_repeated_words_by_hand(spark):
     w = [f"w{i}" for i in range(30)]
     texts = {1: w, 2: w[:10] + w[:10], 3: ["a"] * 20, 4: w[:9] + w[20:22] + w[1:9]}
@@ -48,6 +63,73 @@ def test_html_hand_cases():
     assert html_text.main_text(plain).endswith("Short.")
 
 
+def test_html_of_hard_markup():
+    assert html_text.main_text("<p title=it's>One text.</p><p>Two.</p>") == "One text.\n\nTwo."
+    assert html_text.main_text("<p>&am<b>p;</b> stays.</p>") == "&amp; stays."
+    assert html_text.main_text("<article><p>One.</p><div class='search results'>Two.</div><div class='tags form'>Three</div></article>") == "One.\n\nTwo.\n\nThree"
+    long = "<p>" + "A long paragraph of text. " * 40 + "</p>"
+    for page in (f"<body>{long}<nav>a</nav><nav>b</nav><nav>c</nav><p>The end.</p></body>", f"<body><article>{long}<nav>a</nav><nav>b</nav><nav>c</nav><p>end</p></article></body>"):
+        assert html_text.main_text(page).endswith("nd." if "The" in page else "end")
+    menu = "<div>" + "".join(f"<a href={i}>Link {i}</a><br>" for i in range(9)) + "</div>"
+    page = f"<body><div>Site</div>{menu}<h1>Title</h1>{long}<p>Then short.</p>{menu}<div>\u00a9 2020 Somebody. All rights reserved.</div></body>"
+    got = html_text.main_text(page).split("\n\n")
+    assert got[0] == "Title" and got[-1] == "Then short." and len(got) == 3
+    assert html_text.regions([0, 90, 0, 0, 0, 5, 0]) == [(1, 2)] and html_text.regions([5, 5, 0, 0, 0, 9]) == [(0, 2), (5, 6)]  # least: half of the heaviest window
+
+
+class Plain(HTMLParser):
+    """A second reading of pages that mark their article by the tag alone, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.text, self.article, self.skipped, self.divs = [], "", 0, 0, []
+
+    def cut(self):
+        if " ".join(self.text.split()):
+            self.blocks.append(" ".join(self.text.split()))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.article += 1
+        elif tag in ("script", "style", "nav", "footer") or tag == "div" and dict(attrs).get("class") == "ad":
+            self.skipped += 1
+        if tag == "div":
+            self.divs.append(dict(attrs).get("class") == "ad")
+        if tag == "br":
+            self.text += " "
+        elif tag in html_text.BLOCKS:
+            self.cut()
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCKS:
+            self.cut()
+        if tag == "article":
+            self.article -= 1
+        elif tag in ("script", "style", "nav", "footer") or tag == "div" and self.divs and self.divs.pop():
+            self.skipped -= 1
+
+    def handle_data(self, data):
+        if self.article and not self.skipped:
+            self.text += data
+
+
+def test_html_against_a_second_parser(spark):
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").collect()
+    got = {r["page_id"]: r["text"] for r in html_text.query(spark, SF.replace("0.001", "0.01")).collect()}
+    for r in pages:
+        p = Plain()
+        p.feed(r["html"])
+        p.close()
+        p.cut()
+        assert got[r["page_id"]] == "\n\n".join(p.blocks), r["page_id"]
+
+
+def test_html_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>One text here.</p>", "x", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert html_text.extract(df, ["page_id", "n_chars"]).collect()[0][:] == (1, 5, "One text here.")
+
+
 def test_html_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, ""), (2, "u", "<p>a</p>"), (2, "u", "<p>a</p>"), (3, "u", "<p>" * 3000 + "x" + "<div><span>" * 2000)], "page_id long, url string, html string")
     assert sorted(r["text"] for r in html_text.extract(df, ["page_id"]).collect()) == ["", "", "a", "a", "x"]
