@@ -1,25 +1,31 @@
 """Operator 9: language-model scores by a hashed maximum-entropy model with class-factored softmax.
 
-A token is a lower-cased word, and each text ends with one end token. The SINGLES most frequent tokens are classes of
-their own, all others fall by their hash into the remaining classes: log P(token) = log P(class | context) + log
-P(token | class). The class is a softmax over features hashed into FEATURES rows of weights: the previous token, the
-previous two, the one before the previous (a skip), and a bias. Within a class a token has its smoothed share of the
-class's tokens in the training texts, the maximum-entropy solution without context; what no training text holds
-shares half a count, so probabilities sum to one.
-
-Training passes once over all training texts in ROUNDS parts. In each round every task starts from the same weights,
-takes gradient steps over its texts, and the weights of the tasks, weighted by their tokens, are averaged in slices
-that are summed as a stream. Token counts are exact up to collisions of 64-bit hashes. The HOT most frequent tokens go
-to every task as a table of bounded size; a text's other tokens find their counts by a shuffled join, so nothing that
-grows with the vocabulary is broadcast.
+A token is a lower-cased word, and each text ends with one end token. log P(token) = log P(class | context) + log
+P(slot | class, context) + log P(token | slot). The HOT most frequent tokens fall into classes of about equal shares of
+the training tokens, in the order of their frequency, and all others into the last class. Of a class, the most frequent
+tokens have slots of their own and the rest share the other slots by their hash; so the first classes hold single tokens
+whose probability is a product of two softmaxes. Both softmaxes have features hashed into FEATURES rows of weights: the
+previous token, the previous two, the one before the previous (a skip), each for the slots joined with the class; and a
+bias, which begins at the shares of the training tokens, so that training begins at the model without context. Within a
+slot a token has its share of the slot's tokens, the maximum-entropy solution without context; what no training text
+holds shares half a count of its slot, so probabilities sum to one.
+
+Training texts are dealt by a hash of id and text into lots of about LOT_TOKENS tokens, as many as the corpus needs.
+Training passes once over all of them, in ROUNDS parts. In each round every lot starts from the same weights and takes
+gradient steps over its texts in the order of their hash; the changes of the lots, weighted by their tokens, are averaged
+in slices that are summed as a stream in the order of the lots. So reruns agree, whatever the partitions. Token counts
+are exact up to collisions of 64-bit hashes. The HOT most frequent tokens go to every task as a table of bounded size; a
+text's other tokens find their counts by a shuffled join, so nothing that grows with the vocabulary is broadcast.
 
 Defined cases: a null text has only its end token; a null id counts as the empty text in the fold and forms rows of its
-own; rows repeated in id and text each give a row; without training texts all counts are 0 and V is 0; an empty table
-gives an empty table; other columns don't matter.
+own; rows repeated in id and text each give a row; very long texts are scored whole; tokens of equal counts are ordered
+by their hash; without training texts all counts are 0 and V is 0; an empty table gives an empty table; other columns
+don't matter.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 import uuid
 from collections.abc import Iterator
@@ -32,14 +38,17 @@ from pyspark.sql import functions as F
 from .common import crc_mod, table, use_shared_folder
 from .hashing import CELLS, mix, word_hashes
 
-SINGLES, CLASSES = 20, 32
+#: Classes, and slots of a class, of which the first OWN hold one token each.
+CLASSES, SLOTS, OWN = 32, 32, 20
 FEATURE_BITS = 14
 FEATURES = 1 << FEATURE_BITS
 HOT = 1 << 18
-ROUNDS = 3
+ROUNDS, LOT_TOKENS = 3, 2_000_000
 STEP_TOKENS, RATE = 4096, 0.3
-#: Tokens that are counted together before counts leave a task.
-LOT = 2_000_000
+#: Tokens that are counted together before counts leave a task, trained together, and scored together.
+LOT, TRAINED, SCORED = 2_000_000, 200_000, 150_000
+#: The bias of what holds no token.
+NEVER = -30.0
 END = np.uint64(0x9AE16A3B2F90404F)
 _LN10 = math.log(10)
 
@@ -49,40 +58,36 @@ def tokens(text: str | None) -> np.ndarray:
     return np.append(word_hashes(b" ".join((text or "").encode().lower().split())), END)
 
 
-def class_of(h: np.ndarray, singles: np.ndarray) -> np.ndarray:
-    """singles: hashes in ascending order, at most SINGLES."""
-    rest = (SINGLES + (h >> np.uint64(40)) % np.uint64(CLASSES - SINGLES)).astype(np.int64)
-    if not len(singles):
-        return rest
-    at = np.minimum(np.searchsorted(singles, h), len(singles) - 1)
-    return np.where(singles[at] == h, at, rest)
-
-
-def class_column(h: Column, singles: list[int]) -> Column:
-    """The same for counts of tokens in a DataFrame; only for tokens that are no singles."""
-    return F.shiftrightunsigned(h, 40) % (CLASSES - SINGLES) + SINGLES
-
-
 def contexts(h: np.ndarray) -> np.ndarray:
-    """Feature rows of each token of one text: previous, previous two, skip."""
+    """Hashes of the features of each token of one text: previous, previous two, skip."""
     start = np.uint64(1)
     one = np.concatenate(([start], h[:-1]))
     two = np.concatenate(([start, start], h[:-2])) if len(h) > 1 else np.array([start])
-    shift = np.uint64(64 - FEATURE_BITS)
-    return np.stack([mix(one) >> shift, mix(one * np.uint64(3) + two) >> shift, mix(two ^ np.uint64(0x5DEECE66D)) >> shift]).astype(np.int64)
+    return np.stack([mix(one), mix(one * np.uint64(3) + two), mix(two ^ np.uint64(0x5DEECE66D))])
+
+
+def class_rows(features: np.ndarray) -> np.ndarray:
+    return (features >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+
+
+def slot_rows(features: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Rows of features joined with the classes of their tokens."""
+    return (mix(features + kinds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = weights[rows[0]] + weights[rows[1]] + weights[rows[2]] + bias
-    x -= x.max(1, keepdims=True)
+def log_softmax(x: np.ndarray) -> np.ndarray:
+    x = x - x.max(1, keepdims=True)
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
-def _lots(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[np.ndarray], list[tuple]]]:
-    """Token arrays and the other columns of texts (first column), about ``size`` tokens at once."""
+def _lots(batches: Iterator[pa.RecordBatch], size: int, by: int | None = None) -> Iterator[tuple[list[np.ndarray], list[tuple]]]:
+    """Token arrays and the other columns of texts (first column), about ``size`` tokens at once; rows of one value of column ``by``."""
     found, others, n = [], [], 0
     for batch in batches:
         for text, *other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if by is not None and others and others[-1][by - 1] != other[by - 1]:
+                yield found, others
+                found, others, n = [], [], 0
             found.append(h := tokens(text))
             others.append(tuple(other))
             n += len(h)
@@ -109,125 +114,205 @@ def hot_tokens(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes in ascending order and counts of the most frequent tokens, at most HOT.
 
     The least count is found from how many tokens have each power of two of it, so tasks send nothing but what is kept.
+    Of the level that would be too many, a share by hash is kept.
     """
     level = F.floor(F.log2("c") * 4)
     levels = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, n = None, 0
+    kept, n = F.lit(False), 0
     for at, k in levels:
         if n + k > HOT:
+            share = max(0.0, (HOT - n - 4 * math.sqrt(HOT - n)) / k)  # that many by hash: at most HOT - n by four deviations
+            kept = kept | ((level == int(at)) & (F.shiftrightunsigned(F.xxhash64("h"), 24) < int((1 << 40) * share)))
             break
-        least, n = at, n + k
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        kept, n = level >= int(at), n + k
     # a fixed number of short rows, as binary
-    rows = counts.filter(level >= int(least)).coalesce(8).toArrow()
+    rows = counts.filter(kept).coalesce(8).toArrow()
     h, c = rows["h"].to_numpy().view(np.uint64), rows["c"].to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
 
 
+def slot_column(h: Column) -> Column:
+    """The slot of a token that isn't hot."""
+    return F.shiftrightunsigned(h, 40) % SLOTS
+
+
+class Layer:
+    """A softmax of linear functions: rows of weights for features, a bias row for each condition."""
+
+    def __init__(self, conditions: int, width: int):
+        self.weights, self.bias = np.zeros((FEATURES, width), np.float32), np.full((conditions, width), NEVER, np.float32)
+
+    def begin(self) -> None:
+        self.squares, self.bias_squares = np.zeros(FEATURES, np.float32), np.zeros(len(self.bias), np.float32)
+
+    def logs(self, rows: np.ndarray, conditions: np.ndarray) -> np.ndarray:
+        w = self.weights
+        return log_softmax(w[rows[0]] + w[rows[1]] + w[rows[2]] + self.bias[conditions])
+
+    def step(self, rows: np.ndarray, conditions: np.ndarray, wanted: np.ndarray, rate: float) -> None:
+        """One gradient step; the squares of past gradients of a row scale its steps."""
+        miss = np.exp(self.logs(rows, conditions))
+        miss[np.arange(len(wanted)), wanted] -= 1
+        for at, values, squares in (*((row, self.weights, self.squares) for row in rows), (conditions, self.bias, self.bias_squares)):
+            order = np.argsort(at, kind="stable")
+            own, begins = np.unique(at[order], return_index=True)
+            g = np.add.reduceat(miss[order], begins, axis=0)
+            squares[own] += (g * g).mean(1)
+            values[own] -= rate * g / np.sqrt(squares[own] + 1)[:, None]
+
+
 class Model:
-    def __init__(self, hot: np.ndarray, hot_counts: np.ndarray):
+    """Hot tokens with classes, slots and shares; the two layers. Its size is fixed."""
+
+    def __init__(self, hot: np.ndarray, hot_counts: np.ndarray, cold: dict[int, tuple[int, int]] | None = None):
+        """cold: counts and numbers of the tokens that aren't hot, by slot."""
         self.hot, self.hot_counts = hot, hot_counts
-        first = np.lexsort((hot, -hot_counts))[:SINGLES]
-        self.singles = np.sort(hot[first])
-        self.weights, self.bias = np.zeros((FEATURES, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
+        order = np.lexsort((hot, -hot_counts))
+        before = np.cumsum(hot_counts[order]) - hot_counts[order]
+        kind = np.unique(((CLASSES - 1) * before) // max(1, int(hot_counts.sum())), return_inverse=True)[1] if len(hot) else np.zeros(0, np.int64)
+        first = np.searchsorted(kind, np.arange(CLASSES))
+        place = np.arange(len(hot)) - first[kind]
+        own = np.bincount(kind, minlength=CLASSES)[kind] <= SLOTS
+        slot = np.where(own | (place < OWN), place, OWN + (hot[order] >> np.uint64(40)).astype(np.int64) % (SLOTS - OWN))
+        self.kinds, self.slots = np.empty(len(hot), np.int64), np.empty(len(hot), np.int64)
+        self.kinds[order], self.slots[order] = kind, slot
+        sums = np.zeros((CLASSES, SLOTS))
+        np.add.at(sums, (self.kinds, self.slots), hot_counts)
+        self.shares = np.log10(hot_counts / np.maximum(1, sums[self.kinds, self.slots])) if len(hot) else np.zeros(0)
+        rest = cold or {}
+        self.cold = np.array([math.log10(rest.get(k, (0, 0))[0] + 0.5 * (rest.get(k, (0, 0))[1] + 1)) for k in range(SLOTS)])  # of the last class, by slot
+        sums[-1] = [rest.get(k, (0, 0))[0] + 0.5 * (rest.get(k, (0, 0))[1] + 1) for k in range(SLOTS)]
+        self.classes, self.members = Layer(1, CLASSES), Layer(CLASSES, SLOTS)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.classes.bias[0] = np.maximum(NEVER, np.log(sums.sum(1) / sums.sum()))
+            self.members.bias[:] = np.maximum(NEVER, np.nan_to_num(np.log(sums / sums.sum(1, keepdims=True)), nan=0.0, neginf=NEVER))
+
+    def place_of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place among the hot tokens, whether there, class and slot of tokens."""
+        slot = ((h >> np.uint64(40)) % np.uint64(SLOTS)).astype(np.int64)
+        if not len(self.hot):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool), np.full(len(h), CLASSES - 1), slot
+        at = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)
+        hot = self.hot[at] == h
+        return at, hot, np.where(hot, self.kinds[at], CLASSES - 1), np.where(hot, self.slots[at], slot)
+
+    def begin(self) -> None:
+        self.classes.begin()
+        self.members.begin()
 
     def steps(self, found: list[np.ndarray], rate: float) -> int:
-        """Gradient steps over texts; the squares of past gradients of a row scale its steps."""
-        h, rows = np.concatenate(found), np.concatenate([contexts(x) for x in found], axis=1)
-        wanted = class_of(h, self.singles)
+        h, features = np.concatenate(found), np.concatenate([contexts(x) for x in found], axis=1)
+        _, _, kinds, slots = self.place_of(h)
+        rows = class_rows(features), slot_rows(features, kinds)
+        none = np.zeros(len(h), np.int64)
         for i in range(0, len(h), STEP_TOKENS):
-            at, y = rows[:, i : i + STEP_TOKENS], wanted[i : i + STEP_TOKENS]
-            miss = np.exp(log_softmax(self.weights, self.bias, at))
-            miss[np.arange(len(y)), y] -= 1
-            for row in at:
-                order = np.argsort(row, kind="stable")
-                own, begins, n = np.unique(row[order], return_index=True, return_counts=True)
-                g = np.add.reduceat(miss[order], begins, axis=0)
-                self.squares[own] += (g * g).mean(1)
-                self.weights[own] -= rate * g / np.sqrt(self.squares[own] + 1)[:, None]
-            g = miss.sum(0)
-            self.bias_squares += (g * g).mean()
-            self.bias -= rate * g / math.sqrt(self.bias_squares + 1)
+            at = slice(i, i + STEP_TOKENS)
+            self.classes.step(rows[0][:, at], none[at], kinds[at], rate)
+            self.members.step(rows[1][:, at], kinds[at], slots[at], rate)
         return len(h)
 
-    def begin(self) -> None:
-        self.squares, self.bias_squares = np.zeros(FEATURES, np.float32), 0.0
+    def chosen(self, features: np.ndarray, kinds: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probability of each token's class and slot."""
+        out = np.empty(len(kinds))
+        for i in range(0, len(kinds), 1 << 14):
+            at = slice(i, i + (1 << 14))
+            n = np.arange(len(kinds[at]))
+            first = self.classes.logs(class_rows(features[:, at]), np.zeros(len(n), np.int64))[n, kinds[at]]
+            out[at] = first + self.members.logs(slot_rows(features[:, at], kinds[at]), kinds[at])[n, slots[at]]
+        return out
+
+    def parts(self) -> list[np.ndarray]:
+        return [x for layer in (self.classes, self.members) for x in (layer.weights, layer.bias)]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate((self.weights.ravel(), self.bias))
+        return np.concatenate([x.ravel() for x in self.parts()])
 
     def take(self, flat: np.ndarray) -> None:
-        self.weights = flat[:-CLASSES].reshape(FEATURES, CLASSES).astype(np.float32)
-        self.bias = flat[-CLASSES:].astype(np.float32)
+        at = 0
+        for x in self.parts():
+            x[:] = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
 
 
 def round_of_training(docs: DataFrame, model: Model, rate: float) -> None:
-    """Weights after each task's own steps over its texts, averaged by tokens."""
+    """The mean of the changes that the lots of docs (text, lot, order) make, by their tokens."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights and of hot tokens
+    schema = "slice long, lot long, n long, part binary"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = Model(held.value.hot, held.value.hot_counts), 0
-        own.weights, own.bias = held.value.weights.copy(), held.value.bias.copy()
-        own.begin()
-        for found, _ in _lots(batches, 200_000):
+        start, own = held.value.flat(), copy.deepcopy(held.value)
+        lot, n = None, 0
+
+        def change() -> Iterator[pa.RecordBatch]:
+            flat = (own.flat() - start) * np.float32(n)
+            yield row(-1, b"")
+            for i in range(0, len(flat), CELLS):
+                if flat[i : i + CELLS].any():
+                    yield row(i // CELLS, flat[i : i + CELLS].tobytes())
+
+        def row(k: int, part: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([lot], pa.int64()), pa.array([n], pa.int64()), pa.array([part], pa.binary())], names)
+
+        for found, others in _lots(batches, TRAINED, 1):
+            if others[0][0] != lot:
+                if n:
+                    yield from change()
+                lot, n = others[0][0], 0
+                own.take(start)
+                own.begin()
             n += own.steps(found, rate)
         if n:
-            flat = own.flat().astype(np.float32) * np.float32(n)
-            for i in range(0, len(flat), CELLS):
-                yield pa.RecordBatch.from_arrays([pa.array([i // CELLS], pa.int64()), pa.array([n], pa.int64()), pa.array([flat[i : i + CELLS].tobytes()])], ["slice", "n", "part"])
+            yield from change()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        ns: dict[int, int] = {}
+        n_all = 0
         for batch in batches:
-            for k, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, _, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k < 0:
+                    n_all += n
+                    continue
                 part = np.frombuffer(raw, np.float32).astype(np.float64)
                 sums[k] = sums[k] + part if k in sums else part
-                ns[k] = ns.get(k, 0) + n
+        if n_all:
+            sums[-1] = np.zeros(0)
         if sums:
-            means = [(sums[k] / ns[k]).astype(np.float32).tobytes() for k in sums]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([0] * len(sums), pa.int64()), pa.array(means)], ["slice", "n", "part"])
+            m = len(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([0] * m, pa.int64()), pa.array([n_all] * m, pa.int64()), pa.array([x.tobytes() for x in sums.values()])], names)
 
-    schema = "slice long, n long, part binary"
-    got = docs.select("text").mapInArrow(run, schema).repartition(16, "slice").mapInArrow(summed, schema).collect()
-    if got:
+    dealt = docs.select("text", "lot", "order").repartition("lot").sortWithinPartitions("lot", "order").select("text", "lot")
+    got = dealt.mapInArrow(run, schema).repartition(16, "slice").sortWithinPartitions("slice", "lot").mapInArrow(summed, schema).collect()
+    n_all = sum(r["n"] for r in got if r["slice"] < 0)
+    if n_all:
         flat = model.flat()
-        for k, _, raw in got:
-            part = np.frombuffer(raw, np.float32)
-            flat[k * CELLS : k * CELLS + len(part)] = part
+        for r in got:
+            if r["slice"] >= 0:
+                part = np.frombuffer(r["part"], np.float64)
+                flat[r["slice"] * CELLS : r["slice"] * CELLS + len(part)] += (part / n_all).astype(np.float32)
         model.take(flat)
-    held.unpersist()
-
+    held.destroy()
 
-def scored(docs: DataFrame, model: Model, counts: DataFrame, total: int, distinct: int, within: np.ndarray) -> DataFrame:
-    """Rows of docs (doc_id, text, held_out) with n_tokens, n_known, base_score, score.
 
-    within: log10 of the denominator of each class's shares; 0 for singles.
-    """
-    held = docs.sparkSession.sparkContext.broadcast((model, within))
+def scored(docs: DataFrame, model: Model, counts: DataFrame, total: int, distinct: int) -> DataFrame:
+    """Rows of docs (doc_id, text, held_out) with n_tokens, n_known, base_score, score."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
     base = math.log10(total + 0.5 * (distinct + 1))
     parts = "doc_id long, held_out boolean, text_hash long, h long, k long, n_tokens long, n_known long, base double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, within = held.value
-        for found, others in _lots(batches, 150_000):
+        model = held.value
+        for found, others in _lots(batches, SCORED):
             h = np.concatenate(found)
             sizes = np.array([len(x) for x in found])
             row = np.repeat(np.arange(len(found)), sizes)
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             words, place = np.unique(h, return_inverse=True)
-            at = np.minimum(np.searchsorted(model.hot, words), max(0, len(model.hot) - 1))
-            hot = model.hot[at] == words if len(model.hot) else np.zeros(len(words), bool)
-            kind = class_of(words, model.singles)
-            value = np.where(hot, np.log10((model.hot_counts[at] if len(model.hot) else np.zeros(len(words))) + 0.5), 0.0)
-            plain = np.where(kind < SINGLES, 0.0, value) - within[kind]  # of the class; a single token needs no share
-            rows = np.concatenate([contexts(x) for x in found], axis=1)
-            chosen = np.empty(len(h))
-            for i in range(0, len(h), 1 << 14):
-                logs = log_softmax(model.weights, model.bias, rows[:, i : i + (1 << 14)])
-                chosen[i : i + (1 << 14)] = logs[np.arange(len(logs)), kind[place[i : i + (1 << 14)]]]
+            at, hot, kind, slot = model.place_of(words)
+            value, plain = np.zeros(len(words)), -model.cold[slot]
+            value[hot], plain[hot] = np.log10(model.hot_counts[at[hot]] + 0.5), model.shares[at[hot]]
+            chosen = model.chosen(np.concatenate([contexts(x) for x in found], axis=1), kind[place], slot[place])
             sums = lambda x: np.add.reduceat(x, starts)
             ids, outs, hashes = [o[0] for o in others], [o[1] for o in others], np.array([o[2] for o in others], np.int64)
             known = sums(hot[place].astype(np.int64))
@@ -275,17 +360,17 @@ def train_and_score(docs: DataFrame) -> DataFrame:
     counts = spark.read.schema("h long, c long").parquet(path)
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"] or 0, sums["v"]
-    model = Model(*hot_tokens(counts))
-    singles = [int(x) for x in model.singles.view(np.int64)]
-    share = np.zeros(CLASSES)
-    share[SINGLES:] = math.log10(0.5)
-    rest = counts.filter(~F.col("h").isin(singles)) if singles else counts
-    for r in rest.groupBy(class_column(F.col("h"), singles).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
-        share[r["k"]] = math.log10(r["n"] + 0.5 * (r["v"] + 1))
-    part = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
+    hot, hot_counts = hot_tokens(counts)
+    cold = counts.groupBy(slot_column(F.col("h")).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    hot_slots = (hot >> np.uint64(40)).astype(np.int64) % SLOTS
+    rest = {r["k"]: (r["n"] - int(hot_counts[hot_slots == r["k"]].sum()), r["v"] - int((hot_slots == r["k"]).sum())) for r in cold}
+    model = Model(hot, hot_counts, rest)
+    lots = max(ROUNDS, -(-total // LOT_TOKENS))
+    row = lambda i: F.xxhash64("doc_id", "text", F.lit(i))
+    learn = learn.withColumns({"lot": F.pmod(row(1), F.lit(lots)), "order": row(2)})
     for i in range(ROUNDS):
-        round_of_training(learn.filter(part == i), model, RATE / (1 + i))
-    return scored(docs.withColumn("text_hash", F.xxhash64("text")), model, counts, total, distinct, share)
+        round_of_training(learn.filter(F.col("lot") % ROUNDS == i), model, RATE / (1 + i))
+    return scored(docs.withColumn("text_hash", F.xxhash64("text")), model, counts, total, distinct)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
