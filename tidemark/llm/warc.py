@@ -7,11 +7,13 @@ decompresses incrementally, member by member, frames each record by its lengths,
 payload with the one that the header states.
 
 Archives of about ARCHIVE_BYTES are rows with a binary column, so Spark's own readers and writers move them in any
-store; ``read_files`` reads ordinary .warc.gz files through Spark's binaryFile source.
+store; ``write_files`` writes them as ordinary .warc.gz files through a Python data source, whose tasks write under
+names of their own and whose driver keeps those of the tasks that were committed; ``read_files`` reads such files
+through Spark's binaryFile source.
 
 Defined cases: a null page counts as an empty payload, a null id is written as empty and counts as smaller than any
-other; among pages that repeat id and payload all with the largest id are responses; control characters in a URL are
-percent-encoded; an empty table gives no archive and no record. A record whose digest differs or whose framing is
+other; among pages that repeat id and payload all with the largest id are responses; a payload longer than an archive
+makes an archive of its own; control characters in a URL are percent-encoded; an empty table gives no archive and no record. A record whose digest differs or whose framing is
 broken raises ValueError.
 """
 
@@ -22,10 +24,14 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from .common import table, use_shared_folder
 
@@ -200,6 +206,59 @@ def read_files(spark: SparkSession, path: str, payloads: bool = True) -> DataFra
     return read(files.select(F.col("path").alias("archive_id"), "content"), payloads)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    names: list[str]
+
+
+class WarcFiles(DataSource):
+    """Sink of archives (archive_id, content) as files in a folder that all tasks reach."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return WarcWriter(self.options["path"], schema.fieldNames())
+
+
+class WarcWriter(DataSourceWriter):
+    def __init__(self, path: str, names: list[str]):
+        self.path, self.names = path, names
+
+    def folder(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.path)
+
+    def write(self, iterator: Iterator[Row]) -> Written:
+        store, folder = self.folder()
+        store.create_dir(f"{folder}/_tasks", recursive=True)
+        task, names = uuid.uuid4().hex, []
+        for k, row in enumerate(iterator):
+            name = f"{row[self.names.index('archive_id')]}-{task}-{k}.warc.gz"
+            with store.open_output_stream(f"{folder}/_tasks/{name}", compression=None) as out:
+                out.write(bytes(row[self.names.index("content")]))
+            names.append(name)
+        return Written(names)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        store, folder = self.folder()
+        for name in (n for m in messages if m for n in m.names):
+            store.move(f"{folder}/_tasks/{name}", f"{folder}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        """What tasks left that weren't committed goes."""
+        store, folder = self.folder()
+        if store.get_file_info(f"{folder}/_tasks").type != fs.FileType.NotFound:
+            store.delete_dir(f"{folder}/_tasks")
+
+
+def write_files(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """The pages as .warc.gz files in a folder, a path or address that pyarrow's file systems open."""
+    pages.sparkSession.dataSource.register(WarcFiles)
+    pack(with_revisits(pages), archive_bytes).select("archive_id", "content").write.format("warc").mode("append").option("path", path).save()
+
+
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     pack(with_revisits(pages), archive_bytes).write.option("compression", "none").mode("overwrite").parquet(path)
 
