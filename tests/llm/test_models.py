@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
@@ -190,12 +191,93 @@ def test_lm_base_by_brute_force_and_gain(spark, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_lm_probabilities_sum_to_one():
-    model = maxent_lm.Model(np.array([3, 9], np.uint64), np.array([5, 2]))
+def small_model(monkeypatch, words, hot):
+    """A model trained on a few texts, and the counts of their tokens."""
+    monkeypatch.setattr(maxent_lm, "STEP_TOKENS", 64)
+    rng = np.random.default_rng(0)
+    texts = [" ".join(words[int(i)] for i in np.minimum(rng.geometric(0.05, 40) - 1, len(words) - 1)) for _ in range(60)]
+    counts = Counter(int(h) for t in texts for h in maxent_lm.tokens(t))
+    kept = sorted(h for h, _ in counts.most_common(hot))
+    rest = {}
+    for h, c in counts.items():
+        if h not in kept:
+            n, v = rest.get((h >> 40) % maxent_lm.SLOTS, (0, 0))
+            rest[(h >> 40) % maxent_lm.SLOTS] = n + c, v + 1
+    model = maxent_lm.Model(np.array(kept, np.uint64), np.array([counts[h] for h in kept]), rest)
     model.begin()
-    model.steps([maxent_lm.tokens("a b a c") for _ in range(50)], 0.3)
-    rows = np.stack([maxent_lm.contexts(maxent_lm.tokens("x y z"))[:, i] for i in range(3)], axis=1)
-    assert np.allclose(np.exp(maxent_lm.log_softmax(model.weights, model.bias, rows)).sum(1), 1, atol=1e-5)
+    model.steps([maxent_lm.tokens(t) for t in texts], 0.3)
+    return model, counts, rest, texts
+
+
+def plain_log10(model, rest, counts, tokens, i):
+    """log10 P of a token of a text by loops over the same weights."""
+    one, two = (tokens[i - 1] if i else 1), (tokens[i - 2] if i > 1 else 1)
+    mixed = lambda x: int(maxent_lm.mix(np.array([x % 2**64], np.uint64))[0])
+    features = [mixed(one), mixed(one * 3 + two), mixed(two ^ 0x5DEECE66D)]
+    at = {int(h): k for k, h in enumerate(model.hot)}
+    h = tokens[i]
+    kind, slot = (int(model.kinds[at[h]]), int(model.slots[at[h]])) if h in at else (maxent_lm.CLASSES - 1, (h >> 40) % maxent_lm.SLOTS)
+    total = 0.0
+    for layer, rows, condition, wanted in (
+        (model.classes, [f >> 50 for f in features], 0, kind),
+        (model.members, [mixed(f + kind * 0x9E3779B97F4A7C15) >> 50 for f in features], kind, slot),
+    ):
+        x = [sum(float(layer.weights[r][j]) for r in rows) + float(layer.bias[condition][j]) for j in range(layer.weights.shape[1])]
+        total += x[wanted] - max(x) - math.log(sum(math.exp(v - max(x)) for v in x))
+    total /= math.log(10)
+    if h in at:
+        same = sum(int(model.hot_counts[k]) for k in range(len(model.hot)) if (model.kinds[k], model.slots[k]) == (kind, slot))
+        return total + math.log10(counts[h] / same)
+    n, v = rest.get(slot, (0, 0))
+    return total + math.log10((counts.get(h, 0) + 0.5) / (n + 0.5 * (v + 1)))
+
+
+def test_lm_probabilities_sum_to_one(monkeypatch):
+    for words, hot in ((["a", "b", "c"], 3), ([f"w{i}" for i in range(120)], 60), ([f"w{i}" for i in range(120)], 0)):
+        model, counts, rest, texts = small_model(monkeypatch, words, hot)
+        before = [int(h) for h in maxent_lm.tokens(texts[0])[:5]]
+        seen = sum(10 ** plain_log10(model, rest, counts, [*before, h], 5) for h in counts)
+        # the half count of each cold slot is for what no training text holds
+        unseen = 0.0
+        for slot in range(maxent_lm.SLOTS):
+            h = next(x for x in (slot << 40 | k for k in range(1, 99)) if x not in counts)
+            unseen += 10 ** plain_log10(model, rest, counts, [*before, h], 5)
+        assert abs(seen + unseen - 1) < 1e-4, (hot, seen, unseen)
+
+
+def test_lm_scores_by_plain_loops(spark):
+    """The query's model again through loops, for some texts; and the same scores from other partitions."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
+    models = []
+    plain = maxent_lm.scored
+
+    def kept(docs, model, counts, total, distinct):
+        models.append((model, {r["h"] % 2**64: r["c"] for r in counts.collect()}))
+        return plain(docs, model, counts, total, distinct)
+
+    maxent_lm.scored = kept
+    try:
+        got = {r["doc_id"]: r for r in maxent_lm.train_and_score(docs.repartition(3)).collect()}
+        again = {r["doc_id"]: r for r in maxent_lm.train_and_score(docs.coalesce(1)).collect()}
+    finally:
+        maxent_lm.scored = plain
+    assert all(abs(got[i]["score"] - again[i]["score"]) < 1e-6 for i in got) and (models[0][0].flat() == models[1][0].flat()).all()
+    model, counts = models[0]
+    hot, rest = {int(h) for h in model.hot}, {}
+    for h, c in counts.items():
+        if h not in hot:
+            n, v = rest.get((h >> 40) % maxent_lm.SLOTS, (0, 0))
+            rest[(h >> 40) % maxent_lm.SLOTS] = n + c, v + 1
+    for r in sorted(docs.collect(), key=lambda r: len(r["text"]))[5:60:18]:
+        h = [int(x) for x in maxent_lm.tokens(r["text"])]
+        assert got[r["doc_id"]]["score"] == pytest.approx(sum(plain_log10(model, rest, counts, h, i) for i in range(len(h))), abs=1e-3)
+
+
+def test_lm_of_tokens_that_are_all_equally_frequent(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "HOT", 64)
+    counts = spark.range(400).select(F.xxhash64("id").alias("h"), F.lit(1).cast("long").alias("c"))
+    h, c = maxent_lm.hot_tokens(counts)
+    assert 10 <= len(h) <= 64 and (np.diff(h.astype(np.float64)) > 0).all() and (c == 1).all()
 
 
 def test_lm_odd_rows(odd, empty):

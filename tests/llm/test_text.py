@@ -136,6 +136,17 @@ def test_html_odd_rows(spark):
     assert html_text.extract(df.limit(0), ["page_id"]).count() == 0
 
 
+def test_warc_files_round_trip(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    warc.write_files(pages.repartition(3), str(tmp_path / "out"), archive_bytes=50_000)
+    names = os.listdir(tmp_path / "out")
+    assert len(names) >= 3 and all(n.endswith(".warc.gz") for n in names)
+    with gzip.open(tmp_path / "out" / names[0]) as f:
+        assert f.read(8) == b"WARC/1.1"
+    got = {r["page_id"]: (r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_files(spark, str(tmp_path / "out")).collect()}
+    assert got == {r["page_id"]: (r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.query(spark, SF).collect()}
+
+
 PAGES = "page_id long, url string, html string, sha1 string, payload int"
 
 
