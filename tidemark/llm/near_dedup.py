@@ -20,8 +20,9 @@ candidates. Links are sought in three steps, each followed by joining what it li
 3. Every pair of a bucket whose classes still differ is tried: in buckets of at most WHOLE members as they are, in
    larger ones the pairs that share one of their rarest shingles. At SIMILARITY a pair shares one of the first fifth or
    so of its shingles in any fixed order (prefix filter), so that loses no pair, and in the order of document
-   frequencies what a large bucket has in common comes last. A pair of two classes has a side outside the largest
-   class of its cell, so only these sides are held against the cell.
+   frequencies what a large bucket has in common comes last. From their first common shingle on, both texts must have
+   the weight that similar texts have in common (positional filter). A pair of two classes has a side outside the
+   largest class of its cell, so only these sides are held against the cell.
 
 The number of steps is fixed, so plans and the driver's memory don't grow. To compare pairs, their cells are cut into
 blocks of about BLOCK nodes; a text travels once to each pair of blocks where it is needed, not once for each pair.
@@ -222,29 +223,34 @@ def with_drawn_leaders(members: DataFrame) -> DataFrame:
     return met.select(F.col("key").alias("cell"), "n", *pair("node", "leader")).dropDuplicates(["a", "b"])
 
 
-def prefix(found: np.ndarray, weights: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a text, one of which it shares with any text that is similar enough."""
+def prefix(found: np.ndarray, weights: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of a text, one of which it shares with any text that is similar enough; the weight from each on."""
     order = np.lexsort((found, -idf[(found >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)]))
-    left = np.cumsum(weights[order][::-1].astype(np.float64))[::-1]  # weight from a place on
-    return found[order[: int((left >= SIMILARITY * left[0] * (1 - 1e-5)).sum()) if len(found) else 0]]
+    left = np.cumsum(weights[order][::-1].astype(np.float64))[::-1]
+    n = int((left >= SIMILARITY * left[0] * (1 - 1e-5)).sum()) if len(found) else 0
+    return found[order[:n]], left[:n]
 
 
 def prefixes(nodes: DataFrame, texts: DataFrame, held: Broadcast) -> DataFrame:
-    """node, label, weight and each shingle of the prefix, for nodes (node, label)."""
+    """node, label, weight, and each shingle of the prefix (cell) with the weight from it on (left), for nodes (node, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = held.value
         for batch in batches:
             for lot in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                sums, kept = [], []
+                sums, kept, lefts = [], [], []
                 for text in lot.column(2).to_pylist():
                     found, weights = weighted(normal(text), idf)
                     sums.append(float(weights.sum(dtype=np.float64)))
-                    kept.append(prefix(found, weights, idf).view(np.int64))
-                yield pa.RecordBatch.from_arrays([lot.column(0), lot.column(1), pa.array(sums, pa.float64()), pa.array(kept, pa.list_(pa.int64()))], ["node", "label", "weight", "shingles"])
+                    cells, left = prefix(found, weights, idf)
+                    kept.append(cells.view(np.int64))
+                    lefts.append(left)
+                columns = [lot.column(0), lot.column(1), pa.array(sums, pa.float64()), pa.array(kept, pa.list_(pa.int64())), pa.array(lefts, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "label", "weight", "cell", "left"])
 
-    got = nodes.join(texts, "node").select("node", "label", "text").mapInArrow(run, "node binary, label binary, weight double, shingles array<long>")
-    return got.select("node", "label", "weight", F.explode("shingles").alias("cell"))
+    schema = "node binary, label binary, weight double, cell array<long>, left array<double>"
+    got = nodes.join(texts, "node").select("node", "label", "text").mapInArrow(run, schema)
+    return got.select("node", "label", "weight", F.explode(F.arrays_zip("cell", "left")).alias("x")).select("node", "label", "weight", "x.cell", "x.left")
 
 
 def outside(rows: DataFrame, cell: str) -> DataFrame:
@@ -254,10 +260,13 @@ def outside(rows: DataFrame, cell: str) -> DataFrame:
     return rows.drop("n").join(cells.filter("labels > 1").drop("labels"), cell)
 
 
-def across(rows: DataFrame, cell: str, near: Column | None = None) -> DataFrame:
-    """The pairs of different labels in what ``outside`` gives, from the sides that don't have the label of most."""
-    own = rows.filter("label <> most").select(F.col(cell).alias("cell"), "n", F.col("node").alias("own"), F.col("label").alias("own_label"), *([F.col("weight").alias("own_weight")] if near is not None else []))
-    other = rows.select(F.col(cell).alias("cell"), F.col("node").alias("other"), F.col("label").alias("other_label"), *([F.col("weight").alias("other_weight")] if near is not None else []))
+def across(rows: DataFrame, cell: str, near: Column | None = None, *also: str) -> DataFrame:
+    """The pairs of different labels in what ``outside`` gives, from the sides that don't have the label of most.
+
+    near: what must hold besides, on the columns ``also`` of both sides, own_ and other_.
+    """
+    side = lambda name: [F.col("node").alias(name), F.col("label").alias(f"{name}_label"), *(F.col(c).alias(f"{name}_{c}") for c in also)]
+    own, other = rows.filter("label <> most").select(F.col(cell).alias("cell"), "n", *side("own")), rows.select(F.col(cell).alias("cell"), *side("other"))
     met = own.join(other, "cell").filter(F.col("own_label") != F.col("other_label"))
     return (met if near is None else met.filter(near)).select("cell", "n", *pair("own", "other")).dropDuplicates(["a", "b"])
 
@@ -268,8 +277,9 @@ def pairs_left(members: DataFrame, texts: DataFrame, held: Broadcast) -> DataFra
     whole = across(mixed.filter(F.col("n") <= WHOLE), "key")
     large = mixed.filter(F.col("n") > WHOLE).select("node", "label").distinct()
     rare = checkpointed(outside(prefixes(large, texts, held), "cell"))
-    near = F.least("own_weight", "other_weight") >= (SIMILARITY - 1e-5) * F.greatest("own_weight", "other_weight")
-    return whole.unionByName(across(rare, "cell", near))
+    # at their first common shingle both sides must still have what similar texts have in common
+    near = F.least("own_left", "other_left") >= (SIMILARITY / (1 + SIMILARITY) - 1e-5) * (F.col("own_weight") + F.col("other_weight"))
+    return whole.unionByName(across(rare, "cell", near, "weight", "left"))
 
 
 def components(links: DataFrame) -> DataFrame:
