@@ -49,7 +49,12 @@ def irls(x: np.ndarray, y: np.ndarray, c: float = C) -> np.ndarray:
 
 def logit_walk_forward(df: DataFrame, names: list[str], purge: int = PURGE) -> DataFrame:
     """series_id, year, n, coef (intercept first) of each refit with enough rows and positives."""
-    rows = training(df, purge).dropna(subset=[*names, "y"]).select(SERIES, "year", "pos", "y", *names)
+    return logit_by_group(training(df, purge).dropna(subset=[*names, "y"]), names)
+
+
+def logit_by_group(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The same for rows (series_id, year, pos, y, names) that are already those to learn from."""
+    rows = rows.select(SERIES, "year", "pos", "y", *names)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
@@ -89,11 +94,17 @@ def ols_walk_forward(df: DataFrame, names: list[str], y: str, purge: int = PURGE
     return got.mapInPandas(solve, f"{SERIES} string, year int, n long, coef array<double>")
 
 
-def block_bootstrap(df: DataFrame, value: str, by: list[str], block: int = 40, draws: int = 2000, seed: int = 0, ratio_to: str | None = None) -> DataFrame:
-    """Circular block bootstrap of the mean of a column, or of 1 - mean / mean of ``ratio_to``: estimate and 95 % interval."""
+def block_bootstrap(df: DataFrame, value: str, by: list[str], block: int = 40, draws: int = 2000, seed: int = 0, ratio_to: str | None = None, quantile: float | None = None) -> DataFrame:
+    """Circular block bootstrap of the mean of a column, of 1 - mean / mean of ``ratio_to``, or of a quantile: estimate and 95 % interval."""
     kinds = dict(df.dtypes)
     names = [value] + ([ratio_to] if ratio_to else [])
 
+    def statistic(x: np.ndarray, axis: int) -> np.ndarray:
+        if quantile is not None:
+            return np.quantile(x[..., 0], quantile, axis=axis)
+        means = x.mean(axis)
+        return 1 - means[..., 0] / means[..., 1] if ratio_to else means[..., 0]
+
     def one(group: pd.DataFrame) -> pd.DataFrame:
         x = group.sort_values("pos")[names].to_numpy(float)
         n, k = len(x), -(-len(x) // block)
@@ -102,11 +113,10 @@ def block_bootstrap(df: DataFrame, value: str, by: list[str], block: int = 40, d
         for i in range(0, draws, lot):
             starts = rng.integers(0, n, size=(min(lot, draws - i), k))
             at = ((starts[:, :, None] + np.arange(block)) % n).reshape(len(starts), -1)[:, :n]
-            means = x[at].mean(1)
-            stats.append(1 - means[:, 0] / means[:, 1] if ratio_to else means[:, 0])
-        drawn, whole = np.concatenate(stats), x.mean(0)
+            stats.append(statistic(x[at], 1))
+        drawn = np.concatenate(stats)
         low, high = np.percentile(drawn, [2.5, 97.5])
-        return pd.DataFrame({**{c: [group[c].iloc[0]] for c in by}, "n": [n], "estimate": [1 - whole[0] / whole[1] if ratio_to else whole[0]], "low": [low], "high": [high]})
+        return pd.DataFrame({**{c: [group[c].iloc[0]] for c in by}, "n": [n], "estimate": [float(statistic(x, 0))], "low": [low], "high": [high]})
 
     return df.dropna(subset=names).select(*by, "pos", *names).groupBy(*by).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in by) + ", n long, estimate double, low double, high double")
 
@@ -115,7 +125,7 @@ def _stationary(a: np.ndarray) -> np.ndarray:
     return np.array([a[1, 0], a[0, 1]]) / (a[0, 1] + a[1, 0])
 
 
-def _posteriors(x: np.ndarray, a: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def posteriors(x: np.ndarray, a: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """State probabilities of each row, expected transitions, and the log-likelihood: scaled forward and backward passes."""
     logs = np.empty((len(x), 2))
     for k in range(2):
@@ -150,7 +160,7 @@ def em_chain(x: np.ndarray, a: np.ndarray, mean: np.ndarray, cov: np.ndarray, ro
     """
     last, converged, taken = -np.inf, False, 0
     for _ in range(rounds):
-        gamma, moves, ll = _posteriors(x, a, mean, cov)
+        gamma, moves, ll = posteriors(x, a, mean, cov)
         if ll - last < tolerance:
             converged = True
             break
@@ -164,7 +174,7 @@ def em_chain(x: np.ndarray, a: np.ndarray, mean: np.ndarray, cov: np.ndarray, ro
         raise ArithmeticError("a state lost all its rows")
     if cov[0, 0, 0] > cov[1, 0, 0]:
         a, mean, cov = a[::-1, ::-1], mean[::-1], cov[::-1]
-    return a, mean, cov, _posteriors(x, a, mean, cov)[0].mean(0), taken, converged
+    return a, mean, cov, posteriors(x, a, mean, cov)[0].mean(0), taken, converged
 
 
 def split(x: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

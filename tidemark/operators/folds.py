@@ -131,6 +131,31 @@ def sizing(df: DataFrame, grid: float = 0.05, band: float = 0.10, w: float | Non
     return fold(df, ["w_target", "mult", "week_end"], "w_exec double, reason string", step, {"w": w, "m": mult}, by)
 
 
+def sizing_rules(rows: DataFrame) -> DataFrame:
+    """The same step where grid, band, check and at_once are columns: rows of many rules, one path each."""
+
+    def step(held: dict, row: tuple) -> tuple:
+        target, m, grid, band, check, at_once = row
+        w, before = held["w"], held["m"]
+        if target is None or m is None:
+            why = "input_missing"
+        else:
+            goal = round(round(target / grid) * grid, 10)
+            if w is None:
+                w, why = goal, "init"
+            elif at_once and before is not None and m < before:
+                w, why = min(goal, w), "escalation"
+            elif check and abs(target - w) >= band:
+                w, why = goal, "weekly"
+            else:
+                why = "hold"
+        held["w"] = w
+        held["m"] = m if m is not None else before
+        return w, why
+
+    return fold(rows, ["w_target", "mult", "grid", "band", "check", "at_once"], "w_exec double, reason string", step, {"w": None, "m": None}, "path")
+
+
 @dataclass(frozen=True)
 class Regimes:
     """A two-state Gaussian model: stay probabilities, means and variances of one observation; state 1 is the volatile."""
@@ -193,7 +218,7 @@ def macd_phase(df: DataFrame, confirm: int = 3, fast: int = 12, slow: int = 26,
         if hist < 0:
             phase = "turn" if held["run"] >= confirm else "down"
         else:
-            phase = "roll" if held["run"] <= -confirm else "up"
+            phase = "roll" if hist > 0 and held["run"] <= -confirm else "up"
         return hist, held["run"], phase
 
     return fold(df, ["close"], "hist double, run long, phase string", step, {"f": None, "s": None, "g": None, "h": None, "run": 0})

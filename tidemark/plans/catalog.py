@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import research  # noqa: F401  registers its queries
 from tidemark.plans.queries import QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -192,6 +192,8 @@ def props_json(spark, sf):
     return market.table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+FOMC_SQL = repr(list(sessions.FOMC))
+
 # ---- calendar ---------------------------------------------------------------------------------------------------
 
 YEARS = (1996, 2026)
@@ -582,6 +584,12 @@ def _targets_of_size(spark, sf):
     return d.withColumn("week_end", F.col("pos") % 5 == 0)
 
 
+def _decided(spark, sf):
+    """Decided states with the label of each session and the ratio they were decided by."""
+    oos = _oos(spark, sf)
+    return folds.decisions(_ratios(spark, sf)).join(oos.select(SERIES, "pos", "date", "y", "p", "clim", "fwd_ret_20"), [SERIES, "pos"]).join(_ratios(spark, sf).select(SERIES, "pos", "r"), [SERIES, "pos"])
+
+
 @query()
 def sizing_path(spark, sf):
     return folds.sizing(_targets_of_size(spark, sf))
