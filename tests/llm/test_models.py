@@ -90,7 +90,11 @@ def test_prefixes_of_similar_sets_meet():
             sets = [np.unique(np.concatenate([common, rng.integers(0, 2**64, rng.integers(0, n // 8 + 1), dtype=np.uint64)])) for _ in "ab"]
             a, b = ((x, rng.integers(1, 3, len(x)).astype(np.float32) * idf[(x >> np.uint64(64 - near_dedup.FEATURE_BITS)).astype(np.int64)]) for x in sets)
             if near_dedup.similarity(a, b) >= near_dedup.SIMILARITY:
-                assert len(np.intersect1d(near_dedup.prefix(*a, idf), near_dedup.prefix(*b, idf)))
+                (x, left), (y, other) = near_dedup.prefix(*a, idf), near_dedup.prefix(*b, idf)
+                assert len(np.intersect1d(x, y))
+                i = int(np.isin(x, y).argmax())  # the first common shingle
+                common = min(left[i], other[int(np.flatnonzero(y == x[i])[0])])
+                assert common >= 0.8 / 1.8 * (a[1].sum(dtype=float) + b[1].sum(dtype=float)) * (1 - 1e-5)
 
 
 def test_near_dedup_odd_rows(odd, empty, clashing):

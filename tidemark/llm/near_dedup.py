@@ -58,7 +58,7 @@ WEIGHT = 0.2
 FEATURE_BITS = 20
 LEVELS = 1 << 16
 #: Leaders of a bucket in the second step, and members of a bucket that is compared whole in the third.
-DRAWS, WHOLE = 8, 16
+DRAWS, WHOLE = 3, 16
 #: Nodes of a cell that are compared with as many at once.
 BLOCK = 128
 
@@ -189,9 +189,11 @@ def verified(pairs: DataFrame, texts: DataFrame, held: Broadcast) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(4).take(at), batch.column(5).take(at)], ["a", "b"])
 
     block = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("n") / BLOCK))
-    # used twice, and which of equal pairs is kept may differ between two computations
+    # used twice
     dealt = checkpointed(pairs.select(F.xxhash64("cell", block("a"), block("b")).alias("lot"), "a", "b", "label_a", "label_b"))
-    needed = dealt.select("lot", F.explode(F.array("a", "b")).alias("node")).distinct()
+    # a lot has at most two blocks of nodes
+    nodes = dealt.groupBy("lot").agg(F.array_union(F.collect_set("a"), F.collect_set("b")).alias("nodes"))
+    needed = nodes.select("lot", F.explode("nodes").alias("node"))
     none = F.lit(None).cast("binary")
     first = needed.join(texts, "node").select("lot", F.lit(0).alias("turn"), F.col("node").alias("a"), none.alias("b"), none.alias("label_a"), none.alias("label_b"), "text")
     both = first.unionByName(dealt.select("lot", F.lit(1).alias("turn"), "a", "b", "label_a", "label_b", F.lit(None).cast("string").alias("text")))
@@ -205,6 +207,12 @@ def pair(a: str, b: str) -> list[Column]:
     return [side(a, b).alias("a"), side(b, a).alias("b"), side(f"{a}_label", f"{b}_label").alias("label_a"), side(f"{b}_label", f"{a}_label").alias("label_b")]
 
 
+def once(pairs: DataFrame) -> DataFrame:
+    """Each pair in the least of its cells, so that the pairs of a node share cells and its text travels to few lots."""
+    least = pairs.groupBy("a", "b", "label_a", "label_b").agg(F.min(F.struct("cell", "n")).alias("at"))
+    return least.select("at.cell", "at.n", "a", "b", "label_a", "label_b")
+
+
 def with_one_leader(members: DataFrame) -> DataFrame:
     """Pairs of each node and the leader that it shares most bands with. members: key, n (its size), node, sum (of n)."""
     leaders = members.groupBy("key").agg(F.max_by("node", F.struct("sum", "node")).alias("leader"))
@@ -220,7 +228,7 @@ def with_drawn_leaders(members: DataFrame) -> DataFrame:
     leaders = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.array_distinct(drawn).alias("drawn"))
     leaders = leaders.filter("low <> high").select("key", F.explode("drawn").alias("x")).select("key", F.col("x.node").alias("leader"), F.col("x.label").alias("leader_label"))
     met = members.withColumnRenamed("label", "node_label").join(leaders, "key").filter("node_label <> leader_label")
-    return met.select(F.col("key").alias("cell"), "n", *pair("node", "leader")).dropDuplicates(["a", "b"])
+    return once(met.select(F.col("key").alias("cell"), "n", *pair("node", "leader")))
 
 
 def prefix(found: np.ndarray, weights: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +276,7 @@ def across(rows: DataFrame, cell: str, near: Column | None = None, *also: str) -
     side = lambda name: [F.col("node").alias(name), F.col("label").alias(f"{name}_label"), *(F.col(c).alias(f"{name}_{c}") for c in also)]
     own, other = rows.filter("label <> most").select(F.col(cell).alias("cell"), "n", *side("own")), rows.select(F.col(cell).alias("cell"), *side("other"))
     met = own.join(other, "cell").filter(F.col("own_label") != F.col("other_label"))
-    return (met if near is None else met.filter(near)).select("cell", "n", *pair("own", "other")).dropDuplicates(["a", "b"])
+    return once((met if near is None else met.filter(near)).select("cell", "n", *pair("own", "other")))
 
 
 def pairs_left(members: DataFrame, texts: DataFrame, held: Broadcast) -> DataFrame:
