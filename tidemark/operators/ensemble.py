@@ -113,7 +113,8 @@ def admission_due(tiles: DataFrame, last_eval: int | None = None) -> DataFrame:
 def effective_statuses(members: DataFrame, asof: str) -> DataFrame:
     """members (member, status, effective): an admitted one is in the shadow until its date; one without a date is at fault."""
     late = F.col("effective").isNull() | (F.col("effective") > F.lit(asof).cast("date"))
-    return members.withColumn("status", F.when((F.col("status") == "admitted") & late, "shadow").otherwise(F.col("status"))).withColumn("fault", (F.col("status") == "admitted") & F.col("effective").isNull())
+    admitted = F.col("status") == "admitted"
+    return members.withColumns({"fault": admitted & F.col("effective").isNull(), "status": F.when(admitted & late, "shadow").otherwise(F.col("status"))})
 
 
 def registry(oos: DataFrame, statuses: dict[str, str]) -> DataFrame:

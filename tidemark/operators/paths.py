@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import SERIES, YEAR, ahead, series, trailing, whole
+from tidemark.functions.expr import SERIES, YEAR, series, trailing, whole
 
 
 def drawdown(closes: DataFrame) -> DataFrame:
@@ -80,11 +80,6 @@ def churn(changed: Column, k: int = YEAR) -> Column:
     return F.sum(changed.cast("long")).over(trailing(k))
 
 
-def starts_ahead(is_start: Column, h: int) -> Column:
-    """Whether an event starts in the next h sessions; the tail sees what is left of them."""
-    return F.coalesce(F.max(is_start.cast("int")).over(ahead(h)), F.lit(0))
-
-
 def window_distribution(df: DataFrame, ret: str, length: int, step: int = 21) -> DataFrame:
     """Compounded returns of windows of ``length`` sessions that begin at every ``step``-th: quantiles and share below 0."""
     frame = series().rowsBetween(0, length - 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import SERIES, YEAR, clip, series, trailing
@@ -122,9 +122,11 @@ def variants(df: DataFrame, target: float = 0.10) -> DataFrame:
         options.append(F.struct(F.lit(name).alias("variant"), goal.alias("w_target"), F.col(mult).alias("mult"), F.lit(grid).alias("grid"), F.lit(band).alias("band"), F.col(check).alias("check"), F.lit(at_once).alias("at_once")))
     rows = d.select(SERIES, "pos", F.explode(F.array(*options)).alias("v")).select(SERIES, "pos", "v.*").withColumn("path", F.concat_ws("/", "variant", SERIES))
     done = folds.sizing_rules(rows).withColumns({"variant": F.substring_index("path", "/", 1), SERIES: F.substring_index("path", "/", -1)}).select(SERIES, "variant", "pos", "w_exec", "reason")
-    free = done.filter("variant = 'nofloor'")
-    late = free.select(SERIES, F.lit("lag").alias("variant"), "pos", F.lag("w_exec").over(series()).alias("w_exec"), "reason")
-    return done.unionByName(late).unionByName(free.withColumn("variant", F.lit("10bp")))
+    late = done.withColumn("late", F.lag("w_exec").over(Window.partitionBy(SERIES, "variant").orderBy("pos")))
+    more = lambda name, w: F.struct(F.lit(name).alias("variant"), F.col(w).alias("w_exec"))
+    own = F.struct("variant", "w_exec")
+    each = F.explode(F.when(F.col("variant") == "nofloor", F.array(own, more("lag", "late"), more("10bp", "w_exec"))).otherwise(F.array(own)))
+    return late.select(SERIES, "pos", "reason", each.alias("v")).select(SERIES, "v.variant", "pos", "v.w_exec", "reason")
 
 
 def backtest(weights: DataFrame, closes: DataFrame, windows: DataFrame, costs: dict[str, float], cost: float = 5.0, target: float = 0.10) -> DataFrame:
@@ -146,15 +148,14 @@ def backtest(weights: DataFrame, closes: DataFrame, windows: DataFrame, costs: d
     more = d.groupBy(SERIES).agg(F.avg("before").alias("avg_exposure"), F.sum("spent").alias("cost_total"), F.sum("moved").alias("n_switches"), (F.sum("moved") * YEAR / F.count("*")).alias("switches_a_year"))
     got = perf.join(more, SERIES).select(F.split(SERIES, "/").alias("k"), "*").drop(SERIES)
     got = got.select(F.col("k")[0].alias("variant"), F.col("k")[1].alias("window"), F.col("k")[2].alias(SERIES), *(c for c in got.columns if c != "k"))
-    held = got.filter("variant = 'hold'").select(SERIES, "window", F.col("cagr").alias("_cagr"), F.col("max_dd").alias("_dd"))
-    return got.join(held, [SERIES, "window"]).withColumns({"cagr_over_hold": F.col("cagr") - F.col("_cagr"), "dd_over_hold": F.col("max_dd") - F.col("_dd"), "vol_ratio": F.col("ann_vol") / target, "dd_ratio": F.abs("max_dd") / target}).drop("_cagr", "_dd")
+    held = lambda c: F.max(F.when(F.col("variant") == "hold", F.col(c))).over(Window.partitionBy(SERIES, "window"))
+    return got.withColumns({"cagr_over_hold": F.col("cagr") - held("cagr"), "dd_over_hold": F.col("max_dd") - held("max_dd"), "vol_ratio": F.col("ann_vol") / target, "dd_ratio": F.abs("max_dd") / target})
 
 
 def retention(table: DataFrame, target: float, adopted: str, vol_only: str, reference: str, window: str, vol_window: str) -> DataFrame:
     """Six conditions (a to f) on rows of the backtest table by series: value, limit, verdict (null if a row is missing), narrow."""
-    row = lambda name, w, p: table.filter((F.col("variant") == name) & (F.col("window") == w)).select(SERIES, *(F.col(c).alias(f"{p}_{c}") for c in ("max_dd", "switches_a_year", "cost_total", "ann_vol", "worst_month")))
-    every = table.select(SERIES).distinct()
-    d = every.join(row(adopted, window, "a"), SERIES, "left").join(row(vol_only, vol_window, "v"), SERIES, "left").join(row(reference, window, "r"), SERIES, "left")
+    row = lambda name, w, p: [F.max(F.when((F.col("variant") == name) & (F.col("window") == w), F.col(c))).alias(f"{p}_{c}") for c in ("max_dd", "switches_a_year", "cost_total", "ann_vol", "worst_month")]
+    d = table.groupBy(SERIES).agg(*row(adopted, window, "a"), *row(vol_only, vol_window, "v"), *row(reference, window, "r"))
     c, b = F.col, BOUNDS
     ratio = c("a_ann_vol") / target
     rows = {

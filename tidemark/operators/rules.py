@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import SERIES
@@ -108,9 +108,9 @@ def cell_table(replay: DataFrame) -> DataFrame:
     """Sessions in each of the 125 cells; cells that never occur have none."""
     seen = replay.groupBy("m", "w", "d").agg(F.count("*").alias("n"))
     cells = decision_table(replay.sparkSession).join(seen, ["m", "w", "d"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    total = replay.agg(F.count("*").alias("total"))
-    # one row
-    return cells.join(F.broadcast(total)).select("m", "w", "d", "rule", "tone", "n", (F.col("n") / F.nullif(F.col("total"), F.lit(0))).alias("share"))
+    # 125 rows: their sum is the number of sessions, so the replay runs once
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return cells.select("m", "w", "d", "rule", "tone", "n", (F.col("n") / F.nullif(total, F.lit(0))).alias("share"))
 
 
 def exposure(tone: Column) -> Column:

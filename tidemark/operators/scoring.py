@@ -107,3 +107,14 @@ def coverage(oos: DataFrame) -> DataFrame:
     got = oos.dropna(subset=["fwd_ret_20"]).groupBy(SERIES).agg(F.count("*").alias("n"), inside(1.0).alias("in_1s"), inside(1.2816).alias("in_80"), inside(1.645).alias("in_90"), F.avg((lr < -1.645 * sigma).cast("double")).alias("left_tail"))
     low, high = wilson(F.col("in_1s"), F.col("n") / vol.H)
     return got.withColumns({"low_1s": low, "high_1s": high})
+
+
+def volatility_scores(df: DataFrame, forecasts_of: dict[str, Column], target: str) -> DataFrame:
+    """Log errors, QLIKE and log R2 of forecasts of a log volatility, by source and block and over all blocks (block null)."""
+    cells = F.array(*(F.struct(F.lit(k).alias("source"), v.alias("f")) for k, v in forecasts_of.items()))
+    whole_rows = df.dropna(subset=[target]).withColumn("_all", F.forall(F.array(*forecasts_of.values()), lambda x: x.isNotNull())).filter("_all")
+    rows = whole_rows.select(SERIES, "block", F.col(target).alias("z"), F.explode(cells).alias("x")).select(SERIES, "block", "z", "x.source", "x.f")
+    e = F.col("z") - F.col("f")
+    sets = [[F.col(SERIES), F.col("source"), F.col("block")], [F.col(SERIES), F.col("source")]]
+    spread = F.sum(F.col("z") * F.col("z")) - F.sum("z") * F.sum("z") / F.count("*")
+    return rows.groupingSets(sets, SERIES, "source", "block").agg(F.count("*").alias("n"), F.avg(e * e).alias("log_mse"), F.avg(F.exp(2 * e) - 2 * e - 1).alias("qlike"), (1 - ratio(F.sum(e * e), spread)).alias("log_r2"))

@@ -23,11 +23,6 @@ def upsert_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-
-
 def guard_phantom(prices: DataFrame, truth: str, always: tuple[str, ...] = ()) -> DataFrame:
     """Drops rows after the truth series' last date, except of series that trade every day."""
     last = prices.filter(F.col(SERIES) == truth).agg(F.max("date").alias("_last"))
@@ -63,7 +58,9 @@ def asof(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
 
 def append(ledger: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ("asof", "variant")) -> DataFrame:
     """The ledger with the rows whose keys it lacks; the first of equal keys in rows wins by all columns' order."""
-    fresh = rows.dropDuplicates(list(keys)).join(ledger.select(*keys), list(keys), "left_anti")
+    w = Window.partitionBy(*keys).orderBy(*(F.col(c).asc_nulls_last() for c in rows.columns))
+    once = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    fresh = once.join(ledger.select(*keys), list(keys), "left_anti")
     return ledger.unionByName(fresh, allowMissingColumns=True)
 
 

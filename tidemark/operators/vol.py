@@ -115,3 +115,14 @@ def targets(closes: DataFrame) -> DataFrame:
     median = F.when(F.count("rv20").over(trailing(252)) == 252, F.percentile("rv20", 0.5).over(trailing(252)))
     out = out.withColumns({"rv20_ref": median, "fwd_rv20": F.lead("rv20", 20).over(series())})
     return out.withColumn("y_vol_20", F.when(F.col("fwd_rv20").isNotNull() & F.col("rv20_ref").isNotNull(), (F.col("fwd_rv20") > F.col("rv20_ref")).cast("int")))
+
+
+def ratio_checks(bars: DataFrame, k: int = 250) -> DataFrame:
+    """By series: range of the ratios of estimators over k sessions, bars that contradict themselves, opens at the close before."""
+    d = bars.withColumns({"gk": garman_klass(), "pk": F.when(log_return().isNotNull(), parkinson()), "cc": close_to_close(), "before": F.lag("close").over(series())})
+    ratio = lambda c: F.sqrt(full(F.col(c), F.avg(c), trailing(k), k) / F.avg("cc").over(trailing(k)))
+    bad = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")) | (F.col("low") <= 0)
+    d = d.withColumns({"gk_cc": ratio("gk"), "pk_cc": ratio("pk"), "bad": bad.cast("long"), "same": F.coalesce(F.col("open") == F.col("before"), F.lit(False)).cast("double")})
+    return d.groupBy(SERIES).agg(
+        F.count("gk_cc").alias("n"), F.min("gk_cc").alias("gk_low"), F.percentile("gk_cc", 0.5).alias("gk_median"), F.max("gk_cc").alias("gk_high"), F.min("pk_cc").alias("pk_low"), F.max("pk_cc").alias("pk_high"), F.sum("bad").alias("bad_bars"), F.avg("same").alias("share_open_at_close")
+    )

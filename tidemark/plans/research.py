@@ -6,14 +6,14 @@ tables by itself; what SQL can't express (fits, bootstraps, folds) is held again
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr
 from tidemark.functions.expr import SERIES
-from tidemark.operators import attribution, ensemble, evaluation, events, fit, folds, ladder, paths, portfolio, regime, scenarios, scoring, sessions, tracking, vol
+from tidemark.operators import attribution, ensemble, evaluation, events, fit, folds, ladder, paths, portfolio, regime, scenarios, scoring, sessions, store, tracking, vol
 from tidemark.plans.queries import (
-    BARS, EPS_BODY, FOMC_SQL, FWD, NTH, LASTD, OBS, OOS, ORD, PX, VAR, WEEK, WILSON, _decided, _holidays_sql, _ladder, _oos, _replay, _targets_of_size, known, query, r6,
+    BARS, EPS_BODY, FOMC_SQL, FWD, NTH, LASTD, OBS, OOS, ORD, PX, VAR, WEEK, WILSON, _decided, _holidays_sql, _ladder, barrier_sql, _oos, _replay, _targets_of_size, known, query, r6,
 )
 from tidemark.sources import feeds, market
 
@@ -333,7 +333,7 @@ def exposure_targets(spark, sf):
     return h.select(SERIES, "pos", e["w_vol"].alias("w_vol"), e["w_target"].alias("w_target"), portfolio.exposure(F.col("rv22"), m, 0.10, False)["w_target"].alias("w_free"), t["sigma_down"].alias("sigma_down"), t["sigma_up"].alias("sigma_up"), portfolio.on_grid(e["w_vol"], 0.05).alias("on_grid"))
 
 
-@query(f"""WITH RECURSIVE {DECIDED} SELECT series_id, pos, state, {r6('CASE lv WHEN 0 THEN 1.5 WHEN 1 THEN 2.5 END')} AS r_up, {r6('CASE lv WHEN 0 THEN 1.5 WHEN 1 THEN 2.5 END * c.clim')} AS p_up, {r6('CASE lv WHEN 1 THEN 1.2 WHEN 2 THEN 2.0 END')} AS r_down, {r6('CASE lv WHEN 1 THEN 1.2 WHEN 2 THEN 2.0 END * c.clim')} AS p_down, coalesce(CASE WHEN lv > 0 THEN greatest(0, 5 - days) END, -1) AS dwell_left FROM dc JOIN (SELECT series_id, pos, clim FROM oos) c USING (series_id, pos)""")
+@query(f"""WITH RECURSIVE {DECIDED} SELECT series_id, pos, state, {r6('CASE lv WHEN 0 THEN 1.5 WHEN 1 THEN 2.5 END')} AS r_up, {r6('CASE lv WHEN 0 THEN 1.5 WHEN 1 THEN 2.5 END * c.clim')} AS p_up, {r6('CASE lv WHEN 1 THEN 1.2 WHEN 2 THEN 2.0 END')} AS r_down, {r6('CASE lv WHEN 1 THEN 1.2 WHEN 2 THEN 2.0 END * c.clim')} AS p_down, CAST(coalesce(CASE WHEN lv > 0 THEN greatest(0, 5 - days) END, -1) AS BIGINT) AS dwell_left FROM dc JOIN (SELECT series_id, pos, clim FROM oos) c USING (series_id, pos)""")
 def decision_thresholds(spark, sf):
     d = _decided(spark, sf)
     t = portfolio.decision_thresholds(F.col("state"), F.col("days_in_state"), F.col("clim"), folds.DecisionConfig())
@@ -390,3 +390,438 @@ SELECT c.series_id, count(*) AS n, CAST(sum(ch) AS BIGINT) AS changes, {r6('avg(
 {r6('avg(y)')} AS base_rate, CAST(max(in5) AS BIGINT) AS most_in_5, CAST(max(churn) AS BIGINT) AS most_churn, count(*) FILTER (churn > 12) AS churn_alerts, count(*) FILTER (r IS NULL) AS n_missing, {r6('sum(ch) * 252.0 / count(*)')} AS changes_a_year, {r6('max(r0)')} AS run_normal, {r6('max(r1)')} AS run_caution, {r6('max(r2)')} AS run_reduce FROM c JOIN rm USING (series_id) GROUP BY 1""")
 def decision_kpis(spark, sf):
     return portfolio.kpis(_decided(spark, sf))
+
+
+# ---- ladder and attribution -------------------------------------------------------------------------------------
+
+LADDER = {"M0": ["x_imp"], "M1": ["x_imp", "x_har"], "M2": ["x_har", "x_ma"], "M3": ["x_imp", "x_har", "x_ma"]}
+STEPS = [("M0", "M1"), ("M1", "M3"), ("clim", "M3"), ("B1", "M3")]
+COLUMNS = {"M0": "p_M0", "M1": "p_M1", "M2": "p_M2", "M3": "p_M3", "clim": "clim", "B1": "p_B1"}
+
+
+def _walked(spark, sf):
+    """Forecasts of each rung, the implied probability and the climatology; blocks are years."""
+    d = _ladder(spark, sf).withColumn("p_B1", vol.barrier_probability(F.col("rv22")))
+    d = d.withColumn("x_imp", expr.logit(expr.clip(F.col("p_B1"), 1e-6, 1 - 1e-6))).select(SERIES, "pos", "date", "y", "p_B1", "x_imp", "x_har", "x_ma")
+    return ladder.walk_forward(d, LADDER).withColumn("block", F.year("date"))
+
+
+@query()
+def ladder_rungs(spark, sf):
+    return ladder.rung_table(_walked(spark, sf), list(LADDER))
+
+
+@query()
+def ladder_steps(spark, sf):
+    """Gains of the steps with bootstrap, Diebold-Mariano and phases; 1,000 draws for each of many groups."""
+    return ladder.ladder_table(_walked(spark, sf), STEPS, COLUMNS, draws=1_000)
+
+
+@query(f"""WITH {OOS}{EPS_BODY.replace('-0.05', '-0.10')}, rf AS (SELECT series_id, year(date) AS year, min(pos) AS rp FROM oos GROUP BY 1, 2), t AS (SELECT f.series_id, f.year, count(o.pos) AS n, max(o.pos) AS lp FROM rf f LEFT JOIN oos o ON o.series_id = f.series_id AND o.pos <= rp - 21 GROUP BY 1, 2),
+e AS (SELECT t.series_id, t.year, count(ep.trough_pos) AS k FROM t LEFT JOIN ep ON ep.series_id = t.series_id AND ep.trough_pos <= lp GROUP BY 1, 2) SELECT f.series_id, f.year, rp AS refit_pos, n, k AS episodes, CAST(n >= 500 AND k >= 1 AS BIGINT) AS ok FROM rf f JOIN t USING (series_id, year) JOIN e USING (series_id, year)""")
+def first_refit_ok(spark, sf):
+    return ladder.first_refit_ok(_oos(spark, sf), paths.episodes(market.index_close(spark, sf), 0.10), least_rows=500)
+
+
+BLOCKS = [("2003-01-01", "2005-01-01"), ("2005-01-01", "2006-09-01"), ("2006-10-01", "2008-09-01"), ("2008-09-01", "2011-09-01"), ("2011-09-01", "2013-08-01")]
+
+
+@query(f"""WITH b AS (SELECT CAST(a AS DATE) AS first, CAST(z AS DATE) AS last FROM (VALUES {', '.join(map(str, BLOCKS))}) t(a, z)), w AS (SELECT *, coalesce(lag(last) OVER (ORDER BY first), DATE '2003-01-01') AS before, lead(first) OVER (ORDER BY first) AS nx, (year(last) - year(first)) * 12 + month(last) - month(first) AS months FROM b)
+SELECT CAST(first AS VARCHAR) AS first, CAST(last AS VARCHAR) AS last, months, CASE WHEN first <> before THEN 'gap' WHEN last <= first THEN 'empty' WHEN months NOT BETWEEN 18 AND 24 THEN 'length' WHEN nx IS NULL AND last <> DATE '2013-09-01' THEN 'end' END AS fault FROM w""")
+def block_faults(spark, sf):
+    blocks = spark.createDataFrame(BLOCKS, "a string, b string").select(F.to_date("a").alias("first"), F.to_date("b").alias("last"))
+    return ladder.check_blocks(blocks, "2003-01-01", "2013-09-01")
+
+
+def _block_skills(spark, sf):
+    """Skills of two rungs by block in two tables of blocks: years, and pairs of years."""
+    d = _oos(spark, sf).withColumn("vix", vol.barrier_probability(F.col("rv22"), drift=False))
+    rows = d.select(SERIES, "y", "clim", "vix", F.explode(F.array(*(F.struct(F.lit(r).alias("rung"), p.alias("q")) for r, p in (("M1", F.col("p")), ("M3", (F.col("p") + F.col("clim")) / 2))))).alias("x"), "block")
+    rows = rows.select("*", "x.rung", "x.q", F.explode(F.array(F.struct(F.lit("12").alias("table"), F.col("block").alias("b")), F.struct(F.lit("24").alias("table"), F.floor(F.col("block") / 2).cast("int").alias("b")))).alias("t"))
+    loss = lambda c: F.avg(F.pow(F.col(c) - F.col("y"), 2))
+    return rows.groupBy(SERIES, "t.table", "rung", "t.b").agg(F.count("*").alias("n"), (1 - expr.ratio(loss("q"), loss("clim"))).alias("skill_clim"), (1 - expr.ratio(loss("q"), loss("vix"))).alias("skill_vix"))
+
+
+SKILLS = OOS + """, vx2 AS (SELECT *, """ + "{implied}" + """ AS vix FROM oos), rg AS (SELECT series_id, y, clim, vix, block, 'M1' AS rung, p AS q FROM vx2 UNION ALL SELECT series_id, y, clim, vix, block, 'M3', (p + clim) / 2 FROM vx2), tb AS (SELECT *, '12' AS "table", block AS b FROM rg UNION ALL SELECT *, '24', block // 2 FROM rg),
+sk AS (SELECT series_id, "table", rung, b, count(*) AS n, 1 - avg(pow(q - y, 2)) / nullif(avg(pow(clim - y, 2)), 0) AS sc, 1 - avg(pow(q - y, 2)) / nullif(avg(pow(vix - y, 2)), 0) AS sv FROM tb GROUP BY ALL),
+li AS (SELECT series_id, "table", rung, count(*) AS blocks, bool_and(sc > 0) AS pc, bool_and(sv >= 0) AS pv, min(sc) AS lc, min(sv) AS lv FROM sk GROUP BY ALL)"""
+
+SKILLS = SKILLS.replace("{implied}", barrier_sql("rv22", drift=False))
+
+
+@query(f"""WITH {SKILLS} SELECT series_id, "table", rung, blocks, CAST(coalesce(pc, false) AS BIGINT) AS pass_clim, CAST(coalesce(pv, false) AS BIGINT) AS pass_vix, {r6('lc')} AS least_clim, {r6('lv')} AS least_vix, CAST(coalesce(pc AND pv, false) AS BIGINT) AS passed FROM li""")
+def literal_acceptance(spark, sf):
+    return ladder.literal_rule(_block_skills(spark, sf))
+
+
+@query(f"""WITH {SKILLS}, c AS (SELECT series_id, rung, bool_and(coalesce(pc AND pv, false)) AND count(*) = 2 AS ok FROM li GROUP BY 1, 2), f AS (SELECT series_id, string_agg(DISTINCT "table", ',' ORDER BY "table") AS failing FROM li WHERE NOT coalesce(pc AND pv, false) GROUP BY 1)
+SELECT s.series_id, t AS tone_model, failing AS failing_tables, CASE WHEN t IS NULL THEN 'info_only' ELSE 'tones' END AS mode FROM (SELECT series_id, max(CASE WHEN ok THEN rung END) AS t FROM c GROUP BY 1) s LEFT JOIN f USING (series_id)""")
+def accepted_rung(spark, sf):
+    """The highest rung that passes in both tables of blocks."""
+    return ladder.accepted(ladder.literal_rule(_block_skills(spark, sf)), ["12", "24"])
+
+
+@query(f"""WITH {SKILLS}, k AS (SELECT series_id, "table", rung, count(*) AS blocks, count(*) FILTER (n = 0) AS em, count(*) FILTER (sc > 0) AS nc, count(*) FILTER (sv >= 0) AS nv, min(sc) AS lc, avg(sc) AS pc, avg(sv) AS pv FROM sk GROUP BY ALL),
+a AS (SELECT *, ceil(blocks * (8.0 / 11) - 1e-9) AS need FROM k)
+SELECT series_id, "table", rung, blocks, nc AS n_clim, nv AS n_vix, CAST(need AS BIGINT) AS need, CAST(pc > 0 AND pc - 0.01 > 0 AND em = 0 AND lc >= -0.05 AND nc >= need AS BIGINT) AS a, CAST(pv >= 0 AND pv - 0.01 >= 0 AND em = 0 AND nv >= need AS BIGINT) AS b, CAST(rung = 'M3' AS BIGINT) AS c FROM a""")
+def amended_acceptance(spark, sf):
+    """The amended rule with stand-in bounds: pooled skills are means of the blocks', their lower bounds a hundredth below."""
+    blocks = _block_skills(spark, sf)
+    keys = [SERIES, "table", "rung"]
+    pooled = blocks.groupBy(*keys).agg(F.avg("skill_clim").alias("skill_clim"), F.avg("skill_vix").alias("skill_vix"))
+    low = pooled.select(*keys, (F.col("skill_clim") - 0.01).alias("low_clim"), (F.col("skill_vix") - 0.01).alias("low_vix"), F.when(F.col("rung") == "M3", 0.1).otherwise(-0.1).alias("low_info"))
+    return ladder.amended_rule(blocks, pooled, low).select(*keys, "blocks", "n_clim", "n_vix", "need", "a", "b", "c")
+
+
+@query(f"WITH {OOS} SELECT series_id, count(*) AS n FROM oos GROUP BY 1")
+def rows_digest(spark, sf):
+    """Counts of digested rows; that digests agree between runs and differ between data is for the tests."""
+    return ladder.rows_digest(_oos(spark, sf), [SERIES], ["pos", "y", "p", "clim"]).select(SERIES, "n")
+
+
+#: Parameters as literals, so that SQL can state what follows from them.
+COEF = (-1.2, 0.6, -2.0)
+
+
+def _explained(spark, sf):
+    """Rows with two inputs and parameters that change with the year."""
+    d = _ladder(spark, sf).dropna(subset=["x_har", "x_ma"]).withColumn("year", F.year("date"))
+    shift = (F.col("year") - 1998) * 0.1
+    return d.select(SERIES, "pos", "date", "year", "x_har", "x_ma", F.array(COEF[0] + shift, F.lit(COEF[1]), COEF[2] - shift).alias("coef"))
+
+
+EXPLAINED = VAR + f""", ex AS (SELECT series_id, pos, date, (ln(rv1) + ln(rv5) + ln(rv22)) / 3 AS h, close / CASE WHEN count(*) OVER w = 180 THEN avg(close) OVER w END - 1 AS m, {COEF[0]} + (year(date) - 1998) * 0.1 AS b0, {COEF[2]} - (year(date) - 1998) * 0.1 AS b2 FROM har WINDOW w AS (PARTITION BY series_id ORDER BY pos ROWS 179 PRECEDING)), ey AS (SELECT * FROM ex WHERE h IS NOT NULL AND m IS NOT NULL)"""
+SIG = "(1 / (1 + exp(-({z}))))"
+
+
+@query(f"""WITH {EXPLAINED}, t AS (SELECT series_id, pos, b0 AS z0, {COEF[1]} * h AS z1, b2 * m AS z2 FROM ey) SELECT series_id, pos, 'intercept' AS term, {r6('z0')} AS logit, {r6(SIG.format(z='z0'))} AS pp FROM t UNION ALL SELECT series_id, pos, 'x_har', {r6('z1')}, {r6(SIG.format(z='z0 + z1') + ' - ' + SIG.format(z='z0'))} FROM t
+UNION ALL SELECT series_id, pos, 'x_ma', {r6('z2')}, {r6(SIG.format(z='z0 + z1 + z2') + ' - ' + SIG.format(z='z0 + z1'))} FROM t""")
+def probability_terms(spark, sf):
+    return attribution.contributions(_explained(spark, sf), ["x_har", "x_ma"])
+
+
+@query(f"""WITH {EXPLAINED}, l AS (SELECT *, lag(h) OVER w AS h0, lag(m) OVER w AS m0, lag(b0) OVER w AS c0, lag(b2) OVER w AS c2, pos - lag(pos) OVER w AS gap FROM ey WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+q AS (SELECT *, b0 + {COEF[1]} * h + b2 * m AS z1, c0 + {COEF[1]} * h0 + c2 * m0 AS z0, b0 <> c0 AS refit FROM l WHERE h0 IS NOT NULL), s AS (SELECT *, {SIG.format(z='z1')} AS p1, {SIG.format(z='z0')} AS p0 FROM q), u AS (SELECT *, CASE WHEN abs(z1 - z0) < 1e-12 THEN p1 * (1 - p1) ELSE (p1 - p0) / nullif(z1 - z0, 0) END AS k FROM s),
+v AS (SELECT series_id, pos, gap, p1, p0, refit, k, 'x_har' AS term, {COEF[1]} * (h - h0) AS d FROM u UNION ALL SELECT series_id, pos, gap, p1, p0, refit, k, 'x_ma', b2 * (m - m0) FROM u UNION ALL SELECT series_id, pos, gap, p1, p0, refit, k, 'refit', CASE WHEN refit THEN b0 + {COEF[1]} * h0 + b2 * m0 - z0 ELSE 0.0 END FROM u)
+SELECT series_id, pos, gap, {r6('p1')} AS p_now, {r6('p0')} AS p_prev, CAST(refit AS BIGINT) AS refit, term, {r6('d')} AS d_logit, {r6('k * d')} AS d_pp FROM v""")
+def day_over_day(spark, sf):
+    return attribution.day_over_day(_explained(spark, sf), ["x_har", "x_ma"])
+
+
+@query(f"""WITH {EXPLAINED}, y AS (SELECT DISTINCT series_id, year(date) AS ry FROM ey) SELECT e.series_id, e.pos, {r6('min(' + SIG.format(z=f'{COEF[0]} + (ry - 1998) * 0.1 + {COEF[1]} * h + ({COEF[2]} - (ry - 1998) * 0.1) * m') + ')')} AS p_low,
+{r6('max(' + SIG.format(z=f'{COEF[0]} + (ry - 1998) * 0.1 + {COEF[1]} * h + ({COEF[2]} - (ry - 1998) * 0.1) * m') + ')')} AS p_high, count(*) AS models FROM ey e JOIN y ON y.series_id = e.series_id AND ry BETWEEN year(e.date) - 5 AND year(e.date) GROUP BY 1, 2""")
+def parameter_band(spark, sf):
+    d = _explained(spark, sf)
+    return attribution.parameter_band(d, d.select(SERIES, "year", "coef").distinct(), ["x_har", "x_ma"])
+
+
+@query(f"""WITH {VAR} SELECT series_id, CASE WHEN rv22 IS NOT NULL THEN CASE WHEN pos < 180 THEN 'x_ma' ELSE '' END ELSE 'x_har,x_ma' END AS input_missing, count(*) AS n FROM (SELECT *, CASE WHEN rv1 IS NULL OR rv5 IS NULL THEN NULL ELSE rv22 END AS q FROM har) GROUP BY 1, 2""")
+def input_status(spark, sf):
+    d = _ladder(spark, sf)
+    s = attribution.input_status(["x_har", "x_ma"])
+    return d.select(SERIES, s["input_missing"].alias("input_missing")).groupBy(SERIES, "input_missing").agg(F.count("*").alias("n"))
+
+
+# ---- ensemble ---------------------------------------------------------------------------------------------------
+
+
+def _members(spark, sf):
+    """Members of the registry made of the forecasts: production, a smoothed one and one without drift; blocks of quarters."""
+    d = _oos(spark, sf).withColumns({"q1": vol.barrier_probability(F.col("rv22"), drift=False), "q2": (F.col("p") + F.col("clim")) / 2})
+    d = d.withColumn("q1", F.when(F.col("pos") % 17 != 0, F.col("q1")))
+    d = ensemble.member_columns(d, {"p2": ["prob_dd5_20", "p"], "h": ["q2"], "m1": ["p_m1", "q1"]})
+    return d.withColumns({"p2_lo": F.col("p") * 0.9, "p2_hi": F.when(F.col("pos") % 23 != 0, F.col("p") * 1.05), "block": F.year("date") * 4 + F.quarter("date")})
+
+
+MEMBERS = OOS + f""", me AS (SELECT *, p AS m_p2, (p + clim) / 2 AS m_h, CASE WHEN pos % 17 <> 0 THEN {barrier_sql('rv22', drift=False)} END AS m_m1, p * 0.9 AS p2_lo, CASE WHEN pos % 23 <> 0 THEN p * 1.05 END AS p2_hi, year(date) * 4 + quarter(date) AS qb FROM oos)"""
+
+
+@query(f"WITH {MEMBERS} SELECT series_id, pos, {r6('(m_p2 + m_h + m_m1) / 3')} AS p_ens, {r6('m_p2')} AS p_day1 FROM me")
+def combined_probability(spark, sf):
+    d = _members(spark, sf)
+    return d.select(SERIES, "pos", ensemble.combined({"p2": "seed", "h": "admitted", "m1": "admitted"}).alias("p_ens"), ensemble.combined({"p2": "seed", "h": "shadow", "m1": "shadow"}).alias("p_day1"))
+
+
+@query(f"""WITH {MEMBERS}, b AS (SELECT *, least(m_p2, m_h, m_m1) AS ml, greatest(m_p2, m_h, m_m1) AS mh FROM me), c AS (SELECT *, least(p2_lo, ml) AS lo, greatest(p2_hi, mh) AS hi FROM b), d AS (SELECT *, hi - lo AS width, hi - lo > 0.2 AS wide, row_number() OVER (PARTITION BY series_id ORDER BY pos) AS i FROM c),
+e AS (SELECT *, i - row_number() OVER (PARTITION BY series_id, wide ORDER BY pos) AS g FROM d), f AS (SELECT *, count(*) OVER (PARTITION BY series_id, wide, g) AS k FROM e)
+SELECT series_id, pos, {r6('lo')} AS lo, {r6('hi')} AS hi, {r6('width')} AS width, CASE WHEN ml < p2_lo OR p2_hi IS NULL OR mh > p2_hi THEN 'members' ELSE 'p2' END AS source, CAST(wide AND k >= 5 AS BIGINT) AS flag FROM f""")
+def disagreement(spark, sf):
+    return ensemble.disagreement(_members(spark, sf), {"p2": "seed", "h": "shadow", "m1": "shadow"}).select(SERIES, "pos", "lo", "hi", "width", "source", "flag")
+
+
+@query()
+def admission_tests(spark, sf):
+    """Both candidates on the observed record, where none can be admitted."""
+    return ensemble.admission_sequence(_members(spark, sf), {"p2": "seed", "h": "shadow", "m1": "shadow"}, fresh=False, draws=1_000)
+
+
+@query(f"""WITH {MEMBERS}, l AS (SELECT series_id, 'p2' AS member, y, clim, m_p2 AS p FROM me UNION ALL SELECT series_id, 'h', y, clim, m_h FROM me UNION ALL SELECT series_id, 'm1', y, clim, m_m1 FROM me WHERE m_m1 IS NOT NULL),
+rk AS (SELECT *, rank() OVER (PARTITION BY series_id, member ORDER BY p) + (count(*) OVER (PARTITION BY series_id, member, p) - 1) / 2.0 AS rnk FROM l), a AS (SELECT series_id, member, count(*) AS n, sum(y) AS pos, sum(CASE WHEN y = 1 THEN rnk END) AS rs, avg(pow(p - y, 2)) AS b, avg(pow(clim - y, 2)) AS c FROM rk GROUP BY 1, 2)
+SELECT series_id, member, n, {r6('b')} AS brier, {r6('1 - b / nullif(c, 0)')} AS skill, {r6('(rs - pos * (pos + 1) / 2.0) / nullif(pos * (n - pos), 0)')} AS auc, CASE member WHEN 'p2' THEN 'seed' ELSE 'shadow' END AS status FROM a""")
+def member_registry(spark, sf):
+    return ensemble.registry(_members(spark, sf), {"p2": "seed", "h": "shadow", "m1": "shadow"})
+
+
+@query("""SELECT CAST(q AS DOUBLE) AS q, CAST(11 AS BIGINT) AS n_blocks, CAST(8 AS BIGINT) AS need, round(list_sum(list_transform([8, 9, 10, 11], lambda k: factorial(11) / factorial(CAST(k AS INT)) / factorial(CAST(11 - k AS INT)) * pow(q, k) * pow(1 - q, 11 - k))), 6) AS p_at_least FROM (SELECT CAST(unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS DOUBLE) AS q)""")
+def admission_power(spark, sf):
+    return ensemble.admission_power(spark)
+
+
+STARTS = "2024-10-15"
+
+
+def _days(spark):
+    """Sessions of a calendar as a series that has gone on since the held-out time began."""
+    return sessions.sessions(spark, 2024, 2027).filter("date <= '2027-08-20'").select(F.lit("live").alias(SERIES), "date", F.row_number().over(Window.orderBy("date")).alias("pos"))
+
+
+@query(f"""WITH {_holidays_sql(2024, 2027)}, cd AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2027-08-20', INTERVAL 1 DAY)) AS DATE) AS date), tr AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM cd WHERE dayofweek(date) BETWEEN 1 AND 5 AND date NOT IN (SELECT date FROM hol)),
+t AS (SELECT k + 1 AS block, CAST(DATE '{STARTS}' + to_months(CAST(3 * k AS INT)) AS DATE) AS a, CAST(DATE '{STARTS}' + to_months(CAST(3 * k + 3 AS INT)) AS DATE) AS z FROM (SELECT unnest(range(0, 12)) AS k)), u AS (SELECT block, a, z, count(tr.date) AS n, max(tr.pos) AS lp FROM t LEFT JOIN tr ON tr.date >= a AND tr.date < z WHERE a <= DATE '2027-08-20' GROUP BY 1, 2, 3)
+SELECT 'live' AS series_id, block, CAST(a AS VARCHAR) AS first, CAST(z AS VARCHAR) AS last, n, coalesce((SELECT max(pos) FROM tr) - lp, 0) AS after, CAST(n > 0 AND (SELECT max(pos) FROM tr) - lp >= 20 AS BIGINT) AS complete FROM u""")
+def fresh_blocks(spark, sf):
+    starts = spark.createDataFrame([("live", STARTS)], f"{SERIES} string, d string").select(SERIES, F.to_date("d").alias("start"))
+    return ensemble.fresh_blocks(_days(spark), starts)
+
+
+@query("SELECT 'live' AS series_id, CAST(11 AS BIGINT) AS n_complete, 1 AS due, CAST(15 AS BIGINT) AS next_at".replace("1 AS due", "CAST(1 AS BIGINT) AS due"))
+def admission_due(spark, sf):
+    starts = spark.createDataFrame([("live", STARTS)], f"{SERIES} string, d string").select(SERIES, F.to_date("d").alias("start"))
+    return ensemble.admission_due(ensemble.fresh_blocks(_days(spark), starts))
+
+
+# ---- live tracking ----------------------------------------------------------------------------------------------
+
+
+def _tracked(spark, sf):
+    """Forecasts as ledger rows: mode and kill by place, references, a held-out time of its own."""
+    d = _oos(spark, sf)
+    mode = F.when(F.col("pos") % 400 < 200, "info_only").otherwise("tones")
+    return d.withColumns({"asof": F.col("date"), "mode": mode, "vix": F.when(F.col("pos") % 5 != 0, vol.barrier_probability(F.col("rv22"), drift=False))})
+
+
+@query(f"WITH {OOS} SELECT series_id, CAST(min(CASE WHEN pos % 400 >= 200 AND p > 0.15 THEN date END) AS VARCHAR) AS live_start FROM oos GROUP BY 1")
+def live_start(spark, sf):
+    return tracking.live_start(_tracked(spark, sf).withColumn("prob", F.when(F.col("p") > 0.15, F.col("p"))), "prob", "mode")
+
+
+@query("SELECT o_orderstatus AS p2, o_orderpriority AS p3, CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'tones' ELSE 'info_only' END AS mode, count(*) AS n FROM orders GROUP BY ALL")
+def effective_modes(spark, sf):
+    """Status and priority stand for the two modes; nothing is killed."""
+    o = market.table(spark, sf, "orders")
+    stands = lambda c, yes: F.when(F.col(c) == yes, "tones").otherwise("info_only")
+    mode = tracking.effective_mode(stands("o_orderstatus", "F"), stands("o_orderpriority", "1-URGENT"), F.lit(None).cast("boolean"))
+    return o.groupBy(F.col("o_orderstatus").alias("p2"), F.col("o_orderpriority").alias("p3"), mode.alias("mode")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH g AS (SELECT n / 2.0 AS n_eff, m FROM (SELECT unnest(range(0, 40)) AS n), (SELECT unnest(range(0, 48)) AS m)), s AS (SELECT *, CASE WHEN n_eff < 6 OR m < 6 THEN '0-3m' WHEN n_eff < 12 OR m < 12 THEN '6m' WHEN m < 36 THEN '12m' ELSE '36m' END AS stage FROM g)
+SELECT CAST(n_eff AS DOUBLE) AS n_eff, m AS months, stage, CAST(stage IN ('12m', '36m') AS BIGINT) AS bss, CAST(stage <> '0-3m' AS BIGINT) AS hist_pct, CAST(stage = '36m' AS BIGINT) AS verdict FROM s""")
+def horizon_stages(spark, sf):
+    g = spark.range(40).select((F.col("id") / 2).alias("n_eff")).crossJoin(spark.range(48).select(F.col("id").alias("months")))  # the whole domain, 1,920 rows
+    d = g.withColumn("stage", tracking.stage(F.col("n_eff"), F.col("months")))
+    return d.select("n_eff", "months", "stage", *(tracking.may_show(F.col("stage"), k).alias(k) for k in ("bss", "hist_pct", "verdict")))
+
+
+@query(f"""WITH {OOS}, v AS (SELECT *, CASE WHEN pos % 5 <> 0 THEN {barrier_sql('rv22', drift=False)} END AS vix FROM oos) SELECT series_id, count(*) AS n, {r6('count(*) / 20.0')} AS n_eff, {r6('avg(pow(p - y, 2))')} AS brier, {r6('avg(y)')} AS base_rate, {r6('avg(p)')} AS mean_p, count(clim) AS n_clim, {r6('1 - avg(pow(p - y, 2)) / nullif(avg(pow(clim - y, 2)), 0)')} AS skill_clim,
+count(vix) AS n_vix, {r6('1 - avg(CASE WHEN vix IS NOT NULL THEN pow(p - y, 2) END) / nullif(avg(pow(vix - y, 2)), 0)')} AS skill_vix FROM v GROUP BY 1""")
+def live_score(spark, sf):
+    """Scores against each reference on the rows that both have; the interval is in live_panel."""
+    return tracking.score(_tracked(spark, sf), "p", ["clim", "vix"], draws=200).drop("low", "high", "label")
+
+
+def _rolling_sql(n: int) -> str:
+    return f"SELECT series_id, {n} AS length, 1 - a / b AS skill FROM (SELECT series_id, row_number() OVER w - 1 AS k, count(*) OVER f AS n, avg(pow(p - y, 2)) OVER f AS a, avg(pow(clim - y, 2)) OVER f AS b FROM oos WINDOW w AS (PARTITION BY series_id ORDER BY pos), f AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) WHERE n = {n} AND k % 21 = 0 AND b > 0"
+
+
+@query(f"WITH {OOS}, r AS ({_rolling_sql(252)} UNION ALL {_rolling_sql(504)}) SELECT series_id, CAST(length AS BIGINT) AS length, count(*) AS windows, {r6('quantile_cont(skill, 0.05)')} AS p05, {r6('quantile_cont(skill, 0.5)')} AS p50, {r6('quantile_cont(skill, 0.95)')} AS p95, {r6('min(skill)')} AS low, {r6('max(skill)')} AS high, {r6('avg(CAST(skill < 0 AS DOUBLE))')} AS share_negative FROM r GROUP BY 1, 2")
+def skill_windows(spark, sf):
+    return tracking.skill_windows(_oos(spark, sf), [252, 504])
+
+
+@query(f"WITH {OOS}, r AS ({_rolling_sql(252)}), l AS (SELECT series_id, 1 - avg(pow(p - y, 2)) / nullif(avg(pow(clim - y, 2)), 0) AS skill FROM oos GROUP BY 1) SELECT l.series_id, {r6('l.skill')} AS skill, {r6('avg(CAST(r.skill <= l.skill AS DOUBLE))')} AS percentile FROM l LEFT JOIN r USING (series_id) GROUP BY l.series_id, l.skill")
+def skill_percentile(spark, sf):
+    d = _oos(spark, sf)
+    whole = scoring.block_scores(d).filter("block is null").select(SERIES, "skill")
+    return tracking.percentile_in(whole, tracking.rolling_skill(d, 252))
+
+
+@query()
+def live_panel(spark, sf):
+    """Scores of the last two years as a live record: what its age hides is null."""
+    d = _oos(spark, sf)
+    live = d.filter(F.year("date") >= 2000)
+    months = live.groupBy(SERIES).agg(((F.year(F.max("date")) - F.year(F.min("date"))) * 12 + F.month(F.max("date")) - F.month(F.min("date"))).alias("months"))
+    return tracking.latest_panel(live, tracking.rolling_skill(d, 252), months, draws=1_000)
+
+
+def _alarm_rows(spark, sf):
+    d = _decided(spark, sf).join(_oos(spark, sf).select(SERIES, "pos", "rv22"), [SERIES, "pos"])
+    dd = paths.drawdown(market.index_close(spark, sf)).select(SERIES, "pos", "dd")
+    rows = d.join(dd, [SERIES, "pos"])
+    return rows.select(
+        SERIES, "pos", "p", "y", "state", "dd", (F.ln("rv22") - F.ln(F.lit(0.17))).alias("ln_err"), F.lit(0.10).alias("sigma"), F.col("rv22").alias("rv"), F.when(F.col("pos") % 97 == 0, 0.02).otherwise(0.0).alias("dp"), (F.col("pos") % 3 == 0).cast("int").alias("hit"),
+        F.col("rv22").alias("x"), F.lit(0.05).alias("x_low"), F.lit(0.20).alias("x_high"),
+    )
+
+
+ALARMS = f"""dd2 AS (SELECT series_id, pos, close / max(close) OVER (PARTITION BY series_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM bars), al AS (SELECT d.series_id, d.pos, o.p, o.y, lv, dd, ln(rv22) - ln(0.17) AS e, rv22, CASE WHEN d.pos % 97 = 0 THEN 0.02 ELSE 0.0 END AS dp, CASE WHEN d.pos % 3 = 0 THEN 1 ELSE 0 END AS hit, CASE WHEN rv22 BETWEEN 0.05 AND 0.20 THEN 0 ELSE 1 END AS away FROM dc d JOIN oos o USING (series_id, pos) JOIN dd2 USING (series_id, pos)),
+aq AS (SELECT series_id, pos, dd, dp, {', '.join(f"CASE WHEN count(*) OVER w{k} = {k} THEN round({x} OVER w{k}, 6) END AS {n}" for n, k, x in (('b3', 60, 'avg(e)'), ('b5', 252, 'avg(CAST(lv > 0 AS DOUBLE))'), ('b7', 20, 'max(abs(dp))'), ('b8', 240, 'avg(hit)'), ('b11', 5, 'sum(away)')))}, CASE WHEN count(*) OVER w60 = 60 THEN round(avg(rv22) OVER w60 / 0.10, 6) END AS b4 FROM al WINDOW {', '.join(f'w{k} AS (PARTITION BY series_id ORDER BY pos ROWS {k - 1} PRECEDING)' for k in (5, 20, 60, 240, 252))})"""
+
+
+@query(f"""WITH RECURSIVE {DECIDED}, {ALARMS}
+SELECT series_id, pos, 'D3_bias' AS code, b3 AS value FROM aq WHERE abs(b3) > 0.35 UNION ALL SELECT series_id, pos, 'D4', b4 FROM aq WHERE b4 > 1.5 UNION ALL SELECT series_id, pos, 'D4b', round(dd, 6) FROM aq WHERE round(dd, 6) < -0.35 UNION ALL SELECT series_id, pos, 'D5_states', b5 FROM aq WHERE b5 > 0.75
+UNION ALL SELECT series_id, pos, 'D7', b7 FROM aq WHERE b7 > 0.01 UNION ALL SELECT series_id, pos, 'D8', b8 FROM aq WHERE b8 < 0.5 UNION ALL SELECT series_id, pos, 'D10', abs(dp) FROM aq WHERE abs(dp) > 1e-6 UNION ALL SELECT series_id, pos, 'D11', CAST(b11 AS DOUBLE) FROM aq WHERE b11 >= 5""")
+def drift_alarms_more(spark, sf):
+    return tracking.more_alarms(_alarm_rows(spark, sf))
+
+
+@query(f"""WITH {OOS}, l AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY pos DESC) AS i FROM oos), t AS (SELECT * FROM l WHERE i <= 756), rk AS (SELECT series_id, y, rank() OVER (PARTITION BY series_id ORDER BY p) + (count(*) OVER (PARTITION BY series_id, p) - 1) / 2.0 AS rnk FROM t),
+ra AS (SELECT series_id, count(*) AS n, sum(y) AS pos, sum(CASE WHEN y = 1 THEN rnk END) AS rs FROM rk GROUP BY 1), au AS (SELECT series_id, n, (rs - pos * (pos + 1) / 2.0) / nullif(pos * (n - pos), 0) AS auc FROM ra) SELECT series_id, 'D9' AS code, round(auc, 6) AS value FROM au WHERE n = 756 AND auc < 0.5""")
+def auc_alarm(spark, sf):
+    return tracking.auc_alarm(_oos(spark, sf))
+
+
+@query(f"""WITH {BARS}, w0 AS (SELECT *, CASE WHEN pos % 4 <> 0 THEN CASE WHEN pos % 50 < 25 THEN 1.0 ELSE 0.5 END END AS w FROM bars), w1 AS (SELECT *, last_value(w IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS wh FROM w0),
+w2 AS (SELECT *, (1 + lag(wh) OVER o * ret) * (1 - 5.0 / 10000 * abs(coalesce(lag(wh) OVER o - lag(wh, 2) OVER o, 0.0))) - 1 AS rr, lead(close, 20) OVER o AS c20 FROM w1 WINDOW o AS (PARTITION BY series_id ORDER BY pos)),
+w3 AS (SELECT series_id, pos, c20, min(close) OVER f / close - 1 AS md, stddev_samp(ln(1 + ret)) OVER f * sqrt(252.0) AS rv, exp(sum(ln(1 + rr)) OVER f) - 1 AS rn, exp(sum(ln(1 + ret)) OVER f) - 1 AS hn FROM w2 WINDOW f AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)),
+g AS (SELECT a.series_id, a.pos, b.pos AS bp, exp(sum(ln(1 + b.rr)) OVER (PARTITION BY a.series_id, a.pos ORDER BY b.pos)) AS wl FROM w2 a JOIN w2 b ON a.series_id = b.series_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 20), h AS (SELECT *, wl / greatest(1.0, max(wl) OVER (PARTITION BY series_id, pos ORDER BY bp)) - 1 AS fall FROM g), i AS (SELECT series_id, pos, least(0.0, min(fall)) AS fd FROM h GROUP BY 1, 2)
+SELECT series_id, pos, {r6('CASE WHEN c20 IS NOT NULL THEN md END')} AS fwd_maxdd, {r6('CASE WHEN c20 IS NOT NULL THEN rv END')} AS rv_next, {r6('CASE WHEN c20 IS NOT NULL THEN rn END')} AS rule_next, {r6('CASE WHEN c20 IS NOT NULL THEN hn END')} AS hold_next, {r6('CASE WHEN c20 IS NOT NULL THEN fd END')} AS rule_dd_next FROM w3 LEFT JOIN i USING (series_id, pos)""")
+def weight_outcomes(spark, sf):
+    """Weights with gaps, which hold the one before."""
+    d = market.index_bars(spark, sf).withColumn("w", F.when(F.col("pos") % 4 != 0, F.when(F.col("pos") % 50 < 25, 1.0).otherwise(0.5)))
+    return tracking.weight_outcomes(d)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'band,p' ELSE '' END || CASE WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 7 = 0 THEN ',' ELSE '' END || 'tone' ELSE '' END AS faults FROM events""")
+def checked_rows(spark, sf):
+    """Ledger rows made of events with planted faults."""
+    e = market.table(spark, sf, "events")
+    tone = F.when(F.col("event_id") % 5 == 0, "calm").otherwise("hold")
+    rows = e.select("event_id", F.to_date("ts").alias("asof"), F.lit("completed").alias("variant"), tone.alias("tone"), F.when(F.col("event_id") % 7 == 0, 1.5).otherwise(0.2).alias("p"), F.lit(None).cast("double").alias("p_lo"), F.lit(0.3).alias("p_hi"), F.lit("tones").alias("mode"), F.lit(None).cast("string").alias("state"), F.lit(0.5).alias("w_exec"))
+    d = tracking.checked(rows)
+    return d.select("event_id", F.array_join(F.sort_array(F.split("faults", ",")), ",").alias("faults"))
+
+
+@query("""SELECT event_id, '{"p2":' || CAST(round(value / 1000, 1) AS VARCHAR) || ',"h":null}' AS members, CASE WHEN event_id % 3 = 0 THEN 'D1,D3' ELSE 'D1' END AS alarms, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE -1 END AS flag, 'late by <date>' AS warning, CASE WHEN event_id % 2 = 0 THEN 'model:M3' ELSE 'none' END AS source FROM events WHERE value > 0""".replace("CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE -1 END AS flag", "CAST(CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE -1 END AS BIGINT) AS flag"))
+def ledger_texts(spark, sf):
+    """Canonical texts of a ledger: members, alarm codes, flags, warnings without dates, sources."""
+    e = market.table(spark, sf, "events").filter("value > 0")
+    written = F.element_at(F.array(F.lit("TRUE"), F.lit(" no "), F.lit("1.0"), F.lit("maybe")), (F.col("event_id") % 4 + 1).cast("int"))
+    codes = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("D3"), F.lit("D1 "), F.lit("D3"))).otherwise(F.array(F.lit("D1"), F.lit("")))
+    text = F.concat(F.lit("late by "), F.date_format("ts", "yyyy-MM-dd"))
+    model = F.when(F.col("event_id") % 2 == 0, "M3")
+    d = e.withColumn("flag", tracking.truth(written).cast("long"))
+    return d.select("event_id", tracking.members_json({"p2": F.round(F.col("value") / 1000, 1), "h": F.lit(None).cast("double")}).alias("members"), tracking.alarm_list(codes).alias("alarms"), known("flag"), tracking.warning_key(text).alias("warning"), tracking.probability_source(F.lit("tones"), model).alias("source"))
+
+
+# ---- regimes ----------------------------------------------------------------------------------------------------
+
+#: Parameters as literals, so that SQL can state one step.
+THETA = {"p00": 0.98, "p11": 0.95, "mean_r0": 0.05, "mean_v0": -2.1, "mean_r1": -0.1, "mean_v1": -1.6, "var_r0": 0.6, "cov_rv0": 0.01, "var_v0": 0.05, "var_r1": 2.5, "cov_rv1": -0.05, "var_v1": 0.06}
+
+
+def _fixed(spark, sf):
+    """Observations and the same parameters for every year."""
+    d = vol.regime_observations(market.index_bars(spark, sf))
+    years = d.select(SERIES, F.year("date").alias("year")).distinct()
+    return d, years.withColumns({k: F.lit(v) for k, v in THETA.items()})
+
+
+@query()
+def regime_filter_two(spark, sf):
+    """The filter of both observations under fixed parameters; a plain loop in the tests gives the same."""
+    d, params = _fixed(spark, sf)
+    return regime.filtered(d, params)
+
+
+@query()
+def regime_one_step(spark, sf):
+    """Sessions whose filtered probability differs from one step after that of the session before: none may."""
+    d, params = _fixed(spark, sf)
+    p = regime.filtered(d, params)
+    joined = regime.segments(d, params).join(p, [SERIES, "pos"]).withColumn("before", F.lag("p_high").over(expr.series()))
+    return joined.filter("before is not null").withColumn("again", regime.one_step(F.col("before"))).groupBy(SERIES).agg(F.count("again").alias("n"), F.count_if(F.abs(F.col("again") - F.col("p_high")) > 1e-7).alias("differ"))
+
+
+@query(f"""WITH {VAR}, v AS (SELECT series_id, pos, least(1.0, greatest(0.0, rv22 * 2)) AS x FROM har WHERE rv22 IS NOT NULL), s AS (SELECT *, 0.02 / 0.07 AS pi FROM v)
+SELECT series_id, pos, {r6('pi + pow(0.93, 20) * (x - pi)')} AS p_k, {r6('1 - (x * 0.05 * pow(0.98, 19) + (1 - x) * pow(0.98, 20))')} AS q_k FROM s""")
+def regime_ahead(spark, sf):
+    h = vol.har_components(market.index_bars(spark, sf), vol.garman_klass()).filter("rv22 is not null")
+    a = regime.ahead(F.col("rv22") * 2, F.lit(0.98), F.lit(0.95), 20)
+    return h.select(SERIES, "pos", a["p_k"].alias("p_k"), a["q_k"].alias("q_k"))
+
+
+def _thetas(spark, sf):
+    return fit.regimes(vol.regime_observations(market.index_bars(spark, sf)))
+
+
+@query()
+def regime_table(spark, sf):
+    return regime.theta_table(_thetas(spark, sf))
+
+
+@query()
+def regime_occupancy(spark, sf):
+    return regime.occupancy(vol.regime_observations(market.index_bars(spark, sf)), _thetas(spark, sf))
+
+
+@query()
+def regime_member(spark, sf):
+    """The regime member's walk-forward probabilities: filters by refit, scaled to the labels known then."""
+    d = vol.regime_observations(market.index_bars(spark, sf))
+    return regime.member_probabilities(d, _thetas(spark, sf), _oos(spark, sf))
+
+
+# ---- windows ----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {VAR}, e AS (SELECT *, CASE WHEN r IS NOT NULL THEN greatest(pow(ln(high / low), 2) / (4 * ln(2)), 1e-8) END AS pk, CASE WHEN r IS NOT NULL THEN greatest(r * r, 1e-8) END AS cc FROM har),
+f AS (SELECT series_id, pos, CASE WHEN count(var) OVER w = 250 THEN sqrt(avg(var) OVER w / avg(cc) OVER w) END AS gk_cc, CASE WHEN count(pk) OVER w = 250 THEN sqrt(avg(pk) OVER w / avg(cc) OVER w) END AS pk_cc, CASE WHEN high < greatest(open, close) OR low > least(open, close) OR low <= 0 THEN 1 ELSE 0 END AS bad, CASE WHEN open = lag(close) OVER o THEN 1 ELSE 0 END AS same FROM e WINDOW w AS (PARTITION BY series_id ORDER BY pos ROWS 249 PRECEDING), o AS (PARTITION BY series_id ORDER BY pos))
+SELECT series_id, count(gk_cc) AS n, {r6('min(gk_cc)')} AS gk_low, {r6('quantile_cont(gk_cc, 0.5)')} AS gk_median, {r6('max(gk_cc)')} AS gk_high, {r6('min(pk_cc)')} AS pk_low, {r6('max(pk_cc)')} AS pk_high, CAST(sum(bad) AS BIGINT) AS bad_bars, {r6('avg(same)')} AS share_open_at_close FROM f GROUP BY 1""")
+def ratio_checks(spark, sf):
+    return vol.ratio_checks(market.index_bars(spark, sf))
+
+
+@query(f"""WITH {VAR}, s AS (SELECT *, lead(pos, 20) OVER o IS NOT NULL AS known, ln(rv22) AS lf, CASE WHEN count(r) OVER f = 20 AND stddev_samp(r) OVER f > 0 THEN ln(stddev_samp(r) OVER f * sqrt(252.0)) END AS z FROM har WINDOW o AS (PARTITION BY series_id ORDER BY pos), f AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)),
+q AS (SELECT series_id, year(date) AS block, rv22, ln(vx) AS lv, lf, z FROM (SELECT s.*, rv5 AS vx FROM s) WHERE z IS NOT NULL AND lf IS NOT NULL AND vx IS NOT NULL), l AS (SELECT series_id, block, 'rv22' AS source, lf AS f, z FROM q UNION ALL SELECT series_id, block, 'rv5', lv, z FROM q)
+SELECT series_id, source, coalesce(block, -1) AS block, count(*) AS n, {r6('avg(pow(f - z, 2))')} AS log_mse, {r6('avg(exp(2 * (z - f)) - 2 * (z - f) - 1)')} AS qlike, {r6('1 - sum(pow(z - f, 2)) / nullif(sum(z * z) - sum(z) * sum(z) / count(*), 0)')} AS log_r2 FROM l GROUP BY GROUPING SETS ((series_id, source, block), (series_id, source))""")
+def volatility_scores(spark, sf):
+    """Log errors, QLIKE and log R2 of two forecasts by year and over all."""
+    d = _ladder(spark, sf).withColumn("block", F.year("date"))
+    return scoring.volatility_scores(d, {"rv22": F.ln("rv22"), "rv5": F.ln("rv5")}, "ln_fwd").withColumn("block", known("block"))
+
+
+@query(f"""WITH {VAR}, s AS (SELECT series_id, pos, ln(rv22) - CASE WHEN count(r) OVER f = 20 AND stddev_samp(r) OVER f > 0 THEN ln(stddev_samp(r) OVER f * sqrt(252.0)) END AS e FROM har WINDOW f AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)), t AS (SELECT * FROM s WHERE e IS NOT NULL),
+u AS (SELECT series_id, CASE WHEN count(*) OVER w = 60 THEN avg(abs(e)) OVER w END AS mae, CASE WHEN count(*) OVER w = 60 THEN avg(e) OVER w END AS bias FROM t WINDOW w AS (PARTITION BY series_id ORDER BY pos ROWS 59 PRECEDING)) SELECT series_id, count(mae) AS n, {r6('quantile_cont(mae, 0.5)')} AS mae_median, {r6('quantile_cont(bias, 0.05)')} AS bias_p05, {r6('quantile_cont(bias, 0.95)')} AS bias_p95 FROM u GROUP BY 1""")
+def volatility_reference(spark, sf):
+    d = _ladder(spark, sf).withColumn("e", F.ln("rv22") - F.col("ln_fwd")).filter("e is not null")
+    mean = lambda x: expr.full(x, F.avg(x), expr.trailing(60), 60)
+    d = d.withColumns({"mae": mean(F.abs("e")), "bias": mean(F.col("e"))})
+    return d.groupBy(SERIES).agg(F.count("mae").alias("n"), F.percentile("mae", 0.5).alias("mae_median"), F.percentile("bias", 0.05).alias("bias_p05"), F.percentile("bias", 0.95).alias("bias_p95"))
+
+
+@query(f"""WITH {PX}, {ORD}, f AS (SELECT p.series_id, p.date, p.pos, round(v.close) AS score FROM px p ASOF LEFT JOIN ox v ON p.series_id = v.series_id AND p.date >= v.date) SELECT series_id, CAST(date AS VARCHAR) AS date, {r6('score')} AS score, {r6('score - lag(score, 1) OVER w')} AS d_1, {r6('score - lag(score, 5) OVER w')} AS d_5, {r6('score - lag(score, 21) OVER w')} AS d_21 FROM f WINDOW w AS (PARTITION BY series_id ORDER BY pos)""")
+def sentiment_changes(spark, sf):
+    """A score as of each session, with its changes from 1, 5 and 21 sessions ago."""
+    c = market.index_close(spark, sf)
+    s = store.asof(c, market.other_close(spark, sf).withColumnRenamed("close", "score"), "score").join(c.select(SERIES, "date", "pos"), [SERIES, "date"]).withColumn("score", F.round("score"))
+    return s.select(SERIES, "date", "score", *((F.col("score") - F.lag("score", k).over(expr.series())).alias(f"d_{k}") for k in (1, 5, 21)))
+
+
+@query(f"""WITH {PX}, w AS (SELECT date, avg(close / c0 - 1) AS r FROM (SELECT *, lag(close) OVER (PARTITION BY series_id ORDER BY date) AS c0 FROM px) WHERE c0 IS NOT NULL GROUP BY 1) SELECT CAST(date AS VARCHAR) AS date, {r6('exp(sum(ln(1 + r)) OVER (ORDER BY date))')} AS basket FROM w""")
+def equal_weight_basket(spark, sf):
+    """Four series rebalanced to equal weights each day: growth of one."""
+    c = market.index_close(spark, sf).withColumn("r", F.col("close") / F.lag("close").over(expr.series()) - 1)
+    day = c.groupBy("date").agg(F.avg("r").alias("r")).filter("r is not null")
+    return day.select("date", F.exp(F.sum(F.log1p("r")).over(Window.orderBy("date"))).alias("basket"))  # one row a session
+
+
+@query(f"""WITH b AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS bar, first(value ORDER BY ts) AS o, last(value ORDER BY ts) AS c FROM events WHERE value > 0 GROUP BY 1, 2), l AS (SELECT series_id, CAST(bar AS DATE) AS date, last(o ORDER BY bar) AS o, last(c ORDER BY bar) AS c FROM b GROUP BY 1, 2),
+m AS (SELECT series_id, date, CAST(c / o - 1 > 0.001 AS INT) AS up, row_number() OVER w AS i FROM l WHERE day(date) % 9 <> 0 WINDOW w AS (PARTITION BY series_id ORDER BY date)), z AS (SELECT *, i - max(CASE WHEN up = 0 THEN i ELSE 0 END) OVER (PARTITION BY series_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS streak, sum(up) OVER (PARTITION BY series_id ORDER BY i ROWS 19 PRECEDING) AS s20 FROM m)
+SELECT series_id, CAST(date AS VARCHAR) AS date, CAST(up AS BIGINT) AS up, CAST(least(streak, 30) AS BIGINT) AS streak, CAST(s20 AS BIGINT) AS up_20 FROM z""")
+def closing_streaks(spark, sf):
+    """Rises of the last bar of each session but half days, their streak among the last 30 and their number in 20."""
+    last = market.bars(spark, sf, "hour").groupBy(SERIES, F.to_date("bar").alias("date")).agg(F.max_by(F.struct("open", "close"), "bar").alias("b"))
+    d = last.filter(F.dayofmonth("date") % 9 != 0).select(SERIES, "date", (F.col("b.close") / F.col("b.open") - 1 > 0.001).cast("int").alias("up"))
+    d = market.with_pos(d)
+    off = F.max(F.when(F.col("up") == 0, F.col("pos")).otherwise(0)).over(expr.whole())
+    return d.select(SERIES, "date", "up", F.least(F.col("pos") - off, F.lit(30)).alias("streak"), F.sum("up").over(expr.trailing(20)).alias("up_20"))

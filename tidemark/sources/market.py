@@ -66,10 +66,3 @@ def pseudo_vix(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = other_close(spark, sf_dir).withColumn("r2", r * r)
     vix = F.when(F.count("r2").over(trailing(22)) == 22, 100 * F.sqrt(252 * F.avg("r2").over(trailing(22))))
     return v.select(SERIES, "date", vix.alias("vix"))
-
-
-def assert_series_contract(df: DataFrame) -> None:
-    """Raises ValueError unless keys are unique and closes positive."""
-    got = df.agg(F.count("*").alias("n"), F.count_distinct(SERIES, "date").alias("keys"), F.count_if(F.col("close").isNull() | (F.col("close") <= 0)).alias("bad")).first()
-    if got["n"] != got["keys"] or got["bad"]:
-        raise ValueError(f"{got['n'] - got['keys']} repeated keys, {got['bad']} closes that aren't positive")
