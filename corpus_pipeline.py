@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns a DataFrame. ``run``
 writes each stage's rows as Parquet in the cluster's shared folder and reads them again for the next.
+
+Defined cases: null and empty texts fail the quality rules; of rows that share an id each is judged by its own text; of
+equal texts and near copies one row stays; a null source is a source of its own; very long texts go whole through every
+stage; columns besides those of documents stay up to the mixture, whatever their names; an empty table gives an empty
+table with the columns of the last stage.
 """
 
 from __future__ import annotations
