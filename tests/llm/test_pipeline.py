@@ -1,10 +1,11 @@
 """The corpus pipeline against its parts, computed plainly."""
 
+import duckdb
 import pytest
 
 import corpus_pipeline
 from tests.conftest import SF
-from tidemark.llm import byte_bpe, near_dedup, quality, secret_scan
+from tidemark.llm import byte_bpe, near_dedup, quality, registry, secret_scan
 
 
 @pytest.fixture(scope="module")
@@ -38,8 +39,25 @@ def test_run_gives_the_same_rows(spark, stages):
     assert key(corpus_pipeline.run(spark, SF)) == key(stages[-1])
 
 
-def test_odd_tables(spark, odd, empty, tmp_path):
-    for name, docs in (("odd", odd), ("empty", empty)):
+def test_mixture_takes_what_the_sql_takes(spark, stages):
+    """Copies of each document by the mixture's DuckDB SQL over the stage's own input."""
+    con = duckdb.connect()
+    con.register("documents", stages[2].toPandas())
+    taken = con.sql(registry.oracle_sql()["op6_mixing"]).df()
+    want = {r.doc_id: int(r.taken / r.size + 0.5) for r in taken.itertuples() if r.size and int(r.taken / r.size + 0.5)}
+    assert {r["doc_id"]: r["count"] for r in stages[3].groupBy("doc_id").count().collect()} == want
+
+
+def test_odd_tables(spark, odd, empty, clashing, tmp_path):
+    for name, docs in (("odd", odd), ("empty", empty), ("clashing", clashing)):
+        columns, out = docs.columns, [docs]
         for k, (_, f) in enumerate(corpus_pipeline.STAGES):
             f(spark, docs, SF).write.parquet(f"{tmp_path}/{name}/{k}")
             docs = spark.read.parquet(f"{tmp_path}/{name}/{k}")
+            out.append(docs)
+        assert all(x.columns == columns for x in out[1:5])
+        n = [x.count() for x in out]
+        kept = quality.judge(out[0].select("doc_id", "text", "lang"), "doc_id").filter("kept").count()
+        assert n[1] == kept and n[2] == near_dedup.classes(out[1].select("doc_id", "text")).select("class_id").distinct().count()
+        assert n[3] == n[2] and n[5] == n[4] and (n[0] == 0) == (name == "empty") and (name == "empty" or n[1] > 0)
+        assert {r["doc_id"] for r in out[4].collect()} <= {r["doc_id"] for r in out[3].collect()}
