@@ -335,3 +335,18 @@ def test_ladder_rows_are_common_to_all_rungs(spark):
     got = catalog.queries()["ladder_rungs"](spark, SF).toPandas()
     sizes = got.groupby([SERIES, got["block"].fillna(-1)])["n"].nunique()
     assert (sizes == 1).all() and set(got["rung"]) == set(research.LADDER)
+
+
+def test_cache_refuses_lost_series_and_keeps_cells(spark, tmp_path):
+    from tidemark.sources import cache
+
+    root = str(tmp_path / "prices")
+    a = market.index_close(spark, SF).select(SERIES, "date", "close")
+    cache.build(a, root, "S0", ("S1", "S2", "S3"))
+    with pytest.raises(ValueError, match="lost"):
+        cache.build(a.filter(F.col(SERIES) != "S2"), root, "S0")
+    cache.build(a.filter(F.col(SERIES) != "S2"), root, "S0", ("S1", "S3"), force=True)
+    new = a.filter("series_id = 'S0'").limit(3).withColumn("close", F.when(F.col("close") > 0, 7.0))
+    cache.update(new.unionByName(a.filter("series_id = 'S1'").limit(2).withColumn("close", F.lit(None).cast("double"))), root, "S0", ("S1", "S3"))
+    got = feeds.load_frames(spark, root)["prices"]
+    assert got.filter("close = 7.0").count() == 3 and got.filter("series_id = 'S1'").count() == a.filter("series_id = 'S1'").count()

@@ -51,6 +51,10 @@ class DecisionConfig:
     dwell_escalate: int = 0
 
 
+#: Named settings of the machine.
+CONFIGS = {"default": DecisionConfig(), "wide": DecisionConfig(1.75, 1.25, 3.0, 2.25), "symmetric_dwell": DecisionConfig(dwell_escalate=5), "no_dwell": DecisionConfig(dwell=0)}
+
+
 def decide(r: float | None, state: str, days: int, cfg: DecisionConfig) -> tuple[str, int]:
     """One session of the state machine: up at once, down only after the dwell; without r the state stays."""
     level = {"normal": 0, "caution": 1, "reduce": 2}[state]

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expr
 from tidemark.functions.expr import SERIES
-from tidemark.operators import attribution, ensemble, evaluation, events, fit, folds, ladder, paths, portfolio, regime, scenarios, scoring, sessions, store, tracking, vol
+from tidemark.operators import attribution, ensemble, evaluation, events, fit, folds, ladder, paths, portfolio, regime, rules, scenarios, scoring, sessions, store, tracking, vol
 from tidemark.plans.queries import (
     BARS, EPS_BODY, FOMC_SQL, FWD, NTH, LASTD, OBS, OOS, ORD, PX, VAR, WEEK, WILSON, _decided, _holidays_sql, _ladder, barrier_sql, _oos, _replay, _targets_of_size, known, query, r6,
 )
-from tidemark.sources import feeds, market
+from tidemark.sources import cache, feeds, market
 
 # ---- calendars --------------------------------------------------------------------------------------------------
 
@@ -825,3 +825,63 @@ def closing_streaks(spark, sf):
     d = market.with_pos(d)
     off = F.max(F.when(F.col("up") == 0, F.col("pos")).otherwise(0)).over(expr.whole())
     return d.select(SERIES, "date", "up", F.least(F.col("pos") - off, F.lit(30)).alias("streak"), F.sum("up").over(expr.trailing(20)).alias("up_20"))
+
+
+# ---- further pieces ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PX} SELECT series_id, count(*) AS n, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date FROM px WHERE date > CAST(DATE '2000-02-29' - INTERVAL 24 MONTH AS DATE) AND date <= DATE '2000-02-29' GROUP BY 1")
+def span_windows(spark, sf):
+    return cache.spans(market.index_close(spark, sf), "2000-02-29", 24).groupBy(SERIES).agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+@query(f"WITH {PX} SELECT series_id, count(*) // 20 AS blocks_20, count(*) // 60 AS blocks_60 FROM px GROUP BY 1")
+def independent_blocks(spark, sf):
+    n = market.index_close(spark, sf).groupBy(SERIES).agg(F.count("*").alias("n"))
+    return n.select(SERIES, F.floor(F.col("n") / 20).alias("blocks_20"), F.floor(F.col("n") / 60).alias("blocks_60"))
+
+
+@query(f"""WITH {SKILLS} SELECT series_id, "table", rung, count(*) AS blocks, count(*) FILTER (sc > 0) AS above_clim, count(*) FILTER (sv >= 0) AS above_implied, {r6('min(sc)')} AS least, {r6('quantile_cont(sc, 0.5)')} AS median, {r6('max(sc)')} AS most FROM sk GROUP BY ALL""")
+def block_statistics(spark, sf):
+    return _block_skills(spark, sf).groupBy(SERIES, "table", "rung").agg(
+        F.count("*").alias("blocks"), F.count_if(F.col("skill_clim") > 0).alias("above_clim"), F.count_if(F.col("skill_vix") >= 0).alias("above_implied"), F.min("skill_clim").alias("least"), F.percentile("skill_clim", 0.5).alias("median"), F.max("skill_clim").alias("most")
+    )
+
+
+PARK = BARS + """, va AS (SELECT *, CASE WHEN high > 0 AND low > 0 THEN greatest(pow(ln(high / low), 2) / (4 * ln(2)), 1e-8) END AS var FROM bars), har AS (SELECT *, """ + ", ".join(f"CASE WHEN count(var) OVER w{k} = {k} THEN sqrt(252 * greatest(avg(var) OVER w{k}, 1e-8)) END AS rv{k}" for k in (1, 5, 22)) + " FROM va WINDOW " + ", ".join(f"w{k} AS (PARTITION BY series_id ORDER BY pos ROWS {k - 1} PRECEDING)" for k in (1, 5, 22)) + ")"
+
+
+@query(f"WITH {PARK} SELECT series_id, pos, {r6('(ln(rv1) + ln(rv5) + ln(rv22)) / 3')} AS x_har FROM har")
+def parkinson_feature(spark, sf):
+    """The volatility feature from another estimator."""
+    h = vol.har_components(market.index_bars(spark, sf), vol.parkinson())
+    return h.select(SERIES, "pos", vol.har_log_vol().alias("x_har"))
+
+
+@query()
+def rule_reference(spark, sf):
+    """The rule engine's tones as a probability: scaled each year to the labels known then, on the mean of the three states' scores."""
+    score = lambda c: rules.score_of(F.col(c))
+    x = _replay(spark, sf).select(SERIES, "pos", "date", (-(score("m") + score("w") + score("d")) / 3).alias("x"))
+    rows = x.join(_oos(spark, sf).select(SERIES, "pos", "y"), [SERIES, "pos"], "left")
+    params = fit.logit_walk_forward(rows, ["x"])
+    return fit.score_segments(rows, params, ["x"]).select(SERIES, "pos", F.col("pred").alias("p_rules"))
+
+
+@query()
+def regime_era_auc(spark, sf):
+    """AUC of the regime member by year."""
+    d = vol.regime_observations(market.index_bars(spark, sf))
+    p = regime.member_probabilities(d, _thetas(spark, sf), _oos(spark, sf)).dropna(subset=["m_h"])
+    return scoring.auc(p.join(_oos(spark, sf).select(SERIES, "pos", "y"), [SERIES, "pos"]), "m_h", [SERIES, "year"])
+
+
+@query()
+def decision_variants(spark, sf):
+    """Changes and occupancy under each named setting of the state machine."""
+    ratios = _decided(spark, sf).select(SERIES, "pos", "r")
+    each = [folds.decisions(ratios, cfg).withColumn("setting", F.lit(name)) for name, cfg in folds.CONFIGS.items()]
+    rows = each[0]
+    for x in each[1:]:
+        rows = rows.unionByName(x)
+    return rows.groupBy(SERIES, "setting").agg(F.count("*").alias("n"), F.sum(F.col("changed").cast("long")).alias("changes"), F.avg((F.col("state") == "normal").cast("double")).alias("share_normal"))
