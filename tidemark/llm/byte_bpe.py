@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, table
 
 #: Matches whose tokens a Python worker remembers (about 300 bytes each); it forgets all when there are more.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Texts of more characters are matched piece by piece, so that their matches are never all in memory.
 LONG = 1_000_000
 BLOCK = 65_536
