@@ -43,8 +43,8 @@ CLASSES, SLOTS, OWN = 32, 32, 20
 FEATURE_BITS = 14
 FEATURES = 1 << FEATURE_BITS
 HOT = 1 << 18
-ROUNDS, LOT_TOKENS = 3, 2_000_000
-STEP_TOKENS, RATE = 4096, 0.3
+ROUNDS, LOT_TOKENS = 3, 1_000_000
+STEP_TOKENS, RATE = 8192, 0.3
 #: Tokens that are counted together before counts leave a task, trained together, and scored together.
 LOT, TRAINED, SCORED = 2_000_000, 200_000, 150_000
 #: The bias of what holds no token.
@@ -146,20 +146,37 @@ class Layer:
     def begin(self) -> None:
         self.squares, self.bias_squares = np.zeros(FEATURES, np.float32), np.zeros(len(self.bias), np.float32)
 
+    def sums(self, rows: np.ndarray, conditions: np.ndarray) -> np.ndarray:
+        x = self.weights.take(rows[0], 0)
+        x += self.weights.take(rows[1], 0)
+        x += self.weights.take(rows[2], 0)
+        x += self.bias.take(conditions, 0) if len(self.bias) > 1 else self.bias
+        return x
+
     def logs(self, rows: np.ndarray, conditions: np.ndarray) -> np.ndarray:
-        w = self.weights
-        return log_softmax(w[rows[0]] + w[rows[1]] + w[rows[2]] + self.bias[conditions])
+        return log_softmax(self.sums(rows, conditions))
 
     def step(self, rows: np.ndarray, conditions: np.ndarray, wanted: np.ndarray, rate: float) -> None:
         """One gradient step; the squares of past gradients of a row scale its steps."""
-        miss = np.exp(self.logs(rows, conditions))
+        miss = self.sums(rows, conditions)
+        miss -= miss.max(1, keepdims=True)
+        np.exp(miss, out=miss)
+        miss /= miss.sum(1, keepdims=True)
         miss[np.arange(len(wanted)), wanted] -= 1
-        for at, values, squares in (*((row, self.weights, self.squares) for row in rows), (conditions, self.bias, self.bias_squares)):
-            order = np.argsort(at, kind="stable")
-            own, begins = np.unique(at[order], return_index=True)
-            g = np.add.reduceat(miss[order], begins, axis=0)
-            squares[own] += (g * g).mean(1)
-            values[own] -= rate * g / np.sqrt(squares[own] + 1)[:, None]
+        if len(self.bias) == 1:
+            g = miss.sum(0)
+            self.bias_squares += (g * g).mean()
+            self.bias -= rate * g / np.sqrt(self.bias_squares + 1)[:, None]
+        parts = [(row, self.weights, self.squares) for row in rows] + [(conditions, self.bias, self.bias_squares)] * (len(self.bias) > 1)
+        for at, values, squares in parts:
+            order = np.argsort(at.astype(np.uint16), kind="stable")  # numbers below 2 ** 16: sorted by counting
+            places = at[order]
+            begins = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
+            own, g = places[begins], np.add.reduceat(miss.take(order, 0), begins, axis=0)
+            own_squares = squares[own] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+            squares[own] = own_squares
+            g *= (rate / np.sqrt(own_squares + 1))[:, None]
+            values[own] -= g
 
 
 class Model:
@@ -184,6 +201,7 @@ class Model:
         self.cold = np.array([math.log10(rest.get(k, (0, 0))[0] + 0.5 * (rest.get(k, (0, 0))[1] + 1)) for k in range(SLOTS)])  # of the last class, by slot
         sums[-1] = [rest.get(k, (0, 0))[0] + 0.5 * (rest.get(k, (0, 0))[1] + 1) for k in range(SLOTS)]
         self.classes, self.members = Layer(1, CLASSES), Layer(CLASSES, SLOTS)
+        self.several = (sums > 0).sum(1) > 1  # classes with more than one slot: in others the second factor is 1
         with np.errstate(divide="ignore", invalid="ignore"):
             self.classes.bias[0] = np.maximum(NEVER, np.log(sums.sum(1) / sums.sum()))
             self.members.bias[:] = np.maximum(NEVER, np.nan_to_num(np.log(sums / sums.sum(1, keepdims=True)), nan=0.0, neginf=NEVER))
@@ -204,12 +222,16 @@ class Model:
     def steps(self, found: list[np.ndarray], rate: float) -> int:
         h, features = np.concatenate(found), np.concatenate([contexts(x) for x in found], axis=1)
         _, _, kinds, slots = self.place_of(h)
-        rows = class_rows(features), slot_rows(features, kinds)
-        none = np.zeros(len(h), np.int64)
+        first, none = class_rows(features), np.zeros(len(h), np.int64)
         for i in range(0, len(h), STEP_TOKENS):
             at = slice(i, i + STEP_TOKENS)
-            self.classes.step(rows[0][:, at], none[at], kinds[at], rate)
-            self.members.step(rows[1][:, at], kinds[at], slots[at], rate)
+            self.classes.step(first[:, at], none[at], kinds[at], rate)
+        inside = np.flatnonzero(self.several[kinds])
+        kinds, slots = kinds[inside], slots[inside]
+        second = slot_rows(features[:, inside], kinds)
+        for i in range(0, len(inside), STEP_TOKENS):
+            at = slice(i, i + STEP_TOKENS)
+            self.members.step(second[:, at], kinds[at], slots[at], rate)
         return len(h)
 
     def chosen(self, features: np.ndarray, kinds: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -219,7 +241,13 @@ class Model:
             at = slice(i, i + (1 << 14))
             n = np.arange(len(kinds[at]))
             first = self.classes.logs(class_rows(features[:, at]), np.zeros(len(n), np.int64))[n, kinds[at]]
-            out[at] = first + self.members.logs(slot_rows(features[:, at], kinds[at]), kinds[at])[n, slots[at]]
+            out[at] = first
+        inside = np.flatnonzero(self.several[kinds])
+        kinds, slots = kinds[inside], slots[inside]
+        for i in range(0, len(inside), 1 << 14):
+            at = slice(i, i + (1 << 14))
+            n = np.arange(len(kinds[at]))
+            out[inside[at]] += self.members.logs(slot_rows(features[:, inside[at]], kinds[at]), kinds[at])[n, slots[at]]
         return out
 
     def parts(self) -> list[np.ndarray]:
@@ -235,8 +263,8 @@ class Model:
             at += x.size
 
 
-def round_of_training(docs: DataFrame, model: Model, rate: float) -> None:
-    """The mean of the changes that the lots of docs (text, lot, order) make, by their tokens."""
+def round_of_training(docs: DataFrame, model: Model, rate: float, n_lots: int) -> None:
+    """The mean of the changes that the n_lots lots of docs (text, lot, order) make, by their tokens."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights and of hot tokens
     schema = "slice long, lot long, n long, part binary"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -282,7 +310,8 @@ def round_of_training(docs: DataFrame, model: Model, rate: float) -> None:
             m = len(sums)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([0] * m, pa.int64()), pa.array([n_all] * m, pa.int64()), pa.array([x.tobytes() for x in sums.values()])], names)
 
-    dealt = docs.select("text", "lot", "order").repartition("lot").sortWithinPartitions("lot", "order").select("text", "lot")
+    # by ranges, not by hash: each lot is a task's whole work, so two of them should not meet in one
+    dealt = docs.select("text", "lot", "order").repartitionByRange(max(1, n_lots), "lot").sortWithinPartitions("lot", "order").select("text", "lot")
     got = dealt.mapInArrow(run, schema).repartition(16, "slice").sortWithinPartitions("slice", "lot").mapInArrow(summed, schema).collect()
     n_all = sum(r["n"] for r in got if r["slice"] < 0)
     if n_all:
@@ -369,7 +398,7 @@ def train_and_score(docs: DataFrame) -> DataFrame:
     row = lambda i: F.xxhash64("doc_id", "text", F.lit(i))
     learn = learn.withColumns({"lot": F.pmod(row(1), F.lit(lots)), "order": row(2)})
     for i in range(ROUNDS):
-        round_of_training(learn.filter(F.col("lot") % ROUNDS == i), model, RATE / (1 + i))
+        round_of_training(learn.filter(F.col("lot") % ROUNDS == i), model, RATE / (1 + i), -(-lots // ROUNDS))
     return scored(docs.withColumn("text_hash", F.xxhash64("text")), model, counts, total, distinct)
 
 
