@@ -1,8 +1,8 @@
-"""DuckDB SQL for the queries that SQL can express: quality rules, mixing, WARC. The others are tested in tests/llm."""
+"""DuckDB SQL for the queries that SQL can express; the others are tested in tests/llm."""
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import importance, mixing, quality
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -82,5 +82,32 @@ SELECT page_id, strlen(html) AS payload_bytes, array_to_string(list_transform(ra
   CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last_id THEN last_id END AS refers_to, url FROM p"""
 
 
+def crc_sql(x: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, bit by bit."""
+    bytes_of = f"list_transform(range(0, strlen({x})), lambda i: CAST('0x' || substr(hex(encode({x})), 2 * i + 1, 2) AS BIGINT))"
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_of}), lambda c, b: {step}))"
+
+
+def importance_sql() -> str:
+    """Features listed, hashed once each, counted by bucket on both sides; the highest scores by one window."""
+    n, scale = importance.BUCKETS, importance.SCALE
+    runs = "w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])"
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents), b AS (SELECT {words} AS w FROM benchmark),
+fd AS (SELECT r, unnest(list_concat({runs})) AS f FROM d), fb AS (SELECT unnest(list_concat({runs})) AS f FROM b),
+h AS (SELECT f, {crc_sql("f")} % {n} AS k FROM (SELECT f FROM fd UNION SELECT f FROM fb)),
+s AS (SELECT k, count(*) AS s FROM fd JOIN h USING (f) GROUP BY 1), t AS (SELECT k, count(*) AS t FROM fb JOIN h USING (f) GROUP BY 1),
+g AS (SELECT k, CAST(floor({scale} * ln((coalesce(t, 0) + 1)::DOUBLE * (coalesce((SELECT sum(s) FROM s), 0) + {n})::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + {n})::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(0, {n})) AS k) LEFT JOIN s USING (k) LEFT JOIN t USING (k)),
+w AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight, count(*) AS n FROM fd JOIN h USING (f) JOIN g USING (k) GROUP BY 1),
+c AS (SELECT doc_id, len(d.w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+  CAST(floor(-{scale} * ln(-ln((CAST('0x' || substr(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS luck FROM d LEFT JOIN w USING (r)),
+o AS (SELECT *, weight + luck AS score, words >= {importance.LEAST_WORDS} AS may FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER (PARTITION BY may) AS eligible FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= {importance.PERCENT} * eligible // 100 THEN place END AS rank FROM p"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_quality": quality_sql(), "op6_mixing": mixing_sql(), "op8_warc": warc_sql()}
+    return {"op2_quality": quality_sql(), "op6_mixing": mixing_sql(), "op8_warc": warc_sql(), "op11_importance": importance_sql()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, html_text, language_id, maxent_lm, mixing, near_dedup, oracle, quality, secret_scan, warc
+from . import byte_bpe, fingerprints, html_text, importance, language_id, maxent_lm, mixing, near_dedup, oracle, quality, secret_scan, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.query,
         "op9_maxent_lm": maxent_lm.query,
         "op10_fingerprints": fingerprints.query,
+        "op11_importance": importance.query,
     }
 
 
