@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance, mixing, quality
+from . import importance, mixing, quality, url_filter
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -109,5 +109,40 @@ p AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id
 SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= {importance.PERCENT} * eligible // 100 THEN place END AS rank FROM p"""
 
 
+def url_filter_sql() -> str:
+    """Links by expressions, aliases by what can be reached, rules by a join."""
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+    hidden = url_filter.HIDDEN.replace("(?is)", "")
+    get = lambda x, p, g=1, o="is": f"regexp_extract({x}, '{p}', {g}, '{o}')"
+    low = lambda x: f"translate({x}, '{url_filter.UPPER}', '{url_filter.LOWER}')"
+    value = lambda name: "concat(" + ", ".join(get("tag", rf"""\s{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))""", i) for i in (1, 2, 3)) + ")"
+    node = lambda x: f"CASE WHEN contains({x}, '://') THEN concat({low(get(x, '^(.*?)://'))}, '://', {low(get(x, '^.*?://([^/?#]*)'))}, {get(x, '^.*?://[^/?#]*([^#]*)')}) END"
+    parts = lambda x: f"{low(get(x, '^.*?://([^/?#]*)'))} AS host, {get(x, '^.*?://[^/?#]*([^?#]*)')} AS path"
+    plain = "goes"
+    for name, char in (("&quot;|&#34;", '"'), ("&#39;|&apos;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;|&#38;|&#x26;", "&")):
+        plain = f"regexp_replace({plain}, '{name}', '{char}', 'g')"
+    goes_to = get(value("content"), r"""^\s*[0-9.]*\s*[;,]\s*url\s*=\s*["'']?([^"'']*)""")
+    steps = "list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(string_split(way, '/'), lambda x: [x])), lambda done, x: CASE WHEN x[1] = '.' THEN done WHEN x[1] = '..' THEN CASE WHEN len(done) > 1 THEN done[:len(done) - 1] ELSE done END ELSE list_concat(done, x) END)"
+    return rf"""
+WITH RECURSIVE r(h, p, v) AS (VALUES {rules}),
+m AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '{hidden}', ' ', 'gis'), '<(?:link|meta)\s[^>]*>', 0, 'is')) AS tag FROM pages WHERE contains(url, '://') AND regexp_matches(html, 'canonical|refresh', 'i')),
+g AS (SELECT url, CASE WHEN regexp_matches(tag, '^<link\s', 'i') AND list_contains(regexp_split_to_array(lower({value("rel")}), '\s+'), 'canonical') THEN {value("href")}
+  WHEN regexp_matches(tag, '^<meta\s', 'i') AND lower(trim({value("http-equiv")})) = 'refresh' THEN {goes_to} END AS goes FROM m),
+t AS (SELECT url, trim({plain}) AS goes, {get("url", "^(.*?)://")} AS scheme, {get("url", "^(.*?://[^/?#]*)")} AS root, {get("url", "^.*?://[^/?#]*([^?#]*)")} AS path FROM g),
+u AS (SELECT url, CASE WHEN regexp_matches(goes, '^[A-Za-z][A-Za-z0-9+.-]*://', 's') THEN goes WHEN starts_with(goes, '//') THEN concat(scheme, ':', goes) WHEN starts_with(goes, '/') THEN concat(root, goes) WHEN starts_with(goes, '?') THEN concat(root, path, goes)
+  WHEN regexp_matches(goes, '^[A-Za-z][A-Za-z0-9+.-]*:') OR goes = '' OR starts_with(goes, '#') THEN NULL WHEN goes IS NOT NULL THEN concat(root, CASE WHEN path = '' THEN '/' ELSE {get("path", "^(.*/)")} END, goes) END AS far FROM t),
+w AS (SELECT url, far, {get("far", "^(.*?://[^/?#]*)([^?#]*)(.*)$", 1)} AS b, {get("far", "^(.*?://[^/?#]*)([^?#]*)(.*)$", 2)} AS way, {get("far", "^(.*?://[^/?#]*)([^?#]*)(.*)$", 3)} AS a FROM u),
+x AS (SELECT url, CASE WHEN regexp_matches(concat('/', way, '/'), '/\.\.?/') THEN concat(b, array_to_string({steps}, '/'), CASE WHEN regexp_matches(way, '/\.\.?$') THEN '/' ELSE '' END, a) ELSE far END AS far FROM w WHERE far IS NOT NULL),
+e AS (SELECT {node("url")} AS s, {node("far")} AS t FROM x),
+l AS (SELECT s AS a, t AS b FROM e UNION SELECT t, s FROM e),
+c(a, b) AS (SELECT a, a FROM l UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b),
+n AS (SELECT node, {parts("node")} FROM (SELECT DISTINCT b AS node FROM c)),
+nv AS (SELECT node, arg_max(v, (strlen(h || p), v = 'allow')) AS v FROM n JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1),
+av AS (SELECT a AS node, CASE WHEN bool_or(v = 'block') AND NOT bool_or(v = 'allow') THEN 'block' ELSE 'allow' END AS v FROM c JOIN nv ON nv.node = c.b GROUP BY 1),
+pg AS (SELECT row_number() OVER () AS i, page_id, {parts("coalesce(url, '')")}, {node("url")} AS node FROM pages),
+pv AS (SELECT i, arg_max((h || p, v), (strlen(h || p), v = 'allow')) AS f FROM pg JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
+SELECT page_id, host, path, f[1] AS rule, coalesce(f[2], av.v, 'allow') AS verdict FROM pg LEFT JOIN pv USING (i) LEFT JOIN av USING (node)"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_quality": quality_sql(), "op6_mixing": mixing_sql(), "op8_warc": warc_sql(), "op11_importance": importance_sql()}
+    return {"op2_quality": quality_sql(), "op6_mixing": mixing_sql(), "op8_warc": warc_sql(), "op11_importance": importance_sql(), "op13_url_filter": url_filter_sql()}
