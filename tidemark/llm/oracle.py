@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance, mixing, quality, url_filter
+from . import importance, mixing, prefix_trie, quality, url_filter
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -144,5 +144,24 @@ pv AS (SELECT i, arg_max((h || p, v), (strlen(h || p), v = 'allow')) AS f FROM p
 SELECT page_id, host, path, f[1] AS rule, coalesce(f[2], av.v, 'allow') AS verdict FROM pg LEFT JOIN pv USING (i) LEFT JOIN av USING (node)"""
 
 
+def prefix_trie_sql() -> str:
+    """All nodes by grouping chained digests; each node's subtree by the paths of its members' smallest."""
+    fam = prefix_trie.FAMILY
+    return f"""
+WITH t AS (SELECT conv_id, strlen(coalesce(text, '')) AS b, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS e, turn FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, e) AS pos FROM t),
+z AS (SELECT conv_id, count(*) AS n FROM n GROUP BY 1),
+c AS (SELECT z.conv_id AS c, f.conv_id AS f, CASE WHEN z.conv_id % {fam} = 0 THEN 0 ELSE {crc_sql("CAST(z.conv_id AS VARCHAR)")} % {prefix_trie.BORROWED} END AS h, coalesce(f.n, 0) AS lent FROM z LEFT JOIN z f ON f.conv_id = z.conv_id - z.conv_id % {fam}),
+r AS (SELECT c, pos AS d, e, b FROM c JOIN n ON n.conv_id = c.f AND pos <= h UNION ALL SELECT c, least(h, lent) + pos - h, e, b FROM c JOIN n ON n.conv_id = c.c AND pos > h),
+p AS (SELECT c, d, b, md5(string_agg(e, ',') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)) AS k FROM r UNION ALL SELECT c, 0, 0, '' FROM c),
+q AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS pk, d = max(d) OVER (PARTITION BY c) AS fin FROM p),
+o AS (SELECT d, k, min(c) AS c, count(*) AS n, any_value(b) AS b, any_value(pk) AS pk, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE fin), '')) AS ends FROM q GROUP BY 1, 2),
+ch AS (SELECT d - 1 AS d, pk AS k, count(*) AS kids FROM o WHERE d > 0 GROUP BY 1, 2),
+oc AS (SELECT o.*, coalesce(kids, 0) AS kids FROM o LEFT JOIN ch ON ch.d = o.d AND ch.k = o.k),
+su AS (SELECT p.d, p.k, CAST(count(*) FILTER (WHERE kids = 0) AS BIGINT) AS leaves, CAST(sum((n - 1) * oc.b) AS BIGINT) AS saved FROM oc JOIN p ON p.c = oc.c AND p.d <= oc.d GROUP BY 1, 2)
+SELECT oc.c AS conv_id, oc.d AS depth, up.c AS parent_conv_id, oc.n AS n_convs, oc.kids AS n_children, leaves AS n_leaves, saved AS saved_tokens, oc.ends AS ends_sha256
+FROM oc JOIN su ON su.d = oc.d AND su.k = oc.k LEFT JOIN o up ON up.d = oc.d - 1 AND up.k = oc.pk"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_quality": quality_sql(), "op6_mixing": mixing_sql(), "op8_warc": warc_sql(), "op11_importance": importance_sql(), "op13_url_filter": url_filter_sql()}
+    return {"op2_quality": quality_sql(), "op6_mixing": mixing_sql(), "op8_warc": warc_sql(), "op11_importance": importance_sql(), "op12_prefix_trie": prefix_trie_sql(), "op13_url_filter": url_filter_sql()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, html_text, importance, language_id, maxent_lm, mixing, near_dedup, oracle, quality, secret_scan, url_filter, warc
+from . import byte_bpe, fingerprints, html_text, importance, language_id, maxent_lm, mixing, near_dedup, oracle, prefix_trie, quality, secret_scan, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_maxent_lm": maxent_lm.query,
         "op10_fingerprints": fingerprints.query,
         "op11_importance": importance.query,
+        "op12_prefix_trie": prefix_trie.query,
         "op13_url_filter": url_filter.query,
     }
 
