@@ -46,6 +46,15 @@ def index_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _path(lines.groupBy(SERIES, "date").agg(F.avg("l_extendedprice").alias("a")))
 
 
+def part_close(spark: SparkSession, sf_dir: str, key: str, n: int) -> DataFrame:
+    """Paths of n parts of each series, by a key of the lines: series_id, ticker, date, close."""
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey") % GROUPS).alias(SERIES), (F.floor(F.col(key) / 4) % n).alias("ticker"), F.to_date("l_shipdate").alias("date"), "l_extendedprice")
+    daily = lines.groupBy(SERIES, "ticker", "date").agg(F.avg("l_extendedprice").alias("a"))
+    every = Window.partitionBy(SERIES, "ticker")
+    ret = SCALE * (F.col("a") - F.avg("a").over(every)) / F.stddev_samp("a").over(every) + DRIFT
+    return daily.withColumn("r", ret).select(SERIES, "ticker", "date", (100 * F.exp(F.sum("r").over(every.orderBy("date")))).alias("close"))
+
+
 def other_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second index, of orders by customer group; some dates of the first are missing."""
     lines = table(spark, sf_dir, "orders").select(F.concat(F.lit("S"), F.col("o_custkey") % GROUPS).alias(SERIES), F.to_date("o_orderdate").alias("date"), "o_totalprice")
