@@ -243,3 +243,33 @@ def test_html_keeps_short_sections_and_references():
     page = f"<body><ul><li><a>Home</a><li><a>News</a></ul><div>{long}<ol><li><a>Reference one</a><li><a>Reference two</a><li>Last words.</ol></div><div class=advert>x</div><div class=share>y</div><form>z</form><p>A short last section.</p><ul><li><a>Terms</a></ul></body>"
     got = html_text.main_text(page).split("\n\n")
     assert len(got) == 12 and got[8:] == ["Reference one", "Reference two", "Last words.", "A short last section."]
+
+
+def test_html_names_are_hints_and_the_text_decides():
+    """Names that only contain a word for boilerplate, or wrap most of the text, lose nothing; real ones go."""
+    ps = "".join(f"<p>A long paragraph number {i} of the text, with several words in it and an end.</p>" for i in range(3))
+    want = html_text.main_text(ps)
+    assert len(want.split("\n\n")) == 3
+    for before in (
+        '<div class="layout has-sidebar">', '<div id="page" class="site no-header">', '<div class="wrapper header-fixed">', '<article class="post has-comments">', '<article class="post type-post comments-open">',
+        '<main><div class="alert">', '<div class="market-share">', '<section class="discussion">', '<div class="header-text">', '<div class="widget">', '<body class="nav"><div class="sidebar">', '<div class="comments">',
+    ):
+        assert html_text.main_text(before + ps) == want, before
+        assert html_text.main_text('<div class="page-header">Site of somebody.</div><div class="main-nav">Home News</div>' + before + ps) == want, before
+    for name in ("ad-banner", "cookie-notice", "site-footer", "comment-list", "comments", "sidebar-inner", "related-posts", "social-share", "newsletter"):
+        side = f'<div class="{name}"><p>Words that nobody asked for, in one sentence of some length.</p></div>'
+        assert html_text.main_text(side + ps + side) == want, name
+        assert html_text.main_text(f"<article>{ps}{side}</article>") == want, name
+    assert html_text.main_text(f'<article><p>Short one.</p></article><div class="comments">{ps}</div>') == "Short one."
+    assert html_text.main_text("<p>Copyright law is a field of its own.</p>") == "Copyright law is a field of its own."
+    assert html_text.main_text("<p>Copyright 2020 Somebody</p>" + ps) == want
+
+
+def test_html_menus_inside_the_text():
+    """Links in a row that fill a window go, wherever they stand; fewer stay between paragraphs; short first and last lines stay in an article."""
+    ps = "<p>" + "A paragraph of text. " * 6 + "</p>"
+    links = "".join(f"<div><a href={i}>Story number {i}</a></div>" for i in range(3))
+    for page in (ps + links + ps, f"<main>{ps}{links}{ps}</main>"):
+        assert "Story" not in html_text.main_text(page) and html_text.main_text(page).count("\n\n") == 1
+    assert html_text.main_text(f"<article><p>One.</p><p>Two.</p>{ps}<p>End.</p></article>").startswith("One.\n\nTwo.\n\nA")
+    assert html_text.main_text(f"<main>{ps}{links}<p>Buy now</p></main>") == html_text.main_text(ps)
