@@ -243,17 +243,18 @@ DEEPEST = 16
 
 
 def stripped(lines: list[Line], names: list[str]) -> list[Line]:
-    """The lines without the text of named elements; one that holds most of the page's text (of comments: all) stays."""
+    """The lines without the text of named elements; one that holds most of the page's text (comments: if all text is within names) stays."""
     if not names:
         return lines
     marked = any(x.main for x in lines)
-    held, total = [0] * len(names), 0
+    held, total, bare = [0] * len(names), 0, 0
     for x in lines:
         if x.main or not marked:
             total += len(x.text)
+            bare += 0 if x.within else len(x.text)
             for i in x.within:
                 held[i] += len(x.text)
-    stays = [2 * held[i] > total and (name not in COMMENTS or held[i] == total) for i, name in enumerate(names)]
+    stays = [2 * held[i] > total and (name not in COMMENTS or not bare) for i, name in enumerate(names)]
     out = []
     for x in lines:
         if all(stays[i] for i in x.within):
