@@ -65,7 +65,7 @@ NAMES = frozenset(
 ALONE = frozenset("share sharing social related recommended recommendations alert".split())
 #: What may follow either in a compound, and what takes it back before it.
 PLACES = frozenset(
-    "list lists box boxes wrap wrapper container area section block bar menu form item items link links inner button buttons icon icons slot unit banner zone panel post posts article articles story stories widget content body thread".split()
+    "list lists box boxes wrap wrapper container area section block bar menu form item items link links inner button buttons icon icons slot unit banner zone panel post posts article articles story stories widget content body thread share sharing media".split()
 )
 TAKEN_BACK = frozenset("has no non not with without is in on hide hides show shows js can".split())
 #: Names that mean something else inside an article; names of readers' comments; names of articles that aren't the page's.
