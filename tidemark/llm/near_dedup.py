@@ -25,7 +25,8 @@ candidates. Links are sought in three steps, each followed by joining what it li
    largest class of its cell, so only these sides are held against the cell.
 
 The number of steps is fixed, so plans and the driver's memory don't grow. To compare pairs, their cells are cut into
-blocks of about BLOCK nodes; a text travels once to each pair of blocks where it is needed, not once for each pair.
+blocks of about BLOCK nodes, long texts (LONG bytes) being blocks of their own, so that a task never holds more than two
+blocks' shingles; a text travels once to each pair of blocks where it is needed, not once for each pair.
 
 Defined cases: a null text counts as empty; documents without words are equal texts, one class; fewer than five words
 make one shingle, so very short texts are alike only if equal; very long texts are used whole; ties of leaders are
@@ -48,7 +49,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, word_list
+from .common import checkpointed, let, table, word_list
 from .hashing import counted, mix, normal, shingles, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -59,8 +60,8 @@ FEATURE_BITS = 20
 LEVELS = 1 << 16
 #: Leaders of a bucket in the second step, and members of a bucket that is compared whole in the third.
 DRAWS, WHOLE = 3, 16
-#: Nodes of a cell that are compared with as many at once.
-BLOCK = 128
+#: Nodes of a cell that are compared with as many at once, and bytes of words from which a node is a block of its own.
+BLOCK, LONG = 128, 1 << 18
 
 
 def _features(text: str | None) -> np.ndarray:
@@ -136,7 +137,7 @@ def sketched(docs: DataFrame, held: Broadcast) -> DataFrame:
                 copies, keys = [], []
                 for text in lot.column(1).to_pylist():
                     solid = normal(text)
-                    copies.append(hashlib.md5(solid).digest())
+                    copies.append(hashlib.md5(solid).digest() + b"L" * (len(solid) >= LONG))
                     keys.append(bands(*weighted(solid, idf)))
                 yield pa.RecordBatch.from_arrays([lot.column(0), pa.array(copies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "copy", "bands"])
 
@@ -149,8 +150,8 @@ def nameless(copy: Column | str) -> Column:
 
 
 def digest() -> Column:
-    """The digest of the words of the column text, as ``sketched`` makes it."""
-    return F.unhex(F.md5(F.array_join(word_list(F.col("text")), " ").cast("binary")))
+    """The digest of the words of the column text, as ``sketched`` makes it; a further byte marks long ones."""
+    return let(F.array_join(word_list(F.col("text")), " "), lambda x: F.concat(F.unhex(F.md5(x.cast("binary"))), F.when(F.octet_length(x) >= LONG, F.lit(b"L")).otherwise(F.lit(b""))))
 
 
 def met_texts(docs: DataFrame, wanted: DataFrame, keep: list[str]) -> DataFrame:
@@ -188,7 +189,8 @@ def verified(pairs: DataFrame, texts: DataFrame, held: Broadcast) -> DataFrame:
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(4).take(at), batch.column(5).take(at)], ["a", "b"])
 
-    block = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("n") / BLOCK))
+    # memory is bounded by bytes: long texts, which their digests mark, are blocks of one
+    block = lambda c: F.when(F.octet_length(c) > 16, F.xxhash64(c)).otherwise(F.pmod(F.xxhash64(c), F.ceil(F.col("n") / BLOCK)))
     # used twice
     dealt = checkpointed(pairs.select(F.xxhash64("cell", block("a"), block("b")).alias("lot"), "a", "b", "label_a", "label_b"))
     # a lot has at most two blocks of nodes
