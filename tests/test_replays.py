@@ -1,12 +1,15 @@
 """Replays: windows of bars by plain recomputation, and rows that don't change when later sessions come."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidemark.functions.expr import SERIES
-from tidemark.operators import timeframes
+from tidemark.operators import bootstrap, ensemble, kill_replay, timeframes
 from tidemark.plans import replays
 
 
@@ -58,3 +61,44 @@ def test_equal_baskets_compound_mean_returns(spark):
             for p in range(r[0] - 4, r[0] + 1):
                 level *= 1 + sum(a / b - 1 for a, b in zip(rows[p], rows[p - 1], strict=True)) / len(parts)
             assert r[1] == pytest.approx((level - closes[r[0]] / closes[r[0] - 5]) * 100, abs=1e-8)
+
+
+def drawn(n, draw, block, seed=0):
+    """Rows of a resample, by hand."""
+    blocks = -(-n // block)
+    starts = [int(int(hashlib.md5(f"{seed}:{draw}:{i}".encode()).hexdigest()[:13], 16) / 2**52 * n) for i in range(blocks)]
+    return np.concatenate([(s + np.arange(block)) % n for s in starts])[:n]
+
+
+@pytest.mark.parametrize(("n", "block"), [(130, 40), (80, 40), (7, 40), (41, 40), (25, 3)])
+def test_spread_bootstrap_by_a_plain_loop(spark, n, block):
+    x = np.random.default_rng(n).normal(size=n)
+    df = spark.createDataFrame([("A/B", i, float(v), float(v * v + 1)) for i, v in enumerate(x)], "series_id string, pos int, v double, w double")
+    df = df.unionByName(df.withColumn("series_id", F.lit("C")).withColumn("v", F.col("v") * 2))
+    for ratio in (None, "w"):
+        got = {r[SERIES]: r for r in bootstrap.interval(df, "v", [SERIES], block, 200, ratio_to=ratio).collect()}
+        for name, scale in (("A/B", 1), ("C", 2)):
+            v = x * scale
+            stats = [1 - v[at].mean() / (x[at] ** 2 + 1).mean() if ratio else v[at].mean() for at in (drawn(n, k, block) for k in range(200))]
+            low, high = np.percentile(stats, [2.5, 97.5])
+            assert got[name]["low"] == pytest.approx(low, abs=1e-9) and got[name]["high"] == pytest.approx(high, abs=1e-9) and got[name]["n"] == n
+
+
+def test_an_admitted_member_changes_the_next_test(spark):
+    """Beside p2 alone m1 improves every block; beside p2 and the admitted h it spoils them."""
+    rng = np.random.default_rng(3)
+    rows = [(s, i, i // 40, int(rng.random() < 0.3)) for s in ("A", "B") for i in range(40 * 12)]
+    d = spark.createDataFrame(rows, "series_id string, pos int, block int, y int")
+    # in B h is useless, so m1 is still judged beside p2 alone
+    d = d.withColumns({"m_p2": F.lit(0.8), "m_h": F.when(F.col(SERIES) == "A", -0.2).otherwise(0.9), "m_m1": F.lit(0.62)})
+    got = {(r[SERIES], r["candidate"]): r for r in ensemble.admission_sequence(d, {"p2": "seed", "h": "shadow", "m1": "shadow"}, True, draws=400).collect()}
+    assert got["A", "h"]["verdict"] == "ADMIT" and got["A", "m1"]["verdict"] == "SHADOW" and got["A", "m1"]["beside"] == "p2,h"
+    assert got["B", "h"]["verdict"] == "SHADOW" and got["B", "m1"]["verdict"] == "ADMIT" and got["B", "m1"]["beside"] == "p2"
+
+
+def test_shuffled_blocks_are_a_permutation(spark):
+    oos = spark.createDataFrame([("A", i, float(i), i % 2) for i in range(130)], "series_id string, k long, p double, y int").withColumns({"lr": F.lit(1.0)})
+    for r in kill_replay.shuffled(oos, 3).groupBy("shuffle").agg(F.sort_array(F.collect_list("k")).alias("k"), F.sum("lp").alias("s")).collect():
+        assert r["k"] == list(range(130))
+    noisy = kill_replay.noise(kill_replay.numbered(spark.createDataFrame([("A", f"2001-01-{1 + i % 28:02d}", 0.5 + 0.01 * (i % 5), i % 2, 0.5) for i in range(28)], "series_id string, d string, p double, y int, clim double").withColumn("date", F.to_date("d")), "p", "y", "clim"))
+    assert noisy.count() == 28 and noisy.filter("lp between 0 and 1").count() == 28

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import SERIES, ratio, series
-from tidemark.operators import fit, scoring
+from tidemark.operators import bootstrap, scoring
 
 #: Members in order, statuses that combine and those that leave the band, limits.
 MEMBERS = ("p2", "h", "m1")
@@ -72,19 +72,26 @@ def admission_power(spark: SparkSession, n: int = LEAST_BLOCKS, need: int = 8, q
     return spark.createDataFrame([(q,) for q in qs], "q double").select("q", F.lit(n).alias("n_blocks"), F.lit(need).alias("need"), sum((term(k) for k in range(need + 1, n + 1)), term(need)).alias("p_at_least"))
 
 
-def admission(oos: DataFrame, candidate: str, admitted: list[str], fresh: bool, draws: int = 4_000) -> DataFrame:
+def admission(oos: DataFrame, candidate: str, admitted: list[str] | None, fresh: bool, draws: int = 4_000) -> DataFrame:
     """By series: blocks that the candidate improves, how many it needs, the interval of its gain, and the verdict.
 
     oos: block, y and member columns. Only fresh blocks, LEAST_BLOCKS at least, can admit: observed ones reject or leave in
-    the shadow, whatever the figures (verdict_raw).
+    the shadow, whatever the figures (verdict_raw). Without ``admitted`` the columns in_<member> say who is in, by series.
     """
-    mean = lambda names: sum((F.col(f"m_{m}") for m in names[1:]), F.col(f"m_{names[0]}")) / len(names)
-    base, both = [m for m in MEMBERS if m in admitted], [m for m in MEMBERS if m in admitted or m == candidate]
-    d = oos.withColumns({"base": mean(base), "with_c": mean(both)}).dropna(subset=["base", "with_c", "y", "block"])
+    there = {m: F.lit(m in admitted) if admitted is not None else F.col(f"in_{m}") for m in MEMBERS}
+
+    def mean(extra: str | None) -> Column:
+        total, n = F.lit(0.0), F.lit(0)
+        for m in MEMBERS:
+            inside = F.lit(True) if m == extra else there[m]
+            total, n = total + F.when(inside, F.col(f"m_{m}")).otherwise(0.0), n + inside.cast("int")
+        return total / F.nullif(n, F.lit(0))
+
+    d = oos.withColumns({"base": mean(None), "with_c": mean(candidate)}).dropna(subset=["base", "with_c", "y", "block"])
     d = d.withColumns({"la": F.pow(F.col("base") - F.col("y"), 2), "lb": F.pow(F.col("with_c") - F.col("y"), 2)}).withColumn("gain", F.col("la") - F.col("lb"))
     blocks = d.groupBy(SERIES, "block").agg((F.avg("la") - F.avg("lb")).alias("d"))
     wins = blocks.groupBy(SERIES).agg(F.count("*").alias("n_blocks"), F.count_if(F.col("d") > 0).alias("wins")).withColumn("need", F.ceil(F.col("n_blocks") * WIN_SHARE - 1e-9))
-    got = wins.join(fit.block_bootstrap(d, "gain", [SERIES], draws=draws), SERIES)
+    got = wins.join(bootstrap.interval(d, "gain", [SERIES], draws=draws), SERIES)
     raw = F.when((F.col("wins") >= F.col("need")) & (F.col("high") > 0), "ADMIT").otherwise("SHADOW")
     may = F.lit(fresh) & (F.col("n_blocks") >= LEAST_BLOCKS)
     reason = F.when(may, None).when(F.lit(fresh), "too_few_fresh_blocks").otherwise("observed_record_cannot_admit")
@@ -92,13 +99,17 @@ def admission(oos: DataFrame, candidate: str, admitted: list[str], fresh: bool,
 
 
 def admission_sequence(oos: DataFrame, statuses: dict[str, str], fresh: bool, draws: int = 4_000) -> DataFrame:
-    """Candidates in the fixed order, each beside the production members. What one series admits isn't assumed for another:
-    observed records admit none, so all candidates are held against the same members."""
+    """Candidates in the fixed order, each beside the production members and those that its series has admitted before it."""
     base = [m for m in MEMBERS if statuses.get(m) in COMBINING]
-    tests = [admission(oos, m, base, fresh, draws) for m in MEMBERS if m not in base and statuses.get(m) not in OUT_OF_BAND]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out.unionByName(t)
+    d = oos.withColumns({f"in_{m}": F.lit(m in base) for m in MEMBERS})
+    out = None
+    for m in (m for m in MEMBERS if m not in base and statuses.get(m) not in OUT_OF_BAND):
+        test = admission(d, m, None, fresh, draws)
+        inside = d.groupBy(SERIES).agg(F.array_join(F.array_compact(F.array(*(F.when(F.first(f"in_{x}"), F.lit(x)) for x in MEMBERS))), ",").alias("beside"))
+        test = test.join(inside, SERIES)
+        out = test if out is None else out.unionByName(test)
+        if fresh:  # an observed record admits none
+            d = d.join(test.select(SERIES, (F.col("verdict") == "ADMIT").alias("_now")), SERIES, "left").withColumn(f"in_{m}", F.coalesce("_now", F.lit(False))).drop("_now")
     return out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import SERIES, ratio
-from tidemark.operators import fit, scoring
+from tidemark.operators import bootstrap, fit, scoring
 
 LEAST_BLOCK, WIN_SHARE = -0.05, 8 / 11
 RUNGS = ("M1", "M2", "M3")
@@ -74,7 +74,7 @@ def ladder_table(oos: DataFrame, pairs: list[tuple[str, str]], columns: dict[str
     by_phase = both.groupBy(*keys, ((F.col("pos") - 1) % scoring.OFFSETS).alias("phase")).agg((1 - ratio(F.avg("lb"), F.avg("la"))).alias("x"))
     phases = by_phase.groupBy(*keys).agg(F.min("x").alias("phase_low"), F.percentile("x", 0.5).alias("phase_median"), F.max("x").alias("phase_high"), F.avg((F.col("x") > 0).cast("double")).alias("phase_positive"))
     named = both.withColumn("_block", F.coalesce(F.col("block").cast("string"), F.lit("all")))
-    boot = fit.block_bootstrap(named, "gain", [SERIES, "step", "_block"], draws=draws).select(SERIES, "step", "_block", "low", "high")
+    boot = bootstrap.interval(named, "gain", [SERIES, "step", "_block"], draws=draws).select(SERIES, "step", "_block", "low", "high")
     key = F.coalesce(F.col("block").cast("string"), F.lit("all"))
     out = sums.withColumn("_block", key).join(phases.withColumn("_block", key).drop("block"), [SERIES, "step", "_block"])
     return out.join(boot, [SERIES, "step", "_block"]).drop("_block")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import SERIES, YEAR, ahead, full, ratio, series, trailing
-from tidemark.operators import fit, scoring
+from tidemark.operators import bootstrap, fit, scoring
 
 HOLDOUT, DIV, BLOCK = "2024-09-01", 20, 40
 STAGES = ("0-3m", "6m", "12m", "36m")
@@ -61,7 +61,7 @@ def score(rows: DataFrame, p: str, references: list[str], y: str = "y", draws: i
     got = d.groupBy(SERIES).agg(*aggs)
     first = references[0]
     pairs = d.withColumn("lr", F.pow(F.col(first) - F.col(y), 2))
-    boot = fit.block_bootstrap(pairs, "lp", [SERIES], BLOCK, draws, ratio_to="lr").filter(F.col("n") >= BLOCK).select(SERIES, "low", "high")
+    boot = bootstrap.interval(pairs, "lp", [SERIES], BLOCK, draws, ratio_to="lr").filter(F.col("n") >= BLOCK).select(SERIES, "low", "high")
     label = F.when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").otherwise("open")
     return got.join(boot, SERIES, "left").withColumn("label", F.when(F.col("low").isNotNull(), label))
 

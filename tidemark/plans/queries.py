@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expr
 from tidemark.functions.expr import SERIES
-from tidemark.operators import fit, folds, paths, rules, scoring, sessions, store, vol
+from tidemark.operators import bootstrap, fit, folds, paths, rules, scoring, sessions, store, vol
 from tidemark.sources import market
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -668,10 +668,29 @@ def har_walk_forward(spark, sf):
     return got.dropna(subset=["pred", "ln_fwd"]).groupBy(SERIES).agg(F.count("*").alias("n"), F.avg(F.pow(F.col("pred") - F.col("ln_fwd"), 2)).alias("log_mse"), F.corr("pred", "ln_fwd").alias("corr"))
 
 
-@query()
+def uniform_sql(*parts: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+def bootstrap_sql(name: str, source: str, by: str, values: str, draws: int, statistic: str, block: int = 40, order: str = "pos", seed: int = 0) -> str:
+    """CTE ``name`` (by, n, estimate, low, high): every draw's rows are listed block by block. values: 'a, b'; statistic of sums {0}, {1}."""
+    v = values.split(", ")
+    means = statistic.format(*(f"avg({x})" for x in v))
+    drawn = statistic.format(*(f"sum({x}) / any_value(n)" for x in v))
+    return f"""{name}_r AS (SELECT {by}, {values}, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS k, count(*) OVER (PARTITION BY {by}) AS n FROM {source}),
+{name}_p AS (SELECT *, {', '.join(f"sum({x}) OVER (PARTITION BY {by} ORDER BY k ROWS BETWEEN CURRENT ROW AND {block - 1} FOLLOWING) AS f_{x}, list({x}) OVER (PARTITION BY {by} ORDER BY k ROWS BETWEEN CURRENT ROW AND {block - 1} FOLLOWING) AS l_{x}, list({x}) OVER (PARTITION BY {by}, k < {block} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS h_{x}" for x in v)} FROM {name}_r),
+{name}_h AS (SELECT {by}, {', '.join(f"any_value(h_{x}) AS h_{x}" for x in v)} FROM {name}_p WHERE k < {block} GROUP BY {by}),
+{name}_g AS (SELECT {by}, any_value(n) AS n, CAST(ceil(any_value(n) / {float(block)}) AS BIGINT) AS b FROM {name}_r GROUP BY {by}),
+{name}_d AS (SELECT {by}, n, b, draw, i, CAST(floor({uniform_sql(str(seed), 'draw', 'i')} * n) AS BIGINT) AS k, CASE WHEN i = b - 1 THEN n - (b - 1) * {block} ELSE {block} END AS size FROM (SELECT *, unnest(range(0, b)) AS i FROM (SELECT *, unnest(range(0, {draws})) AS draw FROM {name}_g))),
+{name}_s AS (SELECT {by}, draw, any_value(d.n) AS n, {', '.join(f"sum(CASE WHEN size = {block} AND len(l_{x}) = {block} THEN f_{x} ELSE list_sum(list_concat(l_{x}, h_{x}, h_{x}, h_{x})[:size]) END) AS {x}" for x in v)} FROM {name}_d d JOIN (SELECT * EXCLUDE (n, {', '.join(f'h_{x}' for x in v)}) FROM {name}_p) p USING ({by}, k) JOIN {name}_h USING ({by}) GROUP BY {by}, draw),
+{name}_x AS (SELECT {by}, {statistic.format(*(f"({x} / n)" for x in v))} AS x FROM {name}_s),
+{name} AS (SELECT * FROM (SELECT {by}, count(*) AS n, {means} AS estimate FROM {name}_r GROUP BY {by}) JOIN (SELECT {by}, quantile_cont(x, 0.025) AS low, quantile_cont(x, 0.975) AS high FROM {name}_x GROUP BY {by}) USING ({by}))"""
+
+
+@query(f"WITH {OOS}, ls AS (SELECT series_id, pos, pow(p - y, 2) AS lp, pow(clim - y, 2) AS lc FROM oos), {bootstrap_sql('bo', 'ls', 'series_id', 'lp, lc', 4000, '1 - {0} / {1}')} SELECT series_id, n, {r6('estimate')} AS estimate, {r6('low')} AS low, {r6('high')} AS high FROM bo")
 def bootstrap_skill(spark, sf):
     d = _oos(spark, sf).withColumns({"lp": scoring.loss("p"), "lc": scoring.loss("clim")})
-    return fit.block_bootstrap(d, "lp", [SERIES], draws=4000, ratio_to="lc")
+    return bootstrap.interval(d, "lp", [SERIES], draws=4000, ratio_to="lc")
 
 
 @query()

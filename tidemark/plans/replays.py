@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expr
 from tidemark.functions.expr import SERIES
-from tidemark.operators import rules, sessions, timeframes, vol
-from tidemark.plans.queries import COMBO, ORD, PX, TONE, VALUES, query, r6
+from tidemark.operators import kill_replay as kills
+from tidemark.operators import paths, rules, sessions, timeframes, vol
+from tidemark.plans.queries import COMBO, EPS_BODY, OOS, ORD, PX, TONE, VALUES, _oos, bootstrap_sql, query, r6, uniform_sql
 from tidemark.plans.research import AROUND
 from tidemark.sources import market
 
@@ -117,3 +118,45 @@ def variant_agreement(spark, sf):
     both = d.groupBy(SERIES, "pos").agg(*(F.max(F.when(F.col("variant") == v, F.col("tone"))).alias(v) for v in ("faithful", "completed"))).dropna()
     n = both.groupBy(SERIES, "faithful", "completed").agg(F.count("*").alias("n"))
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(SERIES)))
+
+
+# ---- the kill rule at every 21st session ------------------------------------------------------------------------
+
+
+def _skill_sql(name: str, losses: str, extra: str = "") -> str:
+    """Each window's rows are averaged anew."""
+    return f"{name} AS (SELECT w.series_id, w.w{extra}, CASE WHEN avg(l.lr) > 0 THEN 1 - avg(l.lp) / avg(l.lr) END AS skill FROM wn w JOIN {losses} l ON l.series_id = w.series_id AND l.k >= w.s AND l.k < w.e GROUP BY ALL)"
+
+
+_NORMAL = f"(sqrt(-2 * ln(1 - {uniform_sql(chr(39) + 'noisea' + chr(39), 'series_id', 'k')})) * cos(2 * pi() * {uniform_sql(chr(39) + 'noiseb' + chr(39), 'series_id', 'k')}))"
+KILLS = f"""{OOS}{EPS_BODY.replace('FROM bars', 'FROM (SELECT series_id, date, pos, close FROM bars)')},
+ro AS (SELECT series_id, date, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS k, p, y, clim, pow(p - y, 2) AS lp, pow(clim - y, 2) AS lr FROM oos),
+st AS (SELECT r.series_id, r.k AS s, r.date AS start, (r.date + INTERVAL {kills.MONTHS} MONTH)::DATE AS until FROM ro r WHERE k % {kills.STEP} = 0 AND (r.date + INTERVAL {kills.MONTHS} MONTH)::DATE <= (SELECT max(x.date) FROM ro x WHERE x.series_id = r.series_id)),
+wn AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY s) - 1 AS w FROM (SELECT *, (SELECT count(*) FROM ro x WHERE x.series_id = st.series_id AND x.date < st.until) AS e FROM st) WHERE e - s >= {kills.BLOCK}),
+{_skill_sql('sk', 'ro')},
+ns AS (SELECT series_id, k, lr, pow(greatest(1e-6, least(1 - 1e-6, clim + sd * z)) - y, 2) AS lp FROM (SELECT *, {_NORMAL} AS z, stddev_samp(p - clim) OVER (PARTITION BY series_id) AS sd FROM ro)), {_skill_sql('sn', 'ns')},
+bs AS (SELECT *, unnest(range(0, {kills.SHUFFLES})) AS shuffle FROM (SELECT series_id, k // {kills.BLOCK} AS b, list(p ORDER BY k) AS ps FROM ro GROUP BY 1, 2)),
+sq AS (SELECT series_id, shuffle, flatten(list(ps ORDER BY {uniform_sql(chr(39) + 'shuffle' + chr(39), 'series_id', 'shuffle', 'b')}, b)) AS ps FROM bs GROUP BY 1, 2),
+sl AS (SELECT r.series_id, r.k, q.shuffle, pow(q.ps[r.k + 1] - r.y, 2) AS lp, r.lr FROM ro r JOIN sq q USING (series_id)), {_skill_sql('ss', 'sl', ', l.shuffle')},
+wc AS (SELECT series_id, count(*) AS n, least(count(*), {kills.PICKED}) AS m FROM wn GROUP BY 1),
+pk AS (SELECT DISTINCT series_id, CAST(CASE WHEN m > 1 THEN round_even(j * (n - 1) / (m - 1), 0) ELSE 0 END AS BIGINT) AS w FROM (SELECT *, unnest(range(0, m)) AS j FROM wc)),
+pr2 AS (SELECT w.series_id, w.w, r.k, r.lp, r.lr FROM pk JOIN wn w USING (series_id, w) JOIN ro r ON r.series_id = w.series_id AND r.k >= w.s AND r.k < w.e), {bootstrap_sql('bo', 'pr2', 'series_id, w', 'lp, lr', kills.DRAWS, '1 - {0} / nullif({1}, 0)', order='k')},
+br AS (SELECT e.series_id, b.date FROM ep e JOIN bars b ON b.series_id = e.series_id AND b.pos = e.breach_pos WHERE b.date <= (SELECT max(x.date) FROM ro x WHERE x.series_id = e.series_id)),
+mo AS (SELECT w.series_id, w.w, w.start, (SELECT list(b.date ORDER BY b.date) FROM br b WHERE b.series_id = w.series_id AND b.date >= w.start)[{kills.EPISODES}] AS stop FROM wn w),
+mm AS (SELECT series_id, (year(stop) - year(start)) * 12 + month(stop) - month(start) AS months FROM mo)"""
+
+
+@query(f"""WITH {KILLS}
+SELECT a.series_id, n_windows, {r6('false_kill_share')} AS false_kill_share, {r6('skill_p10')} AS skill_p10, {r6('skill_p50')} AS skill_p50, {r6('skill_p90')} AS skill_p90, {r6('skill_mean')} AS skill_mean, coalesce(ci_windows, -1) AS ci_windows, {r6('validated_share')} AS validated_share, {r6('noise_pass')} AS noise_pass, {r6('shuffle_pass')} AS shuffle_pass, {r6('1 - shuffle_pass')} AS power, reached, censored, {r6('months_p10')} AS months_p10, {r6('months_p50')} AS months_p50, {r6('months_p90')} AS months_p90
+FROM (SELECT series_id, count(*) AS n_windows, avg(CAST(skill <= 0 AS DOUBLE)) AS false_kill_share, quantile_cont(skill, 0.1) AS skill_p10, quantile_cont(skill, 0.5) AS skill_p50, quantile_cont(skill, 0.9) AS skill_p90, avg(skill) AS skill_mean FROM sk WHERE skill IS NOT NULL GROUP BY 1) a
+LEFT JOIN (SELECT series_id, count(*) AS ci_windows, avg(CAST(low > 0 AS DOUBLE)) AS validated_share FROM bo WHERE low IS NOT NULL GROUP BY 1) USING (series_id) LEFT JOIN (SELECT series_id, avg(CAST(skill > 0 AS DOUBLE)) AS noise_pass FROM sn WHERE skill IS NOT NULL GROUP BY 1) USING (series_id)
+LEFT JOIN (SELECT series_id, avg(x) AS shuffle_pass FROM (SELECT series_id, shuffle, avg(CAST(skill > 0 AS DOUBLE)) AS x FROM ss WHERE skill IS NOT NULL GROUP BY 1, 2) GROUP BY 1) USING (series_id)
+LEFT JOIN (SELECT series_id, count(months) AS reached, count(*) - count(months) AS censored, quantile_cont(months, 0.1) AS months_p10, quantile_cont(months, 0.5) AS months_p50, quantile_cont(months, 0.9) AS months_p90 FROM mm GROUP BY 1) USING (series_id)""")
+def kill_replay(spark, sf):
+    """The rule at every 21st session: false kills, validations, both nulls, and how long the eighth fall takes."""
+    close = market.index_close(spark, sf)
+    falls = paths.episodes(close, 0.05).select(SERIES, F.col("breach_pos").alias("pos")).join(close.select(SERIES, "pos", "date"), [SERIES, "pos"])
+    oos = _oos(spark, sf)
+    ends = oos.groupBy(SERIES).agg(F.max("date").alias("last"))
+    got = kills.replayed(oos, falls.join(ends, SERIES).filter(F.col("date") <= F.col("last")).select(SERIES, "date"))
+    return got.withColumn("ci_windows", F.coalesce("ci_windows", F.lit(-1)))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expr
 from tidemark.functions.expr import SERIES
-from tidemark.operators import attribution, ensemble, evaluation, events, fit, folds, ladder, paths, portfolio, regime, rules, scenarios, scoring, sessions, store, tracking, vol
+from tidemark.operators import attribution, bootstrap, ensemble, evaluation, events, fit, folds, ladder, paths, portfolio, regime, rules, scenarios, scoring, sessions, store, tracking, vol
 from tidemark.plans.queries import (
-    BARS, EPS_BODY, FOMC_SQL, FWD, NTH, LASTD, OBS, OOS, ORD, PX, VAR, WEEK, WILSON, _decided, _holidays_sql, _ladder, barrier_sql, _oos, _replay, _targets_of_size, known, query, r6,
+    BARS, EPS_BODY, FOMC_SQL, FWD, NTH, LASTD, OBS, OOS, ORD, PX, VAR, WEEK, WILSON, _decided, _holidays_sql, _ladder, barrier_sql, _oos, _replay, _targets_of_size, bootstrap_sql, known, query, r6,
 )
 from tidemark.sources import cache, feeds, market
 
@@ -413,8 +413,8 @@ def ladder_rungs(spark, sf):
 
 @query()
 def ladder_steps(spark, sf):
-    """Gains of the steps with bootstrap, Diebold-Mariano and phases; 1,000 draws for each of many groups."""
-    return ladder.ladder_table(_walked(spark, sf), STEPS, COLUMNS, draws=1_000)
+    """Gains of the steps with bootstrap, Diebold-Mariano and phases."""
+    return ladder.ladder_table(_walked(spark, sf), STEPS, COLUMNS)
 
 
 @query(f"""WITH {OOS}{EPS_BODY.replace('-0.05', '-0.10')}, rf AS (SELECT series_id, year(date) AS year, min(pos) AS rp FROM oos GROUP BY 1, 2), t AS (SELECT f.series_id, f.year, count(o.pos) AS n, max(o.pos) AS lp FROM rf f LEFT JOIN oos o ON o.series_id = f.series_id AND o.pos <= rp - 21 GROUP BY 1, 2),
@@ -433,11 +433,17 @@ def block_faults(spark, sf):
     return ladder.check_blocks(blocks, "2003-01-01", "2013-09-01")
 
 
+def _rung_rows(spark, sf):
+    """The forecasts of two rungs, row by row."""
+    d = _oos(spark, sf).withColumn("vix", vol.barrier_probability(F.col("rv22"), drift=False))
+    rungs = F.array(*(F.struct(F.lit(r).alias("rung"), p.alias("q")) for r, p in (("M1", F.col("p")), ("M3", (F.col("p") + F.col("clim")) / 2))))
+    return d.select(SERIES, "pos", "y", "p", "clim", "vix", F.explode(rungs).alias("x"), "block").select("*", "x.rung", "x.q").drop("x")
+
+
 def _block_skills(spark, sf):
     """Skills of two rungs by block in two tables of blocks: years, and pairs of years."""
-    d = _oos(spark, sf).withColumn("vix", vol.barrier_probability(F.col("rv22"), drift=False))
-    rows = d.select(SERIES, "y", "clim", "vix", F.explode(F.array(*(F.struct(F.lit(r).alias("rung"), p.alias("q")) for r, p in (("M1", F.col("p")), ("M3", (F.col("p") + F.col("clim")) / 2))))).alias("x"), "block")
-    rows = rows.select("*", "x.rung", "x.q", F.explode(F.array(F.struct(F.lit("12").alias("table"), F.col("block").alias("b")), F.struct(F.lit("24").alias("table"), F.floor(F.col("block") / 2).cast("int").alias("b")))).alias("t"))
+    rows = _rung_rows(spark, sf)
+    rows = rows.select("*", F.explode(F.array(F.struct(F.lit("12").alias("table"), F.col("block").alias("b")), F.struct(F.lit("24").alias("table"), F.floor(F.col("block") / 2).cast("int").alias("b")))).alias("t"))
     loss = lambda c: F.avg(F.pow(F.col(c) - F.col("y"), 2))
     return rows.groupBy(SERIES, "t.table", "rung", "t.b").agg(F.count("*").alias("n"), (1 - expr.ratio(loss("q"), loss("clim"))).alias("skill_clim"), (1 - expr.ratio(loss("q"), loss("vix"))).alias("skill_vix"))
 
@@ -461,16 +467,24 @@ def accepted_rung(spark, sf):
     return ladder.accepted(ladder.literal_rule(_block_skills(spark, sf)), ["12", "24"])
 
 
-@query(f"""WITH {SKILLS}, k AS (SELECT series_id, "table", rung, count(*) AS blocks, count(*) FILTER (n = 0) AS em, count(*) FILTER (sc > 0) AS nc, count(*) FILTER (sv >= 0) AS nv, min(sc) AS lc, avg(sc) AS pc, avg(sv) AS pv FROM sk GROUP BY ALL),
-a AS (SELECT *, ceil(blocks * (8.0 / 11) - 1e-9) AS need FROM k)
-SELECT series_id, "table", rung, blocks, nc AS n_clim, nv AS n_vix, CAST(need AS BIGINT) AS need, CAST(pc > 0 AND pc - 0.01 > 0 AND em = 0 AND lc >= -0.05 AND nc >= need AS BIGINT) AS a, CAST(pv >= 0 AND pv - 0.01 >= 0 AND em = 0 AND nv >= need AS BIGINT) AS b, CAST(rung = 'M3' AS BIGINT) AS c FROM a""")
+@query(f"""WITH {SKILLS}, tg AS (SELECT series_id, "table", rung, pos, pow(clim - y, 2) - pow(q - y, 2) AS gc, pow(vix - y, 2) - pow(q - y, 2) AS gv, CASE WHEN rung = 'M3' THEN pow(p - y, 2) ELSE pow(vix - y, 2) END - pow(q - y, 2) AS gi FROM (SELECT r.*, v.pos, v.p, t."table" FROM (SELECT series_id, pos, p, y, clim, vix, 'M1' AS rung, p AS q FROM vx2 UNION ALL SELECT series_id, pos, p, y, clim, vix, 'M3', (p + clim) / 2 FROM vx2) r JOIN vx2 v USING (series_id, pos), (VALUES ('12'), ('24')) t("table"))),
+{bootstrap_sql('bc', 'tg', 'series_id, "table", rung', 'gc', 4000, '{0}')}, {bootstrap_sql('bv', 'tg', 'series_id, "table", rung', 'gv', 4000, '{0}')}, {bootstrap_sql('bi', 'tg', 'series_id, "table", rung', 'gi', 4000, '{0}')},
+k AS (SELECT series_id, "table", rung, count(*) AS blocks, count(*) FILTER (n = 0) AS em, count(*) FILTER (sc > 0) AS nc, count(*) FILTER (sv >= 0) AS nv, min(sc) AS least FROM sk GROUP BY ALL),
+pl AS (SELECT series_id, "table", rung, 1 - avg(pow(q - y, 2)) / nullif(avg(pow(clim - y, 2)), 0) AS pc, 1 - avg(pow(q - y, 2)) / nullif(avg(pow(vix - y, 2)), 0) AS pv FROM tb GROUP BY ALL),
+a AS (SELECT k.*, pc, pv, bc.low AS low_clim, bv.low AS low_vix, bi.low AS low_info, ceil(blocks * (8.0 / 11) - 1e-9) AS need FROM k JOIN pl USING (series_id, "table", rung) JOIN bc USING (series_id, "table", rung) JOIN bv USING (series_id, "table", rung) JOIN bi USING (series_id, "table", rung))
+SELECT series_id, "table", rung, blocks, nc AS n_clim, nv AS n_vix, CAST(need AS BIGINT) AS need, {r6('low_clim')} AS low_clim, {r6('low_vix')} AS low_vix, {r6('low_info')} AS low_info, CAST(coalesce(pc > 0 AND low_clim > 0 AND em = 0 AND least >= -0.05 AND nc >= need, false) AS BIGINT) AS a, CAST(coalesce(pv >= 0 AND low_vix >= 0 AND em = 0 AND nv >= need, false) AS BIGINT) AS b, CAST(coalesce(low_info > 0, false) AS BIGINT) AS c FROM a""")
 def amended_acceptance(spark, sf):
-    """The amended rule with stand-in bounds: pooled skills are means of the blocks', their lower bounds a hundredth below."""
-    blocks = _block_skills(spark, sf)
+    """The amended rule: pooled skills over all rows, lower bounds of the gains by the block bootstrap; M1 stands on the implied probability."""
+    rows = _rung_rows(spark, sf).withColumn("table", F.explode(F.array(F.lit("12"), F.lit("24"))))
     keys = [SERIES, "table", "rung"]
-    pooled = blocks.groupBy(*keys).agg(F.avg("skill_clim").alias("skill_clim"), F.avg("skill_vix").alias("skill_vix"))
-    low = pooled.select(*keys, (F.col("skill_clim") - 0.01).alias("low_clim"), (F.col("skill_vix") - 0.01).alias("low_vix"), F.when(F.col("rung") == "M3", 0.1).otherwise(-0.1).alias("low_info"))
-    return ladder.amended_rule(blocks, pooled, low).select(*keys, "blocks", "n_clim", "n_vix", "need", "a", "b", "c")
+    loss = lambda c: F.pow(F.col(c) - F.col("y"), 2)
+    pooled = rows.groupBy(*keys).agg((1 - expr.ratio(F.avg(loss("q")), F.avg(loss("clim")))).alias("skill_clim"), (1 - expr.ratio(F.avg(loss("q")), F.avg(loss("vix")))).alias("skill_vix"))
+    gains = rows.withColumns({"clim": loss("clim") - loss("q"), "vix": loss("vix") - loss("q"), "info": F.when(F.col("rung") == "M3", loss("p")).otherwise(loss("vix")) - loss("q")})
+    low = None
+    for c in ("clim", "vix", "info"):
+        one = bootstrap.interval(gains, c, keys).select(*keys, F.col("low").alias(f"low_{c}"))
+        low = one if low is None else low.join(one, keys)
+    return ladder.amended_rule(_block_skills(spark, sf), pooled, low).select(*keys, "blocks", "n_clim", "n_vix", "need", "low_clim", "low_vix", "low_info", "a", "b", "c")
 
 
 @query(f"WITH {OOS} SELECT series_id, count(*) AS n FROM oos GROUP BY 1")
@@ -549,10 +563,36 @@ def disagreement(spark, sf):
     return ensemble.disagreement(_members(spark, sf), {"p2": "seed", "h": "shadow", "m1": "shadow"}).select(SERIES, "pos", "lo", "hi", "width", "source", "flag")
 
 
-@query()
+def _admission_sql(fresh: bool) -> str:
+    """One stage a candidate; who is in is known by series after each."""
+    stages, inside = [], {"p2": "true", "h": "false", "m1": "false"}
+    for m in ("h", "m1"):
+        mean = lambda ins: f"({' + '.join(f'CASE WHEN {c} THEN m_{x} ELSE 0 END' for x, c in ins.items())}) / ({' + '.join(f'CAST({c} AS INT)' for c in ins.values())})"
+        with_c = {**inside, m: "true"}
+        flags = "LEFT JOIN v_h USING (series_id)" if m == "m1" and fresh else ""
+        stages.append(f"""g_{m} AS (SELECT series_id, pos, b, la, lb, la - lb AS gain FROM (SELECT me.series_id, pos, qb AS b, pow({mean(inside)} - y, 2) AS la, pow({mean(with_c)} - y, 2) AS lb FROM me {flags}) WHERE la IS NOT NULL AND lb IS NOT NULL),
+{bootstrap_sql(f'b_{m}', f'g_{m}', 'series_id', 'gain', 4000, '{0}')},
+w_{m} AS (SELECT series_id, count(*) AS n_blocks, count(*) FILTER (d > 0) AS wins, CAST(ceil(count(*) * (8.0 / 11) - 1e-9) AS BIGINT) AS need FROM (SELECT series_id, b, avg(la) - avg(lb) AS d FROM g_{m} GROUP BY 1, 2) GROUP BY 1),
+r_{m} AS (SELECT series_id, n, n_blocks, wins, need, estimate, low, high, CASE WHEN wins >= need AND high > 0 THEN 'ADMIT' ELSE 'SHADOW' END AS raw FROM w_{m} JOIN b_{m} USING (series_id)),
+v_{m} AS (SELECT *, CASE WHEN {fresh} AND n_blocks >= 11 THEN raw ELSE 'SHADOW' END AS v_{m} FROM r_{m})""")
+        if fresh:
+            inside[m] = f"coalesce(v_{m} = 'ADMIT', false)"
+    beside = {"h": "'p2'", "m1": "CASE WHEN (SELECT x.v_h FROM v_h x WHERE x.series_id = v_m1.series_id) = 'ADMIT' THEN 'p2,h' ELSE 'p2' END" if fresh else "'p2'"}
+    reason = f"CASE WHEN {fresh} AND n_blocks >= 11 THEN NULL WHEN {fresh} THEN 'too_few_fresh_blocks' ELSE 'observed_record_cannot_admit' END"
+    out = " UNION ALL ".join(f"SELECT series_id, '{m}' AS candidate, n, n_blocks, wins, need, {r6('estimate')} AS estimate, {r6('low')} AS low, {r6('high')} AS high, raw AS verdict_raw, v_{m} AS verdict, {reason} AS reason, {beside[m]} AS beside FROM v_{m}" for m in ("h", "m1"))
+    return f"WITH {MEMBERS}, {', '.join(stages)} {out}"
+
+
+@query(_admission_sql(False))
 def admission_tests(spark, sf):
     """Both candidates on the observed record, where none can be admitted."""
-    return ensemble.admission_sequence(_members(spark, sf), {"p2": "seed", "h": "shadow", "m1": "shadow"}, fresh=False, draws=1_000)
+    return ensemble.admission_sequence(_members(spark, sf), {"p2": "seed", "h": "shadow", "m1": "shadow"}, fresh=False)
+
+
+@query(_admission_sql(True))
+def admission_staged(spark, sf):
+    """The same on a fresh record: the second candidate stands beside the first where that was admitted."""
+    return ensemble.admission_sequence(_members(spark, sf), {"p2": "seed", "h": "shadow", "m1": "shadow"}, fresh=True)
 
 
 @query(f"""WITH {MEMBERS}, l AS (SELECT series_id, 'p2' AS member, y, clim, m_p2 AS p FROM me UNION ALL SELECT series_id, 'h', y, clim, m_h FROM me UNION ALL SELECT series_id, 'm1', y, clim, m_m1 FROM me WHERE m_m1 IS NOT NULL),
@@ -621,11 +661,12 @@ def horizon_stages(spark, sf):
     return d.select("n_eff", "months", "stage", *(tracking.may_show(F.col("stage"), k).alias(k) for k in ("bss", "hist_pct", "verdict")))
 
 
-@query(f"""WITH {OOS}, v AS (SELECT *, CASE WHEN pos % 5 <> 0 THEN {barrier_sql('rv22', drift=False)} END AS vix FROM oos) SELECT series_id, count(*) AS n, {r6('count(*) / 20.0')} AS n_eff, {r6('avg(pow(p - y, 2))')} AS brier, {r6('avg(y)')} AS base_rate, {r6('avg(p)')} AS mean_p, count(clim) AS n_clim, {r6('1 - avg(pow(p - y, 2)) / nullif(avg(pow(clim - y, 2)), 0)')} AS skill_clim,
-count(vix) AS n_vix, {r6('1 - avg(CASE WHEN vix IS NOT NULL THEN pow(p - y, 2) END) / nullif(avg(pow(vix - y, 2)), 0)')} AS skill_vix FROM v GROUP BY 1""")
+@query(f"""WITH {OOS}, v AS (SELECT *, CASE WHEN pos % 5 <> 0 THEN {barrier_sql('rv22', drift=False)} END AS vix FROM oos), ls AS (SELECT series_id, pos, pow(p - y, 2) AS lp, pow(clim - y, 2) AS lc FROM oos), {bootstrap_sql('bo', 'ls', 'series_id', 'lp, lc', 4000, '1 - {0} / {1}')}
+SELECT * REPLACE ({r6('low')} AS low, {r6('high')} AS high), CASE WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'open' END AS label FROM (SELECT series_id, count(*) AS n, {r6('count(*) / 20.0')} AS n_eff, {r6('avg(pow(p - y, 2))')} AS brier, {r6('avg(y)')} AS base_rate, {r6('avg(p)')} AS mean_p, count(clim) AS n_clim, {r6('1 - avg(pow(p - y, 2)) / nullif(avg(pow(clim - y, 2)), 0)')} AS skill_clim,
+count(vix) AS n_vix, {r6('1 - avg(CASE WHEN vix IS NOT NULL THEN pow(p - y, 2) END) / nullif(avg(pow(vix - y, 2)), 0)')} AS skill_vix FROM v GROUP BY 1) JOIN (SELECT series_id, low, high FROM bo WHERE n >= 40) USING (series_id)""")
 def live_score(spark, sf):
-    """Scores against each reference on the rows that both have; the interval is in live_panel."""
-    return tracking.score(_tracked(spark, sf), "p", ["clim", "vix"], draws=200).drop("low", "high", "label")
+    """Scores against each reference on the rows that both have, with the interval of the first."""
+    return tracking.score(_tracked(spark, sf), "p", ["clim", "vix"])
 
 
 def _rolling_sql(n: int) -> str:
@@ -650,7 +691,7 @@ def live_panel(spark, sf):
     d = _oos(spark, sf)
     live = d.filter(F.year("date") >= 2000)
     months = live.groupBy(SERIES).agg(((F.year(F.max("date")) - F.year(F.min("date"))) * 12 + F.month(F.max("date")) - F.month(F.min("date"))).alias("months"))
-    return tracking.latest_panel(live, tracking.rolling_skill(d, 252), months, draws=1_000)
+    return tracking.latest_panel(live, tracking.rolling_skill(d, 252), months)
 
 
 def _alarm_rows(spark, sf):
