@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidemark.functions.expr import SERIES
-from tidemark.operators import bootstrap, ensemble, kill_replay, timeframes
+from tidemark.operators import bootstrap, ensemble, evaluation, folds, kill_replay, portfolio, timeframes
 from tidemark.plans import replays
 
 
@@ -102,3 +102,26 @@ def test_shuffled_blocks_are_a_permutation(spark):
         assert r["k"] == list(range(130))
     noisy = kill_replay.noise(kill_replay.numbered(spark.createDataFrame([("A", f"2001-01-{1 + i % 28:02d}", 0.5 + 0.01 * (i % 5), i % 2, 0.5) for i in range(28)], "series_id string, d string, p double, y int, clim double").withColumn("date", F.to_date("d")), "p", "y", "clim"))
     assert noisy.count() == 28 and noisy.filter("lp between 0 and 1").count() == 28
+
+
+def test_sizing_moves_on_the_grid(spark):
+    """0.45 is a whole band above 0.35, which the grid holds to ten places."""
+    rows = [("A", 1, 0.35, 1.0, False), ("A", 2, 0.45, 1.0, True), ("A", 3, 0.54, 1.0, True), ("A", 4, 0.55, 1.0, True)]
+    df = spark.createDataFrame(rows, "series_id string, pos int, w_target double, mult double, week_end boolean")
+    got = [(r["w_exec"], r["reason"]) for r in folds.sizing(df).orderBy("pos").collect()]
+    assert got == [(0.35, "init"), (0.45, "weekly"), (0.45, "hold"), (0.55, "weekly")]
+
+
+def test_names_with_slashes_stay_apart(spark):
+    """Series BRK/B and LEN/B come back as they are from every operator that keys paths by several columns."""
+    rows = [(s, i, 0.1 + 0.01 * (i % 7), 0.12, "normal" if i % 5 else "reduce", i % 5 == 0, i % 20 == 0) for s in ("BRK/B", "LEN/B") for i in range(60)]
+    df = spark.createDataFrame(rows, "series_id string, pos int, sigma double, sigma_har double, state string, week_end boolean, month_end boolean")
+    got = portfolio.variants(df, 0.1)
+    assert {r[0]: r[1] for r in got.groupBy(SERIES).count().collect()} == dict.fromkeys(("BRK/B", "LEN/B"), 60 * (len(portfolio.VARIANTS) + 2))
+    closes = df.select(SERIES, "pos", F.date_add(F.lit("2001-01-01").cast("date"), F.col("pos")).alias("date"), (100 + F.col("pos")).cast("double").alias("close"))
+    spans = spark.createDataFrame([("all/of it", "2001-01-01", "2001-12-31")], "name string, a string, b string").select("name", F.to_date("a").alias("first"), F.to_date("b").alias("last"))
+    done = portfolio.backtest(got.withColumn("w", F.col("w_exec")), closes, spans, {})
+    assert {r[0] for r in done.select(SERIES).collect()} == {"BRK/B", "LEN/B"} and {r[0] for r in done.select("window").collect()} == {"all/of it"}
+    warn = df.select(SERIES, "pos", (F.col("pos") % 9 == 0).alias("warn"), (F.col("pos") % 2).alias("y"))
+    falls = spark.createDataFrame([("BRK/B", 20, 30), ("LEN/B", 25, 40)], "series_id string, peak_pos int, trough_pos int")
+    assert {r[SERIES]: r["shifts"] for r in evaluation.shifted_alarms(warn, falls, [1, 5, 9]).collect()} == {"BRK/B": 3, "LEN/B": 3}

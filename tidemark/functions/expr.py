@@ -74,6 +74,15 @@ def wilson(p: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return guard * F.greatest(F.lit(0.0), (middle - spread) / scale), guard * F.least(F.lit(1.0), (middle + spread) / scale)
 
 
+def path_key(*columns: str) -> Column:
+    """One string for several columns, whatever they hold; ``path_part`` gives them back."""
+    return F.to_json(F.array(*(F.col(c).cast("string") for c in columns)))
+
+
+def path_part(key: str, i: int) -> Column:
+    return F.from_json(F.col(key), "array<string>")[i]
+
+
 def runs(flag: Column, order: WindowSpec) -> Column:
     """A number for each run of equal values, rising along the order."""
     change = F.when(flag.eqNullSafe(F.lag(flag).over(order)), 0).otherwise(1)

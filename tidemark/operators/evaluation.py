@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import SERIES, YEAR, series
+from tidemark.functions.expr import SERIES, YEAR, path_key, path_part, series
 
 LOOKBACK, SHIFTS, SEED = 20, 200, 0
 
@@ -80,13 +80,13 @@ def with_runs(df: DataFrame, flag: str) -> DataFrame:
 def warned_episodes(warnings: DataFrame, episodes: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
     """Each episode whose peak lies among the warnings' rows, with its first warning from ``lookback`` before the peak to the trough.
 
-    warnings: pos, warn; an interval join within a series meets each episode with the rows of its window.
+    warnings: pos, warn; each episode lists the places of its window and meets their rows.
     """
     d = with_runs(warnings.select(SERIES, "pos", "warn"), "warn")
     span = d.groupBy(SERIES).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
     e = episodes.select(SERIES, "peak_pos", "trough_pos").join(span, SERIES).filter(F.col("peak_pos").between(F.col("first_pos"), F.col("last_pos")))
     e = e.withColumns({"window_start": F.greatest(F.col("peak_pos") - lookback, "first_pos"), "window_end": F.greatest("peak_pos", F.least("trough_pos", "last_pos"))})
-    met = e.join(d, SERIES, "left").filter(F.col("pos").between(F.col("window_start"), F.col("window_end")))
+    met = e.withColumn("pos", F.explode(F.sequence("window_start", "window_end"))).join(d, [SERIES, "pos"])
     hit = F.when(F.col("warn"), F.struct("pos", "run_start"))
     got = met.groupBy(SERIES, "peak_pos", "trough_pos", "window_start", "window_end").agg(F.min(hit).alias("hit"), F.collect_list(F.when(F.col("warn"), F.col("pos"))).alias("on"))
     warned = F.col("hit.pos")
@@ -132,11 +132,11 @@ def shifted_alarms(warnings: DataFrame, episodes: DataFrame, offsets: list[int]
     else:
         many = F.array(*map(F.lit, offsets))
     turned = d.select(SERIES, "i", "n", "warn", F.posexplode(many).alias("shift", "offset"))
-    turned = turned.select(F.concat_ws("/", SERIES, "shift").alias("path"), SERIES, "shift", F.pmod(F.col("i") + F.col("offset"), F.col("n")).alias("i"), "warn")
+    turned = turned.select(path_key(SERIES, "shift").alias("path"), SERIES, "shift", F.pmod(F.col("i") + F.col("offset"), F.col("n")).alias("i"), "warn")
     at = turned.join(d.select(SERIES, "i", "pos", "y"), [SERIES, "i"])
     each = at.select(F.col("path").alias(SERIES), F.col(SERIES).alias("of"), "pos", "warn", "y")
     wanted = episodes.select(SERIES, "peak_pos", "trough_pos").join(at.select("path", SERIES).distinct(), SERIES).select(F.col("path").alias(SERIES), "peak_pos", "trough_pos")
-    found = evaluation(each, wanted, lookback).withColumn("of", F.substring_index(SERIES, "/", 1))
+    found = evaluation(each, wanted, lookback).withColumn("of", path_part(SERIES, 0))
     rate = F.col("detected") / F.nullif(F.col("evaluable"), F.lit(0))
     q = lambda p: F.percentile("median_lead", p)
     return found.groupBy(F.col("of").alias(SERIES)).agg(

@@ -103,6 +103,11 @@ def ewma_vol(df: DataFrame, lam: float = 0.94, seed: int = 60) -> DataFrame:
     return fold(df, ["r"], "sigma double", step, {"v": None, "n": 0, "mean": 0.0, "m2": 0.0})
 
 
+def on_grid(target: float, grid: float) -> float:
+    """The nearest weight of the grid, to ten places: 7 * 0.05 is 0.35."""
+    return round(round(target / grid) * grid, 10)
+
+
 def sizing(df: DataFrame, grid: float = 0.05, band: float = 0.10, w: float | None = None, mult: float | None = None, deploy: bool = True, escalate: bool = True, by: str = SERIES) -> DataFrame:
     """Executed weights from w_target, mult and week_end: hold without input, init, cut at once, else weekly beyond the band.
 
@@ -117,7 +122,7 @@ def sizing(df: DataFrame, grid: float = 0.05, band: float = 0.10, w: float | Non
         elif target is None or m is None:
             why = "input_missing"
         else:
-            goal = round(target / grid) * grid
+            goal = on_grid(target, grid)
             if w is None:
                 w, why = goal, "init"
             elif escalate and m_before is not None and m < m_before:
@@ -144,7 +149,7 @@ def sizing_rules(rows: DataFrame) -> DataFrame:
         if target is None or m is None:
             why = "input_missing"
         else:
-            goal = round(round(target / grid) * grid, 10)
+            goal = on_grid(target, grid)
             if w is None:
                 w, why = goal, "init"
             elif at_once and before is not None and m < before:

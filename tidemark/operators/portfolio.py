@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import SERIES, YEAR, clip, series, trailing
+from tidemark.functions.expr import SERIES, YEAR, clip, path_key, path_part, series, trailing
 from tidemark.operators import folds, paths
 
 #: Exposures, grids, budget lines, bounds of the six conditions.
@@ -120,8 +120,8 @@ def variants(df: DataFrame, target: float = 0.10) -> DataFrame:
             "least": F.when(w.isNotNull() & F.col("mult").isNotNull(), F.least(w, F.col("mult"))), "har": w * F.col("mult"),
         }[kind]
         options.append(F.struct(F.lit(name).alias("variant"), goal.alias("w_target"), F.col(mult).alias("mult"), F.lit(grid).alias("grid"), F.lit(band).alias("band"), F.col(check).alias("check"), F.lit(at_once).alias("at_once")))
-    rows = d.select(SERIES, "pos", F.explode(F.array(*options)).alias("v")).select(SERIES, "pos", "v.*").withColumn("path", F.concat_ws("/", "variant", SERIES))
-    done = folds.sizing_rules(rows).withColumns({"variant": F.substring_index("path", "/", 1), SERIES: F.substring_index("path", "/", -1)}).select(SERIES, "variant", "pos", "w_exec", "reason")
+    rows = d.select(SERIES, "pos", F.explode(F.array(*options)).alias("v")).select(SERIES, "pos", "v.*").withColumn("path", path_key("variant", SERIES))
+    done = folds.sizing_rules(rows).withColumns({"variant": path_part("path", 0), SERIES: path_part("path", 1)}).select(SERIES, "variant", "pos", "w_exec", "reason")
     late = done.withColumn("late", F.lag("w_exec").over(Window.partitionBy(SERIES, "variant").orderBy("pos")))
     more = lambda name, w: F.struct(F.lit(name).alias("variant"), F.col(w).alias("w_exec"))
     own = F.struct("variant", "w_exec")
@@ -138,7 +138,7 @@ def backtest(weights: DataFrame, closes: DataFrame, windows: DataFrame, costs: d
     every = weights.select(SERIES, "variant", "pos", "w").filter("w is not null").unionByName(hold)
     # windows are few
     met = every.join(closes.select(SERIES, "pos", "date", "close"), [SERIES, "pos"]).join(F.broadcast(windows), F.col("date").between(F.col("first"), F.col("last")))
-    path = F.concat_ws("/", "variant", "name", SERIES)
+    path = path_key("variant", "name", SERIES)
     d = met.select(path.alias(SERIES), "date", "pos", "close", "w", F.coalesce(mapped(F.col("variant"), {**costs, "hold": 0.0}), F.lit(cost)).alias("bps"))
     before, at_all = F.lag("w").over(series()), F.lag("close").over(series())
     moved = F.abs(F.coalesce(before - F.lag("w", 2).over(series()), F.lit(0.0)))
@@ -146,7 +146,7 @@ def backtest(weights: DataFrame, closes: DataFrame, windows: DataFrame, costs: d
     d = d.withColumn("rule_ret", (1 + F.col("before") * F.col("ret")) * (1 - F.col("spent")) - 1).filter("rule_ret is not null")
     perf = paths.performance(d, "rule_ret")
     more = d.groupBy(SERIES).agg(F.avg("before").alias("avg_exposure"), F.sum("spent").alias("cost_total"), F.sum("moved").alias("n_switches"), (F.sum("moved") * YEAR / F.count("*")).alias("switches_a_year"))
-    got = perf.join(more, SERIES).select(F.split(SERIES, "/").alias("k"), "*").drop(SERIES)
+    got = perf.join(more, SERIES).select(F.from_json(SERIES, "array<string>").alias("k"), "*").drop(SERIES)
     got = got.select(F.col("k")[0].alias("variant"), F.col("k")[1].alias("window"), F.col("k")[2].alias(SERIES), *(c for c in got.columns if c != "k"))
     held = lambda c: F.max(F.when(F.col("variant") == "hold", F.col(c))).over(Window.partitionBy(SERIES, "window"))
     return got.withColumns({"cagr_over_hold": F.col("cagr") - held("cagr"), "dd_over_hold": F.col("max_dd") - held("max_dd"), "vol_ratio": F.col("ann_vol") / target, "dd_ratio": F.abs("max_dd") / target})

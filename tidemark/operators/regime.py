@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import SERIES, YEAR, logit
+from tidemark.functions.expr import SERIES, YEAR, logit, path_key, path_part
 from tidemark.operators import fit, folds
 
 CLIP = 1e-4
@@ -130,11 +130,11 @@ def member_probabilities(df: DataFrame, params: DataFrame, labels: DataFrame) ->
     refits = fit.refits(df).select(SERIES, "year", "refit_pos", F.coalesce("next_pos", F.lit(2**31 - 1)).alias("next_pos"))
     # one path for each refit: all rows up to the next refit, under that refit's parameters
     rows = df.join(refits.join(years, [SERIES, "year"]), SERIES).filter(F.col("pos") < F.col("next_pos"))
-    paths = rows.withColumns({"l0": log_density(0), "l1": log_density(1), "path": F.concat_ws("/", "year", SERIES)})
+    paths = rows.withColumns({"l0": log_density(0), "l1": log_density(1), "path": path_key("year", SERIES)})
 
     p = folds.fold(paths, ["l0", "l1", "p00", "p11"], "p_high double", filter_step, {"p": None}, "path")
     clipped = F.least(F.lit(1 - CLIP), F.greatest(F.lit(CLIP), F.col("p_high")))
-    x = p.filter("p_high is not null").select(F.substring_index("path", "/", 1).cast("int").alias("year"), F.substring_index("path", "/", -1).alias(SERIES), "pos", logit(clipped).alias("x_hmm"), "p_high")
+    x = p.filter("p_high is not null").select(path_part("path", 0).cast("int").alias("year"), path_part("path", 1).alias(SERIES), "pos", logit(clipped).alias("x_hmm"), "p_high")
     known = x.join(labels.select(SERIES, "pos", "y"), [SERIES, "pos"]).join(refits, [SERIES, "year"])
     coef = fit.logit_by_group(known.filter(F.col("pos") <= F.col("refit_pos") - fit.PURGE - 1).dropna(subset=["y"]), ["x_hmm"])
     own = known.filter(F.col("pos") >= F.col("refit_pos"))
