@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import replays, research  # noqa: F401  they register their queries
+from tidemark.plans import replays, research, streams  # noqa: F401  they register their queries
 from tidemark.plans.queries import QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
