@@ -125,3 +125,25 @@ def test_names_with_slashes_stay_apart(spark):
     warn = df.select(SERIES, "pos", (F.col("pos") % 9 == 0).alias("warn"), (F.col("pos") % 2).alias("y"))
     falls = spark.createDataFrame([("BRK/B", 20, 30), ("LEN/B", 25, 40)], "series_id string, peak_pos int, trough_pos int")
     assert {r[SERIES]: r["shifts"] for r in evaluation.shifted_alarms(warn, falls, [1, 5, 9]).collect()} == {"BRK/B": 3, "LEN/B": 3}
+
+
+def test_smoothed_by_a_plain_forward_and_backward_pass(spark):
+    """Both passes over arrays (scaled alphas and betas) give the folds' probabilities; both states sum to one."""
+    from tidemark.operators import fit, regime
+    from tidemark.plans import research
+
+    d, params = research._fixed(spark, SF)
+    d = d.filter("pos % 37 <> 5")
+    got = regime.smoothed(d, params).toPandas()
+    t = research.THETA
+    a = np.array([[t["p00"], 1 - t["p00"]], [1 - t["p11"], t["p11"]]])
+    mean = np.array([[t["mean_r0"], t["mean_v0"]], [t["mean_r1"], t["mean_v1"]]])
+    cov = np.array([[[t[f"var_r{k}"], t[f"cov_rv{k}"]], [t[f"cov_rv{k}"], t[f"var_v{k}"]]] for k in range(2)])
+    for name, g in d.select(SERIES, "pos", "r100", "ln_rv10").toPandas().groupby(SERIES):
+        g = g.sort_values("pos")
+        x = g[["r100", "ln_rv10"]].to_numpy(float)
+        good = np.isfinite(x).all(1)
+        both = fit.posteriors(x[good], a, mean, cov)[0]
+        assert both.sum(1) == pytest.approx(1)
+        mine = got[got[SERIES] == name].sort_values("pos")["p_smooth"].to_numpy(float)
+        assert np.isnan(mine[~good]).all() and mine[good] == pytest.approx(both[:, 1], abs=1e-9)

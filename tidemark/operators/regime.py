@@ -72,30 +72,29 @@ def ahead(p: Column, p00: Column, p11: Column, k: int) -> dict[str, Column]:
     return {"p_k": share + F.pow(p00 + p11 - 1, F.lit(k)) * (inside - share), "q_k": 1 - never}
 
 
-def smoothed(df: DataFrame, params: DataFrame, year: int) -> DataFrame:
-    """Probability of the volatile state given all observations of a series, by the parameters of one year.
+def smoothed(df: DataFrame, params: DataFrame, year: int | None = None) -> DataFrame:
+    """Probability of the volatile state given all observations of a series, by the parameters of one year (or the only ones).
 
-    It reads the future: for tests of leaks only. One task a series.
+    It reads the future: for tests of leaks only. A fold forward leaves each row's filtered probability, a fold backward
+    over these turns them round; the state of both is one number, whatever the length of a series. Rows without both
+    observations stand outside (null).
     """
-    import numpy as np
-    import pandas as pd
-
-    columns = ["p00", "p11", *(c for c in fit.REGIME if c not in ("p00", "p11"))]
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        x = group[["r100", "ln_rv10"]].to_numpy(float)
-        good = np.isfinite(x).all(1)
-        t = group[columns].iloc[0]
-        a = np.array([[t["p00"], 1 - t["p00"]], [1 - t["p11"], t["p11"]]])
-        mean = np.array([[t["mean_r0"], t["mean_v0"]], [t["mean_r1"], t["mean_v1"]]])
-        cov = np.array([[[t[f"var_r{k}"], t[f"cov_rv{k}"]], [t[f"cov_rv{k}"], t[f"var_v{k}"]]] for k in range(2)])
-        out = np.full(len(x), np.nan)
-        out[good] = fit.posteriors(x[good], a, mean, cov)[0][:, 1]
-        return pd.DataFrame({SERIES: group[SERIES], "pos": group["pos"], "p_smooth": out})
-
-    own = params.filter(F.col("year") == year).select(SERIES, *columns)
-    return df.select(SERIES, "pos", "r100", "ln_rv10").join(own, SERIES).groupBy(SERIES).applyInPandas(one, f"{SERIES} string, pos long, p_smooth double")
+    own = params.filter(F.col("year") == year) if year is not None else params
+    own = own.select(SERIES, *fit.REGIME).distinct()
+    rows = df.select(SERIES, "pos", "r100", "ln_rv10").join(own, SERIES).withColumns({"l0": log_density(0), "l1": log_density(1)})
+    good = rows.filter("l0 is not null and l1 is not null and not isnan(l0) and not isnan(l1)")
+    forward = folds.fold(good, ["l0", "l1", "p00", "p11"], "p_high double", filter_step, {"p": None}).join(own.select(SERIES, "p00", "p11"), SERIES)
+
+    def step(held: dict, row: tuple) -> tuple:
+        f, p00, p11 = row
+        if held["after"] is not None:
+            high = f * p11 + (1 - f) * (1 - p00)
+            f *= p11 * held["after"] / high + (1 - p11) * (1 - held["after"]) / (1 - high)
+        held["after"] = f
+        return (f,)
+
+    back = folds.fold(forward.withColumn("back", -F.col("pos")), ["p_high", "p00", "p11"], "p_smooth double", step, {"after": None}, order="back")
+    return rows.select(SERIES, "pos").join(back.select(SERIES, (-F.col("back")).alias("pos"), "p_smooth"), [SERIES, "pos"], "left")
 
 
 def occupancy(df: DataFrame, params: DataFrame) -> DataFrame:

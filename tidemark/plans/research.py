@@ -767,13 +767,37 @@ def _fixed(spark, sf):
     return d, years.withColumns({k: F.lit(v) for k, v in THETA.items()})
 
 
-@query()
+def _density_sql(k: int) -> str:
+    a, b, c = THETA[f"var_r{k}"], THETA[f"cov_rv{k}"], THETA[f"var_v{k}"]
+    det, x, y = f"({a} * {c} - {b} * {b})::DOUBLE", f"(r100 - {THETA[f'mean_r{k}']}::DOUBLE)", f"(v - {THETA[f'mean_v{k}']}::DOUBLE)".replace("- -", "+ ")
+    return f"-ln(2 * pi()) - ln({det}) / 2 - ({c} * {x} * {x} - 2 * {b} * {x} * {y} + {a} * {y} * {y}) / {det} / 2"
+
+
+_P00, _P11 = f"{THETA['p00']}::DOUBLE", f"{THETA['p11']}::DOUBLE"
+_LATER = lambda p: f"({p} * {_P11} + (1 - {p}) * (1 - {_P00}))"
+_WEIGHED = lambda high: f"CASE WHEN l0 IS NULL OR l1 IS NULL THEN {high} ELSE {high} * exp(l1 - greatest(l0, l1)) / ({high} * exp(l1 - greatest(l0, l1)) + (1 - {high}) * exp(l0 - greatest(l0, l1))) END"
+#: Row by row, each series one step a round.
+FILTERED = f"""{BARS}, obs AS (SELECT series_id, pos, 100 * r AS r100, CASE WHEN count(r) OVER w = 10 THEN ln(sqrt(252 * greatest(avg(r * r) OVER w, 1e-8))) END AS v FROM bars WINDOW w AS (PARTITION BY series_id ORDER BY pos ROWS 9 PRECEDING)),
+ld AS (SELECT series_id, pos, row_number() OVER (PARTITION BY series_id ORDER BY pos) AS i, {_density_sql(0)} AS l0, {_density_sql(1)} AS l1 FROM obs {{where}}),
+rf AS (SELECT series_id, i, pos, {_WEIGHED(f"((1 - {_P00}) / (2 - {_P00} - {_P11}))")} AS p FROM ld WHERE i = 1 UNION ALL SELECT l.series_id, l.i, l.pos, {_WEIGHED(_LATER("f.p"))} FROM rf f JOIN ld l ON l.series_id = f.series_id AND l.i = f.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {FILTERED.format(where='')} SELECT series_id, rf.pos, {r6('CASE WHEN ld.l0 IS NOT NULL AND ld.l1 IS NOT NULL THEN p END')} AS p_high FROM rf JOIN ld USING (series_id, i)")
 def regime_filter_two(spark, sf):
-    """The filter of both observations under fixed parameters; a plain loop in the tests gives the same."""
+    """The filter of both observations under fixed parameters."""
     d, params = _fixed(spark, sf)
     return regime.filtered(d, params)
 
 
+@query(f"""WITH RECURSIVE {FILTERED.format(where='WHERE r100 IS NOT NULL AND v IS NOT NULL')}, n AS (SELECT series_id, max(i) AS n FROM rf GROUP BY 1),
+bk AS (SELECT series_id, i, pos, p AS s FROM rf JOIN n USING (series_id) WHERE i = n UNION ALL SELECT r.series_id, r.i, r.pos, r.p * ({_P11} * b.s / {_LATER("r.p")} + (1 - {_P11}) * (1 - b.s) / (1 - {_LATER("r.p")})) FROM bk b JOIN rf r ON r.series_id = b.series_id AND r.i = b.i - 1)
+SELECT o.series_id, o.pos, {r6('s')} AS p_smooth FROM obs o LEFT JOIN bk USING (series_id, pos)""")
+def regime_smoothed(spark, sf):
+    """The state given all observations, later ones too: a fold forward and one backward."""
+    d, params = _fixed(spark, sf)
+    return regime.smoothed(d, params)
+
+
 @query()
 def regime_one_step(spark, sf):
     """Sessions whose filtered probability differs from one step after that of the session before: none may."""
