@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr
 from tidemark.functions.expr import SERIES
 from tidemark.operators import kill_replay as kills
-from tidemark.operators import paths, rules, sessions, timeframes, vol
+from tidemark.operators import paths, reference, rules, sessions, timeframes, vol
 from tidemark.plans.queries import COMBO, EPS_BODY, OOS, ORD, PX, TONE, VALUES, _oos, bootstrap_sql, query, r6, uniform_sql
 from tidemark.plans.research import AROUND
 from tidemark.sources import market
@@ -160,3 +162,45 @@ def kill_replay(spark, sf):
     ends = oos.groupBy(SERIES).agg(F.max("date").alias("last"))
     got = kills.replayed(oos, falls.join(ends, SERIES).filter(F.col("date") <= F.col("last")).select(SERIES, "date"))
     return got.withColumn("ci_windows", F.coalesce("ci_windows", F.lit(-1)))
+
+
+# ---- reference distributions ------------------------------------------------------------------------------------
+
+
+def _panels(spark, sf):
+    """Values of eight panels at each session: probabilities, skills of windows, exposure, errors and biases, features."""
+    d = _oos(spark, sf)
+    w = lambda k: expr.trailing(k)
+    err, bias = F.abs(F.ln("rv22") - F.lit(math.log(0.17))), F.col("p") - F.col("clim")
+    gain = lambda c: F.avg(F.pow(F.col(c) - F.col("y"), 2)).over(w(252))
+    full = lambda c, k: F.when(F.count(F.lit(1)).over(w(k)) == k, c)
+    weight = expr.clip(0.1 / F.col("rv22"), 0.25, 1.0)
+    values = {
+        "p_level": F.col("p"), "skill_252": full(1 - gain("p") / F.nullif(gain("clim"), F.lit(0.0)), 252), "exposure": weight, "at_floor": (weight <= 0.25 + 1e-9).cast("double"), "log_mae_60": full(F.avg(err).over(w(60)), 60),
+        "bias_60": full(F.avg(bias).over(w(60)), 60), "x_clim": F.col("clim"), "x_rv22": F.ln("rv22"),
+    }
+    d = d.withColumns({f"v_{n}": v for n, v in values.items()})
+    return reference.panels(d, {n: F.col(f"v_{n}") for n in values})
+
+
+PANELS = OOS + f""", pw AS (SELECT series_id, pos, p AS p_level, CASE WHEN count(*) OVER y = 252 THEN 1 - avg(pow(p - y, 2)) OVER y / nullif(avg(pow(clim - y, 2)) OVER y, 0) END AS skill_252, least(1.0, greatest(0.25, 0.1 / rv22)) AS exposure, CASE WHEN count(*) OVER q = 60 THEN avg(abs(ln(rv22) - {math.log(0.17)!r}::DOUBLE)) OVER q END AS log_mae_60,
+CASE WHEN count(*) OVER q = 60 THEN avg(p - clim) OVER q END AS bias_60, clim AS x_clim, ln(rv22) AS x_rv22 FROM oos WINDOW y AS (PARTITION BY series_id ORDER BY pos ROWS 251 PRECEDING), q AS (PARTITION BY series_id ORDER BY pos ROWS 59 PRECEDING)),
+pn AS (SELECT series_id, pos, unnest([{", ".join(f"{{'panel': '{n}', 'value': ({x})::DOUBLE}}" for n, x in (("p_level", "p_level"), ("skill_252", "skill_252"), ("exposure", "exposure"), ("at_floor", "CASE WHEN exposure <= 0.25 + 1e-9 THEN 1 ELSE 0 END"), ("log_mae_60", "log_mae_60"), ("bias_60", "bias_60"), ("x_clim", "x_clim"), ("x_rv22", "x_rv22")))}]) AS x FROM pw),
+pv AS (SELECT series_id, pos, x.panel AS panel, x.value AS value FROM pn WHERE x.value IS NOT NULL)"""
+_Q = lambda q: f"(list(value ORDER BY value))[greatest(1, CAST(ceil({q} * count(*) - 1e-9) AS BIGINT))]"
+
+
+@query(f"WITH {PANELS} SELECT coalesce(series_id, 'all') AS series_id, panel, count(*) AS n, {r6('avg(value)')} AS mean, {r6('min(value)')} AS low, {r6('max(value)')} AS high, {', '.join(f'{r6(_Q(q))} AS p{round(100 * q):02d}' for q in reference.QUANTILES)} FROM pv GROUP BY GROUPING SETS ((series_id, panel), (panel))")
+def reference_panels(spark, sf):
+    """Distributions of all panels, by series and over all."""
+    return reference.quantiles(reference.sketches(_panels(spark, sf))).withColumn(SERIES, F.coalesce(SERIES, F.lit("all")))
+_RANK = f"(floor(count(*) {{1}} * {reference.GRID} / count(*) {{0}} + 1e-9) / {reference.GRID})"
+
+
+@query(f"""WITH {PANELS}, li AS (SELECT series_id, panel, last(value ORDER BY pos) AS value FROM pv GROUP BY 1, 2)
+SELECT l.series_id, l.panel, {r6('l.value')} AS value, {r6(_RANK.format("FILTER (WHERE p.series_id = l.series_id)", "FILTER (WHERE p.series_id = l.series_id AND p.value <= l.value)"))} AS own_rank, {r6(_RANK.format("", "FILTER (WHERE p.value <= l.value)"))} AS all_rank FROM li l JOIN pv p USING (panel) GROUP BY l.series_id, l.panel, l.value""")
+def reference_ranks(spark, sf):
+    """Where each series' latest value of a panel stands among the past ones."""
+    values = _panels(spark, sf)
+    live = values.groupBy(SERIES, "panel").agg(F.max_by("value", "pos").alias("value"))
+    return reference.ranks(live, reference.sketches(values))
