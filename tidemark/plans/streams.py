@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import SERIES
-from tidemark.plans.queries import query, r6
-from tidemark.sources import market, shared
+from tidemark.plans.queries import PX, query, r6
+from tidemark.sources import market, shared, versioned
 from tidemark.streaming import ledger
 
 _WAIT = " UNION ALL ".join(f"SELECT series_id, {h} AS horizon, bar, lead(bar, {h}) OVER w + INTERVAL 1 HOUR AS known_at, close, lead(close, {h}) OVER w / close - 1 AS fwd_ret, least(0.0, min(close) OVER (PARTITION BY series_id ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) / close - 1) AS fwd_maxdd FROM b WINDOW w AS (PARTITION BY series_id ORDER BY bar)" for h in ledger.HORIZONS)
@@ -27,3 +27,38 @@ def ledger_stream(spark, sf):
         stream = spark.readStream.schema(ticks.schema).parquet(f"{folder}/ticks")
         ledger.run(spark, stream, folder)
     return ledger.read(spark, folder)
+
+
+# ---- the cache of prices as a table in versions -----------------------------------------------------------------
+
+BUILT, FROM, TO, TRUTH_TO = "1997-06-30", "1997-05-20", "1997-09-30", "1997-09-15"
+
+
+def _cached(spark, sf):
+    """A build and an update with corrections in June, missing cells, cells as they were in May, and rows that the truth series hasn't reached. Returns the folder."""
+    rows = market.index_close(spark, sf)
+    root = shared.folder(spark, "cache")
+    versioned.build(rows.filter(F.col("date") <= BUILT).select(SERIES, "date", "close"), root, "S0")
+    moved = F.when((F.col("pos") % 10 == 0) & (F.col("date") >= "1997-06-01"), F.col("close") * 1.01).otherwise(F.col("close"))
+    new = rows.filter(F.col("date").between(FROM, TO) & ((F.col(SERIES) != "S0") | (F.col("date") <= TRUTH_TO)))
+    versioned.update(new.select(SERIES, "date", F.when(F.col("pos") % 13 != 0, moved).alias("close")), root, "S0")
+    return root
+
+
+CACHED = f"""{PX}, o AS (SELECT series_id, date, close FROM px WHERE date <= DATE '{BUILT}' AND date <= (SELECT max(date) FROM px WHERE series_id = 'S0' AND date <= DATE '{BUILT}')),
+nw AS (SELECT series_id, date, CASE WHEN pos % 13 <> 0 THEN CASE WHEN pos % 10 = 0 AND date >= DATE '1997-06-01' THEN close * 1.01 ELSE close END END AS close FROM px WHERE date BETWEEN DATE '{FROM}' AND DATE '{TO}' AND (series_id <> 'S0' OR date <= DATE '{TRUTH_TO}')),
+mg AS (SELECT series_id, date, coalesce(n.close, o.close) AS close FROM o FULL JOIN nw n USING (series_id, date)), tr AS (SELECT max(date) AS d FROM (SELECT date FROM o WHERE series_id = 'S0' UNION ALL SELECT date FROM nw WHERE series_id = 'S0' AND close IS NOT NULL)),
+fin AS (SELECT * FROM mg WHERE close IS NOT NULL AND date <= (SELECT d FROM tr)),
+df AS (SELECT DISTINCT strftime(date, '%Y-%m') AS month FROM nw LEFT JOIN o USING (series_id, date) WHERE nw.close IS NOT NULL AND nw.close IS DISTINCT FROM o.close)"""
+
+
+@query(f"WITH {CACHED} SELECT series_id, CAST(date AS VARCHAR) AS date, {r6('close')} AS close FROM fin")
+def cache_rows(spark, sf):
+    """The cache after a build and an update, read back."""
+    return versioned.read(spark, _cached(spark, sf))
+
+
+@query(f"WITH {CACHED} SELECT strftime(date, '%Y-%m') AS month, CASE WHEN any_value(df.month) IS NULL THEN 1 ELSE 2 END AS version, count(*) AS n, CAST(max(date) AS VARCHAR) AS last_date, CAST(max(CASE WHEN series_id = 'S0' THEN date END) AS VARCHAR) AS truth_date FROM fin LEFT JOIN df ON df.month = strftime(date, '%Y-%m') GROUP BY 1")
+def cache_months(spark, sf):
+    """Which version holds each month: only what changed was written anew."""
+    return versioned.manifest(spark, _cached(spark, sf)).drop("at")
