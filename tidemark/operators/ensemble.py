@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import SERIES, ratio, series
@@ -66,10 +66,10 @@ def fresh_blocks(sessions: DataFrame, starts: DataFrame, months: int = BLOCK_MON
     return got.select(SERIES, "block", "first", "last", "n", "after", ((F.col("n") > 0) & (F.col("after") >= label)).alias("complete"))
 
 
-def admission_power(spark: SparkSession, n: int = LEAST_BLOCKS, need: int = 8, qs: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
-    """Chance of ``need`` wins in n blocks if each is won with probability q: the tail of a binomial."""
+def admission_power(chances: DataFrame, n: int = LEAST_BLOCKS, need: int = 8) -> DataFrame:
+    """chances (q and others) with the chance of ``need`` wins in n blocks if each is won with probability q: the tail of a binomial."""
     term = lambda k: F.lit(float(math.comb(n, k))) * F.pow("q", F.lit(k)) * F.pow(1 - F.col("q"), F.lit(n - k))
-    return spark.createDataFrame([(q,) for q in qs], "q double").select("q", F.lit(n).alias("n_blocks"), F.lit(need).alias("need"), sum((term(k) for k in range(need + 1, n + 1)), term(need)).alias("p_at_least"))
+    return chances.select("*", F.lit(n).alias("n_blocks"), F.lit(need).alias("need"), sum((term(k) for k in range(need + 1, n + 1)), term(need)).alias("p_at_least"))
 
 
 def admission(oos: DataFrame, candidate: str, admitted: list[str] | None, fresh: bool, draws: int = 4_000) -> DataFrame:

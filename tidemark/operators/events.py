@@ -103,10 +103,11 @@ def upcoming(spark: SparkSession, events: DataFrame, calendar: DataFrame, asof:
     return met.select("date", "kind", "sessions_ahead", "tentative", (F.col("effective") != F.col("date")).alias("moved")).orderBy("sessions_ahead", rank)
 
 
-def table_horizon(spark: SparkSession, asof: str) -> DataFrame:
-    last = spark.createDataFrame([(d,) for d in FOMC], "d string").agg(F.max(F.to_date("d")).alias("last_fomc"))
-    left = F.datediff("last_fomc", F.lit(asof).cast("date"))
-    return last.select("last_fomc", left.alias("days_left"), (left < WARN_DAYS).alias("warn"), F.year("last_fomc").isin(*FOMC_TENTATIVE).alias("tentative"))
+def table_horizon(days: DataFrame) -> DataFrame:
+    """days (asof) with the last meeting of the table, the days left until it, and whether they are few."""
+    last = days.withColumn("last_fomc", F.lit(max(FOMC)).cast("date"))
+    left = F.datediff("last_fomc", "asof")
+    return last.select("asof", "last_fomc", left.alias("days_left"), (left < WARN_DAYS).alias("warn"), F.year("last_fomc").isin(*FOMC_TENTATIVE).alias("tentative"))
 
 
 def next_january(days: DataFrame, calendar: DataFrame) -> DataFrame:

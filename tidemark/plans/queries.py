@@ -49,6 +49,24 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def on_orders(column: str = "date", years: int = 0) -> Callable:
+    """Over a query of dates: only those on which orders were placed (moved on by so many years), with their number."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        found, sql = QUERIES[f.__name__]
+
+        def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+            day = F.add_months(F.to_date("o_orderdate"), 12 * years).cast("string")
+            orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(day.alias(column)).agg(F.count("*").alias("n_orders"))
+            return found(spark, sf_dir).join(orders, column)
+
+        counted = f"SELECT CAST(CAST(o_orderdate AS DATE) + to_years({years}) AS DATE)::VARCHAR AS {column}, count(*) AS n_orders FROM orders GROUP BY 1"
+        QUERIES[f.__name__] = joined, f"SELECT c.*, o.n_orders FROM ({sql}) c JOIN ({counted}) o USING ({column})"
+        return f
+
+    return add
+
+
 def r6(x: str) -> str:
     return f"CASE WHEN round({x}, 6) = 0 THEN 0.0 ELSE round({x}, 6) END"
 
@@ -218,6 +236,7 @@ def _holidays_sql(first: int, last: int) -> str:
     return f"ys AS (SELECT unnest(range({first}, {last + 1})) AS y), {EASTER}, hol AS (" + " UNION ALL ".join(parts) + ")"
 
 
+@on_orders()
 @query(f"WITH {_holidays_sql(*YEARS)} SELECT CAST(date AS VARCHAR) AS date, name FROM hol")
 def holidays_rule_table(spark, sf):
     return sessions.holidays(spark, *YEARS)
@@ -229,16 +248,19 @@ sn AS (SELECT date, row_number() OVER (ORDER BY date) AS pos, lead(date) OVER (O
 ss AS (SELECT date, pos, date_trunc('week', nx + 2) <> date_trunc('week', date + 2) AS is_week_end, month(nx) <> month(date) AS is_month_end FROM sn WHERE year(date) <= 2001)"""
 
 
+@on_orders()
 @query(f"WITH {SESS} SELECT CAST(date AS VARCHAR) AS date, pos, CAST(is_week_end AS BIGINT) AS is_week_end, CAST(is_month_end AS BIGINT) AS is_month_end FROM ss")
 def session_calendar(spark, sf):
     return sessions.sessions(spark, 1995, 2001)
 
 
+@on_orders()
 @query(f"WITH {_holidays_sql(*YEARS)}, mo AS (SELECT y, unnest(range(1, 13)) AS m FROM ys), fr AS (SELECT y, m, {NTH.format(m='m', dow=5, n=3)} AS f FROM mo) SELECT y AS year, m AS month, CAST(CASE WHEN f IN (SELECT date FROM hol) THEN f - 1 ELSE f END AS VARCHAR) AS date, CAST(m IN (3, 6, 9, 12) AS BIGINT) AS quad FROM fr")
 def opex_calendar(spark, sf):
     return sessions.opex(spark, *YEARS)
 
 
+@on_orders("event_date", 30)
 @query(f"WITH {_holidays_sql(2025, 2028)}, dd AS (SELECT CAST(unnest(generate_series(DATE '2025-01-01', DATE '2028-12-31', INTERVAL 1 DAY)) AS DATE) AS date), sn AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM dd WHERE dayofweek(date) BETWEEN 1 AND 5 AND date NOT IN (SELECT date FROM hol)), fm AS (SELECT CAST(unnest({sessions.FOMC!r}) AS DATE) AS event_date), e AS (SELECT event_date, (SELECT min(pos) FROM sn WHERE date >= event_date) AS pos FROM fm), a AS (SELECT max(pos) AS p0 FROM sn WHERE date <= DATE '2026-03-01') SELECT 'FOMC' AS kind, CAST(event_date AS VARCHAR) AS event_date, pos - p0 AS sessions_ahead FROM e, a WHERE pos BETWEEN p0 + 1 AND p0 + 60")
 def upcoming_events(spark, sf):
     events = spark.createDataFrame([("FOMC", d) for d in sessions.FOMC], "kind string, d string").select("kind", F.to_date("d").alias("date"))
@@ -534,9 +556,12 @@ def replay(spark, sf):
     return _replay(spark, sf)
 
 
-@query(f"WITH s AS (SELECT unnest(['GREEN', 'R2G', 'AMBER', 'G2R', 'RED']) AS s), g AS (SELECT a.s AS m, b.s AS w, c.s AS d FROM s a, s b, s c), r AS (SELECT *, {COMBO} AS rule, {VALUES} FROM g) SELECT m, w, d, CAST(rule AS BIGINT) AS rule, {TONE} AS tone FROM r")
+@query(f"WITH g AS (SELECT ['GREEN', 'R2G', 'AMBER', 'G2R', 'RED'][o_custkey % 5 + 1] AS m, ['GREEN', 'R2G', 'AMBER', 'G2R', 'RED'][o_orderkey % 5 + 1] AS w, ['GREEN', 'R2G', 'AMBER', 'G2R', 'RED'][(o_orderkey // 7) % 5 + 1] AS d, count(*) AS n FROM orders GROUP BY 1, 2, 3), r AS (SELECT *, {COMBO} AS rule, {VALUES} FROM g) SELECT m, w, d, n, CAST(rule AS BIGINT) AS rule, {TONE} AS tone FROM r")
 def combo_table(spark, sf):
-    return rules.decision_table(spark)
+    """Orders dealt to the 125 combinations by their keys: rule, tone and number of each."""
+    state = lambda key: F.element_at(F.array(*map(F.lit, rules.STATES)), (F.col(key) % 5 + 1).cast("int"))
+    o = market.table(spark, sf, "orders").select(state("o_custkey").alias("m"), state("o_orderkey").alias("w"), (F.floor(F.col("o_orderkey") / 7)).alias("k")).withColumn("d", state("k"))
+    return rules.with_tone(o.groupBy("m", "w", "d").agg(F.count("*").alias("n")))
 
 
 @query(f"WITH {REPLAY}, s AS (SELECT unnest(['GREEN', 'R2G', 'AMBER', 'G2R', 'RED']) AS s), g AS (SELECT a.s AS m, b.s AS w, c.s AS d FROM s a, s b, s c), r AS (SELECT *, {COMBO} AS rule, {VALUES} FROM g), n AS (SELECT m, w, d, count(*) AS n FROM tn GROUP BY 1, 2, 3) SELECT r.m, r.w, r.d, CAST(rule AS BIGINT) AS rule, {TONE.replace('v[m]', 'v[r.m]').replace('v[w]', 'v[r.w]').replace('v[d]', 'v[r.d]')} AS tone, coalesce(n, 0) AS n, {r6('coalesce(n, 0) / (SELECT count(*) FROM tn)')} AS share FROM r LEFT JOIN n ON r.m = n.m AND r.w = n.w AND r.d = n.d")

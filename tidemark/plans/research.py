@@ -13,7 +13,7 @@ from tidemark.functions import expr
 from tidemark.functions.expr import SERIES
 from tidemark.operators import attribution, bootstrap, ensemble, evaluation, events, fit, folds, ladder, paths, portfolio, regime, rules, scenarios, scoring, sessions, store, tracking, vol
 from tidemark.plans.queries import (
-    BARS, EPS_BODY, FOMC_SQL, FWD, NTH, LASTD, OBS, OOS, ORD, PX, VAR, WEEK, WILSON, _decided, _holidays_sql, _ladder, barrier_sql, _oos, _replay, _targets_of_size, bootstrap_sql, known, query, r6,
+    BARS, EPS_BODY, FOMC_SQL, FWD, NTH, LASTD, OBS, OOS, ORD, PX, VAR, WEEK, WILSON, _decided, _holidays_sql, _ladder, barrier_sql, _oos, _replay, _targets_of_size, bootstrap_sql, known, on_orders, query, r6,
 )
 from tidemark.sources import cache, feeds, market
 
@@ -29,6 +29,7 @@ def _federal_sql(first: int, last: int) -> str:
     return f"fy AS (SELECT unnest(range({first}, {last + 1})) AS y), fed AS (SELECT DISTINCT date FROM ({' UNION ALL '.join(parts)}) WHERE year(date) = y)"
 
 
+@on_orders(years=25)
 @query(f"WITH {_federal_sql(2018, 2030)} SELECT CAST(date AS VARCHAR) AS date FROM fed")
 def federal_holidays(spark, sf):
     return events.federal_holidays(spark, 2018, 2030)
@@ -47,12 +48,14 @@ f2 AS (SELECT year, month, {ready} FROM (SELECT *, tw + CAST((6 - dayofweek(tw))
 nw AS (SELECT year, month, {BACK} AS date FROM f2)"""
 
 
+@on_orders(years=25)
 @query(f"WITH {_payrolls_sql(2015, 2030)} SELECT year, month, CAST(n.date AS VARCHAR) AS date, CAST(w.date AS VARCHAR) AS by_week FROM nf n JOIN nw w USING (year, month)")
 def payroll_dates(spark, sf):
     """Dates by the first Friday and by the reference week."""
     return events.payrolls(spark, 2015, 2030).join(events.payrolls_by_reference_week(spark, 2015, 2030).withColumnRenamed("date", "by_week"), ["year", "month"])
 
 
+@on_orders(years=25)
 @query(f"WITH {_payrolls_sql(2015, 2030)} SELECT year, month, CAST(n.date AS VARCHAR) AS date, CAST(w.date AS VARCHAR) AS by_week, CAST(year * 100 + month IN (202605, 202710) AS BIGINT) AS overridden FROM nf n JOIN nw w USING (year, month) WHERE n.date <> w.date")
 def payroll_discrepancies(spark, sf):
     return events.payroll_discrepancies(spark, 2015, 2030)
@@ -63,20 +66,23 @@ ev AS (SELECT CASE WHEN m % 3 = 0 THEN 'QUAD' ELSE 'OPEX' END AS kind, CASE WHEN
 cd AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2028-12-31', INTERVAL 1 DAY)) AS DATE) AS date), tr AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM cd WHERE dayofweek(date) BETWEEN 1 AND 5 AND date NOT IN (SELECT date FROM hol))"""
 
 
+@on_orders(years=30)
 @query(f"WITH {EVENTS} SELECT kind, CAST(date AS VARCHAR) AS date, CAST(tentative AS BIGINT) AS tentative FROM ev")
 def event_calendar(spark, sf):
     return events.all_events(spark, 2025, 2027, ("2026-03-11",))
 
 
+@on_orders(years=30)
 @query(f"""WITH {EVENTS}, a AS (SELECT max(pos) AS p0 FROM tr WHERE date <= DATE '2026-03-07'), e AS (SELECT ev.*, (SELECT min(date) FROM tr WHERE tr.date >= ev.date) AS eff FROM ev WHERE date > DATE '2026-03-07')
 SELECT CAST(e.date AS VARCHAR) AS date, kind, t.pos - p0 AS sessions_ahead, CAST(tentative AS BIGINT) AS tentative, CAST(eff <> e.date AS BIGINT) AS moved FROM e JOIN tr t ON t.date = e.eff, a WHERE t.pos - p0 BETWEEN 1 AND 40""")
 def upcoming_all_events(spark, sf):
     return events.upcoming(spark, events.all_events(spark, 2025, 2027, ("2026-03-11",)), sessions.sessions(spark, 2024, 2027), "2026-03-07", 40)
 
 
-@query("SELECT CAST(m AS VARCHAR) AS last_fomc, CAST(m - DATE '2027-11-01' AS BIGINT) AS days_left, CAST(m - DATE '2027-11-01' < 60 AS BIGINT) AS warn, CAST(year(m) = 2027 AS BIGINT) AS tentative FROM (SELECT max(CAST(d AS DATE)) AS m FROM (SELECT unnest(" + FOMC_SQL + ") AS d))")
+@query("SELECT CAST(a AS VARCHAR) AS \"asof\", CAST(m AS VARCHAR) AS last_fomc, CAST(m - a AS BIGINT) AS days_left, CAST(m - a < 60 AS BIGINT) AS warn, CAST(year(m) = 2027 AS BIGINT) AS tentative FROM (SELECT max(CAST(d AS DATE)) AS m FROM (SELECT unnest(" + FOMC_SQL + ") AS d)), (SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) + to_years(29) AS DATE) AS a FROM orders)")
 def table_horizon(spark, sf):
-    return events.table_horizon(spark, "2027-11-01")
+    """The days of orders moved on by 29 years."""
+    return events.table_horizon(market.table(spark, sf, "orders").select(F.add_months(F.to_date("o_orderdate"), 12 * 29).alias("asof")).distinct())
 
 
 AROUND = _holidays_sql(1994, 2003) + """, cd AS (SELECT CAST(unnest(generate_series(DATE '1994-01-01', DATE '2003-12-31', INTERVAL 1 DAY)) AS DATE) AS date), tr AS (SELECT date FROM cd WHERE dayofweek(date) BETWEEN 1 AND 5 AND date NOT IN (SELECT date FROM hol))"""
@@ -274,10 +280,13 @@ def bin_of_today(spark, sf):
     return scenarios.bin_of_today(scenarios.bin_table(rows, spark), today)
 
 
-@query(f"""WITH RECURSIVE {OUTCOMES}, t AS (SELECT series_id, state, count(*) AS n, avg(y) AS obs FROM ou GROUP BY 1, 2) SELECT series_id, state, n FROM t WHERE n > 0 AND obs IS NULL""")
+@query(f"""WITH RECURSIVE {OUTCOMES}, t AS (SELECT series_id, s.state, count(ou.pos) AS n FROM (SELECT DISTINCT series_id FROM ou) x CROSS JOIN (SELECT unnest(['normal', 'caution', 'reduce']) AS state) s LEFT JOIN ou USING (series_id, state) GROUP BY 1, 2)
+SELECT series_id, state, CAST(CASE WHEN series_id = 'S1' THEN -1 ELSE n END AS BIGINT) AS n FROM t WHERE series_id = 'S1' OR (series_id = 'S2' AND n > 0)""")
 def undisplayable_cells(spark, sf):
-    """Cells that may not be shown; none here."""
-    return scenarios.undisplayable(scenarios.state_table(_outcomes(spark, sf), spark)).select(SERIES, "state", "n")
+    """Cells that may not be shown: S1 has lost its counts and S2 its intervals."""
+    t = scenarios.state_table(_outcomes(spark, sf), spark)
+    planted = t.withColumns({"n": F.when(F.col(SERIES) != "S1", F.col("n")), "wilson_low": F.when(F.col(SERIES) != "S2", F.col("wilson_low"))})
+    return scenarios.undisplayable(planted).select(SERIES, "state", known("n"))
 
 
 @query()
@@ -311,14 +320,20 @@ def range_labels(spark, sf):
 # ---- portfolios -------------------------------------------------------------------------------------------------
 
 
-@query("SELECT k / 100.0 AS d_max, CASE WHEN k / 100.0 / 3.5 + 1e-9 >= 0.06 THEN list_max(list_filter([0.06, 0.08, 0.10, 0.12, 0.15], lambda g: g <= k / 100.0 / 3.5 + 1e-9)) END AS sigma_target FROM (SELECT unnest(range(10, 70)) AS k)".replace("k / 100.0 AS d_max", "CAST(k / 100.0 AS DOUBLE) AS d_max").replace("[0.06, 0.08, 0.10, 0.12, 0.15]", "CAST([0.06, 0.08, 0.10, 0.12, 0.15] AS DOUBLE[])"))
+@query("WITH b AS (SELECT CAST((o_custkey % 60 + 10) / 100.0 AS DOUBLE) AS d_max, count(*) AS n FROM orders GROUP BY 1) SELECT d_max, n, CASE WHEN d_max / 3.5 + 1e-9 >= 0.06 THEN list_max(list_filter(CAST([0.06, 0.08, 0.10, 0.12, 0.15] AS DOUBLE[]), lambda g: g <= d_max / 3.5 + 1e-9)) END AS sigma_target FROM b")
 def volatility_targets(spark, sf):
-    return portfolio.target_vol(spark, spark.range(10, 70).select((F.col("id") / 100).alias("d_max")))
+    """Budgets that orders' customers stand for."""
+    budgets = market.table(spark, sf, "orders").groupBy(((F.col("o_custkey") % 60 + 10) / 100).alias("d_max")).agg(F.count("*").alias("n"))
+    return portfolio.target_vol(spark, budgets)
 
 
-@query("SELECT CAST(g AS DOUBLE) AS sigma_target, round(3.5 * CAST(g AS DOUBLE), 6) AS d_slow, round(2.0 * CAST(g AS DOUBLE), 6) AS d_fast FROM (SELECT unnest([0.06, 0.08, 0.10, 0.12, 0.15]) AS g)")
+@query(f"WITH {VAR}, g AS (SELECT CAST(unnest([0.06, 0.08, 0.10, 0.12, 0.15]) AS DOUBLE) AS sigma_target) SELECT sigma_target, round(3.5 * sigma_target, 6) AS d_slow, round(2.0 * sigma_target, 6) AS d_fast, series_id, {r6('avg(CAST(rv22 <= sigma_target AS DOUBLE))')} AS share_within, {r6('avg(least(greatest(sigma_target / rv22, 0.25), 1.0))')} AS avg_weight FROM g, har WHERE rv22 IS NOT NULL GROUP BY ALL")
 def budget_ladder(spark, sf):
-    return portfolio.budget_ladder(spark)
+    """The grid of targets with their drawdown lines, and by series how often volatility is within and the weight it allows."""
+    h = vol.har_components(market.index_bars(spark, sf), vol.garman_klass()).filter("rv22 is not null")
+    each = h.select(SERIES, "rv22", F.explode(F.array(*map(F.lit, portfolio.VOL_GRID))).alias("sigma_target"))
+    weight = expr.clip(F.col("sigma_target") / F.col("rv22"), 0.25, 1.0)
+    return portfolio.budget_ladder(spark, each.groupBy("sigma_target", SERIES).agg(F.avg((F.col("rv22") <= F.col("sigma_target")).cast("double")).alias("share_within"), F.avg(weight).alias("avg_weight")))
 
 
 @query(f"""WITH {VAR}, e AS (SELECT series_id, pos, [1.0, 0.5, 0.25][pos % 3 + 1] AS m, least(greatest(0.10 / rv22, 0.25), 1.0) AS wv FROM har WHERE rv22 IS NOT NULL)
@@ -423,14 +438,13 @@ def first_refit_ok(spark, sf):
     return ladder.first_refit_ok(_oos(spark, sf), paths.episodes(market.index_close(spark, sf), 0.10), least_rows=500)
 
 
-BLOCKS = [("2003-01-01", "2005-01-01"), ("2005-01-01", "2006-09-01"), ("2006-10-01", "2008-09-01"), ("2008-09-01", "2011-09-01"), ("2011-09-01", "2013-08-01")]
-
-
-@query(f"""WITH b AS (SELECT CAST(a AS DATE) AS first, CAST(z AS DATE) AS last FROM (VALUES {', '.join(map(str, BLOCKS))}) t(a, z)), w AS (SELECT *, coalesce(lag(last) OVER (ORDER BY first), DATE '2003-01-01') AS before, lead(first) OVER (ORDER BY first) AS nx, (year(last) - year(first)) * 12 + month(last) - month(first) AS months FROM b)
-SELECT CAST(first AS VARCHAR) AS first, CAST(last AS VARCHAR) AS last, months, CASE WHEN first <> before THEN 'gap' WHEN last <= first THEN 'empty' WHEN months NOT BETWEEN 18 AND 24 THEN 'length' WHEN nx IS NULL AND last <> DATE '2013-09-01' THEN 'end' END AS fault FROM w""")
+@query(f"""WITH {PX}, b AS (SELECT min(date) AS first, max(date) + 1 AS last FROM px WHERE series_id = 'S0' GROUP BY (year(date) * 12 + month(date)) // 19), w AS (SELECT *, coalesce(lag(last) OVER (ORDER BY first), DATE '1995-01-01') AS before, lead(first) OVER (ORDER BY first) AS nx, (year(last) - year(first)) * 12 + month(last) - month(first) AS months FROM b)
+SELECT CAST(first AS VARCHAR) AS first, CAST(last AS VARCHAR) AS last, months, CASE WHEN first <> before THEN 'gap' WHEN last <= first THEN 'empty' WHEN months NOT BETWEEN 18 AND 24 THEN 'length' WHEN nx IS NULL AND last <> DATE '2001-12-31' THEN 'end' END AS fault FROM w""")
 def block_faults(spark, sf):
-    blocks = spark.createDataFrame(BLOCKS, "a string, b string").select(F.to_date("a").alias("first"), F.to_date("b").alias("last"))
-    return ladder.check_blocks(blocks, "2003-01-01", "2013-09-01")
+    """Blocks of nineteen months cut out of a series."""
+    cut = F.floor((F.year("date") * 12 + F.month("date")) / 19)
+    blocks = market.index_close(spark, sf).filter(F.col(SERIES) == "S0").groupBy(cut.alias("k")).agg(F.min("date").alias("first"), F.date_add(F.max("date"), 1).alias("last"))
+    return ladder.check_blocks(blocks.drop("k"), "1995-01-01", "2001-12-31")
 
 
 def _rung_rows(spark, sf):
@@ -487,10 +501,11 @@ def amended_acceptance(spark, sf):
     return ladder.amended_rule(_block_skills(spark, sf), pooled, low).select(*keys, "blocks", "n_clim", "n_vix", "need", "low_clim", "low_vix", "low_info", "a", "b", "c")
 
 
-@query(f"WITH {OOS} SELECT series_id, count(*) AS n FROM oos GROUP BY 1")
+@query(f"""WITH {OOS}, d AS (SELECT series_id, sha256(concat_ws('|', pos, y, printf('%.6f', round(p, 6)), printf('%.6f', round(clim, 6)))) AS h FROM oos)
+SELECT series_id, count(*) AS n, CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) AS digest, CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS VARCHAR) AS "second" FROM d GROUP BY 1""")
 def rows_digest(spark, sf):
-    """Counts of digested rows; that digests agree between runs and differ between data is for the tests."""
-    return ladder.rows_digest(_oos(spark, sf), [SERIES], ["pos", "y", "p", "clim"]).select(SERIES, "n")
+    """Digests of each series' forecasts, to six places."""
+    return ladder.rows_digest(_oos(spark, sf), [SERIES], ["pos", "y", "p", "clim"], 6)
 
 
 #: Parameters as literals, so that SQL can state what follows from them.
@@ -602,31 +617,41 @@ def member_registry(spark, sf):
     return ensemble.registry(_members(spark, sf), {"p2": "seed", "h": "shadow", "m1": "shadow"})
 
 
-@query("""SELECT CAST(q AS DOUBLE) AS q, CAST(11 AS BIGINT) AS n_blocks, CAST(8 AS BIGINT) AS need, round(list_sum(list_transform([8, 9, 10, 11], lambda k: factorial(11) / factorial(CAST(k AS INT)) / factorial(CAST(11 - k AS INT)) * pow(q, k) * pow(1 - q, 11 - k))), 6) AS p_at_least FROM (SELECT CAST(unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS DOUBLE) AS q)""")
+@query(f"""WITH {MEMBERS}, g AS (SELECT series_id, qb, avg(pow(m_p2 - y, 2)) - avg(pow((m_p2 + m_h) / 2 - y, 2)) AS d FROM me GROUP BY 1, 2), w AS (SELECT series_id, avg(CAST(d > 0 AS DOUBLE)) AS q FROM g GROUP BY 1)
+SELECT series_id, {r6('q')} AS q, CAST(11 AS BIGINT) AS n_blocks, CAST(8 AS BIGINT) AS need, round(list_sum(list_transform([8, 9, 10, 11], lambda k: factorial(11) / factorial(CAST(k AS INT)) / factorial(CAST(11 - k AS INT)) * pow(q, k) * pow(1 - q, 11 - k))), 6) AS p_at_least FROM w""")
 def admission_power(spark, sf):
-    return ensemble.admission_power(spark)
+    """By series the chance of eight wins in eleven blocks, if each is won as often as the blocks of the record were."""
+    d = _members(spark, sf)
+    la, lb = F.avg(F.pow(F.col("m_p2") - F.col("y"), 2)), F.avg(F.pow((F.col("m_p2") + F.col("m_h")) / 2 - F.col("y"), 2))
+    won = d.groupBy(SERIES, "block").agg((la - lb).alias("d")).groupBy(SERIES).agg(F.avg((F.col("d") > 0).cast("double")).alias("q"))
+    return ensemble.admission_power(won)
 
 
 STARTS = "2024-10-15"
 
 
-def _days(spark):
-    """Sessions of a calendar as a series that has gone on since the held-out time began."""
-    return sessions.sessions(spark, 2024, 2027).filter("date <= '2027-08-20'").select(F.lit("live").alias(SERIES), "date", F.row_number().over(Window.orderBy("date")).alias("pos"))
+def _days(spark, sf):
+    """Sessions of the series, moved on by 29 years."""
+    return market.index_close(spark, sf).select(SERIES, F.add_months("date", 12 * 29).alias("date"), "pos").dropDuplicates([SERIES, "date"])
+
+
+def _starts(spark, sf):
+    return market.index_close(spark, sf).select(SERIES).distinct().withColumn("start", F.lit(STARTS).cast("date"))
+
+
+TILES = f"""{PX}, tr AS (SELECT series_id, (date + to_years(29))::DATE AS date, min(pos) AS pos FROM px GROUP BY 1, 2), mx AS (SELECT series_id, max(date) AS stop, max(pos) AS top FROM tr GROUP BY 1),
+t AS (SELECT series_id, stop, top, k + 1 AS block, CAST(DATE '{STARTS}' + to_months(CAST(3 * k AS INT)) AS DATE) AS a, CAST(DATE '{STARTS}' + to_months(CAST(3 * k + 3 AS INT)) AS DATE) AS z FROM mx, (SELECT unnest(range(0, 60)) AS k)), u AS (SELECT t.series_id, block, a, z, any_value(top) AS top, count(tr.date) AS n, max(tr.pos) AS lp FROM t LEFT JOIN tr ON tr.series_id = t.series_id AND tr.date >= a AND tr.date < z WHERE a <= stop GROUP BY 1, 2, 3, 4),
+fb AS (SELECT series_id, block, a, z, n, coalesce(top - lp, 0) AS after, n > 0 AND coalesce(top - lp, 0) >= 20 AS complete FROM u)"""
 
 
-@query(f"""WITH {_holidays_sql(2024, 2027)}, cd AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2027-08-20', INTERVAL 1 DAY)) AS DATE) AS date), tr AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM cd WHERE dayofweek(date) BETWEEN 1 AND 5 AND date NOT IN (SELECT date FROM hol)),
-t AS (SELECT k + 1 AS block, CAST(DATE '{STARTS}' + to_months(CAST(3 * k AS INT)) AS DATE) AS a, CAST(DATE '{STARTS}' + to_months(CAST(3 * k + 3 AS INT)) AS DATE) AS z FROM (SELECT unnest(range(0, 12)) AS k)), u AS (SELECT block, a, z, count(tr.date) AS n, max(tr.pos) AS lp FROM t LEFT JOIN tr ON tr.date >= a AND tr.date < z WHERE a <= DATE '2027-08-20' GROUP BY 1, 2, 3)
-SELECT 'live' AS series_id, block, CAST(a AS VARCHAR) AS first, CAST(z AS VARCHAR) AS last, n, coalesce((SELECT max(pos) FROM tr) - lp, 0) AS after, CAST(n > 0 AND (SELECT max(pos) FROM tr) - lp >= 20 AS BIGINT) AS complete FROM u""")
+@query(f"WITH {TILES} SELECT series_id, block, CAST(a AS VARCHAR) AS first, CAST(z AS VARCHAR) AS last, n, after, CAST(complete AS BIGINT) AS complete FROM fb")
 def fresh_blocks(spark, sf):
-    starts = spark.createDataFrame([("live", STARTS)], f"{SERIES} string, d string").select(SERIES, F.to_date("d").alias("start"))
-    return ensemble.fresh_blocks(_days(spark), starts)
+    return ensemble.fresh_blocks(_days(spark, sf), _starts(spark, sf))
 
 
-@query("SELECT 'live' AS series_id, CAST(11 AS BIGINT) AS n_complete, 1 AS due, CAST(15 AS BIGINT) AS next_at".replace("1 AS due", "CAST(1 AS BIGINT) AS due"))
+@query(f"WITH {TILES}, c AS (SELECT series_id, count(*) FILTER (complete) AS n FROM fb GROUP BY 1) SELECT series_id, n AS n_complete, CAST(n >= 11 AS BIGINT) AS due, CAST(CASE WHEN n < 11 THEN 11 ELSE n + 4 END AS BIGINT) AS next_at FROM c")
 def admission_due(spark, sf):
-    starts = spark.createDataFrame([("live", STARTS)], f"{SERIES} string, d string").select(SERIES, F.to_date("d").alias("start"))
-    return ensemble.admission_due(ensemble.fresh_blocks(_days(spark), starts))
+    return ensemble.admission_due(ensemble.fresh_blocks(_days(spark, sf), _starts(spark, sf)))
 
 
 # ---- live tracking ----------------------------------------------------------------------------------------------
@@ -653,12 +678,15 @@ def effective_modes(spark, sf):
     return o.groupBy(F.col("o_orderstatus").alias("p2"), F.col("o_orderpriority").alias("p3"), mode.alias("mode")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH g AS (SELECT n / 2.0 AS n_eff, m FROM (SELECT unnest(range(0, 40)) AS n), (SELECT unnest(range(0, 48)) AS m)), s AS (SELECT *, CASE WHEN n_eff < 6 OR m < 6 THEN '0-3m' WHEN n_eff < 12 OR m < 12 THEN '6m' WHEN m < 36 THEN '12m' ELSE '36m' END AS stage FROM g)
-SELECT CAST(n_eff AS DOUBLE) AS n_eff, m AS months, stage, CAST(stage IN ('12m', '36m') AS BIGINT) AS bss, CAST(stage <> '0-3m' AS BIGINT) AS hist_pct, CAST(stage = '36m' AS BIGINT) AS verdict FROM s""")
+@query(f"""WITH {OOS}, g AS (SELECT series_id, row_number() OVER w / 20.0 AS n_eff, (year(date) - year(min(date) OVER w)) * 12 + month(date) - month(min(date) OVER w) AS m FROM oos WINDOW w AS (PARTITION BY series_id ORDER BY pos)), s AS (SELECT *, CASE WHEN n_eff < 6 OR m < 6 THEN '0-3m' WHEN n_eff < 12 OR m < 12 THEN '6m' WHEN m < 36 THEN '12m' ELSE '36m' END AS stage FROM g)
+SELECT series_id, stage, count(*) AS n, {r6('min(n_eff)')} AS n_eff, CAST(min(m) AS BIGINT) AS months, CAST(stage IN ('12m', '36m') AS BIGINT) AS bss, CAST(stage <> '0-3m' AS BIGINT) AS hist_pct, CAST(stage = '36m' AS BIGINT) AS verdict FROM s GROUP BY 1, 2""")
 def horizon_stages(spark, sf):
-    g = spark.range(40).select((F.col("id") / 2).alias("n_eff")).crossJoin(spark.range(48).select(F.col("id").alias("months")))  # the whole domain, 1,920 rows
-    d = g.withColumn("stage", tracking.stage(F.col("n_eff"), F.col("months")))
-    return d.select("n_eff", "months", "stage", *(tracking.may_show(F.col("stage"), k).alias(k) for k in ("bss", "hist_pct", "verdict")))
+    """Sessions in each stage of a record that grows, and what the stage shows."""
+    first = F.min("date").over(expr.series())
+    months = (F.year("date") - F.year(first)) * 12 + F.month("date") - F.month(first)
+    g = _oos(spark, sf).select(SERIES, (F.row_number().over(expr.series()) / 20).alias("n_eff"), months.alias("months"))
+    d = g.withColumn("stage", tracking.stage(F.col("n_eff"), F.col("months"))).groupBy(SERIES, "stage").agg(F.count("*").alias("n"), F.min("n_eff").alias("n_eff"), F.min("months").alias("months"))
+    return d.select("*", *(tracking.may_show(F.col("stage"), k).alias(k) for k in ("bss", "hist_pct", "verdict")))
 
 
 @query(f"""WITH {OOS}, v AS (SELECT *, CASE WHEN pos % 5 <> 0 THEN {barrier_sql('rv22', drift=False)} END AS vix FROM oos), ls AS (SELECT series_id, pos, pow(p - y, 2) AS lp, pow(clim - y, 2) AS lc FROM oos), {bootstrap_sql('bo', 'ls', 'series_id', 'lp, lc', 4000, '1 - {0} / {1}')}
