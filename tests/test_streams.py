@@ -68,3 +68,84 @@ def test_sketches_err_by_little(spark):
         for q in reference.QUANTILES:
             assert abs(np.searchsorted(part, r[f"p{round(100 * q):02d}"]) / len(part) - q) < 0.02
             assert abs(np.searchsorted(part, exact[name][f"p{round(100 * q):02d}"]) / len(part) - q) < 0.0005
+
+
+def plain_row(cells):
+    """The rules of one ledger row, cell by cell."""
+    import json
+
+    from tidemark.operators import normalise as n
+    from tidemark.operators import rules
+
+    def get(*keys):
+        for k in keys:
+            v = (cells.get(k) or "").strip(" ")
+            if v and v.lower() != "nan":
+                return v
+        return None
+
+    def number(v):
+        try:
+            return None if v is None else float(v)
+        except ValueError:
+            return None
+
+    raw = {c: get(*n.keys_of(c)) for c in (*n.NUMBERS, *n.TEXTS, *n.SWITCHES, *n.EVENTS, "p3_members", "p3_alarms")}
+    value = {c: number(raw[c]) for c in n.NUMBERS}
+    errors, warnings = [], []
+    if get("tone") not in rules.TONES:
+        errors.append("tone")
+    errors += [f"not_number:{c}" for c in n.NUMBERS if raw[c] is not None and value[c] is None]
+    errors += [f"chance:{c}" for c in n.CHANCES if value[c] is not None and not 0 <= value[c] <= 1]
+    errors += [f"whole:{c}" for c in n.WHOLE if value[c] is not None and (value[c] < 0 or value[c] != int(value[c]))]
+    errors += [f"set:{c}" for c, ok in n.CLOSED.items() if raw[c] is not None and raw[c] not in ok]
+    errors += [f"truth:{c}" for c in (*n.SWITCHES, *n.EVENTS) if raw[c] is not None and raw[c].lower() not in (*n.YES, *n.NO)]
+    if raw["p3_members"] is not None:
+        try:
+            found = json.loads(raw["p3_members"])
+            assert isinstance(found, dict) and all(v is None or 0 <= float(v) <= 1 for v in found.values())
+        except (ValueError, AssertionError, TypeError):
+            errors.append("members")
+    p = value["prob_dd5_20"]
+    if None not in (value["p3_lo"], value["p3_hi"]) and value["p3_lo"] > value["p3_hi"] + 1e-12:
+        errors.append("band:p3")
+    if get("variant") is None:
+        warnings.append("variant")
+    warnings += [f"state:{k}" for k in n.SIGNALS if get(f"state_{k}", f"states.{k}") is None]
+    warnings += [f"set:{c}" for c, ok in n.OPEN.items() if raw[c] is not None and raw[c] not in ok]
+    for x in ("p2", "p3"):
+        low, high = value[f"{x}_lo"], value[f"{x}_hi"]
+        if p is not None and (low is not None and low > p + 1e-12 or high is not None and high < p - 1e-12):
+            warnings.append(f"outside:{x}")
+    has = lambda x: any(k.startswith((f"{x}_", f"{x}.")) for k in cells)
+    if has("p2") and p is None and raw["p2_input_missing"] is None:
+        warnings.append("no_reason:p2")
+    if has("p3") and value["p3_w_exec"] is None and raw["p3_w_reason"] is None and raw["p3_input_missing"] is None:
+        warnings.append("no_reason:p3")
+    if value["p3_w_exec"] is not None and raw["p3_w_reason"] == "info_only":
+        warnings.append("weight_of_info_only")
+    warnings += [f"outcome:{c}" for c in n.OUTCOMES if get(c) is not None]
+    known = {k for c in raw for k in n.keys_of(c)} | set(n.OUTCOMES)
+    warnings += sorted(f"unknown:{k}" for k in cells if k[:3] in ("p2_", "p3_", "p2.", "p3.") and k not in known)
+    return errors, warnings, value
+
+
+def test_normaliser_by_a_plain_reading(spark):
+    """Random cells under random names: typed values, errors and warnings by plain rules."""
+    import random
+
+    from tidemark.operators import normalise as n
+
+    draw, made = random.Random(7), []
+    names = ["tone", "variant", *(f"state_{k}" for k in n.SIGNALS), *n.OUTCOMES[:3], "p2_oddity", "p3.nothing", *(k for c in (*n.NUMBERS, *n.TEXTS, *n.SWITCHES, *n.EVENTS, "p3_members") for k in n.keys_of(c))]
+    values = ["0.2", "0.9", "1.5", "-1", "3", "x", " ", "nan", "True", "no", "hold", "info_only", "weekly", "normal", "tones", "p2", '{"H": 0.1, "a": null}', '{"H": 2}', "[]"]
+    for i in range(300):
+        cells = {draw.choice(names): draw.choice(values) for _ in range(draw.choice((0, 5, 40)))}
+        made.append((i, {"asof": "2001-01-02", **cells}))
+    rows = spark.createDataFrame(made, "k long, cells map<string,string>")
+    got = {r["k"]: r for r in n.normalised(rows).collect()}
+    for k, cells in made:
+        errors, warnings, value = plain_row(cells)
+        assert list(got[k]["errors"]) == errors and list(got[k]["warnings"]) == warnings, (cells, got[k]["errors"], errors, got[k]["warnings"], warnings)
+        assert all(got[k][c] == v or v != v for c, v in value.items())
+    assert n.normalised(spark.createDataFrame([(1, {"asof": "soon", "tone": "hold"})], "k long, cells map<string,string>")).first()["errors"] == ["asof"]

@@ -15,7 +15,7 @@ from tidemark.operators import attribution, bootstrap, ensemble, evaluation, eve
 from tidemark.plans.queries import (
     BARS, EPS_BODY, FOMC_SQL, FWD, NTH, LASTD, OBS, OOS, ORD, PX, VAR, WEEK, WILSON, _decided, _holidays_sql, _ladder, barrier_sql, _oos, _replay, _targets_of_size, bootstrap_sql, known, on_orders, query, r6,
 )
-from tidemark.sources import cache, feeds, market
+from tidemark.sources import cache, feeds, market, shared
 
 # ---- calendars --------------------------------------------------------------------------------------------------
 
@@ -232,7 +232,7 @@ def episode_evaluation(spark, sf):
 @query()
 def shifted_warnings(spark, sf):
     """The chance level of detections: 200 turned series of warnings."""
-    return evaluation.shifted_alarms(_warnings(spark, sf), paths.episodes(market.index_close(spark, sf), 0.05))
+    return evaluation.shifted_alarms(shared.written(_warnings(spark, sf), "warnings"), paths.episodes(market.index_close(spark, sf), 0.05))
 
 
 # ---- scenarios --------------------------------------------------------------------------------------------------
@@ -374,8 +374,8 @@ def _windows(spark):
 
 
 def _backtest(spark, sf):
-    rows = _sizing_rows(spark, sf)
-    weights = portfolio.variants(rows).withColumnRenamed("w_exec", "w")
+    rows = shared.written(_sizing_rows(spark, sf), "sizes")
+    weights = shared.written(portfolio.variants(rows).withColumnRenamed("w_exec", "w"), "weights")
     return portfolio.backtest(weights, rows.select(SERIES, "pos", "date", "close"), _windows(spark), {"10bp": 10.0})
 
 
@@ -418,7 +418,8 @@ def _walked(spark, sf):
     """Forecasts of each rung, the implied probability and the climatology; blocks are years."""
     d = _ladder(spark, sf).withColumn("p_B1", vol.barrier_probability(F.col("rv22")))
     d = d.withColumn("x_imp", expr.logit(expr.clip(F.col("p_B1"), 1e-6, 1 - 1e-6))).select(SERIES, "pos", "date", "y", "p_B1", "x_imp", "x_har", "x_ma")
-    return ladder.walk_forward(d, LADDER).withColumn("block", F.year("date"))
+    # each rung, step and test reads these rows: they are computed once
+    return shared.written(ladder.walk_forward(shared.written(d, "ladder-inputs"), LADDER).withColumn("block", F.year("date")), "ladder")
 
 
 @query()
@@ -860,8 +861,8 @@ def regime_occupancy(spark, sf):
 @query()
 def regime_member(spark, sf):
     """The regime member's walk-forward probabilities: filters by refit, scaled to the labels known then."""
-    d = vol.regime_observations(market.index_bars(spark, sf))
-    return regime.member_probabilities(d, _thetas(spark, sf), _oos(spark, sf))
+    d = shared.written(vol.regime_observations(market.index_bars(spark, sf)), "observations")
+    return regime.member_probabilities(d, shared.written(fit.regimes(d), "regimes"), shared.written(_oos(spark, sf), "forecasts"))
 
 
 # ---- windows ----------------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import SERIES
+from tidemark.operators import normalise
 from tidemark.plans.queries import PX, query, r6
 from tidemark.sources import market, shared, versioned
 from tidemark.streaming import ledger
@@ -62,3 +63,26 @@ def cache_rows(spark, sf):
 def cache_months(spark, sf):
     """Which version holds each month: only what changed was written anew."""
     return versioned.manifest(spark, _cached(spark, sf)).drop("at")
+
+
+# ---- ledger rows out of loose cells -----------------------------------------------------------------------------
+
+
+@query(f"""WITH e AS (SELECT event_id, event_id % 2 = 0 AS b2, event_id % 3 = 0 AS b3, event_id % 5 = 0 AS b5, event_id % 7 = 0 AS b7, event_id % 11 = 0 AS b11, value / 1000.0 AS p FROM events)
+SELECT event_id, CASE WHEN b3 THEN 'completed' ELSE 'faithful' END AS variant, {r6('CASE WHEN b7 THEN NULL ELSE p END')} AS p, {r6('CASE WHEN b2 THEN 0.5 END')} AS w_exec, {r6('CASE WHEN b5 THEN 1.0 END')} AS flag, CASE WHEN b11 THEN NULL ELSE '{{"p2": 0.25, "M1": null, "zz": 1.0}}' END AS members, 'D1,D3' AS alarms,
+concat_ws(';', CASE WHEN b5 THEN 'tone' END, CASE WHEN b7 THEN 'not_number:prob_dd5_20' END, CASE WHEN NOT b7 AND p NOT BETWEEN 0 AND 1 THEN 'chance:prob_dd5_20' END, CASE WHEN b3 THEN 'whole:p2_days_in_state' END, CASE WHEN b11 THEN 'set:p3_w_reason' END, CASE WHEN b11 THEN 'members' END) AS errors,
+concat_ws(';', CASE WHEN NOT b3 THEN 'variant' END, CASE WHEN b2 THEN 'state:btc' END, CASE WHEN b7 THEN 'set:p2_band_src' END, CASE WHEN NOT b7 AND p < 0.1 - 1e-12 THEN 'outside:p2' END, CASE WHEN b7 THEN 'no_reason:p2' END, CASE WHEN b2 AND NOT b11 THEN 'weight_of_info_only' END, CASE WHEN b5 THEN 'outcome:y_dd5_20' END, CASE WHEN b3 THEN 'unknown:p3.odd' END) AS warnings FROM e""")
+def normalised_rows(spark, sf):
+    """Rows made of events with planted faults, under flat names, aliases and nested names."""
+    e = market.table(spark, sf, "events")
+    at = lambda n: F.col("event_id") % n == 0
+    when = lambda c, yes, no=None: F.when(c, yes).otherwise(no)
+    cells = {
+        "asof": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "variant": when(at(3), "completed"), "tone": when(at(5), "calm", "hold"), **{f"state_{k}": F.lit("GREEN") for k in ("fang", "macd", "fg")}, **{f"states.{k}": F.lit("RED") for k in ("vix", "ma", "eod", "lead")},
+        "states.btc": when(~at(2), "AMBER"), "p2.prob": when(at(7), "high", (F.col("value") / 1000).cast("string")), "p2_lo": F.lit("0.1"), "p2_days": when(at(3), "2.5", "3"), "p2_band_src": when(at(7), "guess", "param"), "p3_w": when(at(2), "0.5", " "),
+        "p3.reason": when(at(11), "mood", "info_only"), "p3_disagree_flag": when(at(5), "True", "no"), "p3_members": when(at(11), "[1]", '{"zz": 1, "M1": null, "p2": 0.25}'), "p3_alarms": F.lit(" D3,D1 ,,D3"), "y_dd5_20": when(at(5), "1", "nan"), "p3.odd": when(at(3), "1"),
+    }
+    both = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in cells.items())), lambda x: x["value"].isNotNull()))
+    d = normalise.normalised(e.select("event_id", both.alias("cells")))
+    text = lambda c: F.array_join(c, ";").alias(c)
+    return d.select("event_id", "variant", F.col("prob_dd5_20").alias("p"), F.col("p3_w_exec").alias("w_exec"), F.col("p3_disagree_flag").alias("flag"), F.col("p3_members").alias("members"), F.col("p3_alarms").alias("alarms"), text("errors"), text("warnings"))
