@@ -147,3 +147,24 @@ def shifted_alarms(warnings: DataFrame, episodes: DataFrame, offsets: list[int]
 def with_warnings(decisions: DataFrame, labels: DataFrame) -> DataFrame:
     """pos, warn (any state but normal) and y of each decided session."""
     return decisions.select(SERIES, "pos", (F.col("state") != "normal").alias("warn")).join(labels.select(SERIES, "pos", "y"), [SERIES, "pos"], "left")
+
+
+def rule_summary(replay: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rule in one table: by series and variant, each tone and all of them (``all``), in one pass over grouping sets.
+
+    replay: series_id, variant, pos, date, tone; labels: fwd_ret_20, fwd_ret_60, fwd_maxdd_20, fwd_maxdd_60. A warning
+    tone says that the index won't rise; ``baseline`` is what always saying that it will would have hit.
+    """
+    by = Window.partitionBy(SERIES, "variant")
+    up = (~F.col("tone").isin("caution", "reduce")).cast("int")
+    d = replay.join(labels.select(SERIES, "pos", "fwd_ret_20", "fwd_ret_60", "fwd_maxdd_20", "fwd_maxdd_60"), [SERIES, "pos"])
+    d = d.withColumns({"up": up, "warns": 1.0 - up, "changes": F.coalesce((F.col("tone") != F.lag("tone").over(by.orderBy("pos"))).cast("int"), F.lit(0))})
+    rose = lambda h: (F.col(f"fwd_ret_{h}") > 0).cast("int")
+    share = lambda c: F.avg(c.cast("double"))
+    got = d.groupingSets([[F.col(SERIES), F.col("variant"), F.col("tone")], [F.col(SERIES), F.col("variant")]], SERIES, "variant", "tone").agg(
+        F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("fwd_ret_20").alias("realized_20"), share(rose(20) == F.col("up")).alias("hit_20"), share(rose(60) == F.col("up")).alias("hit_60"),
+        share(rose(20)).alias("baseline_20"), share(rose(60)).alias("baseline_60"), F.avg("fwd_ret_20").alias("mean_ret_20"), F.percentile("fwd_ret_20", 0.1).alias("ret_p10"), share(F.col("fwd_maxdd_20") <= -0.05).alias("dd5_20"),
+        share(F.col("fwd_maxdd_60") <= -0.10).alias("dd10_60"), F.sum("changes").alias("switches"), F.avg("warns").alias("warn_share"),
+    )
+    days = F.max("n").over(by)
+    return got.withColumns({"tone": F.coalesce("tone", F.lit("all")), "share": F.col("n") / days, "brier_clim": F.col("dd5_20") * (1 - F.col("dd5_20")), "switches_a_year": F.col("switches") * YEAR / days})

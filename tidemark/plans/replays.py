@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import expr
 from tidemark.functions.expr import SERIES
 from tidemark.operators import kill_replay as kills
-from tidemark.operators import paths, reference, rules, sessions, timeframes, vol
-from tidemark.plans.queries import COMBO, EPS_BODY, OOS, ORD, PX, TONE, VALUES, _oos, bootstrap_sql, query, r6, uniform_sql
+from tidemark.operators import evaluation, paths, reference, rules, sessions, timeframes, vol
+from tidemark.plans.queries import COMBO, EPS_BODY, FWD, OOS, ORD, PX, TONE, VALUES, _oos, bootstrap_sql, query, r6, uniform_sql
 from tidemark.plans.research import AROUND
 from tidemark.sources import market
 
@@ -204,3 +204,18 @@ def reference_ranks(spark, sf):
     values = _panels(spark, sf)
     live = values.groupBy(SERIES, "panel").agg(F.max_by("value", "pos").alias("value"))
     return reference.ranks(live, reference.sketches(values))
+
+
+# ---- summary of the rule ----------------------------------------------------------------------------------------
+
+SUMMARY = f"""{FRAME_REPLAY}, {FWD.format(src='px')}, sj AS (SELECT t.series_id, t.variant, t.tone, t.pos, t.date, fwd_ret_20 AS r20, fwd_ret_60 AS r60, fwd_maxdd_20 AS d20, fwd_maxdd_60 AS d60, CAST(t.tone IN ('buy', 'hold', 'neutral') AS INT) AS up, CASE WHEN t.tone <> lag(t.tone) OVER (PARTITION BY t.series_id, t.variant ORDER BY t.pos) THEN 1 ELSE 0 END AS sw FROM tf t JOIN lab USING (series_id, pos))"""
+
+
+@query(f"""WITH {SUMMARY}, g AS (SELECT series_id, variant, tone, count(*) AS n, min(date) AS first_date, max(date) AS last_date, count(r20) AS realized_20, avg(CASE WHEN r20 IS NOT NULL THEN CAST(CAST(r20 > 0 AS INT) = up AS DOUBLE) END) AS hit_20, avg(CASE WHEN r60 IS NOT NULL THEN CAST(CAST(r60 > 0 AS INT) = up AS DOUBLE) END) AS hit_60, avg(CAST(r20 > 0 AS DOUBLE)) AS baseline_20, avg(CAST(r60 > 0 AS DOUBLE)) AS baseline_60,
+avg(r20) AS mean_ret_20, quantile_cont(r20, 0.1) AS ret_p10, avg(CAST(d20 <= -0.05 AS DOUBLE)) AS dd5_20, avg(CAST(d60 <= -0.10 AS DOUBLE)) AS dd10_60, sum(sw) AS switches, avg(CAST(tone IN ('caution', 'reduce') AS DOUBLE)) AS warn_share FROM sj GROUP BY GROUPING SETS ((series_id, variant, tone), (series_id, variant)))
+SELECT series_id, variant, coalesce(tone, 'all') AS tone, n, {r6('n / max(n) OVER (PARTITION BY series_id, variant)')} AS share, CAST(first_date AS VARCHAR) AS first_date, CAST(last_date AS VARCHAR) AS last_date, realized_20, {r6('hit_20')} AS hit_20, {r6('hit_60')} AS hit_60, {r6('baseline_20')} AS baseline_20, {r6('baseline_60')} AS baseline_60, {r6('mean_ret_20')} AS mean_ret_20, {r6('ret_p10')} AS ret_p10, {r6('dd5_20')} AS dd5_20, {r6('dd10_60')} AS dd10_60, {r6('dd5_20 * (1 - dd5_20)')} AS brier_clim, CAST(switches AS BIGINT) AS switches, {r6('switches * 252.0 / max(n) OVER (PARTITION BY series_id, variant)')} AS switches_a_year, {r6('warn_share')} AS warn_share FROM g""")
+def rule_summary(spark, sf):
+    """By series and variant, for each tone and for all: days, hits against always-up, falls, and changes of tone."""
+    close = market.index_close(spark, sf)
+    replayed = timeframes.replay(timeframes.metrics(_days(spark, sf), [f"part{i}" for i in range(PARTS)]))
+    return evaluation.rule_summary(replayed, vol.targets(close).drop("date"))
