@@ -147,3 +147,25 @@ def test_smoothed_by_a_plain_forward_and_backward_pass(spark):
         assert both.sum(1) == pytest.approx(1)
         mine = got[got[SERIES] == name].sort_values("pos")["p_smooth"].to_numpy(float)
         assert np.isnan(mine[~good]).all() and mine[good] == pytest.approx(both[:, 1], abs=1e-9)
+
+
+def test_extended_rungs_by_numpy(spark, monkeypatch):
+    """Means of forecasts row by row; the added rung's coefficients solve the penalised likelihood of its training rows."""
+    from tidemark.operators import fit, ladder
+
+    rng = np.random.default_rng(9)
+    n = 1300
+    x, h = rng.normal(size=n), rng.normal(size=n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x + 0.8 * h - 1)))).astype(int)
+    rows = [("A/B", i, 2000 + i // 260, float(x[i]), int(y[i]), 0.3, 0.2, 0.4) for i in range(n)]
+    walked = spark.createDataFrame(rows, "series_id string, pos int, year int, x1 double, y int, p_M1 double, p_M3 double, p_B1 double").withColumns({"date": F.make_date("year", F.lit(1), F.lit(2)), "block": F.col("year"), "clim": F.lit(0.25)}).drop("year")
+    member = spark.createDataFrame([("A/B", i, float(1 / (1 + np.exp(-h[i]))), float(h[i])) for i in range(n)], "series_id string, pos int, m_h double, x_hmm double")
+    got = {r["pos"]: r for r in ladder.extended(walked, member, ["x1"]).collect()}
+    assert got[1200]["p_M3H"] == pytest.approx((0.2 + got[1200]["p_H"]) / 2) and got[1200]["p_ens3"] == pytest.approx((0.2 + 0.3 + got[1200]["p_H"]) / 3)
+    refit = 260 * (1200 // 260)
+    known = refit - fit.PURGE - 1
+    coef = fit.irls(np.column_stack([x, h])[: known + 1], y[: known + 1].astype(float))
+    z = coef[0] + coef[1] * x[1200] + coef[2] * h[1200]
+    assert got[1200]["p_M4a"] == pytest.approx(1 / (1 + np.exp(-z)), abs=2e-3)
+    steps = ladder.ladder_table(spark.createDataFrame(list(got.values()), ladder.extended(walked, member, ["x1"]).schema), [("M3", "M4a")], ladder.EXTENDED, draws=50)
+    assert steps.filter("block is null").first()["gain"] > 0

@@ -141,3 +141,31 @@ def rows_digest(df: DataFrame, by: list[str], columns: list[str], places: int =
     row = F.sha2(F.concat_ws("|", *(F.coalesce(cell(c, kinds[c]), F.lit("~")) for c in columns)), 256)
     parts = df.select(*by, F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(38,0)").alias("h"), F.conv(F.substring(row, 13, 12), 16, 10).cast("decimal(38,0)").alias("g"))
     return parts.groupBy(*by).agg(F.count("*").alias("n"), F.sum("h").cast("string").alias("digest"), F.sum("g").cast("string").alias("second"))
+
+
+#: The steps beyond the ladder's own, from and to.
+EXTENSION = (("M1", "H"), ("M3", "H"), ("M3", "M3+H"), ("M3", "M3+M1"), ("M3", "M3+M1+H"), ("M3", "M4a"), ("B1", "H"))
+
+
+def extended(walked: DataFrame, member: DataFrame, features: list[str]) -> DataFrame:
+    """walked (p_M1, p_M3, p_B1, features, y, clim, block) with p_H of the regime member, the means of rungs and member, and
+    p_M4a, the ladder's last rung with the member's logit as one more feature, refit on the same days. Scored only."""
+    d = walked.join(member.select(SERIES, "pos", F.col("m_h").alias("p_H"), "x_hmm"), [SERIES, "pos"], "left")
+    fitted = fit.score_segments(d, fit.logit_walk_forward(d, [*features, "x_hmm"]), [*features, "x_hmm"]).select(SERIES, "pos", F.col("pred").alias("p_M4a"))
+    mean = lambda *names: sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)
+    return d.join(fitted, [SERIES, "pos"], "left").withColumns({"p_M3H": mean("p_M3", "p_H"), "p_M3M1": mean("p_M3", "p_M1"), "p_ens3": mean("p_M3", "p_M1", "p_H")})
+
+
+EXTENDED = {"M1": "p_M1", "M3": "p_M3", "B1": "p_B1", "H": "p_H", "M3+H": "p_M3H", "M3+M1": "p_M3M1", "M3+M1+H": "p_ens3", "M4a": "p_M4a"}
+
+
+def ablations(members: dict[str, DataFrame], labels: DataFrame) -> DataFrame:
+    """By series and ablated member: rows, Brier score, skill and AUC, on the rows that all members have. members: m_h by name."""
+    rows = labels.select(SERIES, "pos", "y", "clim").dropna()
+    for name, m in members.items():
+        rows = rows.join(m.select(SERIES, "pos", F.col("m_h").alias(f"_{name}")).dropna(), [SERIES, "pos"])
+    cells = F.array(*(F.struct(F.lit(n).alias("member"), F.col(f"_{n}").alias("p")) for n in members))
+    long = rows.select(SERIES, "pos", "y", "clim", F.explode(cells).alias("x")).select(SERIES, "pos", "y", "clim", "x.member", "x.p")
+    scores = long.groupBy(SERIES, "member").agg(F.avg(scoring.loss("p")).alias("brier"), F.avg(scoring.loss("clim")).alias("brier_clim"))
+    got = scores.join(scoring.auc(long, "p", [SERIES, "member"]), [SERIES, "member"])
+    return got.select(SERIES, "member", "n", "brier", (1 - ratio(F.col("brier"), F.col("brier_clim"))).alias("skill"), "auc")

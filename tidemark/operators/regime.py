@@ -119,9 +119,11 @@ def guard_reasons() -> Column:
     return F.array_join(F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in rules.items())), lambda x: x.isNotNull()), ",")
 
 
-def member_probabilities(df: DataFrame, params: DataFrame, labels: DataFrame) -> DataFrame:
+def member_probabilities(df: DataFrame, params: DataFrame, labels: DataFrame, ahead_by: int | None = None) -> DataFrame:
     """The regime member: its logit, refit each year to the labels known then, turned into a probability (Platt scaling).
 
+    With ``ahead_by`` the chance to be in the volatile state at least once in so many sessions stands in for that of being in it.
+
     The filter of each year's parameters gives x over the whole past of that year, so the scaling learns from what those
     parameters say, not from what older ones said at the time.
     """
@@ -132,8 +134,12 @@ def member_probabilities(df: DataFrame, params: DataFrame, labels: DataFrame) ->
     paths = rows.withColumns({"l0": log_density(0), "l1": log_density(1), "path": path_key("year", SERIES)})
 
     p = folds.fold(paths, ["l0", "l1", "p00", "p11"], "p_high double", filter_step, {"p": None}, "path")
-    clipped = F.least(F.lit(1 - CLIP), F.greatest(F.lit(CLIP), F.col("p_high")))
-    x = p.filter("p_high is not null").select(path_part("path", 0).cast("int").alias("year"), path_part("path", 1).alias(SERIES), "pos", logit(clipped).alias("x_hmm"), "p_high")
+    x = p.filter("p_high is not null").select(path_part("path", 0).cast("int").alias("year"), path_part("path", 1).alias(SERIES), "pos", "p_high")
+    chance = F.col("p_high")
+    if ahead_by is not None:
+        x = x.join(years.select(SERIES, "year", "p00", "p11"), [SERIES, "year"])
+        chance = ahead(F.col("p_high"), F.col("p00"), F.col("p11"), ahead_by)["q_k"]
+    x = x.withColumn("x_hmm", logit(F.least(F.lit(1 - CLIP), F.greatest(F.lit(CLIP), chance)))).select(SERIES, "year", "pos", "p_high", "x_hmm")
     known = x.join(labels.select(SERIES, "pos", "y"), [SERIES, "pos"]).join(refits, [SERIES, "year"])
     coef = fit.logit_by_group(known.filter(F.col("pos") <= F.col("refit_pos") - fit.PURGE - 1).dropna(subset=["y"]), ["x_hmm"])
     own = known.filter(F.col("pos") >= F.col("refit_pos"))

@@ -865,6 +865,29 @@ def regime_member(spark, sf):
     return regime.member_probabilities(d, shared.written(fit.regimes(d), "regimes"), shared.written(_oos(spark, sf), "forecasts"))
 
 
+def _regimes(spark, sf):
+    d = shared.written(vol.regime_observations(market.index_bars(spark, sf)), "observations")
+    return d, shared.written(fit.regimes(d), "regimes")
+
+
+@query()
+def ladder_extension(spark, sf):
+    """Steps beyond the ladder: the regime member, means with it, and a rung with its logit as a feature."""
+    d, params = _regimes(spark, sf)
+    walked = _walked(spark, sf)
+    member = shared.written(regime.member_probabilities(d, params, walked.select(SERIES, "pos", "y")), "member")
+    return ladder.ladder_table(shared.written(ladder.extended(walked, member, LADDER["M3"]), "extended"), list(ladder.EXTENSION), ladder.EXTENDED)
+
+
+@query()
+def regime_ablations(spark, sf):
+    """The regime member by the chance to be in the volatile state, and by the chance to be in it within twenty sessions."""
+    d, params = _regimes(spark, sf)
+    labels = shared.written(_oos(spark, sf), "forecasts")
+    made = {"p_high": regime.member_probabilities(d, params, labels), "q20": regime.member_probabilities(d, params, labels, 20)}
+    return ladder.ablations(made, labels)
+
+
 # ---- windows ----------------------------------------------------------------------------------------------------
 
 
