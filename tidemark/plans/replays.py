@@ -11,8 +11,8 @@ from tidemark.functions import expr
 from tidemark.functions.expr import SERIES
 from tidemark.operators import kill_replay as kills
 from tidemark.operators import evaluation, paths, reference, rules, sessions, timeframes, vol
-from tidemark.plans.queries import COMBO, EPS_BODY, FWD, OOS, ORD, PX, TONE, VALUES, _oos, bootstrap_sql, query, r6, uniform_sql
-from tidemark.plans.research import AROUND
+from tidemark.plans.queries import COMBO, EPS_BODY, FWD, OOS, ORD, PX, QUERIES, TONE, VALUES, _oos, bootstrap_sql, query, r6, uniform_sql
+from tidemark.plans.research import AROUND, DECIDED
 from tidemark.sources import market
 
 # ---- the rule engine on daily, weekly and monthly bars ----------------------------------------------------------
@@ -219,3 +219,30 @@ def rule_summary(spark, sf):
     close = market.index_close(spark, sf)
     replayed = timeframes.replay(timeframes.metrics(_days(spark, sf), [f"part{i}" for i in range(PARTS)]))
     return evaluation.rule_summary(replayed, vol.targets(close).drop("date"))
+
+
+# ---- paths whose SQL takes one step a round ---------------------------------------------------------------------
+
+
+def _sizing_sql(variants: str, path: str) -> str:
+    """Executed weights row by row: each path takes one step a round."""
+    goal = "round(round_even(n.t / 0.05::DOUBLE, 0) * 0.05::DOUBLE, 10)"
+    step = lambda missing, init, cut, weekly, hold: f"CASE WHEN n.t IS NULL OR n.m IS NULL THEN {missing} WHEN x.w IS NULL THEN {init} WHEN x.m IS NOT NULL AND n.m < x.m THEN {cut} WHEN n.week_end AND abs(n.t - x.w) >= 0.1::DOUBLE THEN {weekly} ELSE {hold} END"
+    first = lambda missing, init: f"CASE WHEN n.t IS NULL OR n.m IS NULL THEN {missing} ELSE {init} END"
+    return f"""WITH RECURSIVE {DECIDED}, sz AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY series_id ORDER BY pos)) AS lr FROM px), er AS (SELECT series_id, pos, lr AS r, row_number() OVER (PARTITION BY series_id ORDER BY pos) AS i FROM sz WHERE lr IS NOT NULL), s60 AS (SELECT series_id, var_samp(r) AS v0 FROM er WHERE i <= 60 GROUP BY 1),
+acc AS (SELECT a.series_id, a.pos, sum(0.06 * pow(0.94, a.i - b.i) * b.r * b.r) AS s FROM er a JOIN er b ON a.series_id = b.series_id AND b.i > 60 AND b.i <= a.i AND a.i - b.i < 800 GROUP BY 1, 2),
+sg AS (SELECT p.series_id, p.pos, CASE WHEN er.i >= 60 THEN sqrt(252 * (pow(0.94, er.i - 60) * v0 + coalesce(s, 0))) END AS sigma FROM px p LEFT JOIN er ON er.series_id = p.series_id AND er.pos = p.pos LEFT JOIN acc ON acc.series_id = p.series_id AND acc.pos = p.pos LEFT JOIN s60 ON s60.series_id = p.series_id),
+tg AS (SELECT g.series_id, g.pos, g.pos % 5 = 0 AS week_end, CASE d.state WHEN 'reduce' THEN 0.25::DOUBLE WHEN 'caution' THEN 0.5::DOUBLE WHEN 'normal' THEN 1.0::DOUBLE END AS m, CASE WHEN sigma IS NOT NULL THEN least(greatest(0.1::DOUBLE / sigma, 0.25::DOUBLE), 1.0::DOUBLE) END AS wv FROM sg g LEFT JOIN dc d ON d.series_id = g.series_id AND d.pos = g.pos),
+tt AS (SELECT *, CASE WHEN wv * m IS NOT NULL THEN least(greatest(wv * m, 0.25::DOUBLE), 1.0::DOUBLE) END AS t0 FROM (SELECT series_id, pos, week_end, m, wv FROM tg)),
+vn(variant, scale) AS (VALUES {variants}), rw AS (SELECT {path} AS path, pos, week_end, m, CASE WHEN scale IS NULL THEN t0 WHEN t0 IS NOT NULL THEN least(greatest(t0 * scale, 0.25::DOUBLE), 1.0::DOUBLE) END AS t, row_number() OVER (PARTITION BY {path} ORDER BY pos) AS i FROM tt, vn),
+pa AS (SELECT n.path, n.pos, n.i, {first('NULL', goal)} AS w, n.m AS m, {first("'input_missing'", "'init'")} AS reason FROM rw n WHERE i = 1 UNION ALL SELECT n.path, n.pos, n.i, {step('x.w', goal, f'least({goal}, x.w)', goal, 'x.w')}, coalesce(n.m, x.m), {step("'input_missing'", "'init'", "'escalation'", "'weekly'", "'hold'")} FROM pa x JOIN rw n ON n.path = x.path AND n.i = x.i + 1)
+SELECT path AS {'series_id' if 'variant' not in path else 'path'}, pos, {r6('w')} AS w_exec, reason FROM pa"""
+
+
+QUERIES["sizing_path"] = QUERIES["sizing_path"][0], _sizing_sql("('base', NULL::DOUBLE)", "series_id")
+QUERIES["sizing_variants"] = QUERIES["sizing_variants"][0], _sizing_sql("('base', 1.0::DOUBLE), ('low', 0.6::DOUBLE), ('high', 1.5::DOUBLE)", "concat(variant, '/', series_id)")
+_A, _B, _C = (f"{2 / (k + 1)!r}::DOUBLE" for k in (12, 26, 9))
+QUERIES["macd_phases"] = QUERIES["macd_phases"][0], f"""WITH RECURSIVE {PX}, m AS (SELECT series_id, pos, close AS f, close AS s, 0.0::DOUBLE AS g, 0.0::DOUBLE AS h, 0 AS run FROM px WHERE pos = 1
+UNION ALL SELECT series_id, pos, f, s, g, f - s - g, CASE WHEN mv <> 0 AND run * mv > 0 THEN run + mv ELSE mv END FROM (SELECT *, CASE WHEN f - s - g > h THEN 1 WHEN f - s - g < h THEN -1 ELSE 0 END AS mv FROM (SELECT *, g0 + {_C} * (f - s - g0) AS g FROM (
+  SELECT n.series_id, n.pos, m.f + {_A} * (n.close - m.f) AS f, m.s + {_B} * (n.close - m.s) AS s, m.g AS g0, m.h, m.run FROM m JOIN px n ON n.series_id = m.series_id AND n.pos = m.pos + 1))))
+SELECT series_id, pos, {r6('h')} AS hist, CAST(run AS BIGINT) AS run, CASE WHEN h < 0 THEN CASE WHEN run >= 3 THEN 'turn' ELSE 'down' END WHEN h > 0 AND run <= -3 THEN 'roll' ELSE 'up' END AS phase FROM m"""
