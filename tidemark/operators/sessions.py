@@ -86,7 +86,8 @@ def opex(spark: SparkSession, first: int, last: int) -> DataFrame:
 
 
 def resample(df: DataFrame, label: Column, completed: bool) -> DataFrame:
-    """Last close of each bucket of a series; ``completed`` drops the series' last, perhaps partial, bucket."""
+    """Last close of each bucket of a series; ``completed`` drops the series' last bucket whatever the calendar says:
+    ``events.completed_buckets`` supersedes it, which keeps that bucket where it is over."""
     got = df.withColumn("label", label).groupBy("series_id", "label").agg(F.max_by("close", "date").alias("close"), F.max("date").alias("last_date"))
     if not completed:
         return got
