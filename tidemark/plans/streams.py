@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expr import SERIES
 from tidemark.operators import normalise
-from tidemark.plans.queries import PX, query, r6
+from tidemark.plans.queries import PX, QUERIES, _ratios, query, r6
 from tidemark.sources import market, shared, versioned
-from tidemark.streaming import ledger
+from tidemark.streaming import ledger, live
 
 _WAIT = " UNION ALL ".join(f"SELECT series_id, {h} AS horizon, bar, lead(bar, {h}) OVER w + INTERVAL 1 HOUR AS known_at, close, lead(close, {h}) OVER w / close - 1 AS fwd_ret, least(0.0, min(close) OVER (PARTITION BY series_id ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) / close - 1) AS fwd_maxdd FROM b WINDOW w AS (PARTITION BY series_id ORDER BY bar)" for h in ledger.HORIZONS)
 
@@ -30,6 +30,34 @@ def ledger_stream(spark, sf):
     return ledger.read(spark, folder)
 
 
+def _in_slices(spark, rows, name, slices, made):
+    """Runs ``made`` over a stream of rows that comes in slices (conditions), stopped and started again after each; returns what came out."""
+    folder, out = shared.folder(spark, name), None
+    for condition in slices:
+        rows.filter(condition).write.mode("append").parquet(f"{folder}/in")
+        out = made(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+
+        def write(batch, number):
+            batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+        out.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").select(*out.columns)
+
+
+@query(QUERIES["decision_states"][1].replace(", CAST(ch AS BIGINT) AS changed, CAST(sum(ch) OVER (PARTITION BY series_id ORDER BY pos ROWS 251 PRECEDING) AS BIGINT) AS churn_252", ""))
+def decision_stream(spark, sf):
+    """The decision machine over a stream in three slices: its state is kept between them."""
+    rows = shared.written(_ratios(spark, sf).select(SERIES, F.col("pos").cast("long").alias("pos"), "r"), "ratios")
+    return _in_slices(spark, rows, "decisions", ("pos < 700", "pos >= 700 and pos < 701", "pos >= 701"), live.decision_stream)
+
+
+@query(f"SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {r6('CAST(value AS DOUBLE)')} AS value FROM events")
+def append_once(spark, sf):
+    """Rows that come again in later slices are appended once."""
+    e = market.table(spark, sf, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    return _in_slices(spark, e, "appends", ("event_id % 3 <> 0", "event_id % 2 = 0", "true"), lambda rows: live.first_only(rows, ["event_id"], "ts", "60 days"))
+
+
 # ---- the cache of prices as a table in versions -----------------------------------------------------------------
 
 BUILT, FROM, TO, TRUTH_TO = "1997-06-30", "1997-05-20", "1997-09-30", "1997-09-15"
