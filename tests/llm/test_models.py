@@ -326,3 +326,12 @@ def test_sketches_peel_what_differs(spark):
     many = spark.createDataFrame([(a, [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 40)])], "a array<long>, b array<long>")
     f, d = many.select(fingerprints.peel(fingerprints.subtract(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))), F.lit(24)), fingerprints.different(F.col("a"), F.col("b"))).first()
     assert f is None and d == 80
+
+
+def test_lm_and_fingerprints_with_clashing_columns(odd, clashing):
+    fold = ((F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5) == 1).alias("held_out")
+    pick = lambda df: maxent_lm.train_and_score(df.select("doc_id", "text", fold))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(pick(clashing).select("doc_id", "n_tokens", "n_known", "base_score")) == key(pick(odd).select("doc_id", "n_tokens", "n_known", "base_score"))
+    of = lambda df: fingerprints.fingerprinted(fingerprints.with_next(df.select("doc_id", "text"))).select("doc_id", "fingerprint", "near_edited", "near_next")
+    assert key(of(clashing)) == key(of(odd))

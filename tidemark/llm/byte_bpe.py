@@ -6,8 +6,9 @@ it, so the root is the leftmost pair of least rank. A merge changes three leaves
 neighbour and the position that vanishes. Each is a point update of logarithmic cost, so a match of n bytes takes
 O(n log n) even if it is a whole document.
 
-Defined cases: a null text counts as empty (no tokens, digests of the empty string); other columns don't matter; equal
-rows give equal results; an empty table gives an empty table.
+Defined cases: a null text counts as empty (no tokens, digests of the empty string); very long texts are matched piece by
+piece and give what they would give at once; other columns don't matter; equal rows give equal results; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, table
 
-#: Matches whose tokens a Python worker remembers (about 300 bytes each); it forgets all when there are more.
-REMEMBERED = 200_000
+#: Matches whose tokens a Python worker remembers (about 300 bytes each) in each of two generations: when the younger is
+#: full it becomes the older, whose matches come back as they are met.
+REMEMBERED = 40_000
 #: Texts of more characters are matched piece by piece, so that their matches are never all in memory.
 LONG = 1_000_000
 BLOCK = 65_536
@@ -104,14 +106,18 @@ class Coder:
             self.tokens[rank] = token
         self.digits = [str(i) for i in range(len(self.tokens))]
         self.seen: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def coded(self, match: str) -> tuple[str, bytes]:
         """The ids of a match as decimals, and the bytes that they decode to."""
-        ids = merge(match.encode(), self.ranks)
-        got = " ".join(map(self.digits.__getitem__, ids)), self.decode(ids)
+        got = self.older.get(match)
+        if got is None:
+            ids = merge(match.encode(), self.ranks)
+            got = " ".join(map(self.digits.__getitem__, ids)), self.decode(ids)
         if len(match) <= 64:
             if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
+                self.older = dict(self.seen)
+                self.seen.clear()  # the same object, as blocks() holds its method
             self.seen[match] = got
         return got
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -19,6 +20,8 @@ GAP = r"[\x20\x09-\x0D]+"
 
 #: Rows that go to Python at once. Texts may be long: Spark's usual 10,000 rows of a megabyte wouldn't fit a worker.
 ROWS_AT_ONCE = 256
+#: Rows of a batch that are Python objects at once.
+LOT = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +69,20 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def gives_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; afterwards the task's freed memory goes back to the system.
+
+    A Python worker is used again by later tasks and shares the executor's memory with the JVM: what a stage has freed but
+    kept would be missing in the next.
+    """
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
+
+
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """Each row of df through a function, batch by batch.
 
@@ -79,7 +96,8 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., tuple
         f = start()
         for batch in batches:
             rows, held = [], 0
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            lots = (batch.slice(i, LOT) for i in range(0, batch.num_rows, LOT))
+            for row in (row for lot in lots for row in zip(*(c.to_pylist() for c in lot.columns), strict=True)):
                 rows.append(got := f(*row))
                 held += sum(x.nbytes if isinstance(x, np.ndarray) else len(x) for x in got if isinstance(x, str | bytes | list | np.ndarray))
                 if held > 4_000_000:
@@ -88,5 +106,5 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., tuple
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(lambda batches: gives_back(run(batches)), out)
 

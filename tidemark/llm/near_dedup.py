@@ -49,7 +49,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, let, table, word_list
+from .common import checkpointed, gives_back, let, table, word_list
 from .hashing import counted, mix, normal, shingles, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -135,13 +135,13 @@ def sketched(docs: DataFrame, held: Broadcast) -> DataFrame:
         for batch in batches:
             for lot in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 copies, keys = [], []
-                for text in lot.column(1).to_pylist():
-                    solid = normal(text)
+                for text in lot.column(1):
+                    solid = normal(text.as_py())
                     copies.append(hashlib.md5(solid).digest() + b"L" * (len(solid) >= LONG))
                     keys.append(bands(*weighted(solid, idf)))
                 yield pa.RecordBatch.from_arrays([lot.column(0), pa.array(copies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "copy", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, copy binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: gives_back(run(batches)), "doc_id long, copy binary, bands array<long>")
 
 
 def nameless(copy: Column | str) -> Column:
@@ -199,7 +199,7 @@ def verified(pairs: DataFrame, texts: DataFrame, held: Broadcast) -> DataFrame:
     none = F.lit(None).cast("binary")
     first = needed.join(texts, "node").select("lot", F.lit(0).alias("turn"), F.col("node").alias("a"), none.alias("b"), none.alias("label_a"), none.alias("label_b"), "text")
     both = first.unionByName(dealt.select("lot", F.lit(1).alias("turn"), "a", "b", "label_a", "label_b", F.lit(None).cast("string").alias("text")))
-    return both.repartition("lot").sortWithinPartitions("lot", "turn").mapInArrow(run, "a binary, b binary").distinct()
+    return both.repartition("lot").sortWithinPartitions("lot", "turn").mapInArrow(lambda batches: gives_back(run(batches)), "a binary, b binary").distinct()
 
 
 def pair(a: str, b: str) -> list[Column]:
@@ -259,7 +259,7 @@ def prefixes(nodes: DataFrame, texts: DataFrame, held: Broadcast) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["node", "label", "weight", "cell", "left"])
 
     schema = "node binary, label binary, weight double, cell array<long>, left array<double>"
-    got = nodes.join(texts, "node").select("node", "label", "text").mapInArrow(run, schema)
+    got = nodes.join(texts, "node").select("node", "label", "text").mapInArrow(lambda batches: gives_back(run(batches)), schema)
     return got.select("node", "label", "weight", F.explode(F.arrays_zip("cell", "left")).alias("x")).select("node", "label", "weight", "x.cell", "x.left")
 
 

@@ -10,7 +10,8 @@ the parts of the other roles whose scopes it meets, and only those with a comple
 A scope is the paragraph (between blank lines) around a part, at most SCOPE code points to either side. The join is a
 search in the sorted starts of a role, so a text with p parts takes O(p log p), and no pairs are listed.
 
-Defined cases: a null text counts as empty (no spans); other columns and clashing names don't matter, as only ``text``
+Defined cases: a null text counts as empty (no spans); very long texts are searched whole; spans that begin together are
+all reported, in the order of KINDS; other columns and clashing names don't matter, as only ``text``
 and the kept columns are read; equal rows give equal results; an empty table gives an empty table.
 """
 
