@@ -27,7 +27,7 @@ from .common import map_rows, table
 
 #: Matches whose tokens a Python worker remembers (about 300 bytes each) in each of two generations: when the younger is
 #: full it becomes the older, whose matches come back as they are met.
-REMEMBERED = 40_000
+REMEMBERED = 150_000
 #: Texts of more characters are matched piece by piece, so that their matches are never all in memory.
 LONG = 1_000_000
 BLOCK = 65_536
