@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from tests.test_operators import closes, walk
 from tidemark.functions.expr import SERIES
-from tidemark.operators import ensemble, evaluation, events, fit, folds, ladder, portfolio, regime, scenarios, scoring, sessions, tracking, vol
+from tidemark.operators import bootstrap, ensemble, evaluation, events, fit, folds, ladder, portfolio, regime, scenarios, scoring, sessions, tracking, vol
 from tidemark.plans import catalog, research
 from tidemark.sources import feeds, market
 
@@ -350,3 +350,12 @@ def test_cache_refuses_lost_series_and_keeps_cells(spark, tmp_path):
     cache.update(new.unionByName(a.filter("series_id = 'S1'").limit(2).withColumn("close", F.lit(None).cast("double"))), root, "S0", ("S1", "S3"))
     got = feeds.load_frames(spark, root)["prices"]
     assert got.filter("close = 7.0").count() == 3 and got.filter("series_id = 'S1'").count() == a.filter("series_id = 'S1'").count()
+
+
+def test_draws_are_never_broadcast(spark):
+    df = spark.range(90).select(F.lit("A").alias(SERIES), F.col("id").alias("pos"), F.rand(3).alias("v"))
+    got = bootstrap.resampled(df, ["v"], [SERIES], 40, 300)
+    assert got.count() == 300
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # the last join is that of draws and block sums
+    assert next(line for line in plan.splitlines() if "Join" in line and "start#" in line).count("ShuffledHashJoin") == 1

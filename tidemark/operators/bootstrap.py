@@ -43,7 +43,8 @@ def resampled(df: DataFrame, values: list[str], by: list[str], block: int, draws
     starts = groups.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"))
     starts = starts.select(*by, "draw", (F.col("i") == blocks - 1).alias("last"), F.floor(uniform(seed, "draw", "i") * F.col("n")).alias("start"))
     of = lambda v: F.sum(F.when(F.col("last"), F.col(f"{v}_tail")).otherwise(F.col(f"{v}_full")))
-    return starts.join(sums, [*by, "start"]).groupBy(*by, "n", "draw").agg(*(of(v).alias(v) for v in values))
+    # draws multiply rows, which Spark's estimate doesn't see: unhinted, it would broadcast them through the driver
+    return starts.join(sums.hint("shuffle_hash"), [*by, "start"]).groupBy(*by, "n", "draw").agg(*(of(v).alias(v) for v in values))
 
 
 def interval(df: DataFrame, value: str, by: list[str], block: int = 40, draws: int = 4_000, seed: int = 0, ratio_to: str | None = None, order: str = "pos") -> DataFrame:
