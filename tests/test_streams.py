@@ -160,3 +160,12 @@ def test_months_keep_their_version_where_sums_differ_from_run_to_run(spark, monk
     plain = market.index_close
     monkeypatch.setattr(market, "index_close", lambda *a: plain(*a).withColumn("close", shaky("close")))
     assert rows(streams.QUERIES["cache_months"][0](spark, SF).toPandas()) == want
+
+
+def test_normaliser_is_no_single_method(spark):
+    """A fused projection of a hundred columns is a method that the JVM doesn't compile."""
+    from tidemark.operators import normalise as n
+
+    d = n.normalised(spark.read.parquet(f"{SF}/events.parquet").select("event_id", F.create_map(F.lit("tone"), "event_type").alias("cells"))).select("event_id", "errors", "warnings")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "*(" in line and "Project" in line and "element_at" in line]

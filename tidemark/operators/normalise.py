@@ -44,6 +44,7 @@ NUMBERS = ["score_d", "score_w", "score_m", "spy_close", "vix_close", "prob_dd5_
 TEXTS = ["overall_d", "overall_w", "overall_m", "run_id", *P2_TEXTS, *(c for c in P3_TEXTS if c not in ("p3_members", "p3_alarms"))]
 YES, NO = ("true", "t", "yes", "y", "1", "1.0"), ("false", "f", "no", "n", "0", "0.0")
 CLOSE = 1e-12
+PHASES = ("p2_", "p2.", "p3_", "p3.")
 
 
 def keys_of(column: str) -> list[str]:
@@ -52,10 +53,19 @@ def keys_of(column: str) -> list[str]:
     return names + [f"{n[:2]}.{n[3:]}" for n in names if n[:3] in ("p2_", "p3_")]
 
 
+def phase(key: Column) -> Column:
+    """How a name begins that belongs to a phase: p2_, p2., p3_ or p3."""
+    return F.substring(key, 1, 3)
+
+
+def spoken(cells: str) -> Column:
+    """The cells that say something, trimmed."""
+    return F.map_filter(F.transform_values(cells, lambda _, v: F.trim(v)), lambda _, v: (v != "") & (F.lower(v) != "nan"))
+
+
 def cell(*keys: str) -> Column:
-    """The first of these cells that says something."""
-    said = lambda k: F.nullif(F.trim(F.try_element_at("cells", F.lit(k))), F.lit(""))
-    return F.coalesce(*(F.when(F.lower(said(k)) != "nan", said(k)) for k in keys))
+    """The first of these cells that says something; names of a phase are sought among its own."""
+    return F.coalesce(*(F.try_element_at(f"_{k[:2]}" if k[:3] in PHASES else "_other", F.lit(k)) for k in keys))
 
 
 def listed(faults: dict[str, Column]) -> Column:
@@ -79,10 +89,16 @@ def normalised(rows: DataFrame) -> DataFrame:
     """rows (any key columns, and cells) with asof, variant, states, tone, all columns of the ledger, errors and warnings."""
     kept = [c for c in rows.columns if c != "cells"]
     raw = {c: cell(*keys_of(c)) for c in (*NUMBERS, *TEXTS, *SWITCHES, *EVENTS, "p3_members", "p3_alarms")}
-    d = rows.withColumns({"asof": F.substring(cell("asof"), 1, 10).try_cast("date"), "_variant": cell("variant"), "tone": cell("tone"), **{f"state_{k}": cell(f"state_{k}", f"states.{k}") for k in SIGNALS}, **{f"_{c}": v for c, v in raw.items()}})
+    d = rows.withColumn("_said", spoken("cells"))
+    d = d.withColumns({
+        "_p2": F.map_filter("_said", lambda k, _: phase(k).isin(*PHASES[:2])), "_p3": F.map_filter("_said", lambda k, _: phase(k).isin(*PHASES[2:])), "_other": F.map_filter("_said", lambda k, _: ~phase(k).isin(*PHASES)),
+    })
     names = F.map_keys("cells")
     known = {k for c in raw for k in keys_of(c)} | set(OUTCOMES)
-    odd = F.sort_array(F.filter(names, lambda k: k.rlike("^p[23][_.]") & ~k.isin(*sorted(known))))
+    odd = F.sort_array(F.filter(names, lambda k: phase(k).isin(*PHASES) & ~k.isin(*sorted(known))))
+    # lambdas beside the cells keep Spark from fusing them into one method, which would be too long to be compiled
+    has = {"_has_p2": F.exists(names, lambda k: phase(k).isin(*PHASES[:2])), "_has_p3": F.exists(names, lambda k: phase(k).isin(*PHASES[2:]))}
+    d = d.withColumns({"_odd": odd, **has, "asof": F.substring(cell("asof"), 1, 10).try_cast("date"), "_variant": cell("variant"), "tone": cell("tone"), **{f"state_{k}": cell(f"state_{k}", f"states.{k}") for k in SIGNALS}, **{f"_{c}": v for c, v in raw.items()}})
     truth = {c: F.when(F.lower(f"_{c}").isin(*YES), 1.0).when(F.lower(f"_{c}").isin(*NO), 0.0) for c in (*SWITCHES, *EVENTS)}
     text, bad_members = members(F.col("_p3_members"))
     codes = F.array_join(F.sort_array(F.array_distinct(F.filter(F.transform(F.split("_p3_alarms", ","), lambda x: F.trim(x)), lambda x: x != ""))), ",")
@@ -90,7 +106,7 @@ def normalised(rows: DataFrame) -> DataFrame:
         "variant": F.coalesce("_variant", F.lit("faithful")), **{c: F.col(f"_{c}").try_cast("double") for c in NUMBERS}, **{c: F.col(f"_{c}") for c in TEXTS}, **{c: truth[c] for c in SWITCHES},
         **{c: F.when(truth[c] == 1.0, 1.0) for c in EVENTS}, "p3_members": text, "p3_alarms": F.nullif(codes, F.lit("")),
     }
-    d = d.withColumns({"_odd": odd, "_bad_members": bad_members, "_has_p2": F.exists(names, lambda k: k.rlike("^p2[_.]")), "_has_p3": F.exists(names, lambda k: k.rlike("^p3[_.]")), **typed})
+    d = d.withColumns({"_bad_members": bad_members, **typed})
     c, p = F.col, F.col("prob_dd5_20")
     errors = {
         "asof": c("asof").isNull(), "tone": c("tone").isNull() | ~c("tone").isin(*rules.TONES),
