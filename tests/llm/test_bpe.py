@@ -50,3 +50,11 @@ def test_odd_rows(odd, empty, clashing, monkeypatch):
         assert len(rows) == 11 and all(bytes(r["decoded"]) == (r["text"] or "").encode() and r["n_tokens"] == len(r["ids"]) for r in rows)
         assert sorted(bytes(r["decoded"]) for r in byte_bpe.decode(coded.select("doc_id", "ids"), PATH, PATTERN, ["doc_id"]).collect()) == sorted(bytes(r["decoded"]) for r in rows)
     assert byte_bpe.encode(empty, PATH, PATTERN, ["doc_id"]).count() == 0
+
+
+def test_matches_around_the_width_of_a_node(exact):
+    c, rng, fan = byte_bpe.coder(PATH, PATTERN), random.Random(6), byte_bpe.FAN
+    for n in (2, fan - 1, fan, fan + 1, 2 * fan, fan * fan - 1, fan * fan, fan * fan + 1):
+        for letters in ("a", "ab", "abcdefgh"):
+            text = "".join(rng.choice(letters) for _ in range(n))
+            assert [int(x) for b in c.blocks(text) for d, _ in b for x in d.split()] == exact.encode_ordinary(text)

@@ -1,10 +1,10 @@
 """Operator 1: byte-level BPE encoding and decoding with a segment tree.
 
 A text is cut by the tokenizer's pattern and each match is merged on its own. The leaves of a segment tree hold, for
-every live byte position, the rank of the pair that starts there; an inner node holds the least (rank, position) below
-it, so the root is the leftmost pair of least rank. A merge changes three leaves: the merged position, its left
-neighbour and the position that vanishes. Each is a point update of logarithmic cost, so a match of n bytes takes
-O(n log n) even if it is a whole document.
+every live byte position, the rank of the pair that starts there; an inner node holds the least (rank, position) of the FAN
+nodes below it, so the least of the top ones is the leftmost pair of least rank. A merge changes three leaves: the
+merged position, its left neighbour and the position that vanishes. Each is a point update of logarithmic cost, so a
+match of n bytes takes O(n log n) even if it is a whole document.
 
 Defined cases: a null text counts as empty (no tokens, digests of the empty string); very long texts are matched piece by
 piece and give what they would give at once; other columns don't matter; equal rows give equal results; an empty table
@@ -28,6 +28,8 @@ from .common import map_rows, table
 #: Matches whose tokens a Python worker remembers (about 300 bytes each) in each of two generations: when the younger is
 #: full it becomes the older, whose matches come back as they are met.
 REMEMBERED = 150_000
+#: Children of a node of the tree: one call of ``min`` takes them all, and most matches are a single node.
+FAN = 32
 #: Texts of more characters are matched piece by piece, so that their matches are never all in memory.
 LONG = 1_000_000
 BLOCK = 65_536
@@ -46,46 +48,37 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
         return (whole,)
     n, rank = len(piece), ranks.get
     never = 1 << 62  # above any rank * n + position
-    size = 1 << (n - 2).bit_length() if n > 2 else 1
-    tree = [never] * (2 * size)
+    leaves = [never] * n
     for i in range(n - 1):
         r = rank(piece[i : i + 2])
         if r is not None:
-            tree[size + i] = r * n + i
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
+            leaves[i] = r * n + i
+    inner, top = [], leaves  # nodes by level, from the leaves' parents up
+    while len(top) > FAN:
+        top = [min(top[i : i + FAN]) for i in range(0, len(top), FAN)]
+        inner.append(top)
     after, before = list(range(1, n + 2)), list(range(-1, n))
-    while (least := tree[1]) != never:
+    while (least := min(top)) != never:
         i = least % n
         gone = after[i]
         end = after[i] = after[gone]
-        x = y = z = size + i
-        tree[y] = never
+        leaves[i] = leaves[gone] = never
         if end < n:
             before[end] = i
-            x = size + gone
-            tree[x] = never
             r = rank(piece[i : after[end]])
             if r is not None:
-                tree[y] = r * n + i
+                leaves[i] = r * n + i
         left = before[i]
         if left >= 0:
-            z = size + left
             r = rank(piece[left:end])
-            tree[z] = never if r is None else r * n + left
-        while y > 1:
-            x >>= 1
-            y >>= 1
-            z >>= 1
-            a, b = tree[2 * x], tree[2 * x + 1]
-            tree[x] = a if a < b else b
-            if y != x:
-                a, b = tree[2 * y], tree[2 * y + 1]
-                tree[y] = a if a < b else b
-            if z != y:
-                a, b = tree[2 * z], tree[2 * z + 1]
-                tree[z] = a if a < b else b
+            leaves[left] = never if r is None else r * n + left
+        if inner:
+            below, x, y, z = leaves, left if left >= 0 else i, i, gone
+            for level in inner:
+                x, y, z = x // FAN, y // FAN, z // FAN
+                for k in {x, y, z}:
+                    level[k] = min(below[k * FAN : (k + 1) * FAN])
+                below = level
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
