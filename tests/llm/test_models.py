@@ -81,6 +81,49 @@ def test_pairs_within_a_hot_bucket_are_found(spark):
     assert got == {k: k - k % 2 if k < 16 else k for k in range(600)}
 
 
+def test_components_and_roots(spark):
+    """A hub, a long path, a circle, random links in both directions and repeated; trees of several depths."""
+    rng = np.random.default_rng(2)
+    links = [(500, k) for k in range(501, 560)] + [(k, k + 1) for k in range(600, 640)] + [(700, 701), (701, 702), (702, 700), (701, 700)] + [(int(a), int(b)) for a, b in rng.integers(0, 200, (140, 2)) if a != b]
+    root = {x: x for link in links for x in link}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    name = "{:05d}".format
+    frame = lambda rows: spark.createDataFrame([(name(a).encode(), name(b).encode()) for a, b in rows], "a binary, b binary").repartition(3)
+    labels = lambda found: {int(r["node"]): int(r["label"]) for r in found.collect()}
+    assert labels(near_dedup.components(frame(links))) == {x: top(x) for x in root}
+    up = [(k, k // 3) for k in range(1, 60)] + [(k, k - 1) for k in range(101, 130)]
+    assert labels(near_dedup.roots(frame(up))) == {k: 0 if k < 60 else 100 for k, _ in up}
+
+
+def test_near_dedup_runs_few_tasks(spark):
+    """Each task of a shuffle leaves files: with hundreds of partitions they and the event log, not rows, fill the disk."""
+    rows = [(k, " ".join(["common", *(f"g{k // 6}w{i}" for i in range(40)), *(f"e{k}x{i}" for i in range(k % 6 // 2))])) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    sc = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few tasks", "few tasks")
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    finally:
+        sc._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: k - k % 6 for k in range(240)}
+    stages = {i for j in sc.statusTracker().getJobIdsForGroup("few tasks") for i in sc.statusTracker().getJobInfo(j).stageIds}
+    tasks = sum(x.numCompletedTasks for i in stages if (x := sc.statusTracker().getStageInfo(i)))
+    assert 0 < tasks < 1400
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(1)
     idf = near_dedup.inverse_frequencies(rng.integers(0, 1000, 1 << near_dedup.FEATURE_BITS), 1000)

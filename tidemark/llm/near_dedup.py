@@ -219,8 +219,10 @@ def with_one_leader(members: DataFrame) -> DataFrame:
     """Pairs of each node and the leader that it shares most bands with. members: key, n (its size), node, sum (of n)."""
     leaders = members.groupBy("key").agg(F.max_by("node", F.struct("sum", "node")).alias("leader"))
     met = members.join(leaders, "key").filter(F.col("node") != F.col("leader"))
-    shared = met.groupBy("node", "leader").agg(F.count("*").alias("bands"), F.max(F.struct("n", "key")).alias("at"))
-    best = shared.groupBy("node").agg(F.max(F.struct("bands", "at", "leader")).alias("x"))
+    found = met.groupBy("node").agg(F.collect_list(F.struct("leader", "n", "key")).alias("in"))  # at most BANDS buckets
+    own = lambda leader: F.filter("in", lambda x: x["leader"] == leader)
+    shared = lambda leader: F.struct(F.size(own(leader)).alias("bands"), F.array_max(F.transform(own(leader), lambda x: F.struct(x["n"].alias("n"), x["key"].alias("key")))).alias("at"), leader.alias("leader"))
+    best = found.select("node", F.array_max(F.transform(F.array_distinct("in.leader"), shared)).alias("x"))
     return best.select(F.col("x.at.key").alias("cell"), F.col("x.at.n").alias("n"), F.col("node").alias("a"), F.col("x.leader").alias("b"), F.col("node").alias("label_a"), F.col("x.leader").alias("label_b"))
 
 
@@ -292,23 +294,49 @@ def pairs_left(members: DataFrame, texts: DataFrame, held: Broadcast) -> DataFra
     return whole.unionByName(across(rare, "cell", near, "weight", "left"))
 
 
+def some(df: DataFrame) -> bool:
+    """Whether df has a row; looks at a few partitions first, where ``isEmpty`` runs and shuffles all."""
+    return bool(df.take(1))
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node of its component, for the nodes of the links (a, b)."""
-    both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    """node, label: the least node of its component, for the nodes of the links (a, b).
+
+    In each round a node takes the label of the least label around it, so labels also jump. All joins are of rows that a
+    shuffle has dealt already, hence the hint: broadcasts would read them again in stages of their own.
+    """
+    side = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    # a node is beside itself, so no label around it is the least that is above its own
+    both = links.select(F.inline(F.array(side("a", "b"), side("b", "a"), side("a", "a"), side("b", "b"))))
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
+    while True:
+        # both joins need the labels by node: they are dealt once
+        around = both.join(labels.alias("x").hint("merge"), F.col("b") == F.col("x.node")).groupBy("a")
+        near = around.agg(F.min("x.label").alias("near"), F.max(F.when(F.col("a") == F.col("b"), F.col("x.label"))).alias("before"))
+        found = near.join(labels.alias("y").hint("merge"), F.col("near") == F.col("y.node"))
+        found = checkpointed(found.select(F.col("a").alias("node"), "before", F.col("y.label").alias("label")))
+        labels = found.select("node", "label")
+        if not some(found.filter("label <> before")):
+            return labels
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """node, label: where the path from a node ends, for links from a node (a) to the only one that it leads to (b), no circles.
+
+    Paths double in each round.
+    """
+    labels = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
-        roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        found = checkpointed(new.join(roots, "label").select("node", "before", F.least("label", "root").alias("label")))
+        met = labels.alias("x").join(labels.alias("y").hint("merge"), F.col("x.label") == F.col("y.node"), "left")
+        found = checkpointed(met.select(F.col("x.node").alias("node"), F.coalesce("y.label", "x.label").alias("label"), F.col("y.label").isNotNull().alias("moved")))
         labels = found.select("node", "label")
-        if found.filter("label <> before").isEmpty():
+        if not some(found.filter("moved")):
             return labels
 
 
-def relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows with their label replaced by that of its component among the links found between labels."""
-    renamed = components(found).select(F.col("node").alias("label"), F.col("label").alias("_label"))
+def relabelled(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows with their label replaced by that which names (node, label) have for it."""
+    renamed = names.select(F.col("node").alias("label"), F.col("label").alias("_label"))
     return rows.join(renamed, "label", "left").withColumn("label", F.coalesce("_label", "label")).drop("_label")
 
 
@@ -319,23 +347,25 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = checkpointed(sketched(docs, held))
     nodes = rows.groupBy(F.col("copy").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = checkpointed(nodes.select("node", F.coalesce("doc_id", nameless("node")).alias("id"), F.col("doc_id").isNull().alias("nameless"), "bands"))
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    keyed = nodes.select("node", "id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = keyed.join(shared, "key")
-    sums = members.groupBy("node").agg(F.sum("n").alias("sum"), F.collect_list(F.struct("key", "n")).alias("in"))  # at most BANDS buckets
+    sums = members.groupBy("node").agg(F.first("id").alias("id"), F.sum("n").alias("sum"), F.collect_list(F.struct("key", "n")).alias("in"))  # at most BANDS buckets
     grouped = checkpointed(sums)
     alone = nodes.select("node", "id", "nameless", F.col("node").alias("label"))
-    if grouped.isEmpty():
+    if not some(grouped):
         return rows.select("doc_id", "copy"), alone
-    texts = met_texts(docs, nodes.select("id", "node").join(grouped.select("node"), "node", "left_semi"), [])
+    texts = met_texts(docs, grouped.select("id", "node"), [])
     texts = checkpointed(texts.groupBy("node").agg(F.min("text").alias("text")))  # copies may differ in white space
 
+    buckets = grouped.select("node", "sum", F.explode("in").alias("x")).select("x.key", "x.n", "node", "sum")
     label = grouped.select("node", F.col("node").alias("label"))
-    for step in (with_one_leader, with_drawn_leaders, lambda x: pairs_left(x, texts, held)):
-        members = grouped.select("node", "sum", F.explode("in").alias("x")).select("x.key", "x.n", "node", "sum").join(label, "node")
+    # the leader of a bucket is the largest of it, so nodes and their leaders form trees
+    for step, named in ((with_one_leader, roots), (with_drawn_leaders, components), (lambda x: pairs_left(x, texts, held), components)):
+        members = buckets if named is roots else buckets.join(label, "node")
         found = checkpointed(verified(step(members), texts, held))
-        if not found.isEmpty():
-            label = checkpointed(relabelled(label, found))
+        if some(found):
+            label = checkpointed(relabelled(label, named(found)))
     held.destroy()  # all that was made with it is in the shared folder
     named = alone.join(label.withColumnRenamed("label", "_label"), "node", "left").select("node", "id", "nameless", F.coalesce("_label", "label").alias("label"))
     return rows.select("doc_id", "copy"), named
