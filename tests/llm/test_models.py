@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -320,6 +321,75 @@ def test_lm_scores_by_plain_loops(spark):
         assert got[r["doc_id"]]["score"] == pytest.approx(sum(plain_log10(model, rest, counts, h, i) for i in range(len(h))), abs=1e-3)
 
 
+def test_lm_features_of_short_texts_by_plain_loops():
+    rng = np.random.default_rng(1)
+    for sizes in ([1], [2], [1, 1, 2, 1], [3, 1, 1], [2, 3, 5, 1], [7, 2]):
+        texts = [rng.integers(1, 2**63, n).astype(np.uint64) for n in sizes]
+        want = []
+        for t in texts:
+            h = [1, 1, *map(int, t)]
+            want += [[h[i - 1], (h[i - 1] * 3 + h[i - 2]) % 2**64, h[i - 2] ^ 0x5DEECE66D] for i in range(2, len(h))]
+        got = maxent_lm.contexts(np.concatenate(texts), maxent_lm.starts_of(np.array(sizes)))
+        assert (got == maxent_lm.mix(np.array(want, np.uint64).T)).all(), sizes
+
+
+def test_lm_sums_of_gradients_by_plain_loops():
+    rng = np.random.default_rng(2)
+    kinds = {"one": np.zeros(3000), "single": np.array([5]), "distinct": rng.permutation(3000), "frequent": np.minimum(rng.zipf(1.3, 3000), 16_383), "even": rng.integers(0, 300, 3000)}
+    for name, at in kinds.items():
+        at = at.astype(np.int64)
+        x = rng.standard_normal((len(at), 32)).astype(np.float32)
+        want = {}
+        for i, k in enumerate(at.tolist()):
+            want[k] = want.get(k, 0) + x[i].astype(np.float64)
+        own, got = maxent_lm.sums_by_place(x, at)
+        assert sorted(own.tolist()) == sorted(want) and np.allclose(got, [want[k] for k in own.tolist()], atol=1e-3), name
+
+
+def test_lm_probabilities_beyond_the_range_of_exponentials(monkeypatch):
+    """Sums of weights far above or below: the same probabilities and steps as at zero."""
+    rng = np.random.default_rng(3)
+    rows, none, wanted = rng.integers(0, maxent_lm.FEATURES, (3, 500)), np.zeros(500, np.int64), rng.integers(0, 32, 500)
+    got = []
+    for far in (0.0, 500.0, -500.0):
+        layer = maxent_lm.Layer(1, 32)
+        layer.begin()
+        layer.bias[0] = np.linspace(-3, 0, 32) + far
+        logs = layer.logs(rows, none, wanted)
+        layer.step(rows, none, wanted, 0.3)
+        got.append((logs, layer.weights))
+    assert np.isfinite(got[0][0]).all() and all(np.allclose(x, y, atol=1e-4) for other in got[1:] for x, y in zip(got[0], other, strict=True))
+
+
+def test_lm_step_takes_less_than_segment_sums_alone(spark):
+    """A whole gradient step against nothing but sums of sorted rows by np.add.reduceat, as often as the step needs them."""
+    rng = np.random.default_rng(4)
+    n = maxent_lm.STEP_TOKENS
+    found = [maxent_lm.tokens(r["text"]) for _, r in sorted(documents(spark).items())]
+    features = maxent_lm.contexts(np.concatenate(found), maxent_lm.starts_of(np.array([len(x) for x in found])))[:, :n]
+    assert features.shape == (3, n)
+    kinds, wanted = rng.integers(0, 32, n), rng.integers(0, 32, n)
+    rows = maxent_lm.slot_rows(features, kinds)
+    layer, x = maxent_lm.Layer(32, 32), rng.standard_normal((n, 32)).astype(np.float32)
+    layer.bias[:] = 0
+    layer.begin()
+
+    def segments():
+        for at in (*rows, kinds):
+            order = np.argsort(at.astype(np.uint16), kind="stable")
+            np.add.reduceat(x.take(order, 0), np.flatnonzero(np.diff(at[order], prepend=-1)), axis=0)
+
+    def least(f):
+        took = []
+        for _ in range(15):
+            begin = time.process_time()
+            f()
+            took.append(time.process_time() - begin)
+        return min(took)
+
+    assert least(lambda: layer.step(rows, kinds, wanted, 0.01)) < least(segments)
+
+
 def test_lm_of_tokens_that_are_all_equally_frequent(spark, monkeypatch):
     monkeypatch.setattr(maxent_lm, "HOT", 64)
     counts = spark.range(400).select(F.xxhash64("id").alias("h"), F.lit(1).cast("long").alias("c"))

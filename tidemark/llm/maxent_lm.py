@@ -49,6 +49,10 @@ STEP_TOKENS, RATE = 8192, 0.3
 LOT, TRAINED, SCORED = 2_000_000, 200_000, 150_000
 #: The bias of what holds no token.
 NEVER = -30.0
+#: Exponentials of sums within this bound are single-precision numbers, and so are the sums of a row of them.
+SAFE = 80.0
+#: Places that have so many rows of gradients that they are added one place after the other.
+FEW = 32
 END = np.uint64(0x9AE16A3B2F90404F)
 _LN10 = math.log(10)
 
@@ -58,14 +62,18 @@ def tokens(text: str | None) -> np.ndarray:
     return np.append(word_hashes(b" ".join((text or "").encode().lower().split())), END)
 
 
-def contexts(h: np.ndarray) -> np.ndarray:
-    """Hashes of the features of each token of one text: previous, previous two, skip."""
-    start = np.uint64(1)
-    one = np.concatenate(([start], h[:-1]))
-    two = np.concatenate(([start, start], h[:-2])) if len(h) > 1 else np.array([start])
+def contexts(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the features of each token of the texts that begin at starts: previous, previous two, skip."""
+    one, two = np.ones(len(h), np.uint64), np.ones(len(h), np.uint64)
+    one[1:], two[2:] = h[:-1], h[:-2]
+    one[starts] = two[starts] = two[np.minimum(starts + 1, len(h) - 1)] = 1  # a text of one token is followed by a start
     return np.stack([mix(one), mix(one * np.uint64(3) + two), mix(two ^ np.uint64(0x5DEECE66D))])
 
 
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
 def class_rows(features: np.ndarray) -> np.ndarray:
     return (features >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
@@ -75,9 +83,32 @@ def slot_rows(features: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return (mix(features + kinds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def lowered(x: np.ndarray) -> np.ndarray:
+    """x; less the greatest value of each row, if exponentials could leave the range of single precision."""
+    if not (x.max() < SAFE and x.min() > -SAFE):
+        x -= x.max(1, keepdims=True)
+    return x
+
+
+def sums_by_place(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in at (below 2 ** 16), and for each the sum of its rows of x.
+
+    The first rows of all places are added at once, then the second ones, and so on, places with many rows first; what
+    the few most frequent places have left is added place by place.
+    """
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # sorted by counting
+    places = at[order]
+    begins = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
+    fewer = -np.diff(begins, append=len(at))
+    by = np.argsort(np.maximum(fewer, -(1 << 15)).astype(np.int16), kind="stable")
+    begins, fewer = begins[by], fewer[by]
+    sums, k = x.take(order[begins], 0), 1
+    while (n := int(np.searchsorted(fewer, -k))) > FEW:
+        sums[:n] += x.take(order[begins[:n] + k], 0)
+        k += 1
+    for i in range(n):
+        sums[i] += x.take(order[begins[i] + k : begins[i] - fewer[i]], 0).sum(0)
+    return places[begins], sums
 
 
 def _lots(batches: Iterator[pa.RecordBatch], size: int, by: int | None = None) -> Iterator[tuple[list[np.ndarray], list[tuple]]]:
@@ -153,15 +184,18 @@ class Layer:
         x += self.bias.take(conditions, 0) if len(self.bias) > 1 else self.bias
         return x
 
-    def logs(self, rows: np.ndarray, conditions: np.ndarray) -> np.ndarray:
-        return log_softmax(self.sums(rows, conditions))
+    def logs(self, rows: np.ndarray, conditions: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probabilities of what is wanted."""
+        x = lowered(self.sums(rows, conditions))
+        own = x[np.arange(len(wanted)), wanted]
+        np.exp(x, out=x)
+        return own - np.log(np.einsum("ij->i", x))
 
     def step(self, rows: np.ndarray, conditions: np.ndarray, wanted: np.ndarray, rate: float) -> None:
         """One gradient step; the squares of past gradients of a row scale its steps."""
-        miss = self.sums(rows, conditions)
-        miss -= miss.max(1, keepdims=True)
+        miss = lowered(self.sums(rows, conditions))
         np.exp(miss, out=miss)
-        miss /= miss.sum(1, keepdims=True)
+        miss /= np.einsum("ij->i", miss)[:, None]
         miss[np.arange(len(wanted)), wanted] -= 1
         if len(self.bias) == 1:
             g = miss.sum(0)
@@ -169,14 +203,11 @@ class Layer:
             self.bias -= rate * g / np.sqrt(self.bias_squares + 1)[:, None]
         parts = [(row, self.weights, self.squares) for row in rows] + [(conditions, self.bias, self.bias_squares)] * (len(self.bias) > 1)
         for at, values, squares in parts:
-            order = np.argsort(at.astype(np.uint16), kind="stable")  # numbers below 2 ** 16: sorted by counting
-            places = at[order]
-            begins = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
-            own, g = places[begins], np.add.reduceat(miss.take(order, 0), begins, axis=0)
+            own, g = sums_by_place(miss, at)
             own_squares = squares[own] + np.einsum("ij,ij->i", g, g) / g.shape[1]
             squares[own] = own_squares
             g *= (rate / np.sqrt(own_squares + 1))[:, None]
-            values[own] -= g
+            values[own] = np.subtract(values.take(own, 0), g, out=g)
 
 
 class Model:
@@ -220,8 +251,11 @@ class Model:
         self.members.begin()
 
     def steps(self, found: list[np.ndarray], rate: float) -> int:
-        h, features = np.concatenate(found), np.concatenate([contexts(x) for x in found], axis=1)
-        _, _, kinds, slots = self.place_of(h)
+        h = np.concatenate(found)
+        features = contexts(h, starts_of(np.array([len(x) for x in found])))
+        words, place = np.unique(h, return_inverse=True)
+        _, _, kinds, slots = self.place_of(words)
+        kinds, slots = kinds[place], slots[place]
         first, none = class_rows(features), np.zeros(len(h), np.int64)
         for i in range(0, len(h), STEP_TOKENS):
             at = slice(i, i + STEP_TOKENS)
@@ -239,15 +273,12 @@ class Model:
         out = np.empty(len(kinds))
         for i in range(0, len(kinds), 1 << 14):
             at = slice(i, i + (1 << 14))
-            n = np.arange(len(kinds[at]))
-            first = self.classes.logs(class_rows(features[:, at]), np.zeros(len(n), np.int64))[n, kinds[at]]
-            out[at] = first
+            out[at] = self.classes.logs(class_rows(features[:, at]), np.zeros(len(kinds[at]), np.int64), kinds[at])
         inside = np.flatnonzero(self.several[kinds])
         kinds, slots = kinds[inside], slots[inside]
         for i in range(0, len(inside), 1 << 14):
             at = slice(i, i + (1 << 14))
-            n = np.arange(len(kinds[at]))
-            out[inside[at]] += self.members.logs(slot_rows(features[:, inside[at]], kinds[at]), kinds[at])[n, slots[at]]
+            out[inside[at]] += self.members.logs(slot_rows(features[:, inside[at]], kinds[at]), kinds[at], slots[at])
         return out
 
     def parts(self) -> list[np.ndarray]:
@@ -336,12 +367,12 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, total: int, distinc
             h = np.concatenate(found)
             sizes = np.array([len(x) for x in found])
             row = np.repeat(np.arange(len(found)), sizes)
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            starts = starts_of(sizes)
             words, place = np.unique(h, return_inverse=True)
             at, hot, kind, slot = model.place_of(words)
             value, plain = np.zeros(len(words)), -model.cold[slot]
             value[hot], plain[hot] = np.log10(model.hot_counts[at[hot]] + 0.5), model.shares[at[hot]]
-            chosen = model.chosen(np.concatenate([contexts(x) for x in found], axis=1), kind[place], slot[place])
+            chosen = model.chosen(contexts(h, starts), kind[place], slot[place])
             sums = lambda x: np.add.reduceat(x, starts)
             ids, outs, hashes = [o[0] for o in others], [o[1] for o in others], np.array([o[2] for o in others], np.int64)
             known = sums(hot[place].astype(np.int64))
